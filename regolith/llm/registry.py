@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["exact_dedup", "language_id", "decontaminate", "toxicity", "url_filter", "mixing", "ngram_join"]
+MODULES = ["exact_dedup", "language_id", "decontaminate", "toxicity", "url_filter", "mixing", "ngram_join", "token_store"]
 
 
 def queries() -> dict:

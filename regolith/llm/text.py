@@ -25,6 +25,7 @@ LOWER[65:91] += 32
 #: Bytes that stand in words once A-Z are lower-cased.
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
+_ASCII_ALNUM = ALNUM & (np.arange(256) < 128)
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
 
@@ -84,8 +85,11 @@ def _cut(buf: np.ndarray, offs: np.ndarray, at: int, is_word: np.ndarray) -> int
     return nearest
 
 
-def words_of(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = ALNUM) -> Words:
-    """Words of the texts buf[offs[i]:offs[i + 1]], A-Z lower-cased; the hash of a word depends on its bytes alone."""
+def words_of(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = ALNUM, cut_tail: bool = False) -> Words:
+    """Words of the texts buf[offs[i]:offs[i + 1]], A-Z lower-cased; the hash of a word depends on its bytes alone.
+
+    cut_tail: a comma or full stop that ends a word after an ASCII letter or digit is a word of its own.
+    """
     starts, ends, hashes = [], [], []
     lo, n = int(offs[0]), int(offs[-1])
     while lo < n:
@@ -99,10 +103,14 @@ def words_of(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = ALNUM) ->
         before = np.empty(m, bool)
         before[0] = False
         before[1:] = w[:-1]
-        s = np.flatnonzero(w & (~before | edge[:m]))
         after = np.empty(m, bool)
         after[-1] = False
         after[:-1] = w[1:]
+        if cut_tail:
+            tail = np.flatnonzero(((b == 44) | (b == 46)) & (~after | edge[1:]))
+            tail = tail[tail > 0]
+            edge[tail[_ASCII_ALNUM[b[tail - 1]]]] = True
+        s = np.flatnonzero(w & (~before | edge[:m]))
         e = np.flatnonzero(w & (~after | edge[1:])) + 1
         if len(s):
             power, inverse = _pow(m)
