@@ -1,2 +1,61 @@
-"""Training-data pipeline: stages over documents."""
-STAGES = []
+"""Training-data pipeline over `documents`.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame that is written as
+Parquet and read again as the next stage's docs.  All but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from regolith.llm import decontaminate, mixing, ngram_join, token_store, toxicity
+from regolith.llm.store import Scratch, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier does not reject."""
+    return toxicity.remove_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each component of the n-gram join."""
+    return ngram_join.keep_one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, repeats as rows of their own."""
+    return mixing.mix(docs)
+
+
+def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' ids, written in shards and read back."""
+    return token_store.encode_and_read_back(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_output", write_token_shards),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each written down before the next."""
+    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir).select("doc_id", F.col("start"), "n_tokens", "ids_crc32")
+
+
+#: The classifier and the tokenizer have no form in SQL.
+ORACLE_SQL = None

@@ -87,6 +87,26 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed rows, all columns as they were: a row is repeated as often as the plan copies it.
+
+    Copies are looked up by id, source and size; rows that share these are interchangeable to the plan, and its
+    counts for them are dealt out row by row.
+    """
+    plan = mix_plan(docs, id_col, text_col, source_col, **options)
+    keys = ["mix_id__", "mix_source__", "mix_size__"]
+    counts = plan.select(F.col("doc_id").alias(keys[0]), F.col("source").alias(keys[1]), F.col("size").alias(keys[2]), "copies")
+    counts = counts.groupBy(*keys).agg(F.sum("copies").alias("mix_copies__"), F.count("*").alias("mix_rows__")).filter("mix_copies__ > 0")
+    here = F.col(id_col).cast("long").eqNullSafe(F.col(keys[0])) & F.col(source_col).eqNullSafe(F.col(keys[1])) & (word_count(F.col(text_col)) == F.col(keys[2]))
+    joined = docs.join(counts, here)
+    # One row: its copies. Several alike: the plan's copies are spread over them, the first ones getting the rest.
+    alone = joined.filter("mix_rows__ = 1").withColumn("mix_n__", F.col("mix_copies__"))
+    order = Window.partitionBy(*keys).orderBy(F.monotonically_increasing_id())
+    several = joined.filter("mix_rows__ > 1").withColumn("mix_n__", F.floor(F.col("mix_copies__") / F.col("mix_rows__")) + F.when(F.row_number().over(order) <= F.col("mix_copies__") % F.col("mix_rows__"), 1).otherwise(0))
+    every = alone.unionByName(several).filter("mix_n__ > 0")
+    return every.withColumn("mix_k__", F.explode(F.sequence(F.lit(1), F.col("mix_n__").cast("int")))).select(*docs.columns)
+
+
 def op7_mix_sources(spark, sf_dir):
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["exact_dedup", "language_id", "decontaminate", "toxicity", "url_filter", "mixing", "ngram_join", "token_store"]
+MODULES = ["exact_dedup", "language_id", "decontaminate", "toxicity", "license_scan", "url_filter", "mixing", "ngram_join", "chat_format", "token_store"]
 
 
 def queries() -> dict:
     found: dict = {}
     for name in MODULES:
         found |= importlib.import_module(f"regolith.llm.{name}").QUERIES
-    return found
+    return found | {"pipeline": importlib.import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
     found: dict = {}
     for name in MODULES:
         found |= importlib.import_module(f"regolith.llm.{name}").SQL
-    return found
+    sql = importlib.import_module("corpus_pipeline").ORACLE_SQL
+    return found | ({"pipeline": sql} if sql else {})
