@@ -1,27 +1,32 @@
 """Exact Jaccard self-join of documents on sets of word 5-grams, by prefix filters under several token orders.
 
-A document's set holds the 64-bit hashes of its distinct 5-grams.  Two sets of
-n tokens that reach the threshold t share one of their first
-n - ceil(t * n) + 1 tokens under any order of all tokens.  The orders used here
-put frequent tokens last (by the power of two of their count, then by a hash
-that differs from order to order), so that common passages hardly ever stand
-in a prefix.
-
-1. One pass gives each document its set's size and digest, and each task a
-   Misra-Gries summary of its tokens.  Sets of equal digest are one node.  The
-   summaries' sum gives the frequent tokens, at most HEAVY_MOST of them.
-2. A second pass emits the prefix under the first order.  In the group of a
-   token each document points to the smallest one; a document's most frequent
-   target becomes its first candidate.
-3. Candidates must share prefix tokens under the second and third order too;
-   only then the whole sets are compared.
-4. The links give components.  Groups of tokens that still lie in several
-   components give all further candidates: pairs across components whose sizes
-   allow a link and which were not compared yet.  They pass the same filters.
-
-All pairs of a link that share a prefix token are either compared or already
-known to be connected, so the components are exact, while a large group of
-near copies costs one comparison a member.
+A document's set holds the hashes of its distinct 5-grams.  Two sets that reach
+the threshold t share one of the first n - ceil(t * n) + 1 tokens of either,
+under any order of all tokens; of the smaller set even the first
+n - ceil(2t / (1 + t) * n) + 1 tokens suffice.  The orders used here put common
+tokens last: first comes the power of two of the count of a token's rarest
+word, then a hash that differs from order to order.  So the tokens of common
+passages hardly ever stand in a prefix.
+
+1. One pass gives each document its set's size and digest, and each task the
+   word counts of its texts, in a table of SLOTS counters.  The tables are
+   summed up; their logarithms are broadcast (SLOTS bytes).  Sets of equal
+   digest are one node.
+2. A second pass emits the prefix under the first order.  Members of a token's
+   group that no other member can match by size are dropped.  In what is left
+   each document points to the group's smallest one; a document's most frequent
+   target is its first candidate.
+3. Candidates are compared in blocks, which hold each document's set once.  A
+   pair of a block must share prefix tokens under all three orders; only then
+   the whole sets are intersected.
+4. The links give components.  Groups that still hold several components are
+   put into blocks by their smallest component: its members on one side, all
+   others, in portions of bounded size, on the other.
+
+Every pair of a link shares a prefix token, and such a pair is either compared
+in a block or already known to be connected, so the components are exact.  No
+pair is ever a row; a large group of near copies costs one row a member and
+portion.
 
 A null or empty text has an empty set and no links.  A null doc_id takes part
 as a node, and component_id is the smallest id that is not null (null if there
@@ -32,6 +37,7 @@ further columns are not read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -40,77 +46,72 @@ from pyspark.sql import functions as F
 
 from regolith.llm.graph import components
 from regolith.llm.store import Scratch, table
-from regolith.llm.text import NOT_SPACE, Words, mix, text_slices
+from regolith.llm.text import NOT_SPACE, Words, mix, ragged, text_slices
 
 SHINGLE = 5
 #: The threshold in hundredths: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 80
-#: Tokens that a task's summary tracks, and frequent tokens that are broadcast at most.
-TRACKED = 1 << 14
-HEAVY_MOST = 1 << 17
-HEAVY_LEAST = 8
+#: Counters of the table of word counts, and how many of them are one row of it.
+SLOTS, CHUNK = 1 << 22, 1 << 16
+#: Tokens of the portion of a block that is held in memory.
+PORTION = 1 << 20
 _U = np.uint64
-_ORDERS = tuple(_U(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
+_LOW = _U((1 << 59) - 1)
+_ORDERS = tuple(_U(x) for x in (0x13198A2E03707344, 0xA4093822299F31D0))
 _STEP = [_U(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(SHINGLE)]
 
 
-def prefix_size(n):
+def prefix_size(n: int) -> int:
     """Tokens of a set of n of which one at least is shared, under any order, by any set that reaches the threshold."""
     return n - -(-n * THRESHOLD // 100) + 1
 
 
-def shingle_sets(w: Words) -> list[np.ndarray]:
-    """The sorted distinct tokens of each text."""
+def short_prefix_size(n: int) -> int:
+    """The same, where the other set is no smaller."""
+    return n - -(-2 * n * THRESHOLD // (100 + THRESHOLD)) + 1
+
+
+def slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> _U(40)).astype(np.int64) % SLOTS
+
+
+def shingle_sets(w: Words, levels: np.ndarray | None = None) -> list[np.ndarray]:
+    """The sorted distinct tokens of each text; with levels (of word slots) in the first order: the level in the upper five bits."""
     h, n = w.hashes, len(w.hashes)
     grams = np.zeros(max(n - SHINGLE + 1, 0), _U)
     for k in range(SHINGLE):
         grams += h[k : k + len(grams)] * _STEP[k]
-    grams = mix(grams)
+    grams = mix(grams) & _LOW
+    own = None
+    if levels is not None:
+        own = levels[slots(h)].astype(_U)
+        least = own[: len(grams)].copy()
+        for k in range(1, SHINGLE):
+            np.minimum(least, own[k : k + len(grams)], out=least)
+        grams |= least << _U(59)
     out = []
     for a, b in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True):
         if b - a >= SHINGLE:
             out.append(np.unique(grams[a : b - SHINGLE + 1]))
         elif b > a:
-            short = (h[a:b] * np.array(_STEP[: b - a], _U)).sum(dtype=_U, keepdims=True)
-            out.append(mix(short + np.array([b - a], _U)))
+            short = mix((h[a:b] * np.array(_STEP[: b - a], _U)).sum(dtype=_U, keepdims=True) + np.array([b - a], _U)) & _LOW
+            out.append(short if own is None else short | (own[a:b].min() << _U(59)))
         else:
             out.append(np.empty(0, _U))
     return out
 
 
-class Summary:
-    """Misra-Gries summary: any token that stands in more than 1/size of what was added is in it."""
-
-    def __init__(self, size: int = TRACKED):
-        self.size, self.items, self.counts = size, np.empty(0, _U), np.empty(0, np.int64)
-
-    def add(self, tokens: np.ndarray) -> None:
-        u, c = np.unique(tokens, return_counts=True)
-        items, where = np.unique(np.concatenate([self.items, u]), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([self.counts, c])).astype(np.int64)
-        if len(items) > self.size:
-            counts -= np.partition(counts, len(counts) - self.size - 1)[len(counts) - self.size - 1]
-        self.items, self.counts = items[counts > 0], counts[counts > 0]
-
-
-class Orders:
-    """The global token orders; frequent tokens come last."""
-
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        by = np.argsort(tokens)
-        self.tokens, self.level = tokens[by], np.log2(np.maximum(counts[by], 1)).astype(_U) + _U(1)
-
-    def keys(self, tokens: np.ndarray) -> list[np.ndarray]:
-        level = np.zeros(len(tokens), _U)
-        if len(self.tokens) and len(tokens):
-            spot = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-            level = np.where(self.tokens[spot] == tokens, self.level[spot], _U(0))
-        level <<= _U(57)
-        return [level | (mix(tokens ^ c) >> _U(7)) for c in _ORDERS]
+def other_prefixes(tokens: np.ndarray) -> list[np.ndarray]:
+    """Prefixes of a set, given in the first order, under the other orders."""
+    p = prefix_size(len(tokens))
+    if p >= len(tokens):
+        return [tokens] * len(_ORDERS)
+    level = tokens & ~_LOW
+    return [tokens[np.argpartition(level | (mix(tokens ^ c) & _LOW), p - 1)[:p]] for c in _ORDERS]
 
 
 def _digest(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(np.sort(tokens & _LOW).tobytes(), digest_size=16).digest()
 
 
 def _node(doc_id, key: bytes) -> int:
@@ -119,64 +120,62 @@ def _node(doc_id, key: bytes) -> int:
 
 
 def _profile(batches):
-    summary = Summary()
-    kinds = [("doc_id", pa.int64()), ("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("token", pa.int64()), ("count", pa.int64())]
+    counts = np.zeros(SLOTS, np.uint32)
+    kinds = [("doc_id", pa.int64()), ("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())]
     for batch, i, j, w in text_slices(batches, "text", NOT_SPACE):
         sets = shingle_sets(w)
-        if len(w.hashes):
-            summary.add(np.concatenate(sets))
+        words, many = np.unique(w.hashes, return_counts=True)
+        np.add.at(counts, slots(words), many.astype(np.uint32))
         ids = batch.column("doc_id").slice(i, j - i)
         keys = [_digest(s) for s in sets]
-        nothing = pa.nulls(j - i, pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, pa.array([_node(d, k) for d, k in zip(ids.to_pylist(), keys, strict=True)], pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), nothing, nothing], [k for k, _ in kinds])
-    often = summary.counts > 1
-    n = int(often.sum())
-    yield pa.RecordBatch.from_arrays([pa.nulls(n, t) for _, t in kinds[:4]] + [pa.array(summary.items[often].view(np.int64)), pa.array(summary.counts[often])], [k for k, _ in kinds])
+        yield pa.RecordBatch.from_arrays([ids, pa.array([_node(d, k) for d, k in zip(ids.to_pylist(), keys, strict=True)], pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], [k for k, _ in kinds])
+    rows = [(k, zlib.compress(part.tobytes(), 1)) for k, part in enumerate(counts.reshape(-1, CHUNK)) if part.any()]
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), t) for _, t in kinds[:4]] + [pa.array([k for k, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], [k for k, _ in kinds])
+
 
+def _summed(batches):
+    """Sums of the counters, chunk by chunk; a task holds one table at most, however many rows there are."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, data in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            part = np.frombuffer(zlib.decompress(data), np.uint32)
+            total[k] = total[k] + part if k in total else part.astype(np.uint64)
+    levels = [np.minimum(np.log2(np.maximum(t, 1)), 31).astype(np.uint8).tobytes() for t in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], ["chunk", "levels"])
 
-def _prefixes(orders):
+
+def _prefixes(levels):
     def run(batches):
         for batch, i, j, w in text_slices(batches, "text", NOT_SPACE):
-            sets = shingle_sets(w)
+            sets = shingle_sets(w, levels.value)
             ids = batch.column("doc_id").slice(i, j - i).to_pylist()
-            sizes = np.array([len(s) for s in sets])
-            every = np.concatenate(sets) if sets else np.empty(0, _U)
-            key = orders.value.keys(every)[0]
-            at, parts, nodes = 0, [], []
-            for d, s in zip(ids, sets, strict=True):
-                n = len(s)
-                p = prefix_size(n) if n else 0
-                parts.append(s if p >= n else s[np.argpartition(key[at : at + n], p - 1)[:p]])
-                nodes.append(d if d is not None else _node(d, _digest(s)))
-                at += n
-            values = np.concatenate(parts) if parts else np.empty(0, _U)
+            parts = [s[: prefix_size(len(s))] if len(s) else s for s in sets]
+            nodes = [d if d is not None else _node(d, _digest(s)) for d, s in zip(ids, sets, strict=True)]
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))], ["id", "tokens"])
+            values = np.concatenate(parts) if parts else np.empty(0, _U)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([short_prefix_size(len(s)) if len(s) else 0 for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))], ["id", "n", "short", "tokens"])
 
     return run
 
 
-def _whole_sets(orders, wanted):
-    """For documents that may be wanted: the set in the second order, then its prefix under the third."""
+def _whole_sets(levels, wanted):
+    """The sets of documents that may be wanted, in the first order."""
 
     def run(batches):
         bits = wanted.value
         for batch, i, j, w in text_slices(batches, "text", NOT_SPACE):
             ids = batch.column("doc_id").slice(i, j - i).to_pylist()
             keys, nodes, data = [], [], []
-            for d, s in zip(ids, shingle_sets(w), strict=True):
+            for d, s in zip(ids, shingle_sets(w, levels.value), strict=True):
                 if not len(s) or d is not None and not _may_hold(bits, d):
                     continue
                 key = _digest(s)
                 node = _node(d, key)
-                if not _may_hold(bits, node):
-                    continue
-                _, second, third = orders.value.keys(s)
-                p = prefix_size(len(s))
-                keys.append(key)
-                nodes.append(node)
-                data.append(np.concatenate([s[np.argsort(second)], s[np.argpartition(third, p - 1)[:p] if p < len(s) else slice(None)]]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["id", "key", "tokens"])
+                if _may_hold(bits, node):
+                    keys.append(key)
+                    nodes.append(node)
+                    data.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["node", "key", "tokens"])
 
     return run
 
@@ -189,19 +188,66 @@ def _may_hold(bits: np.ndarray, node: int) -> bool:
     return bool(bits[_slot(node, len(bits))])
 
 
-def linked(a: np.ndarray, b: np.ndarray, n: int, m: int) -> bool:
-    """Whether two sets, as _whole_sets lays them out, reach the threshold; the prefixes of the other orders are compared first."""
-    p, q = prefix_size(n), prefix_size(m)
-    if not np.isin(a[:p], b[:q]).any() or not np.isin(a[n:], b[m:]).any():
-        return False
-    common = len(np.intersect1d(a[:n], b[:m], assume_unique=True))
-    return 100 * common >= THRESHOLD * (n + m - common)
+class _Index:
+    """Which sets of a portion hold a token."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        tokens = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner, self.n = tokens[order], owner[order], len(sets)
+
+    def counts(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of the tokens each set holds."""
+        a, b = np.searchsorted(self.tokens, tokens, "left"), np.searchsorted(self.tokens, tokens, "right")
+        return np.bincount(self.owner[ragged(a, b - a)], minlength=self.n)
+
+
+class Portion:
+    """The held side of a block; match() finds the links of one more set."""
+
+    def __init__(self, nodes: list[int], roots: list[int], sets: list[np.ndarray]):
+        self.nodes, self.roots, self.sets = np.array(nodes), np.array(roots), sets
+        self.sizes = np.array([len(s) for s in sets])
+        prefixes = [[s[: prefix_size(len(s))], *other_prefixes(s)] for s in sets]
+        self.filters = [_Index([p[k] for p in prefixes]) for k in range(1 + len(_ORDERS))]
+        self.whole = _Index(sets) if len(sets) > 8 else None
+
+    def match(self, node: int, root: int, tokens: np.ndarray) -> np.ndarray:
+        n = len(tokens)
+        fits = (self.roots != root) & (100 * np.minimum(self.sizes, n) >= THRESHOLD * np.maximum(self.sizes, n))
+        for index, prefix in zip(self.filters, [tokens[: prefix_size(n)], *other_prefixes(tokens)], strict=True):
+            if not fits.any():
+                return np.empty(0, np.int64)
+            fits &= index.counts(prefix) > 0
+        left = np.flatnonzero(fits)
+        if self.whole is not None and len(left) > 8:
+            common = self.whole.counts(tokens)[left]
+        else:
+            common = np.array([len(np.intersect1d(self.sets[k], tokens, assume_unique=True)) for k in left], np.int64)
+        return self.nodes[left[100 * common >= THRESHOLD * (self.sizes[left] + n - common)]]
 
 
-def _verify(batches):
+def _compare(batches):
+    """Links of sorted block rows: of each block and portion first the held sets, then those to be compared with them."""
+    now, held, portion = None, ([], [], []), None
     for batch in batches:
-        keep = [linked(np.frombuffer(x, _U), np.frombuffer(y, _U), n, m) for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("a_tokens", "b_tokens", "a_n", "b_n")), strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        a, b = [], []
+        for block, part, side, node, root, data in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "side", "node", "root", "tokens")), strict=True):
+            if (block, part) != now:
+                now, held, portion = (block, part), ([], [], []), None
+            tokens = np.frombuffer(data, _U)
+            if side == 0:
+                for x, y in zip(held, (node, root, tokens.copy()), strict=True):
+                    x.append(y)
+                continue
+            if not held[0]:
+                continue
+            portion = portion or Portion(*held)
+            found = portion.match(node, root, tokens)
+            a += found.tolist()
+            b += [node] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 class Join:
@@ -209,69 +255,79 @@ class Join:
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark)
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Of candidate pairs of nodes (a, b) those that are links."""
-        nodes = self.nodes
-        pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("a_n")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("b_n")), "b")
-        pairs = self.scratch.keep(pairs.filter(F.lit(100) * F.least("a_n", "b_n") >= F.lit(THRESHOLD) * F.greatest("a_n", "b_n")), f"{name}-pairs")
-        ends = self.scratch.keep(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), f"{name}-ends")
-        # A filter of bounded size keeps most sets at home; the joins below are exact.
+    def links(self, members: DataFrame, name: str) -> DataFrame:
+        """Links of blocks given by rows block, part, side (0: held, 1: to compare), node, root."""
+        ends = self.scratch.keep(members.select("node").distinct(), f"{name}-ends")
+        # A filter of bounded size keeps most sets at home; the join below is exact.
         size = 1 << max(16, min(27, int(ends.count() * 16).bit_length()))
         bits = np.zeros(size, bool)
         for row in self._slots(ends, size).toLocalIterator():
             bits[row.word * 32 + np.flatnonzero([(row.mask >> k) & 1 for k in range(32)])] = True
         wanted = self.spark.sparkContext.broadcast(bits)
-        sets = self.docs.mapInArrow(_whole_sets(self.orders, wanted), "id long, key binary, tokens binary")
-        chosen = ends.join(self.nodes, "node").select("node", "key")
-        sets = sets.withColumnRenamed("id", "node").join(chosen, ["node", "key"]).select("node", "tokens").dropDuplicates(["node"])
-        sets = self.scratch.keep(sets, f"{name}-sets")
-        full = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("b_tokens")), "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("a_tokens")), "a")
-        found = self.scratch.keep(full.select("a", "b", "a_n", "b_n", "a_tokens", "b_tokens").mapInArrow(_verify, "a long, b long"), f"{name}-links")
-        self.scratch.drop(f"{name}-sets")
-        return found
+        sets = self.docs.mapInArrow(_whole_sets(self.levels, wanted), "node long, key binary, tokens binary").dropDuplicates(["node", "key"])
+        full = sets.join(members.join(self.nodes.select("node", "key"), "node"), ["node", "key"])
+        ordered = full.select("block", "part", "side", "node", "root", "tokens").repartition(self.parts, "block", "part").sortWithinPartitions("block", "part", "side")
+        return self.scratch.keep(ordered.mapInArrow(_compare, "a long, b long"), f"{name}-links")
 
     @staticmethod
     def _slots(ends: DataFrame, size: int) -> DataFrame:
         def run(batches):
             for batch in batches:
-                slots = np.array([_slot(x, size) for x in batch.column("node").to_pylist()], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(slots // 32), pa.array(np.left_shift(np.int64(1), slots % 32))], ["word", "bit"])
+                own = np.array([_slot(x, size) for x in batch.column("node").to_pylist()], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own // 32), pa.array(np.left_shift(np.int64(1), own % 32))], ["word", "bit"])
 
         return ends.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("mask"))
 
     def run(self) -> DataFrame:
         keep = self.scratch.keep
-        profile = keep(self.docs.mapInArrow(_profile, "doc_id long, id long, key binary, n long, token long, count long"), "profile")
+        profile = keep(self.docs.mapInArrow(_profile, "doc_id long, id long, key binary, n long, chunk int, counts binary"), "profile")
         rows = profile.filter("key is not null").select("doc_id", "id", "key", "n")
-        heavy = profile.filter("token is not null").groupBy("token").agg(F.sum("count").alias("count")).filter(F.col("count") >= HEAVY_LEAST)
-        top = heavy.orderBy(F.desc("count"), "token").limit(HEAVY_MOST).toArrow()
-        self.orders = self.spark.sparkContext.broadcast(Orders(top.column("token").to_numpy().view(_U), top.column("count").to_numpy()))
+        sums = profile.filter("chunk is not null").select("chunk", "counts").repartition(min(self.parts, SLOTS // CHUNK), "chunk").mapInArrow(_summed, "chunk int, levels binary")
+        levels = np.zeros(SLOTS, np.uint8)
+        for row in sums.toLocalIterator():
+            levels[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.levels, np.uint8)
+        self.levels = self.spark.sparkContext.broadcast(levels)  # SLOTS bytes
         self.nodes = keep(rows.groupBy("key").agg(F.min("id").alias("node"), F.min("n").alias("n"), F.min("doc_id").alias("least")), "nodes")
-        node_of = keep(rows.join(self.nodes.select("key", "node"), "key").select("id", "node").distinct(), "node_of")
-
-        prefixes = self.docs.mapInArrow(_prefixes(self.orders), "id long, tokens array<long>").select("id", F.explode("tokens").alias("token"))
-        by = Window.partitionBy("token")
-        groups = prefixes.select("token", "id", F.min("id").over(by).alias("low"), F.max("id").over(by).alias("high")).filter("low <> high").select("token", "id", F.col("low").alias("lead"))
-        groups = keep(groups, "groups")
-        shared = groups.filter("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("c"))
+        node_of = keep(rows.filter("n > 0").join(self.nodes.select("key", "node"), "key").select("id", "node").distinct(), "node_of")
+
+        prefixes = self.docs.mapInArrow(_prefixes(self.levels), "id long, n long, short int, tokens array<long>")
+        # n and whether the token stands in the short prefix, in one number: 2 * n, or 2 * n + 1 where it does not.
+        tokens = prefixes.select("id", "n", "short", F.posexplode("tokens").alias("pos", "token")).select("token", "id", (F.col("n") * 2 + (F.col("pos") >= F.col("short")).cast("long")).alias("m"))
+        by_size = Window.partitionBy("token").orderBy("m", "id")
+        below = F.max(F.when(F.col("m") % 2 == 0, F.col("m"))).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+        size = lambda c: F.floor(c / 2)
+        fits = lambda small, large: F.lit(100) * size(small) >= F.lit(THRESHOLD) * size(large)
+        near = tokens.select("token", "id", "m", below.alias("below"), F.lead("m").over(by_size).alias("above"))
+        near = near.filter(fits(F.col("below"), F.col("m")) | ((F.col("m") % 2 == 0) & fits(F.col("m"), F.col("above"))))
+        group = Window.partitionBy("token")
+        lead = F.min(F.struct("id", "m")).over(group)
+        near = near.select("token", "id", "m", lead.alias("lead"), F.max("id").over(group).alias("last")).filter("lead.id <> last")
+        groups = keep(near.select("token", "id", "m", F.col("lead.id").alias("lead"), F.col("lead.m").alias("lead_m")), "groups")
+
+        pair = groups.filter("id <> lead").filter(fits(F.least("m", "lead_m"), F.greatest("m", "lead_m"))).groupBy("id", "lead").agg(F.count("*").alias("c"))
         a, b = node_of.select(F.col("id").alias("lead"), F.col("node").alias("a")), node_of.select("id", F.col("node").alias("b"))
-        first = shared.join(a, "lead").join(b, "id").filter("a <> b").groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("a"), "b")
-        first = keep(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
-        links = self.links(first, "first")
+        best = pair.join(a, "lead").join(b, "id").filter("a <> b").groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("minus"))).alias("best"))
+        first = keep(best.select((-F.col("best.minus")).alias("a"), "b"), "first")
+        sides = first.select(F.col("a").alias("block"), F.lit(0).alias("part"), F.lit(1).alias("side"), F.col("b").alias("node"), F.col("b").alias("root"))
+        held = first.select("a").distinct().select(F.col("a").alias("block"), F.lit(0).alias("part"), F.lit(0).alias("side"), F.col("a").alias("node"), F.col("a").alias("root"))
+        links = self.links(held.unionByName(sides), "first")
         roots = keep(components(links, self.scratch, "early"), "early")
 
-        # What lies across components still.
-        placed = groups.join(node_of, "id").select("token", "node").distinct().join(roots, "node", "left").join(self.nodes.select("node", "n"), "node").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+        # Groups that still hold several components.
+        placed = groups.select("token", "id", "m").join(node_of, "id").groupBy("token", "node").agg(F.min("m").alias("m")).join(roots, "node", "left").select("token", "node", "m", F.coalesce("root", "node").alias("root"))
         placed = keep(placed, "placed")
-        mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
-        open_ = keep(placed.join(mixed, "token"), "open")
-        x = open_.select("token", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"))
-        y = open_.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-        fits = F.lit(100) * F.least("a_n", "b_n") >= F.lit(THRESHOLD) * F.greatest("a_n", "b_n")
-        more = x.join(y, (F.col("token") == F.col("t")) & (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & fits).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-        self.scratch.drop("placed")
-        late = self.links(more, "late")
+        below_, above_ = F.max(F.when(F.col("m") % 2 == 0, F.col("m"))).over(Window.partitionBy("token").orderBy("m", "node").rowsBetween(Window.unboundedPreceding, -1)), F.lead("m").over(Window.partitionBy("token").orderBy("m", "node"))
+        open_ = placed.select("*", F.min("root").over(group).alias("block"), F.max("root").over(group).alias("top"), below_.alias("below"), above_.alias("above")).filter("block <> top")
+        open_ = open_.filter(fits(F.col("below"), F.col("m")) | ((F.col("m") % 2 == 0) & fits(F.col("m"), F.col("above"))))
+        # Without the pairs of step 3, each of which is alone with its block there.
+        members = keep(open_.groupBy("block", "node").agg(F.min("root").alias("root"), F.min(size(F.col("m"))).alias("n")), "members")
+        portions = members.filter("root <> block").groupBy("block").agg(F.ceil(F.sum("n") / F.lit(PORTION)).cast("int").alias("portions"))
+        spread = keep(members.join(portions, "block"), "spread")
+        held = spread.filter("root <> block").select("block", F.pmod(F.xxhash64("node"), F.col("portions")).cast("int").alias("part"), F.lit(0).alias("side"), "node", "root")
+        sides = spread.select("block", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("part"), F.lit(1).alias("side"), "node", "root")
+        late = self.links(held.unionByName(sides), "late")
         final = keep(components(links.unionByName(late), self.scratch, "all"), "roots")
 
         node_root = self.nodes.filter("n > 0").join(final, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
