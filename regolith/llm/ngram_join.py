@@ -263,8 +263,10 @@ class Join:
         # A filter of bounded size keeps most sets at home; the join below is exact.
         size = 1 << max(16, min(27, int(ends.count() * 16).bit_length()))
         bits = np.zeros(size, bool)
-        for row in self._slots(ends, size).toLocalIterator():
-            bits[row.word * 32 + np.flatnonzero([(row.mask >> k) & 1 for k in range(32)])] = True
+        rows = self._slots(ends, size).toArrow()  # at most size / 32 short rows
+        word, mask = rows.column("word").to_numpy(), rows.column("mask").to_numpy()
+        for k in range(32):
+            bits[word[(mask >> k) & 1 == 1] * 32 + k] = True
         wanted = self.spark.sparkContext.broadcast(bits)
         sets = self.docs.mapInArrow(_whole_sets(self.levels, wanted), "node long, key binary, tokens binary").dropDuplicates(["node", "key"])
         full = sets.join(members.join(self.nodes.select("node", "key"), "node"), ["node", "key"])
@@ -286,7 +288,7 @@ class Join:
         rows = profile.filter("key is not null").select("doc_id", "id", "key", "n")
         sums = profile.filter("chunk is not null").select("chunk", "counts").repartition(min(self.parts, SLOTS // CHUNK), "chunk").mapInArrow(_summed, "chunk int, levels binary")
         levels = np.zeros(SLOTS, np.uint8)
-        for row in sums.toLocalIterator():
+        for row in sums.collect():  # SLOTS bytes
             levels[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.levels, np.uint8)
         self.levels = self.spark.sparkContext.broadcast(levels)  # SLOTS bytes
         self.nodes = keep(rows.groupBy("key").agg(F.min("id").alias("node"), F.min("n").alias("n"), F.min("doc_id").alias("least")), "nodes")

@@ -141,7 +141,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)), offs
 
 
-def slices(offs: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offs: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most so many bytes together, or of one longer text."""
     i, n = 0, len(offs) - 1
     while i < n:
@@ -151,7 +151,7 @@ def slices(offs: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def text_slices(batches, column: str, is_word: np.ndarray = ALNUM, most: int = 4 << 20):
+def text_slices(batches, column: str, is_word: np.ndarray = ALNUM, most: int = 2 << 20):
     """For Arrow batches: (batch, first row, last row + 1, Words)."""
     for batch in batches:
         buf, offs = buffers(batch.column(column))
