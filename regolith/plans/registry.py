@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = []
+MODULES = ["surface"]
 
 
 def queries() -> dict:
@@ -22,4 +22,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return importlib.import_module("regolith.plans.surface").flagship(spark, sf_dir)
