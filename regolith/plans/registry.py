@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["surface"]
+MODULES = ["surface", "clouds"]
 
 
 def queries() -> dict:
