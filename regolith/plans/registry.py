@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["surface", "clouds"]
+MODULES = ["surface", "clouds", "photometric"]
 
 
 def queries() -> dict:
