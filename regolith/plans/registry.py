@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["surface", "clouds", "photometric"]
+MODULES = ["surface", "clouds", "photometric", "planning"]
 
 
 def queries() -> dict:
