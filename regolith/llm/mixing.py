@@ -68,7 +68,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = rows.withColumn("h", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))))
+    # Written down, as the range partitioning below reads its input twice.
+    rows = scratch.keep(rows.withColumn("h", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))), "sizes")
     keys = ["source", "size", "h"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, *keys)
