@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regolith.llm.store import table
-from regolith.llm.text import ALNUM, buffers, ragged, slices, words_of
+from regolith.llm.text import ALNUM, buffers, ragged, slices, streamed, words_of
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -222,7 +222,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     blocks = item_blocks(benchmark, item_col, item_text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in streamed(batches):
             at = 0
             for facts in scan_texts(batch.column("text"), blocks):
                 n = len(facts["n_words"])
@@ -251,7 +251,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
     blocks = item_blocks(benchmark, item_col, item_text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in streamed(batches):
             clean = [facts["n_hit"] == 0 for facts in scan_texts(batch.column(text_col), blocks)]
             if clean:
                 yield batch.filter(pa.array(np.concatenate(clean)))

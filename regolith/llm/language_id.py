@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from regolith.llm.features import affix, distinct, grams
 from regolith.llm.sampling import bounded_sample, remainder
 from regolith.llm.store import table
-from regolith.llm.text import ALNUM, Words, buffers, slices, words_of
+from regolith.llm.text import ALNUM, Words, buffers, slices, streamed, words_of
 
 TRAIN_ROWS = 300
 TRAIN_CHARS = 10_000
@@ -262,7 +262,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     crf = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col))  # bounded: buckets and lexicon by languages
 
     def run(batches):
-        for batch in batches:
+        for batch in streamed(batches):
             lang, score, switches = predict_texts(batch.column("text"), crf.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(switches, pa.int64())], ["doc_id", "held_out", "lang_pred", "score", "switches"])
 

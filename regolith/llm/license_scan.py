@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regolith.llm.store import table
-from regolith.llm.text import ALNUM, LOWER, Words, buffers, slices, words_of
+from regolith.llm.text import ALNUM, LOWER, Words, buffers, slices, streamed, words_of
 
 # Base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -129,7 +129,7 @@ _SPAN = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end
 
 
 def _scan(batches):
-    for batch in batches:
+    for batch in streamed(batches):
         buf, offs = buffers(batch.column("text"))
         for i, j in slices(offs):
             w = words_of(buf, offs[i : j + 1], ALNUM)

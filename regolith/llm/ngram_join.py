@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from regolith.llm.graph import components
 from regolith.llm.store import Scratch, table
-from regolith.llm.text import NOT_SPACE, Words, mix, ragged, text_slices
+from regolith.llm.text import NOT_SPACE, Words, mix, ragged, streamed, text_slices
 
 SHINGLE = 5
 #: The threshold in hundredths: 100 * intersection >= THRESHOLD * union.
@@ -136,7 +136,7 @@ def _profile(batches):
 def _summed(batches):
     """Sums of the counters, chunk by chunk; a task holds one table at most, however many rows there are."""
     total: dict[int, np.ndarray] = {}
-    for batch in batches:
+    for batch in streamed(batches):
         for k, data in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
             part = np.frombuffer(zlib.decompress(data), np.uint32)
             total[k] = total[k] + part if k in total else part.astype(np.uint64)
@@ -231,7 +231,7 @@ class Portion:
 def _compare(batches):
     """Links of sorted block rows: of each block and portion first the held sets, then those to be compared with them."""
     now, held, portion = None, ([], [], []), None
-    for batch in batches:
+    for batch in streamed(batches):
         a, b = [], []
         for block, part, side, node, root, data in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "side", "node", "root", "tokens")), strict=True):
             if (block, part) != now:
@@ -276,7 +276,7 @@ class Join:
     @staticmethod
     def _slots(ends: DataFrame, size: int) -> DataFrame:
         def run(batches):
-            for batch in batches:
+            for batch in streamed(batches):
                 own = np.array([_slot(x, size) for x in batch.column("node").to_pylist()], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(own // 32), pa.array(np.left_shift(np.int64(1), own % 32))], ["word", "bit"])
 

@@ -8,7 +8,8 @@ between words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,6 +128,23 @@ def words_of(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = ALNUM, cut
     return Words(buf, st, cat(ends, np.int64), cat(hashes, _U), np.searchsorted(st, offs))
 
 
+def _release() -> None:
+    """Gives memory that was freed back to the system: a worker lives on between tasks, and its executor's limit counts it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
+
+
+def streamed(batches: Iterable) -> Iterator:
+    """Batches one by one; what each left behind is released before the next."""
+    for batch in batches:
+        yield batch
+        del batch
+        _release()
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string array; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -153,7 +171,7 @@ def slices(offs: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
 
 def text_slices(batches, column: str, is_word: np.ndarray = ALNUM, most: int = 2 << 20):
     """For Arrow batches: (batch, first row, last row + 1, Words)."""
-    for batch in batches:
+    for batch in streamed(batches):
         buf, offs = buffers(batch.column(column))
         for i, j in slices(offs, most):
             yield batch, i, j, words_of(buf, offs[i : j + 1], is_word)

@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regolith.llm.store import Scratch, table
-from regolith.llm.text import NOT_SPACE, buffers, ragged, slices, words_of
+from regolith.llm.text import NOT_SPACE, buffers, ragged, slices, streamed, words_of
 
 END_ID = 2
-SHARD_BYTES = 4 << 20
-CACHE_WORDS = 1_500_000
+SHARD_BYTES = 3 << 20
+CACHE_WORDS = 700_000
 #: New symbols of a shard at most; pairs are replaced while they occur so often and a round shortens the shard by this part.
 RULES_MOST, PAIRS_A_ROUND, LEAST_COUNT, LEAST_GAIN = 16_000, 2048, 8, 0.02
 _MAGIC = b"RPTS1\0\0\0"
@@ -57,8 +57,8 @@ class Encoder:
 
     def clear(self) -> None:
         self.hashes = np.empty(0, np.uint64)
-        self.begin = np.empty(0, np.int64)
-        self.size = np.empty(0, np.int64)
+        self.begin = np.empty(0, np.int32)
+        self.size = np.empty(0, np.int32)
         self.ids = np.empty(0, np.uint32)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,12 +87,12 @@ class Encoder:
             raw = buf.tobytes() if len(buf) < 1 << 26 else memoryview(buf)
             words = [bytes(raw[a:b]).decode("utf-8", "replace") for a, b in zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist(), strict=True)]
             ids, sizes = self._encode(words)
-            begin = len(self.ids) + np.cumsum(sizes) - sizes
+            begin = (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)
             self.ids = np.concatenate([self.ids, ids])
             hashes = np.concatenate([self.hashes, distinct[new]])
             order = np.argsort(hashes)
             self.begin = np.concatenate([self.begin, begin])[order]
-            self.size = np.concatenate([self.size, sizes])[order]
+            self.size = np.concatenate([self.size, sizes.astype(np.int32)])[order]
             self.hashes = hashes[order]
         spot = np.searchsorted(self.hashes, distinct)
         begin, size = self.begin[spot][number] if len(number) else np.empty(0, np.int64), self.size[spot][number] if len(number) else np.empty(0, np.int64)
@@ -257,7 +257,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         from pyspark import TaskContext
 
         own, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in streamed(batches):
             buf, offs = buffers(batch.column("text"))
             for i, j in slices(offs, SHARD_BYTES):
                 ids, sizes = own.encode(buf, offs[i : j + 1])
@@ -276,7 +276,7 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
     """Per document, from the shards: doc_id, start, n_tokens, ids_crc32 (and ids)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in streamed(batches):
             for row in range(batch.num_rows):
                 shard = Shard.read(batch.column("shard")[row].as_py())
                 ids = shard.expand(shard.symbols).astype("<u4")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from regolith.llm.features import affix, distinct
 from regolith.llm.sampling import bounded_sample, remainder
 from regolith.llm.store import table
-from regolith.llm.text import ALNUM, Words, buffers, slices, words_of
+from regolith.llm.text import ALNUM, Words, buffers, slices, streamed, words_of
 
 THRESHOLD = 0.7
 TRAIN_ROWS = 2500
@@ -267,7 +267,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     net = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))  # a few MB, fixed
 
     def run(batches):
-        for batch in batches:
+        for batch in streamed(batches):
             p = score_texts(batch.column("text"), net.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -280,7 +280,7 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     net = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
 
     def run(batches):
-        for batch in batches:
+        for batch in streamed(batches):
             yield batch.filter(pa.array(score_texts(batch.column(text_col), net.value) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
