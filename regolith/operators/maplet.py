@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regolith.functions.vec import add, apply, dot, mat, named, scale, sub, transposed, vec
+from regolith.functions.vec import add, apply, mat, named, transposed, vec
 
 STEEP_EPSILON = 1e-6
 
@@ -143,11 +143,3 @@ def nearest_to_center(samples: DataFrame, middle_r: float, middle_c: float) -> D
     """The valid sample of each maplet that lies nearest to the centre; row-major on ties."""
     d = (F.col("r") - middle_r) * (F.col("r") - middle_r) + (F.col("c") - middle_c) * (F.col("c") - middle_c)
     return samples.groupBy("k").agg(F.min(F.struct(d.alias("d"), "r", "c")).alias("m")).select("k", F.col("m.r").alias("r"), F.col("m.c").alias("c"), F.col("m.d").alias("d"))
-
-
-def facing(normal, direction) -> Column:
-    return dot(normal, direction)
-
-
-def toward(position, point):
-    return scale(sub(position, point), 1.0)

@@ -111,6 +111,22 @@ def largest_component(faces: DataFrame) -> DataFrame:
     return c.join(chosen, ["mesh", "root"], "left_semi").drop("root")
 
 
+def seed_patch(geometry: DataFrame, seed: int, origin, basis, half: float, depth: float, cosine: float = 0.25) -> DataFrame:
+    """Faces that reach into a box around a seed face, face alike, and hang together with it by shared vertices: fid.
+
+    origin and the basis (rows e_u, e_v, n) are numbers.  The box cuts the mesh down before components are sought.
+    """
+    o = [F.lit(float(x)) for x in origin]
+    near = geometry
+    for axis, most in zip(basis, (half, half, depth), strict=True):
+        along = [sum((((F.col(f"{n}{a}") - o[i]) * F.lit(float(axis[i]))) for i, a in enumerate("xyz")), F.lit(0.0)) for n in "abc"]
+        near = near.filter((F.least(*along) <= most) & (F.greatest(*along) >= -most))
+    turn = sum((F.col(f"n{a}") * F.lit(float(basis[2][i])) for i, a in enumerate("xyz")), F.lit(0.0))
+    part = mesh_components(near.filter(turn >= cosine).select("mesh", "fid", "v0", "v1", "v2"))
+    own = part.filter(F.col("fid") == seed).select("mesh", "root").distinct()
+    return part.join(F.broadcast(own), ["mesh", "root"], "left_semi").select("mesh", "fid")
+
+
 def bounds(rows: DataFrame, *keys: str, axes=("x", "y", "z")) -> DataFrame:
     """Axis-aligned bounds of the points of each group."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[f(a).alias(f"{name}_{a}") for a in axes for f, name in ((F.min, "lo"), (F.max, "hi"))])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -64,6 +62,3 @@ def random_samples(faces: DataFrame, count: int, seed: int, key: str = "mesh") -
     u, v = F.when(over, 1 - F.col("u")).otherwise(F.col("u")), F.when(over, 1 - F.col("v")).otherwise(F.col("v"))
     j = found.join(faces.select(key, "fid", *[f"{n}{x}" for n in "abc" for x in "xyz"]), [key, "fid"])
     return j.select(key, F.col("tid").alias("sample"), "fid", *[(F.col(f"a{x}") + u * (F.col(f"b{x}") - F.col(f"a{x}")) + v * (F.col(f"c{x}") - F.col(f"a{x}"))).alias(f"p{x}") for x in "xyz"])
-
-
-GOLDEN = (math.sqrt(5) - 1) / 2

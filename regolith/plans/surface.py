@@ -290,9 +290,12 @@ def nearest_to_center(spark, sf):
     return maplet.nearest_to_center(X.heights(spark, sf).filter("(r + c) % 3 = 0"), 8.0, 8.0)
 
 
-@query(None)
+_ORBIT = {"ex": "12.5::double * cos(a)", "ey": "12.5::double * sin(a)", "ez": "0.0::double", "t0": "0.0::double", "t1": "0.0::double", "t2": "12.5::double", "l0": "-sqrt(0.5::double) * (cos(a) + sin(a))", "l1": "sqrt(0.5::double) * (cos(a) - sin(a))", "l2": "0.0::double"}
+
+
+@query(f"with r as (select i as request, radians(i::double) as a from range(360) q(i)) select request, {', '.join(f'round({e}, 6) + 0.0::double as {c}' for c, e in _ORBIT.items())} from r")
 def orbit_requests(spark, sf):
-    return raster.orbit(12.5, 360, 45.0, spark=spark).select("request", *[F.round(c, 9).alias(c) for c in ("ex", "ey", "ez", "t0", "t1", "t2", "l0", "l1", "l2")])
+    return raster.orbit(12.5, 360, 45.0, spark=spark).select("request", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in _ORBIT])
 
 
 def flagship(spark, sf):
