@@ -46,9 +46,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "winners",
     )
     bounded = F.broadcast(winners)  # at most `tracked` rows of 60 bytes
-    # Light rows have no winner and stay apart by their own row number until the window joins them by digest.
-    marked = rows.join(bounded, "digest", "left")
-    hot = marked.filter(F.col("group_size").isNotNull()).select("doc_id", "digest", "row_no", "first", "group_size")
+    hot = rows.join(bounded, "digest").select("doc_id", "digest", "row_no", "first", "group_size")
     by = Window.partitionBy("digest")
     cold = rows.join(bounded, "digest", "left_anti").select("doc_id", "digest", "row_no", F.min(first).over(by).alias("first"), F.count("*").over(by).alias("group_size"))
     return hot.unionByName(cold).select(

@@ -323,7 +323,6 @@ class Join:
         below_, above_ = F.max(F.when(F.col("m") % 2 == 0, F.col("m"))).over(Window.partitionBy("token").orderBy("m", "node").rowsBetween(Window.unboundedPreceding, -1)), F.lead("m").over(Window.partitionBy("token").orderBy("m", "node"))
         open_ = placed.select("*", F.min("root").over(group).alias("block"), F.max("root").over(group).alias("top"), below_.alias("below"), above_.alias("above")).filter("block <> top")
         open_ = open_.filter(fits(F.col("below"), F.col("m")) | ((F.col("m") % 2 == 0) & fits(F.col("m"), F.col("above"))))
-        # Without the pairs of step 3, each of which is alone with its block there.
         members = keep(open_.groupBy("block", "node").agg(F.min("root").alias("root"), F.min(size(F.col("m"))).alias("n")), "members")
         portions = members.filter("root <> block").groupBy("block").agg(F.ceil(F.sum("n") / F.lit(PORTION)).cast("int").alias("portions"))
         spread = keep(members.join(portions, "block"), "spread")
