@@ -13,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="regolith-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
