@@ -73,18 +73,18 @@ EQ = f"""{OBS}, wr as (select *, observed - 0.5::double * f as res from obs wher
 eq as (select k, r, c, sum(w * (0.5::double * fp * (0.5::double * fp))) as a11, sum(w * (0.5::double * fp * (0.5::double * fq))) as a12, sum(w * (0.5::double * fq * (0.5::double * fq))) as a22, sum(w * (0.5::double * fp * res)) as b1, sum(w * (0.5::double * fq * res)) as b2, sum(w * (res * res)) as cost, count(*) as n from ww group by 1, 2, 3)"""
 
 
-@query(f"with {EQ} select k, r, c, n, {', '.join(f'round({c}, 6) as {c}' for c in ('a11', 'a12', 'a22', 'b1', 'b2', 'cost'))} from eq")
+@query(f"with {EQ} select k, r, c, n, {', '.join(f'round({c}, 6) + 0.0::double as {c}' for c in ('a11', 'a12', 'a22', 'b1', 'b2', 'cost'))} from eq")
 def huber_normal_eq(spark, sf):
     e = photometry.normal_equations(observations(spark, sf), "k", "r", "c")
-    return e.select("k", "r", "c", "n", *[F.round(c, 6).alias(c) for c in ("a11", "a12", "a22", "b1", "b2", "cost")])
+    return e.select("k", "r", "c", "n", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("a11", "a12", "a22", "b1", "b2", "cost")])
 
 
 @query(f"""with {EQ}, t as (select *, a11 + a22 as tr, sqrt((a11 - a22) * (a11 - a22) + 4.0::double * a12 * a12) as gap from eq), u as (select *, (tr - gap) / greatest(tr + gap, 1e-6::double) as ratio, 0.001::double * greatest(tr, 1e-6::double) as lam from t),
 v as (select *, n >= 3 and ratio > 1e-4::double as active, (a11 + lam) * (a22 + lam) - a12 * a12 as det from u)
-select k, r, c, active, round(case when active then least(greatest(((a22 + lam) * b1 - a12 * b2) / det, -0.3::double), 0.3::double) else 0.0::double end, 5) as dp, round(case when active then least(greatest(((a11 + lam) * b2 - a12 * b1) / det, -0.3::double), 0.3::double) else 0.0::double end, 5) as dq from v""")
+select k, r, c, active, round(case when active then least(greatest(((a22 + lam) * b1 - a12 * b2) / det, -0.3::double), 0.3::double) else 0.0::double end, 5) + 0.0::double as dp, round(case when active then least(greatest(((a11 + lam) * b2 - a12 * b1) / det, -0.3::double), 0.3::double) else 0.0::double end, 5) + 0.0::double as dq from v""")
 def slope_step_2x2(spark, sf):
     e = photometry.normal_equations(observations(spark, sf), "k", "r", "c")
-    return photometry.slope_step(e).select("k", "r", "c", "active", F.round("dp", 5).alias("dp"), F.round("dq", 5).alias("dq"))
+    return photometry.slope_step(e).select("k", "r", "c", "active", (F.round("dp", 5) + F.lit(0.0)).alias("dp"), (F.round("dq", 5) + F.lit(0.0)).alias("dq"))
 
 
 @query(f"with {EQ}, t as (select *, a11 + a22 as tr, sqrt((a11 - a22) * (a11 - a22) + 4.0::double * a12 * a12) as gap, sqrt(cost / greatest(n, 1)) as rms from eq) select k, r, c, round(rms, 6) as rms, round(case when n >= 3 then least(n / 5.0::double, 1.0::double) * least(greatest((tr - gap) / greatest(tr + gap, 1e-6::double), 0.0::double) / 0.03::double, 1.0::double) * exp(-(rms / 0.02::double) * (rms / 0.02::double)) else 0.0::double end, 6) as confidence from t")
