@@ -5,10 +5,9 @@ stand consecutively, found by comparing word hashes.  The method's own notices
 may be misspelt: a notice of m characters may have k = min(4, m // 10) edits
 (1 at least).  It is split into k + 1 pieces, of which one must stand unedited
 in any such occurrence (pigeonhole); an automaton over all pieces finds these
-seeds in one pass, and the regex library's bounded-error matching verifies each
-seed's surroundings and gives the span and the edits.  Of overlapping findings
-of notices the one with the fewest edits stays (then the longest, the first,
-the smallest label).
+seeds in one pass, and edit distances of each seed's two sides give all spans
+within the bound and their edits.  Of overlapping spans the one with the fewest
+edits stays (then the longest, the first, the smallest label).
 
 Texts are lower-cased in A-Z and read whole.  Spans count characters.  A null
 or empty text has no words, no labels and score 0; the score is 1 for a base
@@ -60,9 +59,8 @@ def pieces(notice: str) -> list[tuple[int, str]]:
 
 
 @cache
-def _tools():
+def _automaton():
     import ahocorasick
-    import regex
 
     automaton = ahocorasick.Automaton()
     seeds: dict[str, list[tuple[int, int]]] = {}
@@ -72,38 +70,59 @@ def _tools():
     for piece, owners in seeds.items():
         automaton.add_word(piece, (len(piece), tuple(owners)))
     automaton.make_automaton()
-    patterns = [regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={edits_allowed(notice)}}}") for notice, _ in NOTICES]
-    return automaton, patterns
+    return automaton
+
+
+def _reach(part: str, text: str, most: int) -> dict[int, int]:
+    """Lengths of text's beginnings within `most` edits of the part, and their edits."""
+    row = {j: j for j in range(min(most, len(text)) + 1)}
+    for i, c in enumerate(part, 1):
+        above, row = row, {}
+        for j in range(max(0, i - most), min(len(text), i + most) + 1):
+            edits = above.get(j, most) + 1
+            if j:
+                edits = min(edits, row.get(j - 1, most) + 1, above.get(j - 1, most + 1) + (text[j - 1] != c))
+            if edits <= most:
+                row[j] = edits
+        if not row:
+            break
+    return row
+
+
+def _sides(text: str, at: int, end: int, k: int, offset: int) -> tuple[dict[int, int], dict[int, int]]:
+    """Of a seed at text[at:end]: lengths before and after it that fit its notice, and their edits."""
+    notice, most = NOTICES[k][0], edits_allowed(NOTICES[k][0])
+    before = _reach(notice[:offset][::-1], text[max(0, at - offset - most) : at][::-1], most)
+    rest = notice[offset + end - at :]
+    return before, _reach(rest, text[end : end + len(rest) + most], most) if before else {}
 
 
 def find_notices(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, edits, notice) of a lower-cased text, overlaps resolved, in order."""
-    automaton, patterns = _tools()
-    windows: dict[int, list[list[int]]] = {}
-    for end, (size, owners) in automaton.iter(text):
-        at = end - size + 1
+    """(start, end, edits, notice) of a lower-cased text, overlaps resolved, in order.
+
+    All spans within a notice's edits are weighed: each holds a seed, and from the seed's place its two
+    sides are read apart.  Spans are taken by rising edits, and seeds in a span taken are done.
+    """
+    seeds = []
+    for last, (size, owners) in _automaton().iter(text):
+        at, end = last - size + 1, last + 1
         for k, offset in owners:
-            slack = edits_allowed(NOTICES[k][0])
-            a, b = max(0, at - offset - slack), at - offset + len(NOTICES[k][0]) + slack
-            own = windows.setdefault(k, [])
-            if own and a <= own[-1][1]:
-                own[-1][0] = min(own[-1][0], a)
-                own[-1][1] = max(own[-1][1], b)
-                while len(own) > 1 and own[-1][0] <= own[-2][1]:
-                    last = own.pop()
-                    own[-1] = [min(own[-1][0], last[0]), max(own[-1][1], last[1])]
-            else:
-                own.append([a, b])
-    found = []
-    for k, own in windows.items():
-        for a, b in own:
-            found += [(m.start(), m.end(), sum(m.fuzzy_counts), k) for m in patterns[k].finditer(text, a, min(b, len(text)))]
+            before, after = _sides(text, at, end, k, offset)
+            if before and after and (least := min(before.values()) + min(after.values())) <= edits_allowed(NOTICES[k][0]):
+                seeds.append((least, at, end, k, offset))
     kept: list[tuple[int, int, int, int]] = []
-    taken: list[tuple[int, int]] = []
-    for start, end, edits, k in sorted(found, key=lambda f: (f[2], f[0] - f[1], f[0], NOTICES[f[3]][1])):
-        if all(end <= a or start >= b for a, b in taken):
-            taken.append((start, end))
-            kept.append((start, end, edits, k))
+    taken = bytearray(len(text) if seeds else 0)
+    for edits in range(max(edits_allowed(n) for n, _ in NOTICES) + 1):
+        seeds = [s for s in seeds if edits <= edits_allowed(NOTICES[s[3]][0]) and taken.find(1, s[1], s[2]) < 0]
+        spans = set()
+        for least, at, end, k, offset in seeds:
+            if least <= edits:
+                before, after = _sides(text, at, end, k, offset)
+                spans.update((at - i, end + j, k) for i, x in before.items() for j, y in after.items() if x + y == edits)
+        for start, end, k in sorted(spans, key=lambda f: (f[0] - f[1], f[0], NOTICES[f[2]][1])):
+            if taken.find(1, start, end) < 0:
+                taken[start:end] = b"\x01" * (end - start)
+                kept.append((start, end, edits, k))
     return sorted(kept)
 
 

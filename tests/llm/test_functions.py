@@ -171,6 +171,38 @@ def test_misspelt_notices_are_found_as_by_plain_search():
     assert license_scan.find_notices("nothing here " * 50) == []
 
 
+def _spans_by_brute_force(text):
+    """Edit distances of all spans to all notices, overlaps resolved as documented."""
+    spans = []
+    for k, (notice, label) in enumerate(license_scan.NOTICES):
+        most = license_scan.edits_allowed(notice)
+        for start in range(len(text)):
+            row = list(range(len(notice) + 1))
+            for end in range(start + 1, min(len(text), start + len(notice) + most) + 1):
+                above, row = row, [end - start]
+                for i, c in enumerate(notice, 1):
+                    row.append(min(above[i] + 1, row[-1] + 1, above[i - 1] + (c != text[end - 1])))
+                if row[-1] <= most:
+                    spans.append((row[-1], start - end, start, label, end, k))
+    kept = []
+    for edits, _, start, _, end, k in sorted(spans):
+        if all(end <= a or start >= b for a, b, _, _ in kept):
+            kept.append((start, end, edits, k))
+    return sorted(kept)
+
+
+def test_adjacent_misspelt_and_exact_notices_are_all_found():
+    mit, gpl3, gpl2 = (license_scan.NOTICES[k][0] for k in (1, 3, 4))
+    bad = mit.replace("license", "licnse")
+    misspelt3 = gpl3.replace("general", "generl").replace("license,", "licens,")
+    edits = lambda t: [(f[2], license_scan.NOTICES[f[3]][1]) for f in license_scan.find_notices(t)]
+    assert edits(f"{bad}. {mit}. {bad}. {bad}. {mit}.") == [(1, "mit"), (0, "mit"), (1, "mit"), (1, "mit"), (0, "mit")]
+    assert edits(f"{misspelt3} or {gpl2}") == [(2, "gpl-3.0"), (0, "gpl-2.0")]
+    assert edits(f"{mit} " * 300) == [(0, "mit")] * 300
+    for t in (f"{bad}{mit} {bad[1:]}", f"{misspelt3} {gpl2[:-1]}", f"{gpl3}{misspelt3}", "licensed under cc by-n 4.0, licensed under ccby 4.0"):
+        assert license_scan.find_notices(t) == _spans_by_brute_force(t)
+
+
 def test_base_phrases():
     t = ["CC-BY, cc by! all rights\nreserved", "general public licenses", "accby cc", ""]
     w = text.words_of(*text.buffers(pa.array(t)))
