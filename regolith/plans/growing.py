@@ -70,8 +70,17 @@ select least(na, nb) as a, greatest(na, nb) as b, case when na > nb then nsb els
 def overlap_remap(spark, sf):
     from pyspark.sql import Window
 
-    g = X.graph(spark, sf)
-    p = g.filter("a < b").select(F.row_number().over(Window.orderBy("a", "b")).alias("edge"), "a", "b", (F.col("a") % 5).alias("sa"), (F.col("b") % 5).alias("sb"), F.lit(1.0).alias("weight"))
+    return _remapped(X.graph(spark, sf), F.row_number().over(Window.orderBy("a", "b")))
+
+
+@query(None)
+def overlap_remap_whole(spark, sf):
+    return _remapped(X.whole_graph(spark, sf), F.struct("a", "b"))
+
+
+def _remapped(g, edge):
+    spark = g.sparkSession
+    p = g.filter("a < b").select(edge.alias("edge"), "a", "b", (F.col("a") % 5).alias("sa"), (F.col("b") % 5).alias("sb"), F.lit(1.0).alias("weight"))
     n = g.select(F.col("a").alias("maplet")).union(g.select("b")).distinct()
     e = n.crossJoin(spark.range(5).withColumnRenamed("id", "sample")).crossJoin(spark.range(2).withColumnRenamed("id", "i")).filter("(maplet + sample + i) % 3 <> 0")
     ends = e.select("maplet", "sample", (F.col("maplet") * 10 + F.col("i")).alias("new_maplet"), F.col("sample").alias("new_sample"))

@@ -152,6 +152,12 @@ def adjacency(spark, sf):
     return views.adjacency(e).select("node", "neighbor", F.col("place").cast("long").alias("place"))
 
 
+@query(None)
+def adjacency_whole(spark, sf):
+    e = X.whole_graph(spark, sf).select("a", "b", F.struct("a", "b").alias("edge_id"))
+    return views.adjacency(e).select("node", "neighbor", F.col("place").cast("long").alias("place"))
+
+
 OVER = """m as (select vec_id as k, embedding[1]::double * 2 as x, embedding[2]::double * 2 as y, embedding[3]::double * 2 as z, 0.2::double as radius, case when vec_id % 3 = 0 then 1.0::double else 0.6::double end as nz, case when vec_id % 3 = 0 then 0.0::double else 0.8::double end as nx from embeddings), f as (select k, k % 40 + i as fid from m, range(3) r(i))"""
 
 

@@ -148,12 +148,29 @@ def mesh_components(spark, sf):
     return components(X.graph(spark, sf))
 
 
+@query(None)
+def mesh_components_whole(spark, sf):
+    from regolith.operators.graph import components
+
+    return components(X.whole_graph(spark, sf))
+
+
 @query(f"""with recursive {X.GR}, e as (select a as u, b as v from gr union select b, a from gr), r as (select u, v from e union select u, u from e union select r.u, e.v from r join e on r.v = e.u), c as (select u as node, min(v) as root from r group by u), n as (select root, count(*) as n from c group by root)
 select node, root from c where root = (select root from n order by n desc, root limit 1)""")
 def largest_component(spark, sf):
     from regolith.operators.graph import components
 
-    c = components(X.graph(spark, sf))
+    return _largest(components(X.graph(spark, sf)))
+
+
+@query(None)
+def largest_component_whole(spark, sf):
+    from regolith.operators.graph import components
+
+    return _largest(components(X.whole_graph(spark, sf)))
+
+
+def _largest(c):
     best = c.groupBy("root").count().agg(F.max_by("root", F.struct("count", -F.col("root"))).alias("root"))
     return c.join(F.broadcast(best), "root", "left_semi")
 
