@@ -135,15 +135,25 @@ gr2 as (select l, sum(n)::bigint as pixels, sum(n * cast(floor((0.15::double + 0
 select event_id::varchar as request_id, case when event_id % 50 = 7 then 0 else pixels end as pixels, case when event_id % 50 = 7 then 0 else gray end as gray, case when event_id % 50 = 7 then 'the light has no direction' end as error from q join gr2 using (l)""")
 def stream_requests(spark, sf):
     """Requests from events, put into files, drained through the stream, and the results read back."""
+    return _served(spark, sf, X.table(spark, sf, "events").filter("event_id < 300"), 4, 2)
+
+
+@query(None)
+def stream_requests_whole(spark, sf):
+    """A request for each of all events, in files of about 5,000."""
+    e = X.table(spark, sf, "events")
+    return _served(spark, sf, e, 4 + e.count() // 5000, 8)
+
+
+def _served(spark, sf, e, files, in_flight):
     root = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    e = X.table(spark, sf, "events").filter("event_id < 300")
     dark = F.col("event_id") % 50 == 7
     light = [F.when(dark, 0.0).otherwise(F.element_at(F.array(*[F.lit(v[i]) for v in LIGHTS]), (F.col("event_id") % 3 + 1).cast("int"))).alias(f"l{a}") for i, a in enumerate("xyz")]
-    e.select(F.col("event_id").cast("string").alias("request_id"), F.lit(12).cast("long").alias("cam"), *light, F.col("ts").cast("timestamp").alias("ts")).repartition(4).write.json(f"{root}/in")
+    e.select(F.col("event_id").cast("string").alias("request_id"), F.lit(12).cast("long").alias("cam"), *light, F.col("ts").cast("timestamp").alias("ts")).repartition(files).write.json(f"{root}/in")
     g = keep(mesh.face_geometry(*_mesh(spark, sf)).filter("mesh = 0"))
     seen = raster.cull_backfaces(raster.with_cameras(g, X.cameras(spark).filter("cam = 12")))
     buffer = keep(raster.z_buffer(raster.project_faces(seen, 1e-6, 64, 64)))
-    run = render_queue.serve(render_queue.requests(spark, f"{root}/in", 2), buffer, g, f"{root}/out", f"{root}/cp")
+    run = render_queue.serve(render_queue.requests(spark, f"{root}/in", in_flight), buffer, g, f"{root}/out", f"{root}/cp")
     run.awaitTermination()
     return spark.read.parquet(f"{root}/out").select("request_id", "pixels", "gray", "error")
 

@@ -37,3 +37,8 @@ def test_graph_of_all_orders(spark, name):
     rows = _same(spark, name, (X.GR, whole))
     if name == "mesh_components":
         assert len(rows) > 1500
+
+
+def test_requests_of_all_events(spark):
+    rows = _same(spark, "stream_requests", (" where event_id < 300", ""))
+    assert len(rows) == spark.read.parquet(f"{DIR}/events.parquet").count() > 300
