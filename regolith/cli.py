@@ -23,15 +23,16 @@ def _geometry(spark, path):
     return v, f, mesh.face_geometry(v.select("mesh", "vid", *[F.col(a).cast("double").alias(a) for a in "xyz"]), f)
 
 
-def read_mesh(spark, path: str, out: str, levels: int = 12, most: int = 1024):
-    """Vertices, faces with geometry, and blocks of a median split, as tables; returns counts."""
+def read_mesh(spark, path: str, out: str, levels: int | None = None, most: int = 1024):
+    """Vertices, faces with geometry, and blocks of a median split, as tables; returns counts.
+
+    Blocks hold `most` faces at most, unless `levels` stops the split before.
+    """
     v, f, g = _geometry(spark, path)
     v.write.mode("overwrite").parquet(f"{out}/vertices")
     g.write.mode("overwrite").parquet(f"{out}/faces")
     centres = spark.read.parquet(f"{out}/faces").select("mesh", F.col("fid").alias("id"), F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"))
-    count = centres.groupBy("mesh").count().agg(F.max("count")).first()[0] or 0
-    depth = min(levels, max(0, math.ceil(math.log2(max(count, 1) / most)) if count > most else 0))
-    blocks = mesh.median_split(centres, depth, most)
+    blocks = mesh.median_split(centres, levels, most)
     blocks.select("mesh", F.col("id").alias("fid"), "path").write.mode("overwrite").parquet(f"{out}/blocks")
     return spark.read.parquet(f"{out}/blocks").groupBy("mesh").agg(F.count("*").alias("faces"), F.count_distinct("path").alias("blocks"))
 

@@ -132,11 +132,18 @@ def bounds(rows: DataFrame, *keys: str, axes=("x", "y", "z")) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[f(a).alias(f"{name}_{a}") for a in axes for f, name in ((F.min, "lo"), (F.max, "hi"))])
 
 
-def median_split(points: DataFrame, levels: int, most: int = 1024, group: str = "mesh", id_col: str = "id") -> DataFrame:
+def median_split(points: DataFrame, levels: int | None = None, most: int = 1024, group: str = "mesh", id_col: str = "id") -> DataFrame:
     """Adds the path of a median-split tree: a group of more than `most` points splits its longest axis (first on a tie) at the middle.
 
     All groups of a level split in one window pass; points of a tie are ordered by id.  The path has one letter a level.
+    Without `levels` the split goes on until no group has more than `most` points: the largest group, n points, needs
+    as many levels as bring ceil(n / 2^levels) down to `most`.
     """
+    if levels is None:
+        if most < 1:
+            raise ValueError("a group holds one point at least")
+        largest = points.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+        levels = (-(-largest // most) - 1).bit_length() if largest > most else 0
     now = points.withColumn("path", F.lit(""))
     for _ in range(levels):
         own = Window.partitionBy(group, "path")

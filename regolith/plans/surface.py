@@ -132,12 +132,28 @@ def mesh_blocks_median_split(spark, sf):
     return mesh.median_split(pts, 3, most=16).select("id", "path")
 
 
+@query(None)
+def mesh_blocks_median_split_whole(spark, sf):
+    """Split until no leaf has more than 16 points."""
+    pts = X.clouds(spark, sf).select("id", "x", "y", "z", F.lit(0).alias("mesh"))
+    return mesh.median_split(pts, most=16).select("id", "path")
+
+
 @query(f"with {SPLIT}, g as (select path, count(*) as n, min(x) as lx, max(x) as hx from l3 group by path) select path, row_number() over (order by path) - 1 as leaf, n, {S.micro('lx')} as lo_x, {S.micro('hx')} as hi_x from g")
 def mesh_leaves(spark, sf):
+    return _leaves(spark, sf, 3)
+
+
+@query(None)
+def mesh_leaves_whole(spark, sf):
+    return _leaves(spark, sf, None)
+
+
+def _leaves(spark, sf, levels):
     from pyspark.sql import Window
 
     pts = X.clouds(spark, sf).select("id", "x", "y", "z", F.lit(0).alias("mesh"))
-    leaves = mesh.bounds(mesh.median_split(pts, 3, most=16), "path")
+    leaves = mesh.bounds(mesh.median_split(pts, levels, most=16), "path")
     return leaves.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("leaf"), "n", micro(F.col("lo_x")).alias("lo_x"), micro(F.col("hi_x")).alias("hi_x"))
 
 

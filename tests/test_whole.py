@@ -42,3 +42,23 @@ def test_graph_of_all_orders(spark, name):
 def test_requests_of_all_events(spark):
     rows = _same(spark, "stream_requests", (" where event_id < 300", ""))
     assert len(rows) == spark.read.parquet(f"{DIR}/events.parquet").count() > 300
+
+
+def _split(points, most, path=""):
+    """Leaves of the median split by plain recursion: path -> ids."""
+    if len(points) <= most:
+        return {path: {p[0] for p in points}}
+    axis = max((1, 2, 3), key=lambda a: (max(p[a] for p in points) - min(p[a] for p in points), -a))
+    rows, half = sorted(points, key=lambda p: (p[axis], p[0])), len(points) // 2
+    return _split(rows[:half], most, path + "l") | _split(rows[half:], most, path + "r")
+
+
+def test_split_goes_on_to_the_leaf_bound(spark):
+    points = [tuple(r) for r in X.clouds(spark, DIR).select("id", "x", "y", "z").collect()]
+    want = _split(points, 16)
+    got: dict = {}
+    for r in entry.queries()["mesh_blocks_median_split_whole"](spark, DIR).collect():
+        got.setdefault(r["path"], set()).add(r["id"])
+    assert got == want and max(map(len, got.values())) <= 16
+    leaves = entry.queries()["mesh_leaves_whole"](spark, DIR).collect()
+    assert {r["path"]: r["n"] for r in leaves} == {k: len(v) for k, v in want.items()} and sorted(r["leaf"] for r in leaves) == list(range(len(want)))
