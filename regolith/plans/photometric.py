@@ -59,9 +59,14 @@ dd as (select *, greatest(ci + ce, 1e-6::double) as den from co),
 obs as materialized (select k, r, c, cam, p, q, observed, 0.5::double * ci + 1.0::double * ci / den as f, {_deriv('p', 0)} as fp, {_deriv('q', 1)} as fq, ci, ce, coalesce(read and observed > 0 and stencil and ce > 0.1::double and ci > 0.1::double, false) as usable from dd)"""
 
 
+@query(None)
+def lunar_lambert_whole(spark, sf):
+    return observations(spark, sf).filter("depth > 1e-6").select("k", "r", "c", "cam", *[micro(F.col(c)).alias(c) for c in ("f", "fp", "fq")])
+
+
 @query(f"with {OBS} select k, r, c, cam, {S.micro('f')} as f, {S.micro('fp')} as fp, {S.micro('fq')} as fq from obs where k < 2")
 def lunar_lambert(spark, sf):
-    return observations(spark, sf).filter("k < 2 and depth > 1e-6").select("k", "r", "c", "cam", *[micro(F.col(c)).alias(c) for c in ("f", "fp", "fq")])
+    return lunar_lambert_whole(spark, sf).filter("k < 2")
 
 
 @query(f"with {OBS} select k, cam, count(*) filter (where usable) as usable, count(*) as n from obs group by 1, 2")
@@ -105,7 +110,7 @@ def slope_residual_scatter(spark, sf):
 
 @query(None)
 def fit_slopes(spark, sf):
-    return photometry.fit_slopes(observations(spark, sf).filter("k < 4"))
+    return photometry.fit_slopes(observations(spark, sf))
 
 
 @query(None)
@@ -115,7 +120,7 @@ def integrate_slopes(spark, sf):
 
 @query(None)
 def refine(spark, sf):
-    return photometry.refine(observations(spark, sf).filter("k < 4"), _slopes(spark, sf).filter("k < 4"), X.SPACING)
+    return photometry.refine(observations(spark, sf), _slopes(spark, sf), X.SPACING)
 
 
 NCC = f"""{X.IMG}, pr as (select a.image_id as k, o.o - 2 as off, a.value as va, b.value as vb from img a, range(5) o(o), img b where b.image_id = (a.image_id + 1) % 4 and b.row = a.row and b.col = a.col + o.o - 2 and a.valid and b.valid),

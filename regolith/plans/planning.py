@@ -108,8 +108,13 @@ def greedy_plan(spark, sf):
 @query(f"""with {X.TRI}, n as (select fid, nx, ny, nz, nx * 0.6::double as cc, -ny * 0.6::double as cs, nz * 0.8::double as c0 from geo where k = 0)
 select fid, step, sqrt(cc * cc + cs * cs) + c0 > 0 as ever_lit, round(cc * cos(step * {2 * math.pi / 8!r}::double) + cs * sin(step * {2 * math.pi / 8!r}::double) + c0, 6) + 0.0::double as cos_i from n, range(8) s(step)""")
 def incidence_harmonic(spark, sf):
-    n = mesh.face_geometry(*_mesh(spark, sf)).filter("mesh = 0").select("fid", "nx", "ny", "nz")
-    return planner.incidence(n, SUN, 8).select("fid", F.col("step").cast("long").alias("step"), "ever_lit", (F.round("cos_i", 6) + F.lit(0.0)).alias("cos_i"))
+    return incidence_harmonic_whole(spark, sf).filter("mesh = 0").drop("mesh")
+
+
+@query(None)
+def incidence_harmonic_whole(spark, sf):
+    n = mesh.face_geometry(*_mesh(spark, sf)).select("mesh", "fid", "nx", "ny", "nz")
+    return planner.incidence(n, SUN, 8).select("mesh", "fid", F.col("step").cast("long").alias("step"), "ever_lit", (F.round("cos_i", 6) + F.lit(0.0)).alias("cos_i"))
 
 
 @query(f"with {X.PTS}, r as (select label as scene, id as slot0, row_number() over (partition by label order by id) - 1 as slot, x as s from pts), e as (select *, exp(s - max(s) over (partition by scene)) as e, count(*) over (partition by scene) as n from r), h as (select *, e / sum(e) over (partition by scene) as share from e) select scene, slot, round(slot * 0.01::double + sum(share) over (partition by scene order by slot rows unbounded preceding) * ({2 * math.pi!r}::double - n * 0.01::double), 5) as phase from h")

@@ -279,7 +279,12 @@ PROJECT = f"""{X.HF}, {X.CAM}, pr as (select k, r, c, cam, f, pp, {', '.join(f"(
 
 @query(f"with {PROJECT} select k, r, c, cam, {S.micro('f * cx / depth + pp')} as u, {S.micro('f * cy / depth + pp')} as v from pr where k = 0 and depth > 1e-6::double")
 def project_samples(spark, sf):
-    p = maplet.project(X.heights(spark, sf).filter("k = 0"), X.cameras(spark)).filter(F.col("depth") > 1e-6)
+    return project_samples_whole(spark, sf).filter("k = 0")
+
+
+@query(None)
+def project_samples_whole(spark, sf):
+    p = maplet.project(X.heights(spark, sf), X.cameras(spark)).filter(F.col("depth") > 1e-6)
     return p.select("k", "r", "c", "cam", micro(F.col("u")).alias("u"), micro(F.col("v")).alias("v"))
 
 

@@ -62,3 +62,27 @@ def test_split_goes_on_to_the_leaf_bound(spark):
     assert got == want and max(map(len, got.values())) <= 16
     leaves = entry.queries()["mesh_leaves_whole"](spark, DIR).collect()
     assert {r["path"]: r["n"] for r in leaves} == {k: len(v) for k, v in want.items()} and sorted(r["leaf"] for r in leaves) == list(range(len(want)))
+
+
+@pytest.mark.parametrize(("name", "cut", "whole"), [("lunar_lambert", " where k < 2", ""), ("project_samples", "where k = 0 and", "where")])
+def test_samples_of_all_maplets(spark, name, cut, whole):
+    assert {r["k"] for r in _same(spark, name, (cut, whole))} == set(range(8))
+
+
+@pytest.mark.parametrize("name", ["incidence_harmonic", "point_heights", "ray_clear"])
+def test_faces_of_all_maplets(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from read_parquet('{DIR}/{t}.parquet')")
+    ours = entry.queries()[f"{name}_whole"](spark, DIR)
+    rows, order = ours.collect(), sorted(c for c in ours.columns if c != "mesh")
+    for k in range(8):
+        theirs = con.sql(entry.oracle_sql()[name].replace("k = 0", f"k = {k}"))
+        at = [theirs.columns.index(c) for c in order]
+        assert _plain([tuple(r[c] for c in order) for r in rows if r["mesh"] == k]) == _plain([tuple(r[i] for i in at) for r in theirs.fetchall()])
+
+
+@pytest.mark.parametrize(("name", "key"), [("fit_slopes", "k"), ("refine", "k"), ("split_children", "parent"), ("tile_mesh", "mesh")])
+def test_queries_without_sql_read_all_maplets(spark, name, key):
+    rows = entry.queries()[name](spark, DIR).select(key).distinct().collect()
+    assert {r[0] for r in rows} == set(range(8))
