@@ -135,9 +135,18 @@ q as (select g, id, {', '.join(f'r{i}0 * x + r{i}1 * y + r{i}2 * z as {a}' for i
 select g, error from e order by error, g limit 4""")
 def cube_rotations_rank(spark, sf):
     q, r = _sides(spark, sf)
+    return _ranked(spark, q.filter("qid % 10 = 0"), r)
+
+
+@query(None)
+def cube_rotations_rank_whole(spark, sf):
+    return _ranked(spark, *_sides(spark, sf))
+
+
+def _ranked(spark, q, r):
     rows = [(k, *[x for row in g for x in row]) for k, g in enumerate(register.cube_rotations())]
     rot = spark.createDataFrame(rows, "g long, " + ", ".join(f"r{i}{j} double" for i in range(3) for j in range(3)))
-    turned = q.filter("qid % 10 = 0").crossJoin(F.broadcast(rot)).select((F.col("qid") * 100 + F.col("g")).alias("qid"), *[(F.col(f"r{i}0") * F.col("x") + F.col(f"r{i}1") * F.col("y") + F.col(f"r{i}2") * F.col("z")).alias(a) for i, a in enumerate("xyz")])
+    turned = q.crossJoin(F.broadcast(rot)).select((F.col("qid") * 100 + F.col("g")).alias("qid"), *[(F.col(f"r{i}0") * F.col("x") + F.col(f"r{i}1") * F.col("y") + F.col(f"r{i}2") * F.col("z")).alias(a) for i, a in enumerate("xyz")])
     e = spatial.nearest(turned, r, 0.5).groupBy((F.col("qid") % 100).alias("g")).agg(F.round(F.avg(F.sqrt("d2")), 6).alias("error"))
     return e.orderBy("error", "g").limit(4)
 

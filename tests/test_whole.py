@@ -86,3 +86,7 @@ def test_faces_of_all_maplets(spark, name):
 def test_queries_without_sql_read_all_maplets(spark, name, key):
     rows = entry.queries()[name](spark, DIR).select(key).distinct().collect()
     assert {r[0] for r in rows} == set(range(8))
+
+
+def test_rotations_are_ranked_over_all_points(spark):
+    assert len(_same(spark, "cube_rotations_rank", (" where id % 10 = 0", ""))) == 4
