@@ -12,8 +12,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "graph", rounds:
     """From edges (a, b): (node, root) with the smallest node of each component, for all nodes that have an edge.
 
     Large-star and small-star steps in turn until no edge changes; each step's
-    edges are written down.  Minima are aggregated before they are shuffled,
-    so a node with very many edges is no obstacle.
+    edges are written down, and those of the step before deleted.  Minima are
+    aggregated before they are shuffled; the join on a node with very many edges
+    is split by Spark's skew-join handling.
     """
     now = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
     mark = None
@@ -35,5 +36,5 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "graph", rounds:
         mark = tuple(facts)
     else:
         raise RuntimeError("components did not settle")
-    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))  # read from the last step's table
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -9,13 +9,16 @@ marginals, and a text's language is that with the largest mean marginal.
 
 Forward-backward runs over many texts at once: the texts of a slice are sorted
 by length, and step t handles the t-th word of all texts that have one.  Whole
-texts are labelled.
+texts are labelled: those of over CUT words in pieces that see HALO words of
+their neighbours on either side, which the chain has long forgotten inside the
+piece; BATCH words are worked on at a time.
 
-The model is fitted on a bounded sample: about TRAIN_ROWS documents of each
-language, texts of over TRAIN_CHARS characters left out of the fitting, of
-documents whose crc32(id) mod 4 is not 2 and whose language is known; each word
-carries the document's language.  At most MAX_LANGUAGES languages, the most
-frequent ones, are learned.
+The model is fitted in one task of the cluster on a bounded sample: about
+TRAIN_ROWS documents of each language, texts of over TRAIN_CHARS characters
+left out of the fitting, of documents whose crc32(id) mod 4 is not 2 and whose
+language is known; equal texts of one language are learned from once, and each
+word carries the document's language.  Every language of the sample is learned;
+the model grows with their number.
 
 A text that is null or has no letter is `und` with score 0, as is every text
 when nothing can be learned; letters without a word in the sense of the word
@@ -31,17 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regolith.llm.features import affix, distinct, grams
-from regolith.llm.sampling import bounded_sample, remainder
+from regolith.llm.sampling import bounded_sample, fit_in_a_task, remainder
 from regolith.llm.store import table
-from regolith.llm.text import ALNUM, Words, buffers, slices, streamed, words_of
+from regolith.llm.text import ALNUM, Words, buffers, ragged, slices, streamed, words_of
 
 TRAIN_ROWS = 300
 TRAIN_CHARS = 10_000
-MAX_LANGUAGES = 64
 LEXICON_WORDS = 4096
 LEXICON_LEAST = 20
 BUCKETS = 1 << 15
 SEGMENT = 64
+CUT, HALO, BATCH = 4096, 128, 1 << 19
 _U = np.uint64
 
 
@@ -126,8 +129,7 @@ def forward_backward(crf: Crf, scores: np.ndarray, steps: Steps) -> tuple[np.nda
 
 def fit(texts: pa.Array, langs: list[str], epochs: int = 6, seed: int = 11) -> Crf | None:
     """Gradient descent (AdaGrad) on the conditional log likelihood of segments of SEGMENT words; all words of all texts are used."""
-    names, counts = np.unique(np.array(langs, object).astype(str), return_counts=True) if langs else (np.array([]), np.array([]))
-    names = sorted(names[np.argsort(-counts, kind="stable")][:MAX_LANGUAGES].tolist())
+    names = sorted({str(x) for x in langs})
     w = words_of(*buffers(texts), ALNUM)
     if not names or not len(w.hashes):
         return None
@@ -197,26 +199,40 @@ def fit(texts: pa.Array, langs: list[str], epochs: int = 6, seed: int = 11) -> C
     return crf
 
 
+def _fit_table(sample: pa.Table | None) -> Crf | None:
+    return fit(sample.column("text").combine_chunks(), sample.column("lang").to_pylist()) if sample is not None else None
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Crf | None:
-    known = docs.select(F.col(id_col).cast("long").alias("l_id"), F.col(lang_col).cast("string").alias("lang"), F.length(text_col).alias("n")).filter("l_id is not null and lang is not null and n > 0").filter((remainder(F.col("l_id"), 4) != 2) & (F.col("n") <= chars))
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    picked = bounded_sample(known.filter(F.col("lang").isin(names)), "lang", rows)
-    found = docs.select(F.col(id_col).cast("long").alias("l_id"), F.col(text_col).alias("text")).join(F.broadcast(picked.select("l_id", "lang")), "l_id")
-    sample = found.orderBy("l_id", "lang", "text").toArrow()
-    return fit(sample.column("text").combine_chunks(), sample.column("lang").to_pylist())
+    known = docs.filter(F.col(id_col).isNotNull() & (remainder(F.col(id_col).cast("long"), 4) != 2)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    known = known.filter(F.col("lang").isNotNull() & F.length("text").between(1, chars))
+    return fit_in_a_task(bounded_sample(known, "lang", "text", rows), _fit_table)
 
 
-def label_words(crf: Crf, w: Words) -> np.ndarray:
-    """Marginals of each word for each language."""
+def label_words(crf: Crf, w: Words):
+    """Piece by piece of the texts: the texts and words of some inner parts, how many words each part has, and the words' marginals."""
     first, number = distinct(w)
-    e = crf.emissions(*crf.features(w, first))
-    steps = Steps(np.diff(w.offsets))
-    scores = np.empty((len(number), len(crf.languages)), np.float32)
-    scores[steps.place] = e[number]
-    alpha, beta = forward_backward(crf, scores, steps)
-    alpha *= beta
-    alpha /= alpha.sum(1, keepdims=True)
-    return alpha[steps.place]
+    parts = [crf.emissions(*crf.features(w, first[k : k + 200_000])) for k in range(0, len(first), 200_000)]
+    e = np.concatenate(parts) if parts else np.zeros((0, len(crf.languages)), np.float32)
+    pieces = -(-np.diff(w.offsets) // CUT)
+    doc = np.repeat(np.arange(len(pieces)), pieces)
+    a = w.offsets[:-1][doc] + CUT * ragged(np.zeros(len(pieces), np.int64), pieces)
+    b = np.minimum(a + CUT, w.offsets[1:][doc])
+    lo, hi = np.maximum(a - HALO, w.offsets[:-1][doc]), np.minimum(b + HALO, w.offsets[1:][doc])
+    total = np.cumsum(hi - lo)
+    at = 0
+    while at < len(doc):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - (hi - lo)[at] + BATCH, "right")))
+        size, inner = (hi - lo)[at:to], (b - a)[at:to]
+        steps = Steps(size)
+        scores = np.empty((int(size.sum()), len(crf.languages)), np.float32)
+        scores[steps.place] = e[number[ragged(lo[at:to], size)]]
+        alpha, beta = forward_backward(crf, scores, steps)
+        alpha *= beta
+        alpha /= alpha.sum(1, keepdims=True)
+        own = ragged(np.cumsum(size) - size + a[at:to] - lo[at:to], inner)
+        yield doc[at:to], ragged(a[at:to], inner), inner, alpha[steps.place[own]]
+        at = to
 
 
 def _without_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -240,18 +256,21 @@ def predict_texts(texts: pa.Array, crf: Crf | None) -> tuple[list, np.ndarray, n
         return lang, score, switches
     for i, j in slices(offs):
         w = words_of(buf, offs[i : j + 1], ALNUM)
-        p = label_words(crf, w)
         sizes = np.diff(w.offsets)
         some = np.flatnonzero(sizes)
-        if len(some):
-            mean = np.add.reduceat(p.astype(np.float64), w.offsets[:-1][some], axis=0) / sizes[some][:, None]
-            best = mean.argmax(1)
-            for d, k in zip(some.tolist(), best.tolist(), strict=True):
-                lang[i + d] = crf.languages[k]
-            score[i + some] = np.clip(mean[np.arange(len(some)), best], 0, 1)
-            word = p.argmax(1)
-            change = np.concatenate([[0], np.cumsum(word[1:] != word[:-1])])
-            switches[i + some] = change[w.offsets[1:][some] - 1] - change[w.offsets[:-1][some]]
+        if not len(some):
+            continue
+        total, word = np.zeros((j - i, len(crf.languages))), np.empty(len(w.hashes), np.int32)
+        for doc, place, many, p in label_words(crf, w):
+            np.add.at(total, doc, np.add.reduceat(p.astype(np.float64), np.cumsum(many) - many, axis=0))
+            word[place] = p.argmax(1)
+        mean = total[some] / sizes[some][:, None]
+        best = mean.argmax(1)
+        for d, k in zip(some.tolist(), best.tolist(), strict=True):
+            lang[i + d] = crf.languages[k]
+        score[i + some] = np.clip(mean[np.arange(len(some)), best], 0, 1)
+        change = np.concatenate([[0], np.cumsum(word[1:] != word[:-1])])
+        switches[i + some] = change[w.offsets[1:][some] - 1] - change[w.offsets[:-1][some]]
     for d in np.flatnonzero(_without_letter(buf, offs)):
         lang[d], score[d], switches[d] = "und", 0.0, 0
     return lang, score, switches
@@ -259,7 +278,7 @@ def predict_texts(texts: pa.Array, crf: Crf | None) -> tuple[list, np.ndarray, n
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score, switches."""
-    crf = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col))  # bounded: buckets and lexicon by languages
+    crf = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col))  # buckets and lexicon by languages
 
     def run(batches):
         for batch in streamed(batches):

@@ -10,28 +10,33 @@ passages hardly ever stand in a prefix.
 
 1. One pass gives each document its set's size and digest, and each task the
    word counts of its texts, in a table of SLOTS counters.  The tables are
-   summed up; their logarithms are broadcast (SLOTS bytes).  Sets of equal
-   digest are one node.
-2. A second pass emits the prefix under the first order.  Members of a token's
-   group that no other member can match by size are dropped.  In what is left
-   each document points to the group's smallest one; a document's most frequent
-   target is its first candidate.
-3. Candidates are compared in blocks, which hold each document's set once.  A
-   pair of a block must share prefix tokens under all three orders; only then
-   the whole sets are intersected.
+   summed up; their logarithms are broadcast (SLOTS bytes).  Each distinct set
+   (by a 128-bit digest) is one node, however many documents have it.
+2. A second pass gives each node's prefix under the first order.  A token's
+   nodes are a group; groups of tokens that are frequent among all (by Spark's
+   frequent-items sketch) are split by a hash of the node.  Members that no
+   other member can match by size are dropped.  In what is left each node points
+   to the smallest one of its part, and those of the parts to the group's; a
+   node's most frequent target is its first candidate.
+3. Candidates are compared in blocks, which hold each node's set once.  A pair
+   of a block must share prefix tokens under all three orders; only then the
+   whole sets are intersected.
 4. The links give components.  Groups that still hold several components are
    put into blocks by their smallest component: its members on one side, all
    others, in portions of bounded size, on the other.
 
 Every pair of a link shares a prefix token, and such a pair is either compared
-in a block or already known to be connected, so the components are exact.  No
-pair is ever a row; a large group of near copies costs one row a member and
-portion.
+in a block or already known to be connected, so no link between components is
+lost.  No pair is ever a row; a group of near copies costs one row a member and
+portion.  Tokens are 59-bit hashes, and each carries another 32 bits of its
+words' hashes, which have to agree as well before a token counts as common.
+Joins on a component's or a hub's key are left to Spark's skew-join handling.
 
 A null or empty text has an empty set and no links.  A null doc_id takes part
-as a node, and component_id is the smallest id that is not null (null if there
-is none).  Repeated rows are equal sets.  An empty table gives an empty result;
-further columns are not read.
+as any other, and component_id is the smallest id that is not null (null if
+there is none).  Rows that share an id are texts of their own.  Repeated rows
+are equal sets.  An empty table gives an empty result; further columns are not
+read.
 """
 
 from __future__ import annotations
@@ -52,7 +57,11 @@ SHINGLE = 5
 #: The threshold in hundredths: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 80
 #: Counters of the table of word counts, and how many of them are one row of it.
-SLOTS, CHUNK = 1 << 22, 1 << 16
+SLOTS, CHUNK = 1 << 22, 1 << 12
+#: Tokens that the sketch of frequent tokens tracks, and members of a part of a frequent token's group.
+TRACKED, PART = 4096, 512
+#: Bits of the filter that keeps sets at home, at most; where it would be too full, there is none.
+FILTER_BITS = 1 << 26
 #: Tokens of the portion of a block that is held in memory.
 PORTION = 1 << 20
 _U = np.uint64
@@ -75,13 +84,24 @@ def slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> _U(40)).astype(np.int64) % SLOTS
 
 
-def shingle_sets(w: Words, levels: np.ndarray | None = None) -> list[np.ndarray]:
-    """The sorted distinct tokens of each text; with levels (of word slots) in the first order: the level in the upper five bits."""
+def _set_of(tokens: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(tokens, kind="stable")
+    tokens = tokens[order]
+    new = np.empty(len(tokens), bool)
+    new[:1] = True
+    np.not_equal(tokens[1:], tokens[:-1], out=new[1:])
+    return tokens[new], checks[order[new]]
+
+
+def shingle_sets(w: Words, levels: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sorted distinct tokens of each text, and their checks; with levels (of word slots) in the first order: the level in the upper five bits."""
     h, n = w.hashes, len(w.hashes)
-    grams = np.zeros(max(n - SHINGLE + 1, 0), _U)
+    grams, others = np.zeros(max(n - SHINGLE + 1, 0), _U), np.zeros(max(n - SHINGLE + 1, 0), _U)
     for k in range(SHINGLE):
         grams += h[k : k + len(grams)] * _STEP[k]
+        others += w.checks[k : k + len(grams)] * _STEP[k]
     grams = mix(grams) & _LOW
+    others = (mix(others) >> _U(32)).astype(np.uint32)
     own = None
     if levels is not None:
         own = levels[slots(h)].astype(_U)
@@ -92,12 +112,14 @@ def shingle_sets(w: Words, levels: np.ndarray | None = None) -> list[np.ndarray]
     out = []
     for a, b in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True):
         if b - a >= SHINGLE:
-            out.append(np.unique(grams[a : b - SHINGLE + 1]))
+            out.append(_set_of(grams[a : b - SHINGLE + 1], others[a : b - SHINGLE + 1]))
         elif b > a:
-            short = mix((h[a:b] * np.array(_STEP[: b - a], _U)).sum(dtype=_U, keepdims=True) + np.array([b - a], _U)) & _LOW
-            out.append(short if own is None else short | (own[a:b].min() << _U(59)))
+            step, size = np.array(_STEP[: b - a], _U), np.array([b - a], _U)
+            short = mix((h[a:b] * step).sum(dtype=_U, keepdims=True) + size) & _LOW
+            check = (mix((w.checks[a:b] * step).sum(dtype=_U, keepdims=True) + size) >> _U(32)).astype(np.uint32)
+            out.append((short if own is None else short | (own[a:b].min() << _U(59)), check))
         else:
-            out.append(np.empty(0, _U))
+            out.append((np.empty(0, _U), np.empty(0, np.uint32)))
     return out
 
 
@@ -110,25 +132,20 @@ def other_prefixes(tokens: np.ndarray) -> list[np.ndarray]:
     return [tokens[np.argpartition(level | (mix(tokens ^ c) & _LOW), p - 1)[:p]] for c in _ORDERS]
 
 
-def _digest(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(np.sort(tokens & _LOW).tobytes(), digest_size=16).digest()
-
-
-def _node(doc_id, key: bytes) -> int:
-    """A document's number; where the id is null, one from its set."""
-    return doc_id if doc_id is not None else int.from_bytes(key[:8], "little") | -(1 << 63)
+def _digest(tokens: np.ndarray, checks: np.ndarray) -> bytes:
+    low = tokens & _LOW
+    order = np.argsort(low)
+    return hashlib.blake2b(low[order].tobytes() + checks[order].tobytes(), digest_size=16).digest()
 
 
 def _profile(batches):
     counts = np.zeros(SLOTS, np.uint32)
-    kinds = [("doc_id", pa.int64()), ("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())]
+    kinds = [("doc_id", pa.int64()), ("mark", pa.binary()), ("key", pa.binary()), ("n", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())]
     for batch, i, j, w in text_slices(batches, "text", NOT_SPACE):
         sets = shingle_sets(w)
         words, many = np.unique(w.hashes, return_counts=True)
         np.add.at(counts, slots(words), many.astype(np.uint32))
-        ids = batch.column("doc_id").slice(i, j - i)
-        keys = [_digest(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([ids, pa.array([_node(d, k) for d, k in zip(ids.to_pylist(), keys, strict=True)], pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], [k for k, _ in kinds])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("mark").slice(i, j - i), pa.array([_digest(*s) for s in sets], pa.binary()), pa.array([len(s) for s, _ in sets], pa.int64()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], [k for k, _ in kinds])
     rows = [(k, zlib.compress(part.tobytes(), 1)) for k, part in enumerate(counts.reshape(-1, CHUNK)) if part.any()]
     yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), t) for _, t in kinds[:4]] + [pa.array([k for k, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], [k for k, _ in kinds])
 
@@ -145,76 +162,79 @@ def _summed(batches):
 
 
 def _prefixes(levels):
+    """Of each set that is not empty its prefix under the first order."""
+
     def run(batches):
-        for batch, i, j, w in text_slices(batches, "text", NOT_SPACE):
-            sets = shingle_sets(w, levels.value)
-            ids = batch.column("doc_id").slice(i, j - i).to_pylist()
-            parts = [s[: prefix_size(len(s))] if len(s) else s for s in sets]
-            nodes = [d if d is not None else _node(d, _digest(s)) for d, s in zip(ids, sets, strict=True)]
+        for batch, _, _, w in text_slices(batches, "text", NOT_SPACE):
+            sets = [s for s in shingle_sets(w, levels.value) if len(s[0])]
+            parts = [t[: prefix_size(len(t))] for t, _ in sets]
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             values = np.concatenate(parts) if parts else np.empty(0, _U)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([short_prefix_size(len(s)) if len(s) else 0 for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))], ["id", "n", "short", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(*s) for s in sets], pa.binary()), pa.array([short_prefix_size(len(t)) for t, _ in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))], ["key", "short", "tokens"])
 
     return run
 
 
 def _whole_sets(levels, wanted):
-    """The sets of documents that may be wanted, in the first order."""
+    """The sets that may be wanted, in the first order: tokens, then their checks."""
 
     def run(batches):
-        bits = wanted.value
-        for batch, i, j, w in text_slices(batches, "text", NOT_SPACE):
-            ids = batch.column("doc_id").slice(i, j - i).to_pylist()
-            keys, nodes, data = [], [], []
-            for d, s in zip(ids, shingle_sets(w, levels.value), strict=True):
-                if not len(s) or d is not None and not _may_hold(bits, d):
-                    continue
-                key = _digest(s)
-                node = _node(d, key)
-                if _may_hold(bits, node):
-                    keys.append(key)
-                    nodes.append(node)
-                    data.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["node", "key", "tokens"])
+        bits = wanted.value if wanted else None
+        for batch, _, _, w in text_slices(batches, "text", NOT_SPACE):
+            keys, data = [], []
+            for tokens, checks in shingle_sets(w, levels.value):
+                if len(tokens):
+                    key = _digest(tokens, checks)
+                    if bits is None or _may_hold(bits, key):
+                        keys.append(key)
+                        data.append(tokens.tobytes() + checks.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["key", "tokens"])
 
     return run
 
 
-def _slot(node: int, size: int) -> int:
-    return (((node * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) >> 20) % size
-
-
-def _may_hold(bits: np.ndarray, node: int) -> bool:
-    return bool(bits[_slot(node, len(bits))])
+def _may_hold(bits: np.ndarray, key: bytes) -> bool:
+    slot = int.from_bytes(key[:4], "big") % (32 * len(bits))
+    return bool(int(bits[slot >> 5]) >> (slot & 31) & 1)
 
 
 class _Index:
-    """Which sets of a portion hold a token."""
+    """Which sets of a portion hold a token, and with which check."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], checks: list[np.ndarray] | None = None):
         tokens = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(tokens, kind="stable")
         self.tokens, self.owner, self.n = tokens[order], owner[order], len(sets)
+        self.checks = np.concatenate(checks)[order] if checks is not None else None
 
-    def counts(self, tokens: np.ndarray) -> np.ndarray:
+    def counts(self, tokens: np.ndarray, checks: np.ndarray | None = None) -> np.ndarray:
         """How many of the tokens each set holds."""
         a, b = np.searchsorted(self.tokens, tokens, "left"), np.searchsorted(self.tokens, tokens, "right")
-        return np.bincount(self.owner[ragged(a, b - a)], minlength=self.n)
+        at = ragged(a, b - a)
+        if checks is not None:
+            at = at[self.checks[at] == np.repeat(checks, b - a)]
+        return np.bincount(self.owner[at], minlength=self.n)
+
+
+def common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Tokens of both sets whose checks agree."""
+    spot = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    return int(((a[0][spot] == b[0]) & (a[1][spot] == b[1])).sum())
 
 
 class Portion:
     """The held side of a block; match() finds the links of one more set."""
 
-    def __init__(self, nodes: list[int], roots: list[int], sets: list[np.ndarray]):
+    def __init__(self, nodes: list[int], roots: list[int], sets: list[tuple[np.ndarray, np.ndarray]]):
         self.nodes, self.roots, self.sets = np.array(nodes), np.array(roots), sets
-        self.sizes = np.array([len(s) for s in sets])
-        prefixes = [[s[: prefix_size(len(s))], *other_prefixes(s)] for s in sets]
+        self.sizes = np.array([len(t) for t, _ in sets])
+        prefixes = [[t[: prefix_size(len(t))], *other_prefixes(t)] for t, _ in sets]
         self.filters = [_Index([p[k] for p in prefixes]) for k in range(1 + len(_ORDERS))]
-        self.whole = _Index(sets) if len(sets) > 8 else None
+        self.whole = _Index([t for t, _ in sets], [c for _, c in sets]) if len(sets) > 8 else None
 
-    def match(self, node: int, root: int, tokens: np.ndarray) -> np.ndarray:
-        n = len(tokens)
+    def match(self, node: int, root: int, own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        tokens, n = own[0], len(own[0])
         fits = (self.roots != root) & (100 * np.minimum(self.sizes, n) >= THRESHOLD * np.maximum(self.sizes, n))
         for index, prefix in zip(self.filters, [tokens[: prefix_size(n)], *other_prefixes(tokens)], strict=True):
             if not fits.any():
@@ -222,10 +242,10 @@ class Portion:
             fits &= index.counts(prefix) > 0
         left = np.flatnonzero(fits)
         if self.whole is not None and len(left) > 8:
-            common = self.whole.counts(tokens)[left]
+            shared = self.whole.counts(*own)[left]
         else:
-            common = np.array([len(np.intersect1d(self.sets[k], tokens, assume_unique=True)) for k in left], np.int64)
-        return self.nodes[left[100 * common >= THRESHOLD * (self.sizes[left] + n - common)]]
+            shared = np.array([common(self.sets[k], own) for k in left], np.int64)
+        return self.nodes[left[100 * shared >= THRESHOLD * (self.sizes[left] + n - shared)]]
 
 
 def _compare(batches):
@@ -236,20 +256,40 @@ def _compare(batches):
         for block, part, side, node, root, data in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "side", "node", "root", "tokens")), strict=True):
             if (block, part) != now:
                 now, held, portion = (block, part), ([], [], []), None
-            tokens = np.frombuffer(data, _U)
+            n = len(data) // 12
+            own = (np.frombuffer(data, _U, n), np.frombuffer(data, np.uint32, n, 8 * n))
             if side == 0:
-                for x, y in zip(held, (node, root, tokens.copy()), strict=True):
+                for x, y in zip(held, (node, root, (own[0].copy(), own[1].copy())), strict=True):
                     x.append(y)
                 continue
             if not held[0]:
                 continue
             portion = portion or Portion(*held)
-            found = portion.match(node, root, tokens)
+            found = portion.match(node, root, own)
             a += found.tolist()
             b += [node] * len(found)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _marked(text):
+    """A digest of the whole text, which tells rows of one id apart."""
+    return F.when(text.isNull(), F.lit(b"")).otherwise(F.unhex(F.md5(text)))
+
+
+def _fits(small, large):
+    """Whether the sizes of two members allow a link; a member's m is 2 * size, plus 1 for a token beyond its short prefix."""
+    return F.lit(100) * F.floor(small / 2) >= F.lit(THRESHOLD) * F.floor(large / 2)
+
+
+def _matched(rows: DataFrame, unsplit) -> DataFrame:
+    """Rows (token, part, node, m) without those of whole groups that no other member can match by size."""
+    by_size = Window.partitionBy("token", "part").orderBy("m", "node")
+    below = F.max(F.when(F.col("m") % 2 == 0, F.col("m"))).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    near = rows.withColumn("below", below).withColumn("above", F.lead("m").over(by_size))
+    fine = _fits(F.col("below"), F.col("m")) | ((F.col("m") % 2 == 0) & _fits(F.col("m"), F.col("above")))
+    return near.filter(~unsplit | fine).drop("below", "above")
+
+
 class Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         self.spark = docs.sparkSession
@@ -257,97 +297,112 @@ class Join:
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
+    def _filter(self, ends: DataFrame):
+        """Bits of the keys of some nodes, broadcast; None where they are too many for it."""
+        n = ends.count()
+        if 4 * n > FILTER_BITS:
+            return None
+        size = 1 << max(16, min(FILTER_BITS.bit_length() - 1, (16 * n).bit_length()))
+        slot = F.pmod(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long"), F.lit(size))
+        masks = ends.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 32).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("mask")).toArrow()  # size / 32 short rows at most
+        bits = np.zeros(size // 32, np.uint32)
+        bits[masks.column("word").to_numpy()] = masks.column("mask").to_numpy().astype(np.uint32)
+        return self.spark.sparkContext.broadcast(bits)  # FILTER_BITS / 8 bytes at most
+
     def links(self, members: DataFrame, name: str) -> DataFrame:
         """Links of blocks given by rows block, part, side (0: held, 1: to compare), node, root."""
-        ends = self.scratch.keep(members.select("node").distinct(), f"{name}-ends")
-        # A filter of bounded size keeps most sets at home; the join below is exact.
-        size = 1 << max(16, min(27, int(ends.count() * 16).bit_length()))
-        bits = np.zeros(size, bool)
-        rows = self._slots(ends, size).toArrow()  # at most size / 32 short rows
-        word, mask = rows.column("word").to_numpy(), rows.column("mask").to_numpy()
-        for k in range(32):
-            bits[word[(mask >> k) & 1 == 1] * 32 + k] = True
-        wanted = self.spark.sparkContext.broadcast(bits)
-        sets = self.docs.mapInArrow(_whole_sets(self.levels, wanted), "node long, key binary, tokens binary").dropDuplicates(["node", "key"])
-        full = sets.join(members.join(self.nodes.select("node", "key"), "node"), ["node", "key"])
+        ends = self.scratch.keep(members.select("node").distinct().join(self.nodes.select("node", "key"), "node"), f"{name}-ends")
+        wanted = self._filter(ends)
+        sets = self.docs.mapInArrow(_whole_sets(self.levels, wanted), "key binary, tokens binary").dropDuplicates(["key"])
+        full = sets.join(ends, "key").select("node", "tokens").join(members, "node")
         ordered = full.select("block", "part", "side", "node", "root", "tokens").repartition(self.parts, "block", "part").sortWithinPartitions("block", "part", "side")
-        return self.scratch.keep(ordered.mapInArrow(_compare, "a long, b long"), f"{name}-links")
-
-    @staticmethod
-    def _slots(ends: DataFrame, size: int) -> DataFrame:
-        def run(batches):
-            for batch in streamed(batches):
-                own = np.array([_slot(x, size) for x in batch.column("node").to_pylist()], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own // 32), pa.array(np.left_shift(np.int64(1), own % 32))], ["word", "bit"])
+        found = self.scratch.keep(ordered.mapInArrow(_compare, "a long, b long"), f"{name}-links")
+        if wanted:
+            wanted.destroy()
+        self.scratch.drop(f"{name}-ends")
+        return found
 
-        return ends.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("mask"))
-
-    def run(self) -> DataFrame:
-        keep = self.scratch.keep
-        profile = keep(self.docs.mapInArrow(_profile, "doc_id long, id long, key binary, n long, chunk int, counts binary"), "profile")
-        rows = profile.filter("key is not null").select("doc_id", "id", "key", "n")
+    def _levels(self, profile: DataFrame) -> None:
         sums = profile.filter("chunk is not null").select("chunk", "counts").repartition(min(self.parts, SLOTS // CHUNK), "chunk").mapInArrow(_summed, "chunk int, levels binary")
         levels = np.zeros(SLOTS, np.uint8)
         for row in sums.collect():  # SLOTS bytes
             levels[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.levels, np.uint8)
         self.levels = self.spark.sparkContext.broadcast(levels)  # SLOTS bytes
-        self.nodes = keep(rows.groupBy("key").agg(F.min("id").alias("node"), F.min("n").alias("n"), F.min("doc_id").alias("least")), "nodes")
-        node_of = keep(rows.filter("n > 0").join(self.nodes.select("key", "node"), "key").select("id", "node").distinct(), "node_of")
-
-        prefixes = self.docs.mapInArrow(_prefixes(self.levels), "id long, n long, short int, tokens array<long>")
-        # n and whether the token stands in the short prefix, in one number: 2 * n, or 2 * n + 1 where it does not.
-        tokens = prefixes.select("id", "n", "short", F.posexplode("tokens").alias("pos", "token")).select("token", "id", (F.col("n") * 2 + (F.col("pos") >= F.col("short")).cast("long")).alias("m"))
-        by_size = Window.partitionBy("token").orderBy("m", "id")
-        below = F.max(F.when(F.col("m") % 2 == 0, F.col("m"))).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
-        size = lambda c: F.floor(c / 2)
-        fits = lambda small, large: F.lit(100) * size(small) >= F.lit(THRESHOLD) * size(large)
-        near = tokens.select("token", "id", "m", below.alias("below"), F.lead("m").over(by_size).alias("above"))
-        near = near.filter(fits(F.col("below"), F.col("m")) | ((F.col("m") % 2 == 0) & fits(F.col("m"), F.col("above"))))
-        group = Window.partitionBy("token")
-        lead = F.min(F.struct("id", "m")).over(group)
-        near = near.select("token", "id", "m", lead.alias("lead"), F.max("id").over(group).alias("last")).filter("lead.id <> last")
-        groups = keep(near.select("token", "id", "m", F.col("lead.id").alias("lead"), F.col("lead.m").alias("lead_m")), "groups")
-
-        pair = groups.filter("id <> lead").filter(fits(F.least("m", "lead_m"), F.greatest("m", "lead_m"))).groupBy("id", "lead").agg(F.count("*").alias("c"))
-        a, b = node_of.select(F.col("id").alias("lead"), F.col("node").alias("a")), node_of.select("id", F.col("node").alias("b"))
-        best = pair.join(a, "lead").join(b, "id").filter("a <> b").groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("minus"))).alias("best"))
-        first = keep(best.select((-F.col("best.minus")).alias("a"), "b"), "first")
-        sides = first.select(F.col("a").alias("block"), F.lit(0).alias("part"), F.lit(1).alias("side"), F.col("b").alias("node"), F.col("b").alias("root"))
-        held = first.select("a").distinct().select(F.col("a").alias("block"), F.lit(0).alias("part"), F.lit(0).alias("side"), F.col("a").alias("node"), F.col("a").alias("root"))
+
+    def groups(self) -> DataFrame:
+        """Rows (token, part, parts, node, m, lead, lead_m): the members of tokens' groups and what each points to."""
+        found = self.docs.mapInArrow(_prefixes(self.levels), "key binary, short int, tokens array<long>").dropDuplicates(["key"])
+        prefixes = self.scratch.keep(found.join(self.nodes.select("key", "node", "n"), "key").select("node", "n", "short", "tokens"), "prefixes")
+        top = prefixes.select(F.explode("tokens").alias("token")).agg(F.expr(f"approx_top_k(token, {TRACKED // 2}, {TRACKED})").alias("top"))
+        often = top.select(F.explode("top").alias("top")).select(F.col("top.item").alias("token"), F.ceil(F.col("top.count") / PART).cast("int").alias("parts")).filter("parts > 1")
+        self.often = F.broadcast(self.scratch.keep(often, "often"))  # TRACKED / 2 short rows at most
+        tokens = prefixes.select("node", "n", "short", F.posexplode("tokens").alias("pos", "token")).select("token", "node", (F.col("n") * 2 + (F.col("pos") >= F.col("short")).cast("long")).alias("m"))
+        tokens = tokens.join(self.often, "token", "left").select("token", F.coalesce("parts", F.lit(1)).alias("parts"), "node", "m").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        near = _matched(tokens, F.col("parts") == 1)
+        group = Window.partitionBy("token", "part")
+        near = near.withColumn("lead", F.min(F.struct("node", "m")).over(group)).withColumn("last", F.max("node").over(group)).filter("parts > 1 or lead.node <> last")
+        found = self.scratch.keep(near.select("token", "part", "parts", "node", "m", F.col("lead.node").alias("lead"), F.col("lead.m").alias("lead_m")), "groups")
+        self.scratch.drop("prefixes")
+        return found
+
+    def run(self) -> DataFrame:
+        """Per row: doc_id, mark, n, root (null for an empty set), component_id."""
+        keep, drop = self.scratch.keep, self.scratch.drop
+        docs = self.docs.withColumn("mark", _marked(F.col("text")))
+        profile = keep(docs.mapInArrow(_profile, "doc_id long, mark binary, key binary, n long, chunk int, counts binary"), "profile")
+        rows = profile.filter("key is not null").select("doc_id", "mark", "key", "n")
+        self._levels(profile)
+        self.nodes = keep(rows.filter("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+        groups = self.groups()
+
+        # The smallest nodes of a split group's parts point to the smallest of all.
+        heads = groups.filter("parts > 1 and node = lead").select("token", "node", "m")
+        upper = heads.withColumn("top", F.min(F.struct("node", "m")).over(Window.partitionBy("token"))).select("node", "m", F.col("top.node").alias("lead"), F.col("top.m").alias("lead_m"))
+        pair = groups.select("node", "m", "lead", "lead_m").unionByName(upper).filter("node <> lead").filter(_fits(F.least("m", "lead_m"), F.greatest("m", "lead_m"))).groupBy("node", "lead").agg(F.count("*").alias("c"))
+        first = keep(pair.groupBy("node").agg(F.min(F.struct((-F.col("c")).alias("c"), "lead")).alias("best")).select(F.col("best.lead").alias("block"), "node"), "first")
+        sides = first.select("block", F.lit(0).alias("part"), F.lit(1).alias("side"), "node", F.col("node").alias("root"))
+        held = first.select("block").distinct().select("block", F.lit(0).alias("part"), F.lit(0).alias("side"), F.col("block").alias("node"), F.col("block").alias("root"))
         links = self.links(held.unionByName(sides), "first")
-        roots = keep(components(links, self.scratch, "early"), "early")
+        roots = components(links, self.scratch, "early")
 
         # Groups that still hold several components.
-        placed = groups.select("token", "id", "m").join(node_of, "id").groupBy("token", "node").agg(F.min("m").alias("m")).join(roots, "node", "left").select("token", "node", "m", F.coalesce("root", "node").alias("root"))
-        placed = keep(placed, "placed")
-        below_, above_ = F.max(F.when(F.col("m") % 2 == 0, F.col("m"))).over(Window.partitionBy("token").orderBy("m", "node").rowsBetween(Window.unboundedPreceding, -1)), F.lead("m").over(Window.partitionBy("token").orderBy("m", "node"))
-        open_ = placed.select("*", F.min("root").over(group).alias("block"), F.max("root").over(group).alias("top"), below_.alias("below"), above_.alias("above")).filter("block <> top")
-        open_ = open_.filter(fits(F.col("below"), F.col("m")) | ((F.col("m") % 2 == 0) & fits(F.col("m"), F.col("above"))))
-        members = keep(open_.groupBy("block", "node").agg(F.min("root").alias("root"), F.min(size(F.col("m"))).alias("n")), "members")
+        placed = keep(groups.select("token", "part", "parts", "node", "m").join(roots, "node", "left").select("token", "part", "parts", "node", "m", F.coalesce("root", "node").alias("root")), "placed")
+        drop("groups")
+        several = placed.groupBy("token").agg(F.min("root").alias("block"), F.max("root").alias("top"), F.first("parts").alias("n_parts")).filter("block <> top")
+        several = several.select("token", "block", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"))
+        open_ = _matched(placed.join(several, ["token", "part"]), F.col("parts") == 1)
+        members = keep(open_.groupBy("block", "node").agg(F.min("root").alias("root"), F.min(F.floor(F.col("m") / 2)).alias("n")), "members")
         portions = members.filter("root <> block").groupBy("block").agg(F.ceil(F.sum("n") / F.lit(PORTION)).cast("int").alias("portions"))
         spread = keep(members.join(portions, "block"), "spread")
         held = spread.filter("root <> block").select("block", F.pmod(F.xxhash64("node"), F.col("portions")).cast("int").alias("part"), F.lit(0).alias("side"), "node", "root")
         sides = spread.select("block", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("part"), F.lit(1).alias("side"), "node", "root")
         late = self.links(held.unionByName(sides), "late")
-        final = keep(components(links.unionByName(late), self.scratch, "all"), "roots")
+        self.levels.destroy()
+        final = components(links.unionByName(late), self.scratch, "all")
 
-        node_root = self.nodes.filter("n > 0").join(final, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
+        node_root = self.nodes.join(final, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
         label = node_root.groupBy("root").agg(F.min("least").alias("component_id"))
-        of_key = keep(node_root.join(label, "root").select("key", "component_id"), "labels")
-        return rows.join(of_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        of_key = keep(node_root.join(label, "root").select("key", "root", "component_id"), "labels")
+        for name in ("placed", "members", "spread", "first", "first-links", "late-links", "nodes", "often"):
+            drop(name)
+        return rows.join(of_key, "key", "left").select("doc_id", "mark", "n", "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
-    return Join(docs, id_col, text_col).run()
+    return Join(docs, id_col, text_col).run().select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the document with the smallest id, all columns as they were; rows without an id stay, repeated rows stay once."""
-    label = ngram_components(docs, id_col, text_col)
-    kept = label.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id__")).distinct()
-    known = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("kept_id__"), "left_semi").dropDuplicates([id_col])
-    return known.unionByName(docs.filter(F.col(id_col).isNull()))
+    """Of each component the row with the smallest id (null last; then by a digest of the text), all columns as they were.
+
+    Texts without words are linked with nothing and stay; rows that repeat both id and text stay once.
+    """
+    label = Join(docs, id_col, text_col).run()
+    first = label.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")).alias("w")).select("w.doc_id", "w.mark")
+    kept = first.unionByName(label.filter("root is null").select("doc_id", "mark").distinct()).select(F.col("doc_id").alias("kept_id__"), F.col("mark").alias("kept_mark__"))
+    own = docs.withColumn("own_id__", F.col(id_col).cast("long")).withColumn("own_mark__", _marked(F.col(text_col)))
+    return own.join(kept, F.col("own_id__").eqNullSafe(F.col("kept_id__")) & (F.col("own_mark__") == F.col("kept_mark__")), "left_semi").dropDuplicates(["own_id__", "own_mark__"]).drop("own_id__", "own_mark__")
 
 
 def op8_ngram_join(spark, sf_dir):

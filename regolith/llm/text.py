@@ -1,14 +1,20 @@
 """Vectorised tokenising of Arrow text columns, shared by the text operators.
 
-Texts stay in Arrow's own buffers.  Word bounds and 64-bit word hashes are
-computed with numpy over blocks of bounded size, so that memory follows the
-block and not the text: a text of any length is read whole, in pieces cut
-between words.
+Texts stay in Arrow's own buffers.  Word bounds and hashes are computed with
+numpy over blocks of bounded size, cut between words; a text of any length is
+read whole.  The temporaries follow the block, the results (bounds and hashes
+of all words) follow the slice of texts, or the text where one is longer.
+
+A word's hash is 128 bits in two independent halves, `hashes` and `checks`:
+eight bytes at a time go through multiply-and-shift steps that are bijections
+of the state, so words of up to eight bytes and equal length never share a
+hash; words of over LONG_WORD bytes take theirs from BLAKE2.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -16,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 20
-_MULT = 0xD6E8FEB86659FD93  # odd, 3 mod 4
-_INV = pow(_MULT, -1, 1 << 64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 _U = np.uint64
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -42,31 +48,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        n = max(n, BLOCK + (1 << 16))
-        out = []
-        for base in (_MULT, _INV):
-            a = np.full(n, base, _U)
-            a[0] = 1
-            out.append(np.cumprod(a, dtype=_U))
-        _powers = (out[0], out[1])
-    return _powers
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], _U)
+
+
+def hash_words(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the hashes of the words b[starts:ends]; they depend on a word's bytes alone."""
+    if not len(starts):
+        return np.empty(0, _U), np.empty(0, _U)
+    eight = np.ndarray(len(b) + 1, "<u8", np.concatenate([b, np.zeros(8, np.uint8)]), strides=(1,))
+    left = ends - starts
+    h, g = left.astype(_U) * _U(0x9E3779B97F4A7C15), left.astype(_U) * _U(0xC2B2AE3D27D4EB4F)
+    g ^= _U(0x165667B19E3779F9)
+    long = np.flatnonzero(left > LONG_WORD)
+    live, at = None, starts
+    if len(long):
+        live = np.flatnonzero(left <= LONG_WORD)
+        at, left = starts[live], left[live]
+    while len(at):
+        x = eight[at] & _FIRST_BYTES[np.minimum(left, 8)]
+        u, v = (h, g) if live is None else (h[live], g[live])
+        u = (u ^ x) * _U(0xBF58476D1CE4E5B9)
+        u ^= u >> _U(29)
+        v = (v + x) * _U(0xD6E8FEB86659FD93)
+        v ^= v >> _U(32)
+        if live is None:
+            h, g = u, v
+        else:
+            h[live], g[live] = u, v
+        more = np.flatnonzero(left > 8)
+        live = more if live is None else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    h, g = mix(h), mix(g)
+    for k in long.tolist():
+        d = hashlib.blake2b(b[starts[k] : ends[k]].tobytes(), digest_size=16).digest()
+        h[k], g[k] = int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
+    return h, g
 
 
 @dataclass
 class Words:
-    """Words of some texts: byte bounds in buf, hashes, and for each text the range of its words."""
+    """Words of some texts: byte bounds in buf, both halves of their hashes, and for each text the range of its words."""
 
     buf: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
+    checks: np.ndarray
     offsets: np.ndarray
 
     def doc_of(self) -> np.ndarray:
@@ -87,11 +114,11 @@ def _cut(buf: np.ndarray, offs: np.ndarray, at: int, is_word: np.ndarray) -> int
 
 
 def words_of(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = ALNUM, cut_tail: bool = False) -> Words:
-    """Words of the texts buf[offs[i]:offs[i + 1]], A-Z lower-cased; the hash of a word depends on its bytes alone.
+    """Words of the texts buf[offs[i]:offs[i + 1]], A-Z lower-cased.
 
     cut_tail: a comma or full stop that ends a word after an ASCII letter or digit is a word of its own.
     """
-    starts, ends, hashes = [], [], []
+    starts, ends, hashes, checks = [], [], [], []
     lo, n = int(offs[0]), int(offs[-1])
     while lo < n:
         hi = n if n - lo <= BLOCK else _cut(buf, offs, lo + BLOCK, is_word)
@@ -114,18 +141,15 @@ def words_of(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = ALNUM, cut
         s = np.flatnonzero(w & (~before | edge[:m]))
         e = np.flatnonzero(w & (~after | edge[1:])) + 1
         if len(s):
-            power, inverse = _pow(m)
-            v = _BYTE[b]
-            v *= power[:m]
-            total = np.cumsum(v, dtype=_U)
-            h = (total[e - 1] - total[s] + v[s]) * inverse[s]
+            h, g = hash_words(b, s, e)
             starts.append(s + lo)
             ends.append(e + lo)
-            hashes.append(mix(h + (e - s).astype(_U)))
+            hashes.append(h)
+            checks.append(g)
         lo = hi
     cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
     st = cat(starts, np.int64)
-    return Words(buf, st, cat(ends, np.int64), cat(hashes, _U), np.searchsorted(st, offs))
+    return Words(buf, st, cat(ends, np.int64), cat(hashes, _U), cat(checks, _U), np.searchsorted(st, offs))
 
 
 def _release() -> None:

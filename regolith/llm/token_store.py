@@ -1,23 +1,27 @@
 """Token-ID output in shards compressed by Re-Pair, readable at any place.
 
 Documents are range-partitioned by id and tokenised in runs of whole documents.
-The distinct words of a run (pieces between white space, a closing comma or
-full stop apart: places where the tokenizer's own splitting always splits) are
-encoded once by the tokenizers library and kept in a bounded cache of the
-worker; texts are put together from their words' ids.
-
-A run's ids are one shard.  Re-Pair replaces its most frequent pairs of
-neighbouring symbols by new symbols, round by round: each round takes the most
-frequent pairs whose left and right symbols do not clash, so that all their
-places are replaced at once.  Pairs never cross the end of a document.  The
-shard holds the rules, the expansion length of each new symbol, the symbols,
-and for each document its id, its first symbol and its number of ids; any
-document or id can be decoded without the rest.
+Where the tokenizer's file shows that white space always splits (splits_at_space),
+the distinct words of a run (pieces between white space, a closing comma or full
+stop apart) are encoded once by the tokenizers library and kept in a bounded
+cache of the worker, under 128-bit hashes; texts are put together from their
+words' ids.  With any other tokenizer each text is encoded as a whole.  Special
+tokens that stand in a text become their own ids, as the library does it.
+
+A run's ids are one shard, over an alphabet of the ids that occur in it.
+Re-Pair replaces pairs of neighbouring symbols by new symbols until no pair
+occurs twice: each round takes frequent pairs whose left and right symbols do
+not clash, so that all their places are replaced at once; in a run of one
+symbol every second pair counts.  Pairs never cross the end of a document.  The
+shard holds the alphabet, the rules, the expansion length of each new symbol,
+the symbols, and for each document its id, its first symbol and its number of
+ids; any document or id can be decoded without the rest.  least_count, most_rules
+and least_gain stop earlier, for less time at more bytes.
 
 Shards are rows of a Parquet table in the shared folder, written by Spark's
 committer, so that a lost executor leaves no half-written shard; they are
 ordered by (part, seq), which is ascending document id (null first; repeated
-ids in no fixed order).
+ids by a hash of their text).
 
 A null or empty text has the end id only.  An empty table gives no shard.
 Further columns are not read.
@@ -25,6 +29,7 @@ Further columns are not read.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from dataclasses import dataclass
@@ -40,23 +45,38 @@ from regolith.llm.text import NOT_SPACE, buffers, ragged, slices, streamed, word
 END_ID = 2
 SHARD_BYTES = 3 << 20
 CACHE_WORDS = 700_000
-#: New symbols of a shard at most; pairs are replaced while they occur so often and a round shortens the shard by this part.
-RULES_MOST, PAIRS_A_ROUND, LEAST_COUNT, LEAST_GAIN = 16_000, 2048, 8, 0.02
-_MAGIC = b"RPTS1\0\0\0"
+#: Pairs looked at in one round while the most frequent one occurs over RARE times; then all are.
+PAIRS_A_ROUND, RARE = 8192, 8
+_MAGIC = b"RPTS2\0\0\0"
+#: Normalizers and the pattern that never look across white space.
+_SPACE_SAFE = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+_SPACE_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def splits_at_space(path: str) -> bool:
+    """Whether a tokenizer file is known to encode the words of a text one by one: then words can be cached."""
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    normalizer, before = t.get("normalizer") or {}, t.get("pre_tokenizer") or {}
+    plain = all(n in _SPACE_SAFE for n in normalizer.get("normalizers", [normalizer] if normalizer else []))
+    steps = before.get("pretokenizers", [before])
+    split = steps[0] == _SPACE_SPLIT and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in steps[1:])
+    added = all(not (x["lstrip"] or x["rstrip"] or x["normalized"]) and not any(c.isspace() for c in x["content"]) for x in t.get("added_tokens", []))
+    return plain and split and added and t["model"].get("dropout") is None
 
 
 class Encoder:
-    """Ids of texts, by a cache of words (sorted hashes, and their ids in one array)."""
+    """Ids of texts, by a cache of words (sorted hashes with their other halves, and their ids in one array)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.by_word = splits_at_space(path)
         self.clear()
 
     def clear(self) -> None:
-        self.hashes = np.empty(0, np.uint64)
+        self.hashes, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
         self.begin = np.empty(0, np.int32)
         self.size = np.empty(0, np.int32)
         self.ids = np.empty(0, np.uint32)
@@ -74,8 +94,23 @@ class Encoder:
             sizes.append(np.bincount(np.searchsorted(starts, place, "right") - 1, minlength=len(own)) if len(ids) else np.zeros(len(own), np.int64))
         return np.concatenate(all_ids), np.concatenate(sizes)
 
+    def _learn(self, buf, w, new: np.ndarray, first: np.ndarray, distinct: np.ndarray) -> None:
+        raw = memoryview(buf)
+        words = [bytes(raw[a:b]).decode("utf-8", "replace") for a, b in zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist(), strict=True)]
+        ids, sizes = self._encode(words)
+        begin = (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)
+        self.ids = np.concatenate([self.ids, ids])
+        hashes = np.concatenate([self.hashes, distinct[new]])
+        order = np.argsort(hashes)
+        self.checks = np.concatenate([self.checks, w.checks[first[new]]])[order]
+        self.begin = np.concatenate([self.begin, begin])[order]
+        self.size = np.concatenate([self.size, sizes.astype(np.int32)])[order]
+        self.hashes = hashes[order]
+
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts, each with the end id, and how many each text has."""
+        if not self.by_word:
+            return self.encode_whole(buf, offs)
         w = words_of(buf, offs, NOT_SPACE, cut_tail=True)
         distinct, first, number = np.unique(w.hashes, return_index=True, return_inverse=True)
         known = self.hashes[np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
@@ -84,29 +119,26 @@ class Encoder:
             if len(self.hashes) + len(new) > CACHE_WORDS:
                 self.clear()
                 new = np.arange(len(distinct))
-            raw = buf.tobytes() if len(buf) < 1 << 26 else memoryview(buf)
-            words = [bytes(raw[a:b]).decode("utf-8", "replace") for a, b in zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist(), strict=True)]
-            ids, sizes = self._encode(words)
-            begin = (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)
-            self.ids = np.concatenate([self.ids, ids])
-            hashes = np.concatenate([self.hashes, distinct[new]])
-            order = np.argsort(hashes)
-            self.begin = np.concatenate([self.begin, begin])[order]
-            self.size = np.concatenate([self.size, sizes.astype(np.int32)])[order]
-            self.hashes = hashes[order]
+            self._learn(buf, w, new, first, distinct)
         spot = np.searchsorted(self.hashes, distinct)
+        if (self.checks[spot][number] != w.checks).any():  # two words share half a hash
+            return self.encode_whole(buf, offs)
         begin, size = self.begin[spot][number] if len(number) else np.empty(0, np.int64), self.size[spot][number] if len(number) else np.empty(0, np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
-        n = len(offs) - 1
         per_text = total[w.offsets[1:]] - total[w.offsets[:-1]] + 1
         ends = np.cumsum(per_text) - 1
         out = np.full(int(per_text.sum()), END_ID, np.uint32)
         inside = np.ones(len(out), bool)
         inside[ends] = False
         out[inside] = self.ids[ragged(begin, size)]
-        assert len(per_text) == n
         return out, per_text
 
+    def encode_whole(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, each text by one call of the library."""
+        raw = memoryview(buf)
+        own = [np.array([*self.tokenizer.encode(bytes(raw[a:b]).decode("utf-8", "replace"), add_special_tokens=False).ids, END_ID], np.uint32) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        return np.concatenate(own) if own else np.empty(0, np.uint32), np.array([len(x) for x in own], np.int64)
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -117,71 +149,96 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def re_pair(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, which of them end a document, and rules (left, right); new symbols count from `base`."""
-    kind, bits = (np.uint32, 16) if base + RULES_MOST <= 1 << 16 else (np.uint64, 32)
-    shift, low = kind(bits), (1 << bits) - 1
-    seq, last = ids.astype(kind), last.copy()
+def _clash_free(pairs: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the pairs to replace together: no symbol is the left of one and the right of another.
+
+    Pairs are taken greedily, the most frequent first.
+    """
+    left, right = pairs >> pairs.dtype.type(bits), pairs & pairs.dtype.type((1 << bits) - 1)
+    order = np.argsort(-counts, kind="stable")
+    if counts[order[0]] > RARE:
+        order = order[:PAIRS_A_ROUND]
+    lefts, rights, taken = set(), set(), []
+    for k, a, b in zip(order.tolist(), left[order].tolist(), right[order].tolist(), strict=True):
+        if a not in rights and b not in lefts and (a != b or a not in lefts and a not in rights):
+            lefts.add(a)
+            rights.add(b)
+            taken.append(k)
+    return np.sort(np.array(taken, np.int64))
+
+
+def re_pair(symbols: np.ndarray, last: np.ndarray, base: int, least_count: int = 2, most_rules: int | None = None, least_gain: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols below `base` compressed: symbols, which of them end a document, rules (left, right), and expansion lengths of all symbols."""
+    seq, last = symbols.astype(np.uint32), last.copy()
     rules: list[np.ndarray] = []
-    made = 0
-    starts, stops = np.zeros(base + RULES_MOST, bool), np.zeros(base + RULES_MOST, bool)
-    while len(seq) > 1 and made < RULES_MOST:
-        open_ = ~last[:-1]
-        key = (seq[:-1] << shift) | seq[1:]
-        sorted_ = np.sort(key[open_])
+    made, most = 0, most_rules if most_rules is not None else (1 << 31) - base
+    length = np.ones(base, np.int64)
+    while len(seq) > 1 and made < most:
+        kind, bits = (np.uint32, 16) if base + made <= 1 << 16 else (np.uint64, 32)
+        key = (seq[:-1].astype(kind) << kind(bits)) | seq[1:]
+        usable = ~last[:-1]
+        twin = np.flatnonzero(usable & (seq[:-1] == seq[1:]))
+        if len(twin):  # of a run of one symbol every second pair
+            new = np.concatenate([[True], np.diff(twin) > 1])
+            run = twin[new][np.cumsum(new) - 1]
+            usable[twin[(twin - run) & 1 == 1]] = False
+        sorted_ = np.sort(key[usable])
         if not len(sorted_):
             break
         edge = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        pairs, counts = sorted_[edge], np.diff(np.append(edge, len(sorted_)))
-        often = np.flatnonzero(counts >= LEAST_COUNT)
-        often = often[np.argsort(-counts[often], kind="stable")][: 4 * PAIRS_A_ROUND]
-        left, right, chosen = set(), set(), []
-        for k, p in zip(often.tolist(), pairs[often].tolist(), strict=True):
-            a, b = p >> bits, p & low
-            if a != b and a not in right and b not in left:
-                left.add(a)
-                right.add(b)
-                chosen.append(k)
-                if len(chosen) == min(PAIRS_A_ROUND, RULES_MOST - made):
-                    break
-        if not chosen:
+        counts = np.diff(np.append(edge, len(sorted_)))
+        often = np.flatnonzero(counts >= least_count)
+        if not len(often):
             break
-        picked = np.sort(pairs[chosen])
-        starts[:] = stops[:] = False
-        starts[list(left)], stops[list(right)] = True, True
-        at = np.flatnonzero(starts[seq[:-1]] & stops[seq[1:]] & open_)
+        pairs, counts = sorted_[edge[often]], counts[often]
+        picked = pairs[_clash_free(pairs, counts, bits)][: most - made]  # sorted, as pairs are
+        left, right = (picked >> kind(bits)).astype(np.uint32), (picked & kind((1 << bits) - 1)).astype(np.uint32)
+        starts, stops = np.zeros(base + made, bool), np.zeros(base + made, bool)
+        starts[left], stops[right] = True, True
+        at = np.flatnonzero(starts[seq[:-1]] & stops[seq[1:]] & usable)
         spot = np.minimum(np.searchsorted(picked, key[at]), len(picked) - 1)
         same = picked[spot] == key[at]
         at = at[same]
-        seq[at] = (base + made + spot[same]).astype(kind)
+        seq[at] = (base + made + spot[same]).astype(np.uint32)
         last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         gain = len(at) / len(seq)
         seq, last = seq[stay], last[stay]
-        rules.append(np.stack([picked >> shift, picked & kind(low)], 1))
+        rules.append(np.stack([left, right], 1))
+        length = np.concatenate([length, length[left] + length[right]])
         made += len(picked)
-        if gain < LEAST_GAIN:
+        if gain < least_gain:
             break
-    return seq, last, np.concatenate(rules).astype(np.uint32) if rules else np.empty((0, 2), np.uint32)
+    return seq, last, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), length
 
 
-def write_shard(doc_ids: list, ids: np.ndarray, sizes: np.ndarray) -> bytes:
-    """The bytes of a shard: header, document table, rules, expansion lengths, symbols."""
+def pack(values: np.ndarray, bits: int) -> bytes:
+    """Numbers of so many bits each, one after another."""
+    every = np.unpackbits(np.ascontiguousarray(values, ">u4").view(np.uint8).reshape(-1, 4), axis=1)
+    return np.packbits(every[:, 32 - bits :]).tobytes()
+
+
+def unpack(raw: np.ndarray, n: int, bits: int) -> np.ndarray:
+    every = np.zeros((n, 32), np.uint8)
+    every[:, 32 - bits :] = np.unpackbits(raw, count=n * bits).reshape(n, bits)
+    return np.packbits(every, axis=1).view(">u4").ravel().astype(np.uint32)
+
+
+def write_shard(doc_ids: list, ids: np.ndarray, sizes: np.ndarray, **stops) -> bytes:
+    """The bytes of a shard: header, document table, alphabet, rules, expansion lengths, symbols."""
     last = np.zeros(len(ids), bool)
     last[np.cumsum(sizes) - 1] = True
-    base = int(ids.max(initial=0)) + 1
-    seq, ends, rules = re_pair(ids, last, base)
-    length = np.ones(base + len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        length[base + k] = length[a] + length[b]
+    alphabet, symbols = np.unique(ids, return_inverse=True)
+    base = len(alphabet)
+    seq, ends, rules, length = re_pair(symbols, last, base, **stops)
     first = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1]) if len(sizes) else np.empty(0, np.int64)
-    wide = base + len(rules) > 1 << 16
-    kind = np.dtype("<u4") if wide else np.dtype("<u2")
-    head = struct.pack("<8sIIQQB7x", _MAGIC, base, len(rules), len(sizes), len(seq), wide)
+    bits = max(1, int(base + len(rules)).bit_length())
+    span = max(1, int(length.max(initial=1)).bit_length())
+    head = struct.pack("<8sIIQQBB6x", _MAGIC, base, len(rules), len(sizes), len(seq), bits, span)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     docs = np.array([d if d is not None else 0 for d in doc_ids], "<i8")
-    return b"".join([head, known.tobytes(), docs.tobytes(), sizes.astype("<u4").tobytes(), first.astype("<u4").tobytes(), rules.astype(kind).tobytes(), length[base:].astype("<u4").tobytes(), seq.astype(kind).tobytes()])
+    return b"".join([head, known.tobytes(), docs.tobytes(), sizes.astype("<u4").tobytes(), first.astype("<u4").tobytes(), alphabet.astype("<u4").tobytes(), pack(rules.ravel(), bits), pack(length[base:], span), pack(seq, bits)])
 
 
 @dataclass
@@ -191,17 +248,17 @@ class Shard:
     doc_ids: list
     sizes: np.ndarray
     first: np.ndarray
-    base: int
+    alphabet: np.ndarray
     rules: np.ndarray
     length: np.ndarray
     symbols: np.ndarray
 
     @staticmethod
     def read(blob: bytes) -> Shard:
-        magic, base, n_rules, n_docs, n_symbols, wide = struct.unpack_from("<8sIIQQB7x", blob)
+        magic, base, n_rules, n_docs, n_symbols, bits, span = struct.unpack_from("<8sIIQQBB6x", blob)
         if magic != _MAGIC:
             raise ValueError("not a token shard")
-        at = struct.calcsize("<8sIIQQB7x")
+        at = struct.calcsize("<8sIIQQBB6x")
 
         def take(kind, n):
             nonlocal at
@@ -210,9 +267,13 @@ class Shard:
             return out
 
         known, docs, sizes, first = take("u1", n_docs), take("<i8", n_docs), take("<u4", n_docs), take("<u4", n_docs)
-        kind = "<u4" if wide else "<u2"
-        rules, length, symbols = take(kind, 2 * n_rules).reshape(-1, 2), take("<u4", n_rules), take(kind, n_symbols)
-        return Shard([d if k else None for d, k in zip(docs.tolist(), known.tolist(), strict=True)], sizes.astype(np.int64), first.astype(np.int64), base, rules, length.astype(np.int64), symbols)
+        alphabet = take("<u4", base)
+        rules, length, symbols = (unpack(take("u1", -(-n * k // 8)), n, k) for n, k in ((2 * n_rules, bits), (n_rules, span), (n_symbols, bits)))
+        return Shard([d if k else None for d, k in zip(docs.tolist(), known.tolist(), strict=True)], sizes.astype(np.int64), first.astype(np.int64), alphabet, rules.reshape(-1, 2), length.astype(np.int64), symbols)
+
+    @property
+    def base(self) -> int:
+        return len(self.alphabet)
 
     def _lengths(self, symbols: np.ndarray) -> np.ndarray:
         out = np.ones(len(symbols), np.int64)
@@ -229,7 +290,7 @@ class Shard:
         rules = self.rules.astype(np.int64)
         while len(symbols):
             new = symbols >= self.base
-            out[at[~new]] = symbols[~new]
+            out[at[~new]] = self.alphabet[symbols[~new]]
             a, b = rules[symbols[new] - self.base].T
             place = at[new]
             symbols, at = np.concatenate([a, b]), np.concatenate([place, place + self._lengths(a)])
@@ -250,8 +311,8 @@ class Shard:
         return self.expand(self.symbols[self.first[i] : end])[start - bounds[i] : stop - bounds[i]]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the shards: part, seq, n_docs, n_tokens, shard."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", **stops) -> None:
+    """Writes the shards: part, seq, n_docs, n_tokens, shard.  stops: least_count, most_rules, least_gain of re_pair."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -261,14 +322,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             buf, offs = buffers(batch.column("text"))
             for i, j in slices(offs, SHARD_BYTES):
                 ids, sizes = own.encode(buf, offs[i : j + 1])
-                blob = write_shard(batch.column("doc_id").slice(i, j - i).to_pylist(), ids, sizes)
+                blob = write_shard(batch.column("doc_id").slice(i, j - i).to_pylist(), ids, sizes, **stops)
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([j - i], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "shard"])
                 seq += 1
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ready = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = ready.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ready = ready.withColumn("tie", F.xxhash64("text"))  # rows of one id, or of none, may fill several partitions
+    ordered = ready.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     ordered.mapInArrow(run, "part int, seq long, n_docs long, n_tokens long, shard binary").write.mode("overwrite").parquet(path)
 
 

@@ -5,15 +5,19 @@ new form of a known stem is recognised.  Filters of several widths run over
 the words; their largest values over the whole text, whatever its length, feed
 a logistic output.  The embeddings start from smoothed log odds and are trained
 with the filters by gradient descent.  A part of the training rows is held
-back to calibrate a threshold for each language; the language is guessed from
-the text's function words alone.  A score is the output moved so that its
+back to calibrate a threshold for each language; a text's language is guessed
+from its words alone, by the words that are usual in one language of the
+training rows and rare in the others.  A score is the output moved so that its
 language's threshold lies at THRESHOLD.
 
-The model is fitted on a bounded sample: about TRAIN_ROWS labelled rows of
-either label, texts of over TRAIN_CHARS characters left out (of the fitting
-only).  Whole texts are scored.  A null or empty text has the score of a text
-without any signal.  Null labels or ids are not learned from; repeated rows are
-scored alike; with no labels at all every score is 0.  Further columns are not
+The model is fitted in one task of the cluster on a bounded sample: about
+TRAIN_ROWS labelled rows of either label, texts of over TRAIN_CHARS characters
+left out (of the fitting only).  Equal texts of one label are learned from
+once.  Whole texts are scored.  A null or empty text has the score of a text
+without any signal.  Null labels or ids are not learned from; of an id with
+contradicting labels both are; documents that share an id share its label.
+Repeated rows are scored alike; with no labels at all every score is 0.
+Without a column of languages there is one threshold.  Further columns are not
 read by score, and remove_toxic returns them as they are.
 """
 
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regolith.llm.features import affix, distinct
-from regolith.llm.sampling import bounded_sample, remainder
+from regolith.llm.sampling import bounded_sample, fit_in_a_task, remainder
 from regolith.llm.store import table
 from regolith.llm.text import ALNUM, Words, buffers, slices, streamed, words_of
 
@@ -38,25 +42,8 @@ DIM = 8
 BUCKETS = 1 << 16
 #: Texts that training sees at least, in whole epochs (6 to 30).
 TRAIN_STEPS = 30_000
-#: Function words that tell languages apart.
-FUNCTION_WORDS = {
-    "en": "the and of to that with for was this from are",
-    "de": "der die und das den von mit sich auf nicht ein",
-    "fr": "le la les des est que pour dans une qui par",
-    "es": "el los las que del por con una para como más",
-}
-
-
-def _word_hashes(text: str) -> np.ndarray:
-    return words_of(*buffers(pa.array([text])), ALNUM).hashes
-
-
-LANGUAGES = [*FUNCTION_WORDS, "other"]
-_pairs = [(h, i) for i, words in enumerate(FUNCTION_WORDS.values()) for h in _word_hashes(words).tolist()]
-_shared = {h for h, i in _pairs for g, k in _pairs if g == h and k != i}
-_pairs = sorted((h, i) for h, i in _pairs if h not in _shared)
-_FUNCTION = np.array([h for h, _ in _pairs], np.uint64)
-_FUNCTION_OF = np.array([i for _, i in _pairs])
+#: A language's usual words: in this share of its rows, and this many times as often as in any other language's.
+USUAL_SHARE, USUAL_TIMES, USUAL_WORDS, USUAL_ROWS = 0.2, 4.0, 40, 30
 
 
 def word_features(w: Words, which: np.ndarray) -> np.ndarray:
@@ -65,12 +52,30 @@ def word_features(w: Words, which: np.ndarray) -> np.ndarray:
     return np.stack([np.where(h == 0, -1, (h % np.uint64(BUCKETS)).astype(np.int64)) for h in kinds], 1).astype(np.int32)
 
 
-def guess_language(hashes: np.ndarray, number: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """For each text the language with most function words; the last, `other`, where there are none."""
-    spot = np.minimum(np.searchsorted(_FUNCTION, hashes), len(_FUNCTION) - 1)
-    lang = np.where(_FUNCTION[spot] == hashes, _FUNCTION_OF[spot], len(FUNCTION_WORDS))[number]
-    counts = np.bincount(doc * len(LANGUAGES) + lang, minlength=n * len(LANGUAGES)).reshape(n, len(LANGUAGES))[:, :-1]
-    return np.where(counts.max(1, initial=0) > 0, counts.argmax(1), len(LANGUAGES) - 1) if counts.size else np.zeros(0, int)
+def usual_words(w: Words, langs: list) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, and for each its usual words: sorted hashes with the number of their language."""
+    names, counts = np.unique(np.array([x for x in langs if x is not None], object).astype(str), return_counts=True) if any(x is not None for x in langs) else (np.empty(0, object), np.empty(0, int))
+    names = [x for x, n in zip(names.tolist(), counts.tolist(), strict=True) if n >= USUAL_ROWS]
+    if len(names) < 2:
+        return names, np.empty(0, np.uint64), np.empty(0, np.int64)
+    number_of = {x: k for k, x in enumerate(names)}
+    lang = np.array([number_of.get(x, -1) for x in langs])
+    known, number = np.unique(w.hashes, return_inverse=True)
+    seen = np.unique(w.doc_of() * len(known) + number)  # each word once a text
+    seen = seen[lang[seen // len(known)] >= 0]
+    share = np.zeros((len(names), len(known)))
+    np.add.at(share, (lang[seen // len(known)], seen % len(known)), 1)
+    share /= np.array([(lang == k).sum() for k in range(len(names))])[:, None]
+    hashes, owner = [], []
+    for k in range(len(names)):
+        rest = np.delete(share, k, 0).max(0)
+        fit = np.flatnonzero((share[k] >= USUAL_SHARE) & (share[k] >= USUAL_TIMES * rest))
+        fit = fit[np.argsort(-(share[k] - rest)[fit], kind="stable")][:USUAL_WORDS]
+        hashes.append(known[fit])
+        owner.append(np.full(len(fit), k))
+    hashes, owner = np.concatenate(hashes), np.concatenate(owner)
+    order = np.argsort(hashes)
+    return names, hashes[order], owner[order]
 
 
 class Sequences:
@@ -81,11 +86,11 @@ class Sequences:
         first, number = distinct(w)
         self.features = word_features(w, first)
         doc = w.doc_of()
+        self.first, self.number, self.doc, self.n = w.hashes[first], number, doc, n
         self.blank = len(first)
         self.starts = w.offsets[:-1] + pad * np.arange(n)
         self.seq = np.full(len(number) + pad * n, self.blank, np.int64)
         self.seq[np.arange(len(number)) + pad * doc] = number
-        self.language = guess_language(w.hashes[first], number, doc, n)
 
 
 class Network:
@@ -98,7 +103,19 @@ class Network:
         self.bias = np.zeros((len(WIDTHS), FILTERS), np.float32)
         self.out = np.full(len(WIDTHS) * FILTERS, 0.2, np.float32)
         self.out_bias = np.float32(-2)
-        self.thresholds = np.full(len(LANGUAGES), 0.0)
+        self.languages: list[str] = []
+        self.usual, self.usual_of = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.thresholds = np.zeros(1)  # of each language and, last, of texts of none
+
+    def guess(self, s: Sequences) -> np.ndarray:
+        """For each text the language with most usual words; the number after the last where there are none."""
+        many = len(self.languages) + 1
+        if not len(self.usual) or not len(s.number):
+            return np.full(s.n, many - 1)
+        spot = np.minimum(np.searchsorted(self.usual, s.first), len(self.usual) - 1)
+        lang = np.where(self.usual[spot] == s.first, self.usual_of[spot], many - 1)[s.number]
+        counts = np.bincount(s.doc * many + lang, minlength=s.n * many).reshape(s.n, many)[:, :-1]
+        return np.where(counts.max(1) > 0, counts.argmax(1), many - 1)
 
     def words(self, features: np.ndarray) -> np.ndarray:
         e = np.zeros((len(features) + 1, DIM), np.float32)
@@ -129,7 +146,7 @@ class Network:
 
     def scores(self, w: Words) -> np.ndarray:
         s = Sequences(w)
-        z = self.raw(s) - self.thresholds[s.language] + np.log(THRESHOLD / (1 - THRESHOLD))
+        z = self.raw(s) - self.thresholds[self.guess(s)] + np.log(THRESHOLD / (1 - THRESHOLD))
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -50, 50)))
 
 
@@ -211,7 +228,7 @@ def _best_threshold(z: np.ndarray, y: np.ndarray) -> float:
     return float(z[k] - min(gap[k], 4.0) / 2)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Network:
+def fit(texts: pa.Array, labels: np.ndarray, langs: list | None = None, seed: int = 7) -> Network:
     rng = np.random.default_rng(seed)
     net = Network(rng)
     y = np.asarray(labels, np.int64)
@@ -222,17 +239,20 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Network:
     held = rng.permutation(len(y)) % 4 == 0
     buf, offs = buffers(texts)
     whole = words_of(buf, offs, ALNUM)
+    net.languages, net.usual, net.usual_of = usual_words(whole, langs if langs is not None else [None] * len(y))
     s = Sequences(whole)
     pick = np.flatnonzero(~held)
     part = _subset(s, pick)
     _start_from_odds(net, part, y[pick])
     _train(net, part, y[pick], rng, max(6, min(30, TRAIN_STEPS // max(1, len(pick)))))
     rest = np.flatnonzero(held)
-    z, lang = net.raw(_subset(s, rest)), s.language[rest]
+    z, lang = net.raw(_subset(s, rest)), net.guess(s)[rest]
     everywhere = _best_threshold(z, y[rest]) if y[rest].any() else 0.0
-    for k in range(len(LANGUAGES)):
+    net.thresholds = np.full(len(net.languages) + 1, everywhere)
+    for k in range(len(net.thresholds)):
         own = lang == k
-        net.thresholds[k] = _best_threshold(z[own], y[rest][own]) if own.sum() >= 40 and y[rest][own].sum() >= 10 else everywhere
+        if own.sum() >= 40 and y[rest][own].sum() >= 10:
+            net.thresholds[k] = _best_threshold(z[own], y[rest][own])
     return net
 
 
@@ -243,17 +263,23 @@ def _subset(s: Sequences, docs: np.ndarray) -> Sequences:
     out.features, out.blank = s.features, s.blank
     out.seq = np.concatenate(parts) if parts else np.empty(0, np.int64)
     out.starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64) if parts else np.empty(0, np.int64)
-    out.language = s.language[docs]
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Network:
+def _fit_table(sample: pa.Table | None) -> Network:
+    if sample is None:
+        return fit(pa.array([], pa.string()), np.empty(0, np.int64))
+    return fit(sample.column("text").combine_chunks(), sample.column("y").to_numpy(), sample.column("lang").to_pylist())
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Network:
     """Fits the network on labelled rows whose crc32(id) mod 3 is not 1."""
     known = labels.select(F.col(id_col).cast("long").alias("l_id"), F.col(label_col).cast("int").alias("y")).filter("l_id is not null and y in (0, 1)").filter(remainder(F.col("l_id"), 3) != 1)
-    picked = bounded_sample(known, "y", rows)  # at most 4 * rows short rows
-    found = docs.filter(F.length(text_col) <= chars).select(F.col(id_col).cast("long").alias("l_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "l_id")
-    sample = found.select("l_id", "text", "y").orderBy("l_id", "text").toArrow()
-    return fit(sample.column("text").combine_chunks(), sample.column("y").to_numpy())
+    picked = bounded_sample(known, "y", "l_id", rows).select("l_id", "y")  # at most 4 * rows short rows
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    found = docs.filter(F.length(text_col) <= chars).select(F.col(id_col).cast("long").alias("l_id"), F.col(text_col).alias("text"), lang.alias("lang")).join(F.broadcast(picked), "l_id")
+    once = found.groupBy("y", F.xxhash64("text").alias("hash__")).agg(F.min(F.struct("text", "lang")).alias("row__")).select("y", "hash__", "row__.*")
+    return fit_in_a_task(once.orderBy("hash__", "y").limit(4 * rows), _fit_table)
 
 
 def score_texts(texts: pa.Array, net: Network) -> np.ndarray:

@@ -96,7 +96,6 @@ def test_tokens_equal_the_library():
 
     t = ["", "The, <|endoftext|> it's, é. 12,5. ...", "don't. WE'LL, \u00a0 A\u030angstrom. \u2014, no.", "word " * 300, "x" * 3000]
     library = Tokenizer.from_file(token_store.tokenizer_path())
-    library.encode_special_tokens = True
     ids, sizes = token_store.encoder(token_store.tokenizer_path()).encode(*text.buffers(pa.array(t)))
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids + [2] for e in library.encode_batch(t, add_special_tokens=False)]
     assert zlib.crc32(ids[: sizes[0]].astype("<u4").tobytes()) == zlib.crc32(b"\2\0\0\0")
@@ -115,8 +114,8 @@ def test_portions_find_the_links_of_brute_force(ts):
     levels = np.zeros(ngram_join.SLOTS, np.uint8)
     levels[ngram_join.slots(w.hashes)] = (ngram_join.slots(w.hashes) % 3).astype(np.uint8)
     own = ngram_join.shingle_sets(w, levels)
-    assert [len(s) for s in own] == [len(s) for s in sets]
-    some = [i for i, s in enumerate(own) if len(s)]
+    assert [len(t) for t, _ in own] == [len(s) for s in sets]
+    some = [i for i, (t, _) in enumerate(own) if len(t)]
     if not some:
         return
     portion = ngram_join.Portion(some, some, [own[i] for i in some])

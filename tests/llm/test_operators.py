@@ -54,7 +54,16 @@ def test_ngram_join(docs, empty, spark):
     assert ngram_join.ngram_components(empty).count() == 0
     kept = ngram_join.keep_one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "4", "5", "6", "8", "9", "None"])
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "4", "5", "6", "8", "9"])
+
+
+def test_ngram_join_tells_texts_of_one_id_apart(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(6, a), (6, b), (7, a), (8, b), (None, "a b c d e f g"), (None, "a b c d e f g"), (None, None), (3, ""), (3, ""), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs).collect()))) == sorted(map(str, [(6, 2, 6), (6, 2, 6), (7, 2, 6), (8, 2, 6), (None, 3, None), (None, 3, None), (None, 0, None), (3, 0, 3), (3, 0, 3), (3, 0, 3)]))
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in ngram_join.keep_one_of_each(docs).collect())
+    assert kept == sorted([("6", a), ("6", b), ("None", "a b c d e f g"), ("None", "None"), ("3", ""), ("3", "None")])
 
 
 def test_ngram_join_chain_is_one_component(spark):
