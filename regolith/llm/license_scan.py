@@ -5,9 +5,11 @@ stand consecutively, found by comparing word hashes.  The method's own notices
 may be misspelt: a notice of m characters may have k = min(4, m // 10) edits
 (1 at least).  It is split into k + 1 pieces, of which one must stand unedited
 in any such occurrence (pigeonhole); an automaton over all pieces finds these
-seeds in one pass, and edit distances of each seed's two sides give all spans
-within the bound and their edits.  Of overlapping spans the one with the fewest
-edits stays (then the longest, the first, the smallest label).
+seeds in one pass.  From a seed's place the regex library matches the notice's
+two sides with bounded errors, backwards to its left and forwards to its right,
+which gives the edits and the span.  Of overlapping spans the one with the
+fewest edits stays (then the longest, the first, the smallest label); a seed
+whose span is overlapped is matched again in the room that is left to it.
 
 Texts are lower-cased in A-Z and read whole.  Spans count characters.  A null
 or empty text has no words, no labels and score 0; the score is 1 for a base
@@ -18,6 +20,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from functools import cache
 
 import numpy as np
@@ -73,56 +77,63 @@ def _automaton():
     return automaton
 
 
-def _reach(part: str, text: str, most: int) -> dict[int, int]:
-    """Lengths of text's beginnings within `most` edits of the part, and their edits."""
-    row = {j: j for j in range(min(most, len(text)) + 1)}
-    for i, c in enumerate(part, 1):
-        above, row = row, {}
-        for j in range(max(0, i - most), min(len(text), i + most) + 1):
-            edits = above.get(j, most) + 1
-            if j:
-                edits = min(edits, row.get(j - 1, most) + 1, above.get(j - 1, most + 1) + (text[j - 1] != c))
-            if edits <= most:
-                row[j] = edits
-        if not row:
-            break
-    return row
-
-
-def _sides(text: str, at: int, end: int, k: int, offset: int) -> tuple[dict[int, int], dict[int, int]]:
-    """Of a seed at text[at:end]: lengths before and after it that fit its notice, and their edits."""
+@cache
+def _side(part: str, most: int, back: bool):
+    """Fuzzy pattern of a notice's side: the match with the fewest edits, read backwards where it ends at the seed."""
+    import regex
+
+    return regex.compile(f"(?{'r' if back else ''}bs)(?:{regex.escape(part, special_only=False)}){{e<={most}}}")
+
+
+def _side_match(text: str, part: str, most: int, lo: int, hi: int, back: bool) -> tuple[int, int] | None:
+    """Fewest edits with which the side fits text that ends at hi (begins at lo), and how much text it takes then, the most possible."""
+    if not part:
+        return 0, 0
+    found = _side(part, most, back).match(text, max(lo, hi - len(part) - most) if back else lo, hi if back else min(hi, lo + len(part) + most))
+    if found is None:
+        return None
+    edits = sum(found.fuzzy_counts)
+    for size in range(min(len(part) + edits, hi - lo), found.end() - found.start(), -1):
+        if _side(part, edits, back).fullmatch(text, hi - size if back else lo, hi if back else lo + size):
+            return edits, size
+    return edits, found.end() - found.start()
+
+
+def _match(text: str, seed: tuple[int, int, int, int], lo: int, hi: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of a seed's notice within text[lo:hi], or None beyond its bound."""
+    at, end, k, offset = seed
     notice, most = NOTICES[k][0], edits_allowed(NOTICES[k][0])
-    before = _reach(notice[:offset][::-1], text[max(0, at - offset - most) : at][::-1], most)
-    rest = notice[offset + end - at :]
-    return before, _reach(rest, text[end : end + len(rest) + most], most) if before else {}
+    before = _side_match(text, notice[:offset], most, lo, at, True)
+    if before is None:
+        return None
+    after = _side_match(text, notice[offset + end - at :], most - before[0], end, hi, False)
+    return None if after is None else (before[0] + after[0], at - before[1], end + after[1])
 
 
 def find_notices(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, edits, notice) of a lower-cased text, overlaps resolved, in order.
+    """(start, end, edits, notice) of a lower-cased text, overlaps resolved, in order."""
+    queue: list[tuple] = []
+
+    def push(seed, lo, hi):
+        if (m := _match(text, seed, lo, hi)) is not None:
+            heapq.heappush(queue, (m[0], m[1] - m[2], m[1], NOTICES[seed[2]][1], m[2], seed))
 
-    All spans within a notice's edits are weighed: each holds a seed, and from the seed's place its two
-    sides are read apart.  Spans are taken by rising edits, and seeds in a span taken are done.
-    """
-    seeds = []
     for last, (size, owners) in _automaton().iter(text):
-        at, end = last - size + 1, last + 1
         for k, offset in owners:
-            before, after = _sides(text, at, end, k, offset)
-            if before and after and (least := min(before.values()) + min(after.values())) <= edits_allowed(NOTICES[k][0]):
-                seeds.append((least, at, end, k, offset))
-    kept: list[tuple[int, int, int, int]] = []
-    taken = bytearray(len(text) if seeds else 0)
-    for edits in range(max(edits_allowed(n) for n, _ in NOTICES) + 1):
-        seeds = [s for s in seeds if edits <= edits_allowed(NOTICES[s[3]][0]) and taken.find(1, s[1], s[2]) < 0]
-        spans = set()
-        for least, at, end, k, offset in seeds:
-            if least <= edits:
-                before, after = _sides(text, at, end, k, offset)
-                spans.update((at - i, end + j, k) for i, x in before.items() for j, y in after.items() if x + y == edits)
-        for start, end, k in sorted(spans, key=lambda f: (f[0] - f[1], f[0], NOTICES[f[2]][1])):
-            if taken.find(1, start, end) < 0:
-                taken[start:end] = b"\x01" * (end - start)
-                kept.append((start, end, edits, k))
+            push((last - size + 1, last + 1, k, offset), 0, len(text))
+    starts, ends, kept = [], [], []  # of the spans taken, in order
+    while queue:
+        edits, _, start, _, end, seed = heapq.heappop(queue)
+        i = bisect_left(starts, seed[1])  # spans that begin before the seed's end
+        lo, hi = ends[i - 1] if i else 0, starts[i] if i < len(starts) else len(text)
+        if seed[0] < lo:
+            continue
+        if start < lo or end > hi:
+            push(seed, lo, hi)
+            continue
+        starts.insert(i, start)
+        ends.insert(i, end)
+        kept.append((start, end, edits, seed[2]))
     return sorted(kept)
 
 
@@ -131,13 +142,13 @@ def base_places(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc = w.doc_of()
     out = []
     for k, (phrase, _) in enumerate(BASE):
-        h = words_of(*buffers(pa.array([phrase])), ALNUM).hashes
-        n = len(w.hashes) - len(h) + 1
+        own = words_of(*buffers(pa.array([phrase])), ALNUM)
+        h, n = own.hashes, len(w.hashes) - len(own.hashes) + 1
         if n <= 0:
             continue
         fits = np.ones(n, bool)
-        for j, x in enumerate(h):
-            fits &= w.hashes[j : j + n] == x
+        for j, (x, check) in enumerate(zip(h, own.checks, strict=True)):
+            fits &= (w.hashes[j : j + n] == x) & (w.checks[j : j + n] == check)
         at = np.flatnonzero(fits)
         at = at[doc[at] == doc[at + len(h) - 1]]
         out.append(np.stack([doc[at], at - w.offsets[doc[at]], np.full(len(at), k)]))
@@ -179,5 +190,19 @@ def op5_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_license_scan": op5_license_scan}
-SQL: dict[str, str] = {}
+def license_base(spark, sf_dir):
+    """The columns of op5_license_scan that its base phrases alone decide."""
+    return op5_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+QUERIES = {"op5_license_scan": op5_license_scan, "license_base": license_base}
+_PHRASES = ", ".join(f"(['{phrase.replace(' ', chr(39) + ', ' + chr(39))}'], '{label}')" for phrase, label in BASE)
+SQL = {
+    "license_base": rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+p as (select * from (values {_PHRASES}) t(phrase, label)),
+h as (select doc_id, label, i - 1 as i from (select doc_id, w, phrase, label, unnest(range(1, len(w) - len(phrase) + 2)) as i from d, p) where w[i:i + len(phrase) - 1] = phrase),
+f as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from h group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels
+from d left join f using (doc_id)"""
+}

@@ -7,7 +7,8 @@ min(most * size, t * weight): the sources that stop are those with the
 smallest size for their weight, so one sorted pass over the sources finds t.
 
 Within a source every document is expected rate = target / size times.  The
-documents stand in order of their size (equal sizes: by a hash of the id), the
+documents stand in order of their size (equal sizes: by a hash of the id, then of
+the whole row), the
 expected copies are summed up along that order from a random offset of the
 source, and a document is emitted once per integer that its span of the sum
 crosses.  So each document comes floor(rate) or ceil(rate) times, and each
@@ -20,7 +21,8 @@ partition, and the counts are summed up over partitions.
 
 A null or empty text has size 0 and counts as any other document; a source of
 empty documents has target 0 and none is taken.  Null is a source of its own,
-after all others.  Repeated rows are separate documents.  An empty table gives
+after all others.  Repeated rows are separate documents; a large group of them
+fills several partitions.  Sources are few: their targets are found in one task.  An empty table gives
 an empty result; further columns are not read by mix_plan.
 """
 
@@ -36,6 +38,8 @@ from regolith.llm.store import Scratch, table
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
+#: Copies of one row that a task makes at most.
+PIECE = 256
 
 
 def word_count(text: Column) -> Column:
@@ -47,6 +51,13 @@ def uniform(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def _row_digest(docs: DataFrame) -> Column:
+    """128 bits of all columns, so that rows that share it are interchangeable (two hashes of different seeds)."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    nulls = F.concat(*[c.isNull().cast("int").cast("string") for c in columns])
+    return F.concat_ws("-", F.hex(F.xxhash64(*columns, nulls)), F.hex(F.xxhash64(F.lit("second"), nulls, *columns)))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """From (source, source_size): adds target.  One row per source, so a single sorted pass."""
     order = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
@@ -64,16 +75,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, copies, taken."""
+    """Per row: doc_id, source, size, source_size, target, copies, digest (of the whole row), taken."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _row_digest(docs).alias("digest"), F.monotonically_increasing_id().alias("row_no"))
     # Written down, as the range partitioning below reads its input twice.
     rows = scratch.keep(rows.withColumn("h", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))), "sizes")
-    keys = ["source", "size", "h"]
+    keys = ["source", "size", "h", "digest", "row_no"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, *keys)
-    here = Window.partitionBy("part", "source").orderBy("size", "h", "doc_id")
+    here = Window.partitionBy("part", "source").orderBy("size", "h", "digest", "row_no")
     placed = scratch.keep(ranged.withColumn("part", F.spark_partition_id()), "placed")
     counts = scratch.keep(placed.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum(F.col("size").cast("double")).alias("words")), "counts")
     targets = source_targets(counts.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
@@ -85,27 +96,24 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     i = (F.col("before") + F.col("here") - 1).cast("double")
     copies = (F.floor(start + rate * (i + 1.0)) - F.floor(start + rate * i)).cast("long")
     out = placed.withColumn("here", F.row_number().over(here)).join(facts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
-    return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", "digest", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed rows, all columns as they were: a row is repeated as often as the plan copies it.
 
-    Copies are looked up by id, source and size; rows that share these are interchangeable to the plan, and its
-    counts for them are dealt out row by row.
+    Copies are looked up by a digest of the whole row.  Rows alike in all columns are interchangeable: one of them is
+    repeated as often as the plan copies all of them, in pieces of PIECE rows that are dealt over the tasks.
     """
     plan = mix_plan(docs, id_col, text_col, source_col, **options)
-    keys = ["mix_id__", "mix_source__", "mix_size__"]
-    counts = plan.select(F.col("doc_id").alias(keys[0]), F.col("source").alias(keys[1]), F.col("size").alias(keys[2]), "copies")
-    counts = counts.groupBy(*keys).agg(F.sum("copies").alias("mix_copies__"), F.count("*").alias("mix_rows__")).filter("mix_copies__ > 0")
-    here = F.col(id_col).cast("long").eqNullSafe(F.col(keys[0])) & F.col(source_col).eqNullSafe(F.col(keys[1])) & (word_count(F.col(text_col)) == F.col(keys[2]))
-    joined = docs.join(counts, here)
-    # One row: its copies. Several alike: the plan's copies are spread over them, the first ones getting the rest.
-    alone = joined.filter("mix_rows__ = 1").withColumn("mix_n__", F.col("mix_copies__"))
-    order = Window.partitionBy(*keys).orderBy(F.monotonically_increasing_id())
-    several = joined.filter("mix_rows__ > 1").withColumn("mix_n__", F.floor(F.col("mix_copies__") / F.col("mix_rows__")) + F.when(F.row_number().over(order) <= F.col("mix_copies__") % F.col("mix_rows__"), 1).otherwise(0))
-    every = alone.unionByName(several).filter("mix_n__ > 0")
-    return every.withColumn("mix_k__", F.explode(F.sequence(F.lit(1), F.col("mix_n__").cast("int")))).select(*docs.columns)
+    counts = plan.groupBy(F.col("digest").alias("mix_digest__")).agg(F.sum("copies").alias("mix_copies__"), F.count("*").alias("mix_rows__")).filter("mix_copies__ > 0")
+    own = docs.withColumn("mix_own__", _row_digest(docs))
+    joined = own.join(counts, F.col("mix_own__") == F.col("mix_digest__"))
+    alone = joined.filter(f"mix_rows__ = 1 and mix_copies__ <= {PIECE}").withColumn("mix_n__", F.col("mix_copies__").cast("int"))
+    several = joined.filter(f"mix_rows__ > 1 or mix_copies__ > {PIECE}").dropDuplicates(["mix_own__"])
+    pieces = several.withColumn("mix_piece__", F.explode(F.sequence(F.lit(0), F.floor((F.col("mix_copies__") - 1) / PIECE).cast("int"))))
+    dealt = pieces.repartition("mix_own__", "mix_piece__").withColumn("mix_n__", F.least(F.lit(PIECE), F.col("mix_copies__") - F.col("mix_piece__") * PIECE).cast("int")).drop("mix_piece__")
+    return alone.unionByName(dealt).withColumn("mix_k__", F.explode(F.sequence(F.lit(1), F.col("mix_n__")))).select(*docs.columns)
 
 
 def op7_mix_sources(spark, sf_dir):

@@ -1,22 +1,29 @@
 """URL filter by a bit-parallel wildcard automaton.
 
-Glob rules (`*` any run of characters, `?` any one) are packed into the bits
-of multiword Shift-And masks.  All rules step together over each canonical URL
-(host and path), one URL of the batch per row of a numpy array: for each
-character position there are a handful of vector operations, whatever the
+Glob rules (`*` any run of characters, `?` any one character, of whatever number
+of bytes) are packed into the bits of multiword Shift-And masks.  All rules step
+together over each canonical URL, one URL of the batch per row of a numpy array:
+for each byte position there are a handful of vector operations, whatever the
 number of rules.
 
 A base rule (host, path) becomes two globs, `host` + path + `*` and `*.host` +
-path + `*`, in which the `*` before a host may not cross a slash.  The longest
-base rule that fits decides; where none fits, the method's own globs block, and
-else the URL is allowed.
-
-A null URL or one without `://` has an empty host and path, fits no rule and
-is allowed.  Repeated rows give repeated results; an empty table an empty one.
+path + `*`, in which the `*` before a host may not cross a slash; they run over
+host + path as they stand.  The longest base rule that fits decides; where none
+fits, the method's own globs block, and else the URL is allowed.  Own globs run
+over a key in which spellings of one place agree: no user name, default port or
+final dot of the host, no `.` steps or doubled slashes in the path, escapes of
+letters, digits and `-._~` resolved (twice escaped ones once).
+
+Rules may be given as a table (verdict, host, path) of at most RULES rows, which
+goes to every task.  A null URL or one without `://` has an empty host and path,
+fits no rule and is allowed.  Repeated rows give repeated results; an empty
+table an empty one; further columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +42,14 @@ BASE_RULES = (
 )
 #: The method's own globs, over host + path; `*` in them crosses everything.
 BLOCK_GLOBS = ("*casino-win.*", "*cheap-pills.*", "*free-bets.*", "*spam-farm.*", "*ads-track.*", "*adult-x.*")
+#: Rows of a table of rules at most.
+RULES = 10_000
 # Tokens of a glob besides its bytes.
 _HOST_RUN, _ANY_RUN, _ANY_ONE = -1, -2, -3
+_FURTHER = list(range(0x80, 0xC0))  # bytes within a character of UTF-8
+_STARTS = [b for b in range(256) if b not in _FURTHER]
+_ESCAPE = re.compile("%([0-9A-Fa-f]{2})")
+_PLAIN = set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-._~")
 
 
 def base_name(rule: tuple[str, str, str]) -> str:
@@ -65,7 +78,9 @@ class Automaton:
                     self._set(self.loop, bit, [b for b in range(256) if b != 47])
                 else:
                     bit += 1
-                    self._set(self.step, bit, slice(None) if t == _ANY_ONE else t)
+                    self._set(self.step, bit, _STARTS if t == _ANY_ONE else t)
+                    if t == _ANY_ONE:  # stays on the further bytes of its character
+                        self._set(self.loop, bit, _FURTHER)
             self.final.append((bit // 64, np.uint64(1) << np.uint64(bit % 64)))
             at += size
 
@@ -114,24 +129,60 @@ def canonical(url) -> tuple:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
+def place_key(host: str, path: str) -> str:
+    """Host and path in the spelling that own globs are matched with."""
+    resolve = lambda t: _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if int(m[1], 16) in _PLAIN else m[0], t)
+    if "%" in host or "%" in path:
+        host, path = resolve(host).lower(), resolve(path)
+    host = re.sub(":(80|443)?$", "", host.rpartition("@")[2]).rstrip(".")
+    if "//" in path or "/." in path:
+        steps: list[str] = []
+        parts = path.split("/")
+        for k, x in enumerate(parts):
+            if x == ".." and len(steps) > 1:
+                steps.pop()
+            elif k and (x in (".", "..") or not x) and k < len(parts) - 1:
+                continue
+            elif x not in (".", ".."):
+                steps.append(x)
+            if x in (".", "..") and k == len(parts) - 1:
+                steps.append("")
+        path = "/".join(steps)
+    return host + path
+
+
+def _rows(rules) -> list[tuple[str, str, str]]:
+    if not isinstance(rules, DataFrame):
+        return list(rules)
+    found = [tuple(r) for r in rules.select("verdict", "host", "path").limit(RULES + 1).collect()]
+    if len(found) > RULES:
+        raise ValueError(f"more than {RULES} rules")
+    return found
+
+
 def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=BASE_RULES, block_globs=BLOCK_GLOBS) -> DataFrame:
     """Per row: page_id, host, path, rule, verdict, blocked_by (the method's glob, else null)."""
     host, path = canonical(F.col(url_col))
-    ranked = sorted(rules, key=lambda r: -len(base_name(r)))
+    ranked = sorted(_rows(rules), key=lambda r: -len(base_name(r)))
     globs = [g for r in ranked for g in (_glob(r[1]) + _glob(r[2]) + [_ANY_RUN], [_HOST_RUN] + _glob("." + r[1]) + _glob(r[2]) + [_ANY_RUN])]
-    globs += [_glob(g) for g in block_globs]
+    own_globs = [_glob(g) for g in block_globs]
     names = [base_name(r) for r in ranked]
     verdicts = [r[0] for r in ranked]
     own = list(block_globs)
 
     def judge(batches):
-        automaton = Automaton(globs)
-        for batch in batches:
-            buf, offs = buffers(batch.column("key"))
+        ruled, blocked = Automaton(globs), Automaton(own_globs)
+
+        def fitting(automaton, keys):
+            buf, offs = buffers(keys)
             parts = [automaton.run(buf, offs[i : j + 1]) for i, j in slices(offs, 1 << 20)]
-            hit = np.concatenate(parts) if parts else np.zeros((0, len(globs)), bool)
-            base = hit[:, : 2 * len(names)].reshape(len(hit), len(names), 2).any(2)
-            extra = hit[:, 2 * len(names) :]
+            return np.concatenate(parts) if parts else np.zeros((0, len(automaton.final)), bool)
+
+        for batch in batches:
+            hit = fitting(ruled, batch.column("key"))
+            base = hit.reshape(len(hit), len(names), 2).any(2)
+            keys = [place_key(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            extra = fitting(blocked, pa.array(keys, pa.string()))
             rule, verdict, why = [], [], []
             for b, x in zip(base, extra, strict=True):
                 k = int(b.argmax()) if b.any() else -1
@@ -151,13 +202,14 @@ def op6_url_filter(spark, sf_dir):
 
 def _sql() -> str:
     fits = "\n       ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{h}{p}'" for _, h, p in sorted(BASE_RULES, key=lambda r: -len(base_name(r))))
-    own = "\n       ".join(f"when host || path like '{g.replace('*', '%')}' then '{g}'" for g in BLOCK_GLOBS)
+    own = "\n       ".join(f"when place like '{g.replace('*', '%')}' then '{g}'" for g in BLOCK_GLOBS)
     blocked = ", ".join(f"'{base_name(r)}'" for r in BASE_RULES if r[0] == "block")
     return f"""
 with a as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 h as (select page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
              regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from a),
-r as (select page_id, host, path, case {fits} end as rule, case {own} end as blocked_by from h)
+k as (select *, regexp_replace(regexp_replace(host, '^.*@', ''), '[.]*(:(80|443)?)?$', '') || regexp_replace(path, '/+', '/', 'g') as place from h),
+r as (select page_id, host, path, case {fits} end as rule, case {own} end as blocked_by from k)
 select page_id, host, path, rule, case when rule in ({blocked}) or rule is null and blocked_by is not null then 'block' else 'allow' end as verdict, blocked_by
 from r"""
 
