@@ -27,9 +27,11 @@ passages hardly ever stand in a prefix.
 
 Every pair of a link shares a prefix token, and such a pair is either compared
 in a block or already known to be connected, so no link between components is
-lost.  No pair is ever a row; a group of near copies costs one row a member and
-portion.  Tokens are 59-bit hashes, and each carries another 32 bits of its
-words' hashes, which have to agree as well before a token counts as common.
+lost.  No pair is ever a row: a block gives links until its members are
+connected, so at most one a member, and large blocks are dealt over several
+tasks.  Tokens are 59-bit hashes, and each carries another 16 bits of its
+words' hashes (32 in a set's digest), which have to agree as well before a
+token counts as common.
 Joins on a component's or a hub's key are left to Spark's skew-join handling.
 
 A null or empty text has an empty set and no links.  A null doc_id takes part
@@ -64,6 +66,8 @@ TRACKED, PART = 4096, 512
 FILTER_BITS = 1 << 26
 #: Tokens of the portion of a block that is held in memory.
 PORTION = 1 << 20
+#: Members of a block that one task compares with a portion.
+SLICE = 2048
 _U = np.uint64
 _LOW = _U((1 << 59) - 1)
 _ORDERS = tuple(_U(x) for x in (0x13198A2E03707344, 0xA4093822299F31D0))
@@ -187,7 +191,7 @@ def _whole_sets(levels, wanted):
                     key = _digest(tokens, checks)
                     if bits is None or _may_hold(bits, key):
                         keys.append(key)
-                        data.append(tokens.tobytes() + checks.tobytes())
+                        data.append(tokens.tobytes() + checks.astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["key", "tokens"])
 
     return run
@@ -224,10 +228,12 @@ def common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -
 
 
 class Portion:
-    """The held side of a block; match() finds the links of one more set."""
+    """The held side of a block; match() finds links of one more set, one to each component that is not yet known to be its own."""
 
     def __init__(self, nodes: list[int], roots: list[int], sets: list[tuple[np.ndarray, np.ndarray]]):
         self.nodes, self.roots, self.sets = np.array(nodes), np.array(roots), sets
+        self.group = self.roots.copy()  # components, as links join them
+        self.joined: dict[int, int] = {}
         self.sizes = np.array([len(t) for t, _ in sets])
         prefixes = [[t[: prefix_size(len(t))], *other_prefixes(t)] for t, _ in sets]
         self.filters = [_Index([p[k] for p in prefixes]) for k in range(1 + len(_ORDERS))]
@@ -235,7 +241,9 @@ class Portion:
 
     def match(self, node: int, root: int, own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         tokens, n = own[0], len(own[0])
-        fits = (self.roots != root) & (100 * np.minimum(self.sizes, n) >= THRESHOLD * np.maximum(self.sizes, n))
+        while root in self.joined:
+            root = self.joined[root]
+        fits = (self.group != root) & (100 * np.minimum(self.sizes, n) >= THRESHOLD * np.maximum(self.sizes, n))
         for index, prefix in zip(self.filters, [tokens[: prefix_size(n)], *other_prefixes(tokens)], strict=True):
             if not fits.any():
                 return np.empty(0, np.int64)
@@ -245,7 +253,12 @@ class Portion:
             shared = self.whole.counts(*own)[left]
         else:
             shared = np.array([common(self.sets[k], own) for k in left], np.int64)
-        return self.nodes[left[100 * shared >= THRESHOLD * (self.sizes[left] + n - shared)]]
+        linked = left[100 * shared >= THRESHOLD * (self.sizes[left] + n - shared)]
+        others, at = np.unique(self.group[linked], return_index=True)
+        if len(others):
+            self.group[np.isin(self.group, others)] = root
+            self.joined.update(dict.fromkeys(others.tolist(), root))
+        return self.nodes[linked[at]]
 
 
 def _compare(batches):
@@ -256,8 +269,8 @@ def _compare(batches):
         for block, part, side, node, root, data in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "side", "node", "root", "tokens")), strict=True):
             if (block, part) != now:
                 now, held, portion = (block, part), ([], [], []), None
-            n = len(data) // 12
-            own = (np.frombuffer(data, _U, n), np.frombuffer(data, np.uint32, n, 8 * n))
+            n = len(data) // 10
+            own = (np.frombuffer(data, _U, n), np.frombuffer(data, np.uint16, n, 8 * n))
             if side == 0:
                 for x, y in zip(held, (node, root, (own[0].copy(), own[1].copy())), strict=True):
                     x.append(y)
@@ -281,13 +294,13 @@ def _fits(small, large):
     return F.lit(100) * F.floor(small / 2) >= F.lit(THRESHOLD) * F.floor(large / 2)
 
 
-def _matched(rows: DataFrame, unsplit) -> DataFrame:
+def _matched(rows: DataFrame) -> DataFrame:
     """Rows (token, part, node, m) without those of whole groups that no other member can match by size."""
     by_size = Window.partitionBy("token", "part").orderBy("m", "node")
     below = F.max(F.when(F.col("m") % 2 == 0, F.col("m"))).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
     near = rows.withColumn("below", below).withColumn("above", F.lead("m").over(by_size))
     fine = _fits(F.col("below"), F.col("m")) | ((F.col("m") % 2 == 0) & _fits(F.col("m"), F.col("above")))
-    return near.filter(~unsplit | fine).drop("below", "above")
+    return near.filter((F.col("part") >= 0) | fine).drop("below", "above")
 
 
 class Join:
@@ -311,15 +324,15 @@ class Join:
 
     def links(self, members: DataFrame, name: str) -> DataFrame:
         """Links of blocks given by rows block, part, side (0: held, 1: to compare), node, root."""
-        ends = self.scratch.keep(members.select("node").distinct().join(self.nodes.select("node", "key"), "node"), f"{name}-ends")
-        wanted = self._filter(ends)
+        keyed = self.scratch.keep(members.join(self.nodes.select("node", "key"), "node"), f"{name}-keyed")
+        wanted = self._filter(keyed.select("key").distinct())
         sets = self.docs.mapInArrow(_whole_sets(self.levels, wanted), "key binary, tokens binary").dropDuplicates(["key"])
-        full = sets.join(ends, "key").select("node", "tokens").join(members, "node")
-        ordered = full.select("block", "part", "side", "node", "root", "tokens").repartition(self.parts, "block", "part").sortWithinPartitions("block", "part", "side")
+        full = sets.join(keyed, "key").select("block", "part", "side", "node", "root", "tokens")
+        ordered = full.repartition(self.parts, "block", "part").sortWithinPartitions("block", "part", "side")
         found = self.scratch.keep(ordered.mapInArrow(_compare, "a long, b long"), f"{name}-links")
         if wanted:
             wanted.destroy()
-        self.scratch.drop(f"{name}-ends")
+        self.scratch.drop(f"{name}-keyed")
         return found
 
     def _levels(self, profile: DataFrame) -> None:
@@ -330,18 +343,18 @@ class Join:
         self.levels = self.spark.sparkContext.broadcast(levels)  # SLOTS bytes
 
     def groups(self) -> DataFrame:
-        """Rows (token, part, parts, node, m, lead, lead_m): the members of tokens' groups and what each points to."""
+        """Rows (token, part, node, m, lead, lead_m): the members of tokens' groups and what each points to; part is -1 where the group is whole."""
         found = self.docs.mapInArrow(_prefixes(self.levels), "key binary, short int, tokens array<long>").dropDuplicates(["key"])
         prefixes = self.scratch.keep(found.join(self.nodes.select("key", "node", "n"), "key").select("node", "n", "short", "tokens"), "prefixes")
         top = prefixes.select(F.explode("tokens").alias("token")).agg(F.expr(f"approx_top_k(token, {TRACKED // 2}, {TRACKED})").alias("top"))
         often = top.select(F.explode("top").alias("top")).select(F.col("top.item").alias("token"), F.ceil(F.col("top.count") / PART).cast("int").alias("parts")).filter("parts > 1")
         self.often = F.broadcast(self.scratch.keep(often, "often"))  # TRACKED / 2 short rows at most
         tokens = prefixes.select("node", "n", "short", F.posexplode("tokens").alias("pos", "token")).select("token", "node", (F.col("n") * 2 + (F.col("pos") >= F.col("short")).cast("long")).alias("m"))
-        tokens = tokens.join(self.often, "token", "left").select("token", F.coalesce("parts", F.lit(1)).alias("parts"), "node", "m").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        near = _matched(tokens, F.col("parts") == 1)
+        tokens = tokens.join(self.often, "token", "left").select("token", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(-1)).alias("part"), "node", "m")
+        near = _matched(tokens)
         group = Window.partitionBy("token", "part")
-        near = near.withColumn("lead", F.min(F.struct("node", "m")).over(group)).withColumn("last", F.max("node").over(group)).filter("parts > 1 or lead.node <> last")
-        found = self.scratch.keep(near.select("token", "part", "parts", "node", "m", F.col("lead.node").alias("lead"), F.col("lead.m").alias("lead_m")), "groups")
+        near = near.withColumn("lead", F.min(F.struct("node", "m")).over(group)).withColumn("last", F.max("node").over(group)).filter("part >= 0 or lead.node <> last")
+        found = self.scratch.keep(near.select("token", "part", "node", "m", F.col("lead.node").alias("lead"), F.col("lead.m").alias("lead_m")), "groups")
         self.scratch.drop("prefixes")
         return found
 
@@ -356,26 +369,30 @@ class Join:
         groups = self.groups()
 
         # The smallest nodes of a split group's parts point to the smallest of all.
-        heads = groups.filter("parts > 1 and node = lead").select("token", "node", "m")
+        heads = groups.filter("part >= 0 and node = lead").select("token", "node", "m")
         upper = heads.withColumn("top", F.min(F.struct("node", "m")).over(Window.partitionBy("token"))).select("node", "m", F.col("top.node").alias("lead"), F.col("top.m").alias("lead_m"))
         pair = groups.select("node", "m", "lead", "lead_m").unionByName(upper).filter("node <> lead").filter(_fits(F.least("m", "lead_m"), F.greatest("m", "lead_m"))).groupBy("node", "lead").agg(F.count("*").alias("c"))
         first = keep(pair.groupBy("node").agg(F.min(F.struct((-F.col("c")).alias("c"), "lead")).alias("best")).select(F.col("best.lead").alias("block"), "node"), "first")
-        sides = first.select("block", F.lit(0).alias("part"), F.lit(1).alias("side"), "node", F.col("node").alias("root"))
-        held = first.select("block").distinct().select("block", F.lit(0).alias("part"), F.lit(0).alias("side"), F.col("block").alias("node"), F.col("block").alias("root"))
+        many = first.groupBy("block").agg(F.ceil(F.count("*") / F.lit(SLICE)).cast("int").alias("slices"))
+        sides = first.join(many, "block").select("block", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("part"), F.lit(1).alias("side"), "node", F.col("node").alias("root"))
+        held = many.select("block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"), F.lit(0).alias("side"), F.col("block").alias("node"), F.col("block").alias("root"))
         links = self.links(held.unionByName(sides), "first")
         roots = components(links, self.scratch, "early")
 
         # Groups that still hold several components.
-        placed = keep(groups.select("token", "part", "parts", "node", "m").join(roots, "node", "left").select("token", "part", "parts", "node", "m", F.coalesce("root", "node").alias("root")), "placed")
+        placed = keep(groups.select("token", "part", "node", "m").join(roots, "node", "left").select("token", "part", "node", "m", F.coalesce("root", "node").alias("root")), "placed")
         drop("groups")
-        several = placed.groupBy("token").agg(F.min("root").alias("block"), F.max("root").alias("top"), F.first("parts").alias("n_parts")).filter("block <> top")
-        several = several.select("token", "block", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"))
-        open_ = _matched(placed.join(several, ["token", "part"]), F.col("parts") == 1)
+        several = placed.groupBy("token").agg(F.min("root").alias("block"), F.max("root").alias("top"), F.max("part").alias("last")).filter("block <> top")
+        several = several.select("token", "block", F.explode(F.sequence(F.least(F.lit(0), F.col("last")), F.col("last"))).alias("part"))
+        open_ = _matched(placed.join(several, ["token", "part"]))
         members = keep(open_.groupBy("block", "node").agg(F.min("root").alias("root"), F.min(F.floor(F.col("m") / 2)).alias("n")), "members")
-        portions = members.filter("root <> block").groupBy("block").agg(F.ceil(F.sum("n") / F.lit(PORTION)).cast("int").alias("portions"))
+        portions = members.groupBy("block").agg(F.ceil(F.sum(F.when(F.col("root") != F.col("block"), F.col("n"))) / F.lit(PORTION)).cast("int").alias("portions"), F.ceil(F.count("*") / F.lit(SLICE)).cast("int").alias("slices")).filter("portions > 0")
         spread = keep(members.join(portions, "block"), "spread")
-        held = spread.filter("root <> block").select("block", F.pmod(F.xxhash64("node"), F.col("portions")).cast("int").alias("part"), F.lit(0).alias("side"), "node", "root")
-        sides = spread.select("block", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("part"), F.lit(1).alias("side"), "node", "root")
+        steps = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        one_of = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+        part = (F.col("portion") * F.col("slices") + F.col("slice")).alias("part")
+        held = spread.filter("root <> block").select("*", one_of("portions").alias("portion"), steps("slices").alias("slice")).select("block", part, F.lit(0).alias("side"), "node", "root")
+        sides = spread.select("*", one_of("slices").alias("slice"), steps("portions").alias("portion")).select("block", part, F.lit(1).alias("side"), "node", "root")
         late = self.links(held.unionByName(sides), "late")
         self.levels.destroy()
         final = components(links.unionByName(late), self.scratch, "all")

@@ -46,7 +46,9 @@ END_ID = 2
 SHARD_BYTES = 3 << 20
 CACHE_WORDS = 700_000
 #: Pairs looked at in one round while the most frequent one occurs over RARE times; then all are.
-PAIRS_A_ROUND, RARE = 8192, 8
+PAIRS_A_ROUND, RARE = 16384, 24
+#: Slots of the table that tells places whose pair is rare already, and stays so.
+RARE_SLOTS = 1 << 20
 _MAGIC = b"RPTS2\0\0\0"
 #: Normalizers and the pattern that never look across white space.
 _SPACE_SAFE = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
@@ -149,20 +151,19 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _clash_free(pairs: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+def _clash_free(pairs: np.ndarray, counts: np.ndarray, bits: int, size: int) -> np.ndarray:
     """Which of the pairs to replace together: no symbol is the left of one and the right of another.
 
     Pairs are taken greedily, the most frequent first.
     """
     left, right = pairs >> pairs.dtype.type(bits), pairs & pairs.dtype.type((1 << bits) - 1)
-    order = np.argsort(-counts, kind="stable")
+    order = np.argsort(-counts.astype(np.int32))
     if counts[order[0]] > RARE:
         order = order[:PAIRS_A_ROUND]
-    lefts, rights, taken = set(), set(), []
+    lefts, rights, taken = bytearray(size), bytearray(size), []
     for k, a, b in zip(order.tolist(), left[order].tolist(), right[order].tolist(), strict=True):
-        if a not in rights and b not in lefts and (a != b or a not in lefts and a not in rights):
-            lefts.add(a)
-            rights.add(b)
+        if not (rights[a] or lefts[b]):
+            lefts[a] = rights[b] = 1
             taken.append(k)
     return np.sort(np.array(taken, np.int64))
 
@@ -170,6 +171,7 @@ def _clash_free(pairs: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
 def re_pair(symbols: np.ndarray, last: np.ndarray, base: int, least_count: int = 2, most_rules: int | None = None, least_gain: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols below `base` compressed: symbols, which of them end a document, rules (left, right), and expansion lengths of all symbols."""
     seq, last = symbols.astype(np.uint32), last.copy()
+    rare = np.zeros(max(len(seq) - 1, 0), bool)  # places whose pair occurs too seldom
     rules: list[np.ndarray] = []
     made, most = 0, most_rules if most_rules is not None else (1 << 31) - base
     length = np.ones(base, np.int64)
@@ -182,6 +184,7 @@ def re_pair(symbols: np.ndarray, last: np.ndarray, base: int, least_count: int =
             new = np.concatenate([[True], np.diff(twin) > 1])
             run = twin[new][np.cumsum(new) - 1]
             usable[twin[(twin - run) & 1 == 1]] = False
+        usable &= ~rare
         sorted_ = np.sort(key[usable])
         if not len(sorted_):
             break
@@ -191,7 +194,7 @@ def re_pair(symbols: np.ndarray, last: np.ndarray, base: int, least_count: int =
         if not len(often):
             break
         pairs, counts = sorted_[edge[often]], counts[often]
-        picked = pairs[_clash_free(pairs, counts, bits)][: most - made]  # sorted, as pairs are
+        picked = pairs[_clash_free(pairs, counts, bits, base + made)][: most - made]  # sorted, as pairs are
         left, right = (picked >> kind(bits)).astype(np.uint32), (picked & kind((1 << bits) - 1)).astype(np.uint32)
         starts, stops = np.zeros(base + made, bool), np.zeros(base + made, bool)
         starts[left], stops[right] = True, True
@@ -204,7 +207,16 @@ def re_pair(symbols: np.ndarray, last: np.ndarray, base: int, least_count: int =
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         gain = len(at) / len(seq)
-        seq, last = seq[stay], last[stay]
+        slot = lambda k: (k.astype(np.uint32) * np.uint32(0x9E3779B1) ^ (k >> kind(bits)).astype(np.uint32) * np.uint32(0x85EBCA6B)) % np.uint32(RARE_SLOTS)
+        frequent = np.zeros(RARE_SLOTS, bool)
+        frequent[slot(pairs)] = True
+        here = np.flatnonzero(usable)
+        rare[here[~frequent[slot(key[here])]]] = True
+        rare[at] = False
+        rare[at[at > 0] - 1] = False
+        seq, last, rare = seq[stay], last[stay], rare[stay[:-1]]
+        if len(rare) == len(seq):  # the last symbol was the right one of a pair
+            rare = rare[:-1]
         rules.append(np.stack([left, right], 1))
         length = np.concatenate([length, length[left] + length[right]])
         made += len(picked)
@@ -229,8 +241,10 @@ def write_shard(doc_ids: list, ids: np.ndarray, sizes: np.ndarray, **stops) -> b
     """The bytes of a shard: header, document table, alphabet, rules, expansion lengths, symbols."""
     last = np.zeros(len(ids), bool)
     last[np.cumsum(sizes) - 1] = True
-    alphabet, symbols = np.unique(ids, return_inverse=True)
-    base = len(alphabet)
+    alphabet = np.flatnonzero(np.bincount(ids))
+    number = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
+    number[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
+    symbols, base = number[ids], len(alphabet)
     seq, ends, rules, length = re_pair(symbols, last, base, **stops)
     first = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1]) if len(sizes) else np.empty(0, np.int64)
     bits = max(1, int(base + len(rules)).bit_length())

@@ -118,10 +118,21 @@ def test_portions_find_the_links_of_brute_force(ts):
     some = [i for i, (t, _) in enumerate(own) if len(t)]
     if not some:
         return
-    portion = ngram_join.Portion(some, some, [own[i] for i in some])
-    for i in some:
-        truth = [j for j in some if j != i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
-        assert sorted(portion.match(i, i, own[i]).tolist()) == truth
+    truth = {(i, j) for i in some for j in some if i != j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    for i in some:  # without other members there is nothing that is connected already
+        portion = ngram_join.Portion(some, some, [own[j] for j in some])
+        assert sorted(portion.match(i, i, own[i]).tolist()) == [j for j in some if (i, j) in truth]
+    portion = ngram_join.Portion(some, some, [own[j] for j in some])
+    links = [(i, j) for i in some for j in portion.match(i, i, own[i]).tolist()]
+    assert set(links) <= truth and len(links) < len(some) and _classes(links, some) == _classes(truth, some)
+
+
+def _classes(links, nodes):
+    of = {i: i for i in nodes}
+    for _ in nodes:
+        for a, b in links:
+            of[a] = of[b] = min(of[a], of[b])
+    return of
 
 
 def test_prefixes_hold_a_shared_token():
