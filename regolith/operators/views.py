@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,27 +36,21 @@ def overlaps(maplets: DataFrame, faces: DataFrame, size: float, cosine: float) -
 
 
 def select_views(candidates: DataFrame, most: int = 12, same: float = 2 * (1 - 0.99996)) -> DataFrame:
-    """Of each maplet's images (k, cam, v0-v2, s0-s2) the newest, then one by one that farthest from all chosen in view and Sun.
+    """Of each maplet's images (k, cam, v0-v2, s0-s2) the newest, then one by one that farthest from all chosen in view and Sun: k, place, cam.
 
-    Stops at `most` images or when the farthest is nearly a duplicate; of equal distances the newest wins.  One task a
-    maplet, whose images are few.
+    Stops at `most` images or when the farthest is nearly a duplicate; of distances equal to nine decimals the newest
+    image wins.  Every round is a window over the same partitioning, so there is one shuffle.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("cam", ascending=False)
-        g = rows[["v0", "v1", "v2", "s0", "s1", "s2"]].to_numpy(float)
-        chosen = [0]
-        far = np.full(len(g), np.inf)
-        while len(chosen) < min(most, len(g)):
-            far = np.minimum(far, ((g - g[chosen[-1]]) ** 2).sum(1))
-            far[chosen] = -1
-            k = int(far.argmax())
-            if far[k] <= same:
-                break
-            chosen.append(k)
-        return pd.DataFrame({"k": rows["k"].iloc[0], "place": range(len(chosen)), "cam": rows["cam"].to_numpy()[chosen]})
-
-    return candidates.groupBy("k").applyInPandas(run, "k long, place long, cam long")
+    axes = ["v0", "v1", "v2", "s0", "s1", "s2"]
+    own = Window.partitionBy("k")
+    d = candidates.select("k", "cam", *axes, F.lit(float("inf")).alias("far"), F.lit(None).cast("long").alias("place"))
+    for place in range(most):
+        left = F.col("place").isNull() & (F.col("far") > F.lit(same))
+        d = d.withColumn("next", F.max(F.when(left, F.struct("far", "cam", *axes))).over(own))
+        reach = sum((F.pow(F.col(x) - F.col(f"next.{x}"), 2) for x in axes[1:]), F.pow(F.col("v0") - F.col("next.v0"), 2))
+        taken = F.col("place").isNull() & (F.col("cam") == F.col("next.cam"))
+        d = d.select("k", "cam", *axes, F.least("far", F.round(reach, 9)).alias("far"), F.when(taken, F.lit(place)).otherwise(F.col("place")).cast("long").alias("place"))
+    return d.filter("place is not null").select("k", "place", "cam")
 
 
 def split_candidates(facts: DataFrame, most: int = 16, coverage: float = 0.25, points: int = 4, pixels: float = 2.0, level: int = 6) -> DataFrame:

@@ -25,13 +25,14 @@ def test_nearest_and_bounded_match_brute_force(spark):
     assert pairs == {(i, j) for i, j in zip(*np.nonzero(d <= 0.81), strict=True)}
 
 
-def test_registration_recovers_a_transform():
+def test_registration_recovers_a_transform(spark):
     rng = np.random.default_rng(1)
     src = rng.normal(size=(300, 3)) * [3, 2, 1]
     angle = 0.7
     r = np.array([[math.cos(angle), -math.sin(angle), 0], [math.sin(angle), math.cos(angle), 0], [0, 0, 1]])
-    s, got, t, error = register.align_arrays(src, 1.7 * src @ r.T + [1, -2, 3])
-    assert s == pytest.approx(1.7, rel=1e-3) and np.allclose(got, r, atol=1e-3) and np.allclose(t, [1, -2, 3], atol=1e-2)
+    fit = register.align(_points(spark, src, "id"), _points(spark, 1.7 * src @ r.T + [1, -2, 3], "id")).first()
+    got = np.array([[fit[f"r{i}{j}"] for j in range(3)] for i in range(3)])
+    assert fit["s"] == pytest.approx(1.7, rel=1e-3) and np.allclose(got, r, atol=1e-3) and np.allclose([fit["t0"], fit["t1"], fit["t2"]], [1, -2, 3], atol=1e-2)
 
 
 def test_sums_give_the_same_transform(spark):
@@ -70,17 +71,22 @@ def test_integration_restores_a_surface():
     assert np.abs((got - got.mean()) - (h - h.mean())).max() < 0.02
 
 
-def test_slopes_are_recovered():
+def test_slopes_are_recovered(spark):
     rng = np.random.default_rng(4)
-    n, images = 50, 6
-    p, q, rho = rng.uniform(-0.3, 0.3, n), rng.uniform(-0.3, 0.3, n), rng.uniform(0.4, 0.8, n)
-    sun = rng.normal(size=(images, 1, 3)) * 0.4 + [0, 0, 1]
-    view = rng.normal(size=(images, 1, 3)) * 0.3 + [0, 0, 1]
-    sun, view = (np.broadcast_to(a / np.linalg.norm(a, axis=-1, keepdims=True), (images, n, 3)) for a in (sun, view))
-    f, ci, ce = photometry._reflect(p, q, sun, view)
-    got_p, got_q, got_rho, count, ratio, rms = photometry.fit_slopes_arrays(rho * f, np.ones((images, n), bool), sun, view, p * 0, q * 0, np.full(n, 0.6), rounds=40)
-    fine = (count >= 3) & (ratio > 1e-3) & (rms < 1e-3)
-    assert fine.mean() > 0.8 and np.abs(got_p - p)[fine].max() < 0.05 and np.abs(got_rho - rho)[fine].max() < 0.05
+    rows = []
+    truth = {}
+    for k in range(50):
+        p, q, rho = rng.uniform(-0.3, 0.3), rng.uniform(-0.3, 0.3), rng.uniform(0.4, 0.8)
+        truth[k] = (p, q, rho)
+        for cam in range(6):
+            sun, view = rng.normal(size=3) * 0.4 + [0, 0, 1], rng.normal(size=3) * 0.3 + [0, 0, 1]
+            sun, view = sun / np.linalg.norm(sun), view / np.linalg.norm(view)
+            n = np.array([-p, -q, 1]) / math.sqrt(1 + p * p + q * q)
+            ci, ce = n @ sun, n @ view
+            rows.append((k, 0, 0, cam, float(rho * (0.5 * ci + ci / (ci + ce))), True, *map(float, sun), *map(float, view), 0.0, 0.0, 0.6))
+    o = spark.createDataFrame(rows, "k long, r long, c long, cam long, observed double, usable boolean, sx double, sy double, sz double, wx double, wy double, wz double, p double, q double, rho double")
+    got = [r for r in photometry.fit_slopes(o, 12).collect() if r["n"] >= 3 and r["ratio"] > 1e-3 and r["rms"] < 1e-3]
+    assert len(got) > 40 and all(abs(r["p"] - truth[r["k"]][0]) < 0.05 and abs(r["rho"] - truth[r["k"]][2]) < 0.05 for r in got)
 
 
 def test_view_selection_drops_duplicates(spark):
