@@ -131,15 +131,9 @@ _ROT = ", ".join("(" + ", ".join([str(k)] + [f"{x!r}::double" for row in g for x
 
 
 @query(f"""with {X.PTS}, rot(g, r00, r01, r02, r10, r11, r12, r20, r21, r22) as (values {_ROT}),
-q as (select g, id, {', '.join(f'r{i}0 * x + r{i}1 * y + r{i}2 * z as {a}' for i, a in enumerate('xyz'))} from rec, rot where id % 10 = 0), m as (select q.g, q.id, min({D2}) as d2 from q, ref r group by 1, 2), e as (select g::bigint as g, round(avg(sqrt(d2)), 6) as error from m group by g)
+q as (select g, id, {', '.join(f'r{i}0 * x + r{i}1 * y + r{i}2 * z as {a}' for i, a in enumerate('xyz'))} from rec, rot), m as (select q.g, q.id, min({D2}) as d2 from q, ref r group by 1, 2), e as (select g::bigint as g, round(avg(sqrt(d2)), 6) as error from m group by g)
 select g, error from e order by error, g limit 4""")
 def cube_rotations_rank(spark, sf):
-    q, r = _sides(spark, sf)
-    return _ranked(spark, q.filter("qid % 10 = 0"), r)
-
-
-@query(None)
-def cube_rotations_rank_whole(spark, sf):
     return _ranked(spark, *_sides(spark, sf))
 
 
@@ -166,16 +160,11 @@ def mesh_similarity(spark, sf):
 QP = "sin(i * 0.37::double) * 0.7::double as x, cos(i * 0.53::double) * 0.7::double as y"
 
 
-@query(f"""with {X.TRI}, p as (select i as pid, ((i * 7) % 160) * 0.01::double - 0.795::double as x, ((i * 13) % 160) * 0.01::double - 0.793::double as y from range(300) r(i)), t as (select * from geo where k = 0),
-j as (select pid, fid, x, y, ax, ay, az, bx - ax as bx, by_ - ay as by_, bz - az as bz, cx - ax as cx, cy - ay as cy, cz - az as cz from p, t), d as (select *, bx * cy - by_ * cx as det, x - ax as dx, y - ay as dy from j),
+@query(f"""with {X.TRI}, p as (select i as pid, ((i * 7) % 160) * 0.01::double - 0.795::double as x, ((i * 13) % 160) * 0.01::double - 0.793::double as y from range(300) r(i)), t as (select * from geo),
+j as (select k, pid, fid, x, y, ax, ay, az, bx - ax as bx, by_ - ay as by_, bz - az as bz, cx - ax as cx, cy - ay as cy, cz - az as cz from p, t), d as (select *, bx * cy - by_ * cx as det, x - ax as dx, y - ay as dy from j),
 u as (select *, (dx * cy - dy * cx) / det as u, (bx * dy - by_ * dx) / det as v from d where det <> 0), h as (select *, az + u * bz + v * cz as z from u where u >= -1e-6::double and v >= -1e-6::double and u + v <= 1.000001::double),
-b as (select pid, min(row(abs(z), fid, z)) as b from h where abs(z) <= 0.4::double group by pid) select p.pid, {S.micro('b[3]')} as z, b[2] as fid from p left join b using (pid)""")
+b as (select k, pid, min(row(abs(z), fid, z)) as b from h where abs(z) <= 0.4::double group by k, pid) select m.k as mesh, p.pid, {S.micro('b[3]')} as z, b[2] as fid from range(8) m(k) cross join p left join b on b.k = m.k and b.pid = p.pid""")
 def point_heights(spark, sf):
-    return _point_heights(spark, _faces(spark, sf).filter("mesh = 0"))
-
-
-@query(None)
-def point_heights_whole(spark, sf):
     """The points over each maplet's mesh."""
     return _each_mesh(_faces(spark, sf), lambda k, t: _point_heights(spark, t))
 
@@ -191,19 +180,14 @@ def _point_heights(spark, faces):
     return spatial.heights_on_plane(p, faces, 0.1, 0.4).select("pid", micro(F.col("z")).alias("z"), "fid")
 
 
-RAY = f"""{X.TRI}, t as (select * from geo where k = 0), o as (select r * 17 + c as rid, x as ox, y as oy, z + 1e-4::double as oz from hf where k = 0), ray as (select *, 0.6::double as dx, 0.0::double as dy, 0.8::double as dz, 1.5::double as far from o),
-m as (select rid, far, bx - ax as e1x, by_ - ay as e1y, bz - az as e1z, cx - ax as e2x, cy - ay as e2y, cz - az as e2z, ox - ax as sx, oy - ay as sy, oz - az as sz, dx, dy, dz from ray, t),
+RAY = f"""{X.TRI}, t as (select * from geo), o as (select k, r * 17 + c as rid, x as ox, y as oy, z + 1e-4::double as oz from hf), ray as (select *, 0.6::double as dx, 0.0::double as dy, 0.8::double as dz, 1.5::double as far from o),
+m as (select ray.k, rid, far, bx - ax as e1x, by_ - ay as e1y, bz - az as e1z, cx - ax as e2x, cy - ay as e2y, cz - az as e2z, ox - ax as sx, oy - ay as sy, oz - az as sz, dx, dy, dz from ray join t on t.k = ray.k),
 n as (select *, dy * e2z - dz * e2y as px, dz * e2x - dx * e2z as py, dx * e2y - dy * e2x as pz, sy * e1z - sz * e1y as qx, sz * e1x - sx * e1z as qy, sx * e1y - sy * e1x as qz from m),
-k2 as (select *, e1x * px + e1y * py + e1z * pz as det from n), h as (select distinct rid from k2 where abs(det) > 1e-12::double and (sx * px + sy * py + sz * pz) / det >= 0 and (dx * qx + dy * qy + dz * qz) / det >= 0 and (sx * px + sy * py + sz * pz) / det + (dx * qx + dy * qy + dz * qz) / det <= 1 and (e2x * qx + e2y * qy + e2z * qz) / det > 1e-5::double and (e2x * qx + e2y * qy + e2z * qz) / det < far - 1e-5::double)"""
+k2 as (select *, e1x * px + e1y * py + e1z * pz as det from n), h as (select distinct k, rid from k2 where abs(det) > 1e-12::double and (sx * px + sy * py + sz * pz) / det >= 0 and (dx * qx + dy * qy + dz * qz) / det >= 0 and (sx * px + sy * py + sz * pz) / det + (dx * qx + dy * qy + dz * qz) / det <= 1 and (e2x * qx + e2y * qy + e2z * qz) / det > 1e-5::double and (e2x * qx + e2y * qy + e2z * qz) / det < far - 1e-5::double)"""
 
 
-@query(f"with {RAY} select rid from ray where rid not in (select rid from h)")
+@query(f"with {RAY} select k as mesh, rid from ray where not exists (select 1 from h where h.k = ray.k and h.rid = ray.rid)")
 def ray_clear(spark, sf):
-    return _ray_clear(X.heights(spark, sf).filter("k = 0"), _faces(spark, sf).filter("mesh = 0"))
-
-
-@query(None)
-def ray_clear_whole(spark, sf):
     """The rays from each maplet's samples that its own mesh leaves clear."""
     s = keep(X.heights(spark, sf))
     return _each_mesh(_faces(spark, sf), lambda k, t: _ray_clear(s.filter(F.col("k") == k), t))

@@ -84,18 +84,13 @@ IMG = """img as materialized (select o_custkey % 4 as image_id, (o_orderkey // 1
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 200")
-    return o.select((F.col("o_custkey") % 300).alias("a"), ((F.col("o_orderkey") * 7 + 3) % 300).alias("b")).distinct()
-
-
-def whole_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph of all orders; its node ids grow with the table, one and a half an order."""
     o = table(spark, sf_dir, "orders")
     ids = F.lit(max(o.count() * 3 // 2, 1))
     return o.select((F.col("o_custkey") % ids).alias("a"), ((F.col("o_orderkey") * 7 + 3) % ids).alias("b")).distinct()
 
 
-GR = "gr as materialized (select distinct o_custkey % 300 as a, (o_orderkey * 7 + 3) % 300 as b from orders where o_orderkey < 200)"
+GR = "gr as materialized (select distinct o_custkey % ids as a, (o_orderkey * 7 + 3) % ids as b from orders, (select greatest(count(*) * 3 // 2, 1) as ids from orders))"
 
 
 def camera_rows() -> list[tuple]:

@@ -77,14 +77,7 @@ def height_acceptance(spark, sf):
 j as (select edge, l.new_maplet as na, l.new_sample as nsa, r.new_maplet as nb, r.new_sample as nsb, weight / count(*) over (partition by edge) as weight from p join e l on l.maplet = a and l.sample = sa join e r on r.maplet = b and r.sample = sb)
 select least(na, nb) as a, greatest(na, nb) as b, case when na > nb then nsb else nsa end as sa, case when na > nb then nsa else nsb end as sb, {S.micro('weight')} as weight from j""")
 def overlap_remap(spark, sf):
-    from pyspark.sql import Window
-
-    return _remapped(X.graph(spark, sf), F.row_number().over(Window.orderBy("a", "b")))
-
-
-@query(None)
-def overlap_remap_whole(spark, sf):
-    return _remapped(X.whole_graph(spark, sf), F.struct("a", "b"))
+    return _remapped(X.graph(spark, sf), F.struct("a", "b"))
 
 
 def _remapped(g, edge):

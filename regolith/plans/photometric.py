@@ -59,14 +59,9 @@ dd as (select *, greatest(ci + ce, 1e-6::double) as den from co),
 obs as materialized (select k, r, c, cam, p, q, observed, 0.5::double * ci + 1.0::double * ci / den as f, {_deriv('p', 0)} as fp, {_deriv('q', 1)} as fq, ci, ce, coalesce(read and observed > 0 and stencil and ce > 0.1::double and ci > 0.1::double, false) as usable from dd)"""
 
 
-@query(None)
-def lunar_lambert_whole(spark, sf):
-    return observations(spark, sf).filter("depth > 1e-6").select("k", "r", "c", "cam", *[micro(F.col(c)).alias(c) for c in ("f", "fp", "fq")])
-
-
-@query(f"with {OBS} select k, r, c, cam, {S.micro('f')} as f, {S.micro('fp')} as fp, {S.micro('fq')} as fq from obs where k < 2")
+@query(f"with {OBS} select k, r, c, cam, {S.micro('f')} as f, {S.micro('fp')} as fp, {S.micro('fq')} as fq from obs")
 def lunar_lambert(spark, sf):
-    return lunar_lambert_whole(spark, sf).filter("k < 2")
+    return observations(spark, sf).filter("depth > 1e-6").select("k", "r", "c", "cam", *[micro(F.col(c)).alias(c) for c in ("f", "fp", "fq")])
 
 
 @query(f"with {OBS} select k, cam, count(*) filter (where usable) as usable, count(*) as n from obs group by 1, 2")
@@ -151,15 +146,7 @@ def view_link(spark, sf):
 
 @query(f"with {X.GR}, e as (select row_number() over (order by a, b) as edge_id, a, b from gr), u as (select a as node, b as neighbor, edge_id from e union all select b, a, edge_id from e) select node, neighbor, row_number() over (partition by node order by edge_id, neighbor) as place from u")
 def adjacency(spark, sf):
-    from pyspark.sql import Window
-
-    e = X.graph(spark, sf).select("a", "b", F.row_number().over(Window.orderBy("a", "b")).alias("edge_id"))
-    return views.adjacency(e).select("node", "neighbor", F.col("place").cast("long").alias("place"))
-
-
-@query(None)
-def adjacency_whole(spark, sf):
-    e = X.whole_graph(spark, sf).select("a", "b", F.struct("a", "b").alias("edge_id"))
+    e = X.graph(spark, sf).select("a", "b", F.struct("a", "b").alias("edge_id"))
     return views.adjacency(e).select("node", "neighbor", F.col("place").cast("long").alias("place"))
 
 
@@ -175,7 +162,21 @@ def overlap_pairs(spark, sf):
     return views.overlaps(m, f, 0.5, 0.9)
 
 
-@query(None)
+_AXES = ("v0", "v1", "v2", "s0", "s1", "s2")
+
+
+def _views_sql(most: int) -> str:
+    """The rounds of the selection one after another, each as two steps: the next image of a maplet, then what that leaves."""
+    size = "greatest(sqrt(e0 * e0 + e1 * e1 + e2 * e2), 1e-6::double)"
+    steps = [f"with {X.CAM}, ce as (select *, {', '.join(f'{e} as e{i}' for i, e in enumerate(EYE))} from cam), z0 as (select k, cam, {', '.join(f'e{i} / {size} as v{i}' for i in range(3))}, s0, s1, s2, 'infinity'::double as far, null::bigint as place from ce, range(8) m(k))"]
+    for n in range(most):
+        steps.append(f"n{n} as (select k, cam as nc, {', '.join(f'{x} as n{x}' for x in _AXES)} from z{n} where place is null and far > {2 * (1 - 0.99996)!r}::double qualify row_number() over (partition by k order by far desc, cam desc) = 1)")
+        reach = " + ".join(f"pow({x} - n{x}, 2)" for x in _AXES)
+        steps.append(f"z{n + 1} as (select z{n}.k, cam, {', '.join(_AXES)}, coalesce(least(far, round({reach}, 9)), far) as far, case when place is null and cam = nc then {n} else place end as place from z{n} left join n{n} on n{n}.k = z{n}.k)")
+    return ", ".join(steps) + f" select k, place::bigint as place, cam from z{most} where place is not null"
+
+
+@query(_views_sql(6))
 def select_views_fps(spark, sf):
     c = maplet.camera_centers(X.cameras(spark)).crossJoin(spark.range(8).withColumnRenamed("id", "k"))
     v = unit(vec("e0", "e1", "e2"))

@@ -105,14 +105,9 @@ def greedy_plan(spark, sf):
     return planner.greedy_plan(planner.candidate_features(c, SPIN, CENTER, RADIUS), g, c.select("scene", "cand", "px", "py", "pz", "time", "valid"), planner.weights(3), 6, RADIUS)
 
 
-@query(f"""with {X.TRI}, n as (select fid, nx, ny, nz, nx * 0.6::double as cc, -ny * 0.6::double as cs, nz * 0.8::double as c0 from geo where k = 0)
-select fid, step, sqrt(cc * cc + cs * cs) + c0 > 0 as ever_lit, round(cc * cos(step * {2 * math.pi / 8!r}::double) + cs * sin(step * {2 * math.pi / 8!r}::double) + c0, 6) + 0.0::double as cos_i from n, range(8) s(step)""")
+@query(f"""with {X.TRI}, n as (select k as mesh, fid, nx, ny, nz, nx * 0.6::double as cc, -ny * 0.6::double as cs, nz * 0.8::double as c0 from geo)
+select mesh, fid, step, sqrt(cc * cc + cs * cs) + c0 > 0 as ever_lit, round(cc * cos(step * {2 * math.pi / 8!r}::double) + cs * sin(step * {2 * math.pi / 8!r}::double) + c0, 6) + 0.0::double as cos_i from n, range(8) s(step)""")
 def incidence_harmonic(spark, sf):
-    return incidence_harmonic_whole(spark, sf).filter("mesh = 0").drop("mesh")
-
-
-@query(None)
-def incidence_harmonic_whole(spark, sf):
     n = mesh.face_geometry(*_mesh(spark, sf)).select("mesh", "fid", "nx", "ny", "nz")
     return planner.incidence(n, SUN, 8).select("mesh", "fid", F.col("step").cast("long").alias("step"), "ever_lit", (F.round("cos_i", 6) + F.lit(0.0)).alias("cos_i"))
 
@@ -134,17 +129,11 @@ def var_pool(spark, sf):
 LIGHTS = [(-0.3, -0.2, -1.0), (0.5, 0.0, -1.0), (0.0, 0.4, -0.9)]
 
 
-@query(f"""with {RENDER}, q as (select event_id, event_id % 3 as l from events where event_id < 300), px0 as (select geo.nx, geo.ny, geo.nz, count(*) as n from zb join geo on geo.k = zb.k and geo.fid = zb.b[2] where zb.k = 0 group by zb.b[2], geo.nx, geo.ny, geo.nz),
+@query(f"""with {RENDER}, q as (select event_id, event_id % 3 as l from events), px0 as (select geo.nx, geo.ny, geo.nz, count(*) as n from zb join geo on geo.k = zb.k and geo.fid = zb.b[2] where zb.k = 0 group by zb.b[2], geo.nx, geo.ny, geo.nz),
 lt(l, tx, ty, tz) as (values {', '.join(f'({i}, ' + ', '.join(f'{-x / sum(y * y for y in v) ** 0.5!r}::double' for x in v) + ')' for i, v in enumerate(LIGHTS))}),
 gr2 as (select l, sum(n)::bigint as pixels, sum(n * cast(floor((0.15::double + 0.85::double * least(greatest(nx * tx + ny * ty + nz * tz, 0.0::double), 1.0::double)) * 255.0::double) as bigint))::bigint as gray from px0, lt group by l)
 select event_id::varchar as request_id, case when event_id % 50 = 7 then 0 else pixels end as pixels, case when event_id % 50 = 7 then 0 else gray end as gray, case when event_id % 50 = 7 then 'the light has no direction' end as error from q join gr2 using (l)""")
 def stream_requests(spark, sf):
-    """Requests from events, put into files, drained through the stream, and the results read back."""
-    return _served(spark, sf, X.table(spark, sf, "events").filter("event_id < 300"), 4, 2)
-
-
-@query(None)
-def stream_requests_whole(spark, sf):
     """A request for each of all events, in files of about 5,000."""
     e = X.table(spark, sf, "events")
     return _served(spark, sf, e, 4 + e.count() // 5000, 8)

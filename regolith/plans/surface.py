@@ -117,35 +117,15 @@ def mesh_block_bounds(spark, sf):
     return b.select("k", "br", "bc", "n", *[micro(F.col(f"{n}_{a}")).alias(f"{n}_{a}") for a in "xyz" for n in ("lo", "hi")])
 
 
-def _level(k: int) -> str:
-    return f"""s{k} as (select *, count(*) over w as n, max(x) over w - min(x) over w as sx, max(y) over w - min(y) over w as sy, max(z) over w - min(z) over w as sz from l{k} window w as (partition by path)),
-a{k} as (select *, case when sx >= sy and sx >= sz then x when sy >= sz then y else z end as along from s{k}),
-l{k + 1} as (select id, x, y, z, path || case when n <= 16 then '' when row_number() over (partition by path order by along, id) <= n // 2 then 'l' else 'r' end as path from a{k})"""
-
-
-SPLIT = f"{X.PTS}, l0 as (select id, x, y, z, '' as path from pts), {_level(0)}, {_level(1)}, {_level(2)}"
-
-
-@query(f"with {SPLIT} select id, path from l3")
-def mesh_blocks_median_split(spark, sf):
-    pts = X.clouds(spark, sf).select("id", "x", "y", "z", F.lit(0).alias("mesh"))
-    return mesh.median_split(pts, 3, most=16).select("id", "path")
-
-
 @query(None)
-def mesh_blocks_median_split_whole(spark, sf):
+def mesh_blocks_median_split(spark, sf):
     """Split until no leaf has more than 16 points."""
     pts = X.clouds(spark, sf).select("id", "x", "y", "z", F.lit(0).alias("mesh"))
     return mesh.median_split(pts, most=16).select("id", "path")
 
 
-@query(f"with {SPLIT}, g as (select path, count(*) as n, min(x) as lx, max(x) as hx from l3 group by path) select path, row_number() over (order by path) - 1 as leaf, n, {S.micro('lx')} as lo_x, {S.micro('hx')} as hi_x from g")
-def mesh_leaves(spark, sf):
-    return _leaves(spark, sf, 3)
-
-
 @query(None)
-def mesh_leaves_whole(spark, sf):
+def mesh_leaves(spark, sf):
     return _leaves(spark, sf, None)
 
 
@@ -157,7 +137,7 @@ def _leaves(spark, sf, levels):
     return leaves.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("leaf"), "n", micro(F.col("lo_x")).alias("lo_x"), micro(F.col("hi_x")).alias("hi_x"))
 
 
-@query(f"""with recursive {X.GR}, e as (select a as u, b as v from gr union select b, a from gr), r as (select u, v from e union select u, u from e union select r.u, e.v from r join e on r.v = e.u) select u as node, min(v) as root from r group by u""")
+@query(None)
 def mesh_components(spark, sf):
     from regolith.operators.graph import components
 
@@ -165,27 +145,12 @@ def mesh_components(spark, sf):
 
 
 @query(None)
-def mesh_components_whole(spark, sf):
-    from regolith.operators.graph import components
-
-    return components(X.whole_graph(spark, sf))
-
-
-@query(f"""with recursive {X.GR}, e as (select a as u, b as v from gr union select b, a from gr), r as (select u, v from e union select u, u from e union select r.u, e.v from r join e on r.v = e.u), c as (select u as node, min(v) as root from r group by u), n as (select root, count(*) as n from c group by root)
-select node, root from c where root = (select root from n order by n desc, root limit 1)""")
 def largest_component(spark, sf):
     from regolith.operators.graph import components
 
     return _largest(components(X.graph(spark, sf)))
 
 
-@query(None)
-def largest_component_whole(spark, sf):
-    from regolith.operators.graph import components
-
-    return _largest(components(X.whole_graph(spark, sf)))
-
-
 def _largest(c):
     best = c.groupBy("root").count().agg(F.max_by("root", F.struct("count", -F.col("root"))).alias("root"))
     return c.join(F.broadcast(best), "root", "left_semi")
@@ -277,13 +242,8 @@ def cam_centers(spark, sf):
 PROJECT = f"""{X.HF}, {X.CAM}, pr as (select k, r, c, cam, f, pp, {', '.join(f"({S.dot((f'r{i}0', f'r{i}1', f'r{i}2'), ('x', 'y', 'z'))} + t{i}) as {n}" for i, n in enumerate(('cx', 'cy', 'depth')))} from hf, cam)"""
 
 
-@query(f"with {PROJECT} select k, r, c, cam, {S.micro('f * cx / depth + pp')} as u, {S.micro('f * cy / depth + pp')} as v from pr where k = 0 and depth > 1e-6::double")
+@query(f"with {PROJECT} select k, r, c, cam, {S.micro('f * cx / depth + pp')} as u, {S.micro('f * cy / depth + pp')} as v from pr where depth > 1e-6::double")
 def project_samples(spark, sf):
-    return project_samples_whole(spark, sf).filter("k = 0")
-
-
-@query(None)
-def project_samples_whole(spark, sf):
     p = maplet.project(X.heights(spark, sf), X.cameras(spark)).filter(F.col("depth") > 1e-6)
     return p.select("k", "r", "c", "cam", micro(F.col("u")).alias("u"), micro(F.col("v")).alias("v"))
 

@@ -1,47 +1,35 @@
-"""Queries over whole tables against the SQL of their part queries without its cut, on the smallest tables."""
+"""Queries without SQL over whole tables against brute force, on the smallest tables."""
 
 import os
 
-import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from regolith.plans import fixtures as X
-from tests.test_registry import DIR, TABLES, _plain
+from tests.test_registry import DIR
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the test tables are not here")
 
 
-def _same(spark, name, *cuts):
-    """The whole query's rows, after they were found equal to those of the SQL with each cut replaced."""
-    con = duckdb.connect()
-    for t in TABLES:
-        con.sql(f"create view {t} as select * from read_parquet('{DIR}/{t}.parquet')")
-    sql = entry.oracle_sql()[name]
-    for cut, whole in cuts:
-        assert cut in sql
-        sql = sql.replace(cut, whole)
-    ours, theirs = entry.queries()[f"{name}_whole"](spark, DIR), con.sql(sql)
-    order = sorted(ours.columns)
-    assert order == sorted(theirs.columns)
-    at = [theirs.columns.index(c) for c in order]
-    rows = ours.collect()
-    assert _plain([tuple(r[c] for c in order) for r in rows]) == _plain([tuple(r[i] for i in at) for r in theirs.fetchall()])
-    return rows
+def test_components_of_all_orders(spark):
+    edges = [tuple(r) for r in X.graph(spark, DIR).collect()]
+    least = {n: n for e in edges for n in e}
 
+    def find(n):
+        while least[n] != n:
+            least[n] = n = least[least[n]]
+        return n
 
-@pytest.mark.parametrize("name", ["mesh_components", "largest_component", "adjacency", "overlap_remap"])
-def test_graph_of_all_orders(spark, name):
-    ids = spark.read.parquet(f"{DIR}/orders.parquet").count() * 3 // 2
-    whole = f"gr as materialized (select distinct o_custkey % {ids} as a, (o_orderkey * 7 + 3) % {ids} as b from orders)"
-    rows = _same(spark, name, (X.GR, whole))
-    if name == "mesh_components":
-        assert len(rows) > 1500
-
-
-def test_requests_of_all_events(spark):
-    rows = _same(spark, "stream_requests", (" where event_id < 300", ""))
-    assert len(rows) == spark.read.parquet(f"{DIR}/events.parquet").count() > 300
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        least[b] = a
+    want = {n: find(n) for n in least}
+    assert {r["node"]: r["root"] for r in entry.queries()["mesh_components"](spark, DIR).collect()} == want and len(want) > 1500
+    sizes: dict = {}
+    for root in want.values():
+        sizes[root] = sizes.get(root, 0) + 1
+    top = min(sizes, key=lambda r: (-sizes[r], r))
+    assert {r["node"] for r in entry.queries()["largest_component"](spark, DIR).collect()} == {n for n, r in want.items() if r == top}
 
 
 def _split(points, most, path=""):
@@ -57,36 +45,14 @@ def test_split_goes_on_to_the_leaf_bound(spark):
     points = [tuple(r) for r in X.clouds(spark, DIR).select("id", "x", "y", "z").collect()]
     want = _split(points, 16)
     got: dict = {}
-    for r in entry.queries()["mesh_blocks_median_split_whole"](spark, DIR).collect():
+    for r in entry.queries()["mesh_blocks_median_split"](spark, DIR).collect():
         got.setdefault(r["path"], set()).add(r["id"])
     assert got == want and max(map(len, got.values())) <= 16
-    leaves = entry.queries()["mesh_leaves_whole"](spark, DIR).collect()
+    leaves = entry.queries()["mesh_leaves"](spark, DIR).collect()
     assert {r["path"]: r["n"] for r in leaves} == {k: len(v) for k, v in want.items()} and sorted(r["leaf"] for r in leaves) == list(range(len(want)))
 
 
-@pytest.mark.parametrize(("name", "cut", "whole"), [("lunar_lambert", " where k < 2", ""), ("project_samples", "where k = 0 and", "where")])
-def test_samples_of_all_maplets(spark, name, cut, whole):
-    assert {r["k"] for r in _same(spark, name, (cut, whole))} == set(range(8))
-
-
-@pytest.mark.parametrize("name", ["incidence_harmonic", "point_heights", "ray_clear"])
-def test_faces_of_all_maplets(spark, name):
-    con = duckdb.connect()
-    for t in TABLES:
-        con.sql(f"create view {t} as select * from read_parquet('{DIR}/{t}.parquet')")
-    ours = entry.queries()[f"{name}_whole"](spark, DIR)
-    rows, order = ours.collect(), sorted(c for c in ours.columns if c != "mesh")
-    for k in range(8):
-        theirs = con.sql(entry.oracle_sql()[name].replace("k = 0", f"k = {k}"))
-        at = [theirs.columns.index(c) for c in order]
-        assert _plain([tuple(r[c] for c in order) for r in rows if r["mesh"] == k]) == _plain([tuple(r[i] for i in at) for r in theirs.fetchall()])
-
-
 @pytest.mark.parametrize(("name", "key"), [("fit_slopes", "k"), ("refine", "k"), ("split_children", "parent"), ("tile_mesh", "mesh")])
 def test_queries_without_sql_read_all_maplets(spark, name, key):
     rows = entry.queries()[name](spark, DIR).select(key).distinct().collect()
     assert {r[0] for r in rows} == set(range(8))
-
-
-def test_rotations_are_ranked_over_all_points(spark):
-    assert len(_same(spark, "cube_rotations_rank", (" where id % 10 = 0", ""))) == 4
