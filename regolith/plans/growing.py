@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regolith.functions import sqltext as S
@@ -34,14 +31,9 @@ def query(sql: str | None):
 def tile_mesh(spark, sf):
     """Each maplet's mesh tiled anew: centres, and their heights over the mesh."""
     g = keep(mesh.proper_faces(mesh.face_geometry(*_mesh(spark, sf))))
-    tiled = [_tiled(g.filter(F.col("mesh") == k)).select(F.lit(k).cast("long").alias("mesh"), "*") for k in range(8)]
-    return reduce(DataFrame.unionByName, tiled)
-
-
-def _tiled(g):
-    c = growth.seed_maplets(g.select(F.col("fid").alias("id"), F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"), "nx", "ny", "nz", F.col("area").alias("weight")), 0.4)
-    t = g.select("fid", *[f"{n}{a}" for n in "abc" for a in "xyz"], *[F.col(f"n{a}").alias(f"tn{a}") for a in "xyz"])
-    return growth.tile_heights(c, t, 5, 0.2, 0.5).select("k", "r", "c", micro(F.col("h")).alias("h"), "fid")
+    c = keep(growth.seed_maplets(g.select("mesh", F.col("fid").alias("id"), F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"), "nx", "ny", "nz", F.col("area").alias("weight")), 0.4))
+    t = g.select("mesh", "fid", *[f"{n}{a}" for n in "abc" for a in "xyz"], *[F.col(f"n{a}").alias(f"tn{a}") for a in "xyz"])
+    return growth.tile_heights(c, t, 5, 0.2, 0.5).join(c.select("mesh", "k"), "k").select("mesh", "k", "r", "c", micro(F.col("h")).alias("h"), "fid")
 
 
 @query(None)

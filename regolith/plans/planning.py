@@ -100,8 +100,9 @@ def planner_features(spark, sf):
 
 @query(None)
 def greedy_plan(spark, sf):
-    c = _framed(spark)
-    g = mesh.face_geometry(*_mesh(spark, sf)).filter("mesh = 0").select(F.lit("one").alias("scene"), *[F.col(x).alias(f"g{i}") for i, x in enumerate(("mx", "my", "mz", "nx", "ny", "nz", "area", "ax", "ay", "az"))])
+    """A plan for each maplet's mesh, all over the same candidates."""
+    c = _framed(spark).drop("scene").crossJoin(spark.range(8).select(F.col("id").cast("string").alias("scene")))
+    g = mesh.face_geometry(*_mesh(spark, sf)).select(F.col("mesh").cast("string").alias("scene"), *[F.col(x).alias(f"g{i}") for i, x in enumerate(("mx", "my", "mz", "nx", "ny", "nz", "area", "ax", "ay", "az"))])
     return planner.greedy_plan(planner.candidate_features(c, SPIN, CENTER, RADIUS), g, c.select("scene", "cand", "px", "py", "pz", "time", "valid"), planner.weights(3), 6, RADIUS)
 
 

@@ -18,13 +18,14 @@ def test_rays_meet_a_tilted_plane():
     assert not growth.intersect_field(field, np.zeros_like(field, bool), 0.5, starts, np.array([0, 0, 1.0]))[1].any()
 
 
-def test_children_of_a_plane_are_flat():
-    y, x = np.mgrid[:17, :17]
-    field = 0.3 * (x - 8) * 0.1
-    for q in range(4):
-        _, axes, step, h, ok = growth.split_grid(field, np.ones_like(field, bool), 0.1, q // 2, q % 2)
-        assert ok.mean() > 0.8 and np.abs(h[ok]).max() < 1e-3
-        assert 0.05 <= step < 0.06 and np.allclose(axes.T @ axes, np.eye(3))
+def test_children_of_a_plane_are_flat(spark):
+    rows = [(3, r, c, 0.3 * (c - 8) * 0.1, True) for r in range(17) for c in range(17)]
+    got = growth.split_maplets(spark.createDataFrame(rows, "k long, r long, c long, h double, valid boolean"), 0.1, 10).toPandas()
+    assert sorted(got["k"].unique()) == [22, 23, 24, 25] and (got["parent"] == 3).all()
+    for _, own in got.groupby("k"):
+        axes = own.iloc[0][[f"b{i}{j}" for i in range(3) for j in range(3)]].to_numpy(float).reshape(3, 3)
+        assert own["valid"].mean() > 0.8 and own.loc[own["valid"], "h"].abs().max() < 1e-3
+        assert 0.05 <= own["spacing"].iloc[0] < 0.06 and np.allclose(axes.T @ axes, np.eye(3))
 
 
 def test_seeding_covers_a_sheet(spark):
