@@ -46,7 +46,7 @@ END_ID = 2
 SHARD_BYTES = 3 << 20
 CACHE_WORDS = 700_000
 #: Pairs looked at in one round while the most frequent one occurs over RARE times; then all are.
-PAIRS_A_ROUND, RARE = 16384, 24
+PAIRS_A_ROUND, RARE = 32768, 200
 #: Slots of the table that tells places whose pair is rare already, and stays so.
 RARE_SLOTS = 1 << 20
 _MAGIC = b"RPTS2\0\0\0"
