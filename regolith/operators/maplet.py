@@ -143,3 +143,8 @@ def nearest_to_center(samples: DataFrame, middle_r: float, middle_c: float) -> D
     """The valid sample of each maplet that lies nearest to the centre; row-major on ties."""
     d = (F.col("r") - middle_r) * (F.col("r") - middle_r) + (F.col("c") - middle_c) * (F.col("c") - middle_c)
     return samples.groupBy("k").agg(F.min(F.struct(d.alias("d"), "r", "c")).alias("m")).select("k", F.col("m.r").alias("r"), F.col("m.c").alias("c"), F.col("m.d").alias("d"))
+
+
+def active_samples(samples: DataFrame, maplets: DataFrame) -> DataFrame:
+    """Valid samples of maplets that are active (k, active)."""
+    return samples.filter("valid").join(maplets.filter("active").select("k"), "k", "left_semi")

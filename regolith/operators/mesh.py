@@ -156,3 +156,21 @@ def median_split(points: DataFrame, levels: int | None = None, most: int = 1024,
         now = now.withColumn("rank__", rank).withColumn("path", F.concat("path", F.when(F.col("n__") <= most, "").when(F.col("rank__") <= half, "l").otherwise("r")))
         now = now.drop("n__", "sx__", "sy__", "sz__", "along__", "rank__")
     return now
+
+
+def max_radius(geometry: DataFrame) -> DataFrame:
+    """Per mesh the largest distance of a face's corner from its centroid."""
+    far = [norm(sub(vec(f"{n}x", f"{n}y", f"{n}z"), vec("mx", "my", "mz"))) for n in "abc"]
+    return geometry.groupBy("mesh").agg(F.max(F.greatest(*far)).alias("radius"))
+
+
+def block_faces(geometry: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """The faces of one block, from members (block, mesh, fid)."""
+    return geometry.join(members.filter(F.col("block") == block).select("mesh", "fid"), ["mesh", "fid"])
+
+
+def leaf_integrity(faces: DataFrame, members: DataFrame) -> DataFrame:
+    """Per mesh the faces in no leaf, in several leaves, and the members that are no face: mesh, missing, repeated, unknown."""
+    held = members.groupBy("mesh", "fid").agg(F.count("*").alias("n"))
+    j = faces.select("mesh", "fid", F.lit(True).alias("face")).join(held, ["mesh", "fid"], "full")
+    return j.groupBy("mesh").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("face") & (F.col("n") > 1)).alias("repeated"), F.count_if(F.col("face").isNull()).alias("unknown"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regolith.functions.vec import add, apply, clamp, dot, mat, named, transposed, vec
+from regolith.functions.vec import add, apply, clamp, cross, dot, mat, named, transposed, vec
 
 AREA_EPSILON = 1e-12
 DEPTH_LEVELS = 16777215.0
@@ -119,7 +119,7 @@ def orbit(distance: float, views: int, light_degrees: float, axis=(0.0, 0.0, 1.0
     """Requests of cameras on a circle that look at the origin: request, eye, R, t, and the light's direction."""
     import math
 
-    from regolith.functions.vec import cross, unit
+    from regolith.functions.vec import unit
 
     angle = F.radians(F.col("request") * F.lit(360.0 / views))
     c, s = F.cos(angle), F.sin(angle)
@@ -134,3 +134,14 @@ def orbit(distance: float, views: int, light_degrees: float, axis=(0.0, 0.0, 1.0
     ca, sa = math.cos(math.radians(light_degrees)), math.sin(math.radians(light_degrees))
     light = [F.lit(ca) * F.col(f"r2{j}") + F.lit(sa) * F.col(f"r0{j}") for j in range(3)]
     return d.select("*", *[(-x).alias(f"t{i}") for i, x in enumerate(t)], *[x.alias(f"l{i}") for i, x in enumerate(light)])
+
+
+def camera_faults(cameras: DataFrame, tolerance: float = 1e-5) -> DataFrame:
+    """Why a camera cannot be rendered, else null: cam, error."""
+    rows = [vec(f"r{i}0", f"r{i}1", f"r{i}2") for i in range(3)]
+    off = [F.abs(dot(rows[i], rows[j]) - F.lit(1.0 if i == j else 0.0)) for i in range(3) for j in range(i, 3)]
+    skew = F.greatest(*off)
+    error = F.when(F.col("f").isNull() | F.isnan("f") | (F.col("f") <= 0), "the focal length is not positive")
+    error = error.when(F.col("side").isNull() | (F.col("side") <= 0) | (F.col("side").cast("long") * F.col("side").cast("long") >= 2**31), "the frame has no usable size")
+    error = error.when(skew.isNull() | F.isnan(skew) | (skew > tolerance), "the rotation is not orthonormal").when(dot(cross(rows[0], rows[1]), rows[2]) <= 0, "the rotation mirrors")
+    return cameras.select("cam", error.alias("error"))

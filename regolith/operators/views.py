@@ -66,3 +66,14 @@ def voxel_fuse(points: DataFrame, size: float) -> DataFrame:
     g = points.select("*", *keys).groupBy(*[f"{p}{i}" for p in "gh" for i in range(3)]).agg(F.count("*").alias("n"), *[(F.sum(F.col("quality") * F.col(c)) / q).alias(f"m{c}") for c in ("x", "y", "z", "nx", "ny", "nz")], F.avg("quality").alias("quality"))
     middle = g.agg(F.percentile("quality", 0.5).alias("median"))
     return g.crossJoin(F.broadcast(middle)).withColumn("relative", F.col("quality") / F.col("median")).drop("median")
+
+
+def sharpest(facts: DataFrame, points: int = 4, coverage: float = 0.25, pixels: float = 2.0) -> DataFrame:
+    """Of each maplet the sharpest image (k, cam, gsd, usable, valid, spacing) that is fine enough and sees enough of it: k, cam, gsd."""
+    fine = (F.col("spacing") / F.col("gsd") >= F.lit(2 * pixels)) & (F.col("usable") >= points) & (F.col("usable") >= F.lit(coverage) * F.col("valid"))
+    return facts.filter(fine).groupBy("k").agg(F.min(F.struct("gsd", "cam")).alias("b")).select("k", "b.cam", "b.gsd")
+
+
+def to_update(visible: DataFrame, split: DataFrame) -> DataFrame:
+    """Maplets that new images see or that may split: k."""
+    return visible.select("k").union(split.select("k")).distinct()

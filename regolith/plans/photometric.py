@@ -25,9 +25,15 @@ def query(sql: str | None):
     return add
 
 
-def observations(spark, sf):
-    """Samples in eight cameras, read from the 16 x 16 images (f = 16, principal point 7.5): the full chain of an observation."""
-    s = _slopes(spark, sf).select("k", "r", "c", ((F.col("c") - 8).cast("double") * F.lit(0.1)).alias("x"), ((F.col("r") - 8).cast("double") * F.lit(0.1)).alias("y"), F.col("h").alias("z"), F.col("p"), F.col("q"), F.col("usable").alias("stencil"))
+def observations(spark, sf, steps: int = 1):
+    """Samples in eight cameras, read from the 16 x 16 images (f = 16, principal point 7.5): the full chain of an observation.
+
+    With several steps each sample is observed at as many heights, 0.01 apart, and k is k * steps + step.
+    """
+    s = _slopes(spark, sf)
+    if steps > 1:
+        s = s.crossJoin(spark.range(steps).withColumnRenamed("id", "step")).withColumn("k", F.col("k") * steps + F.col("step")).withColumn("h", F.col("h") + (F.col("step") - steps // 2) * F.lit(0.01)).drop("step")
+    s = s.select("k", "r", "c", ((F.col("c") - 8).cast("double") * F.lit(0.1)).alias("x"), ((F.col("r") - 8).cast("double") * F.lit(0.1)).alias("y"), F.col("h").alias("z"), F.col("p"), F.col("q"), F.col("usable").alias("stencil"))
     cams = maplet.camera_centers(X.cameras(spark).filter(CAMS)).withColumn("f", F.lit(16.0)).withColumn("pp", F.lit(7.5)).withColumn("image_id", F.col("cam") % 4)
     p = maplet.project(s, cams).withColumn("qid", (F.col("k") * 289 + F.col("r") * 17 + F.col("c")) * 16 + F.col("cam"))
     p = p.select("*", *[v.alias(n) for v, n in zip(unit(sub(vec("e0", "e1", "e2"), vec("x", "y", "z"))), ("wx", "wy", "wz"), strict=True)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["surface", "clouds", "photometric", "planning", "growing"]
+MODULES = ["surface", "clouds", "photometric", "planning", "growing", "details"]
 
 
 def queries() -> dict:
