@@ -13,8 +13,8 @@ passages hardly ever stand in a prefix.
    summed up; their logarithms are broadcast (SLOTS bytes).  Each distinct set
    (by a 128-bit digest) is one node, however many documents have it.
 2. A second pass gives each node's prefix under the first order.  A token's
-   nodes are a group; groups of tokens that are frequent among all (by Spark's
-   frequent-items sketch) are split by a hash of the node.  Members that no
+   nodes are a group; groups of frequent tokens (by Spark's frequent-items
+   sketch, one for each so many rows) are split by a hash of the node.  Members that no
    other member can match by size are dropped.  In what is left each node points
    to the smallest one of its part, and those of the parts to the group's; a
    node's most frequent target is its first candidate.
@@ -62,6 +62,8 @@ THRESHOLD = 80
 SLOTS, CHUNK = 1 << 22, 1 << 12
 #: Tokens that the sketch of frequent tokens tracks, and members of a part of a frequent token's group.
 TRACKED, PART = 4096, 512
+#: Rows that a token's group has at most, about, without being split.
+WHOLE = 1 << 16
 #: Bits of the filter that keeps sets at home, at most; where it would be too full, there is none.
 FILTER_BITS = 1 << 26
 #: Tokens of the portion of a block that is held in memory.
@@ -97,11 +99,11 @@ def _set_of(tokens: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tokens[new], checks[order[new]]
 
 
-def shingle_sets(w: Words, levels: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+def shingle_sets(w: Words, levels: np.ndarray | None = None, shingle: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
     """The sorted distinct tokens of each text, and their checks; with levels (of word slots) in the first order: the level in the upper five bits."""
     h, n = w.hashes, len(w.hashes)
-    grams, others = np.zeros(max(n - SHINGLE + 1, 0), _U), np.zeros(max(n - SHINGLE + 1, 0), _U)
-    for k in range(SHINGLE):
+    grams, others = np.zeros(max(n - shingle + 1, 0), _U), np.zeros(max(n - shingle + 1, 0), _U)
+    for k in range(shingle):
         grams += h[k : k + len(grams)] * _STEP[k]
         others += w.checks[k : k + len(grams)] * _STEP[k]
     grams = mix(grams) & _LOW
@@ -110,13 +112,13 @@ def shingle_sets(w: Words, levels: np.ndarray | None = None) -> list[tuple[np.nd
     if levels is not None:
         own = levels[slots(h)].astype(_U)
         least = own[: len(grams)].copy()
-        for k in range(1, SHINGLE):
+        for k in range(1, shingle):
             np.minimum(least, own[k : k + len(grams)], out=least)
         grams |= least << _U(59)
     out = []
     for a, b in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True):
-        if b - a >= SHINGLE:
-            out.append(_set_of(grams[a : b - SHINGLE + 1], others[a : b - SHINGLE + 1]))
+        if b - a >= shingle:
+            out.append(_set_of(grams[a : b - shingle + 1], others[a : b - shingle + 1]))
         elif b > a:
             step, size = np.array(_STEP[: b - a], _U), np.array([b - a], _U)
             short = mix((h[a:b] * step).sum(dtype=_U, keepdims=True) + size) & _LOW
@@ -179,14 +181,14 @@ def _prefixes(levels):
     return run
 
 
-def _whole_sets(levels, wanted):
+def _whole_sets(levels, wanted, shingle: int = SHINGLE):
     """The sets that may be wanted, in the first order: tokens, then their checks."""
 
     def run(batches):
         bits = wanted.value if wanted else None
         for batch, _, _, w in text_slices(batches, "text", NOT_SPACE):
             keys, data = [], []
-            for tokens, checks in shingle_sets(w, levels.value):
+            for tokens, checks in shingle_sets(w, levels and levels.value, shingle):
                 if len(tokens):
                     key = _digest(tokens, checks)
                     if bits is None or _may_hold(bits, key):
@@ -230,30 +232,39 @@ def common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -
 class Portion:
     """The held side of a block; match() finds links of one more set, one to each component that is not yet known to be its own."""
 
-    def __init__(self, nodes: list[int], roots: list[int], sets: list[tuple[np.ndarray, np.ndarray]]):
+    threshold = THRESHOLD
+
+    def __init__(self, nodes: list[int], roots: list[int], sets: list[tuple]):
         self.nodes, self.roots, self.sets = np.array(nodes), np.array(roots), sets
         self.group = self.roots.copy()  # components, as links join them
         self.joined: dict[int, int] = {}
-        self.sizes = np.array([len(t) for t, _ in sets])
-        prefixes = [[t[: prefix_size(len(t))], *other_prefixes(t)] for t, _ in sets]
+        self.sizes = np.array([len(s[0]) for s in sets])
+        self.whole = _Index([s[0] for s in sets], [s[1] for s in sets]) if len(sets) > 8 else None
+        self.prepare()
+
+    def prepare(self) -> None:
+        prefixes = [[s[0][: prefix_size(len(s[0]))], *other_prefixes(s[0])] for s in self.sets]
         self.filters = [_Index([p[k] for p in prefixes]) for k in range(1 + len(_ORDERS))]
-        self.whole = _Index([t for t, _ in sets], [c for _, c in sets]) if len(sets) > 8 else None
 
-    def match(self, node: int, root: int, own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        tokens, n = own[0], len(own[0])
-        while root in self.joined:
-            root = self.joined[root]
-        fits = (self.group != root) & (100 * np.minimum(self.sizes, n) >= THRESHOLD * np.maximum(self.sizes, n))
-        for index, prefix in zip(self.filters, [tokens[: prefix_size(n)], *other_prefixes(tokens)], strict=True):
+    def may_link(self, fits: np.ndarray, own: tuple) -> np.ndarray:
+        """Of the held sets that fit by size, those that share a prefix token under every order."""
+        for index, prefix in zip(self.filters, [own[0][: prefix_size(len(own[0]))], *other_prefixes(own[0])], strict=True):
             if not fits.any():
-                return np.empty(0, np.int64)
+                break
             fits &= index.counts(prefix) > 0
-        left = np.flatnonzero(fits)
+        return fits
+
+    def match(self, node: int, root: int, own: tuple) -> np.ndarray:
+        n = len(own[0])
+        while root in self.joined:
+            root = self.joined[root]
+        fits = (self.group != root) & (100 * np.minimum(self.sizes, n) >= self.threshold * np.maximum(self.sizes, n))
+        left = np.flatnonzero(self.may_link(fits, own))
         if self.whole is not None and len(left) > 8:
-            shared = self.whole.counts(*own)[left]
+            shared = self.whole.counts(*own[:2])[left]
         else:
             shared = np.array([common(self.sets[k], own) for k in left], np.int64)
-        linked = left[100 * shared >= THRESHOLD * (self.sizes[left] + n - shared)]
+        linked = left[100 * shared >= self.threshold * (self.sizes[left] + n - shared)]
         others, at = np.unique(self.group[linked], return_index=True)
         if len(others):
             self.group[np.isin(self.group, others)] = root
@@ -261,27 +272,31 @@ class Portion:
         return self.nodes[linked[at]]
 
 
-def _compare(batches):
+def _compare(kind: type[Portion]):
     """Links of sorted block rows: of each block and portion first the held sets, then those to be compared with them."""
-    now, held, portion = None, ([], [], []), None
-    for batch in streamed(batches):
-        a, b = [], []
-        for block, part, side, node, root, data in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "side", "node", "root", "tokens")), strict=True):
-            if (block, part) != now:
-                now, held, portion = (block, part), ([], [], []), None
-            n = len(data) // 10
-            own = (np.frombuffer(data, _U, n), np.frombuffer(data, np.uint16, n, 8 * n))
-            if side == 0:
-                for x, y in zip(held, (node, root, (own[0].copy(), own[1].copy())), strict=True):
-                    x.append(y)
-                continue
-            if not held[0]:
-                continue
-            portion = portion or Portion(*held)
-            found = portion.match(node, root, own)
-            a += found.tolist()
-            b += [node] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches):
+        now, held, portion = None, ([], [], []), None
+        for batch in streamed(batches):
+            a, b = [], []
+            for block, part, side, node, root, data, more in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "side", "node", "root", "tokens", "more")), strict=True):
+                if (block, part) != now:
+                    now, held, portion = (block, part), ([], [], []), None
+                n = len(data) // 10
+                own = (np.frombuffer(data, _U, n), np.frombuffer(data, np.uint16, n, 8 * n), more)
+                if side == 0:
+                    for x, y in zip(held, (node, root, (own[0].copy(), own[1].copy(), more)), strict=True):
+                        x.append(y)
+                    continue
+                if not held[0]:
+                    continue
+                portion = portion or kind(*held)
+                found = portion.match(node, root, own)
+                a += found.tolist()
+                b += [node] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def _marked(text):
@@ -289,21 +304,28 @@ def _marked(text):
     return F.when(text.isNull(), F.lit(b"")).otherwise(F.unhex(F.md5(text)))
 
 
-def _fits(small, large):
+def _fits(small, large, threshold: int):
     """Whether the sizes of two members allow a link; a member's m is 2 * size, plus 1 for a token beyond its short prefix."""
-    return F.lit(100) * F.floor(small / 2) >= F.lit(THRESHOLD) * F.floor(large / 2)
+    return F.lit(100) * F.floor(small / 2) >= F.lit(threshold) * F.floor(large / 2)
 
 
-def _matched(rows: DataFrame) -> DataFrame:
+def _matched(rows: DataFrame, threshold: int) -> DataFrame:
     """Rows (token, part, node, m) without those of whole groups that no other member can match by size."""
     by_size = Window.partitionBy("token", "part").orderBy("m", "node")
     below = F.max(F.when(F.col("m") % 2 == 0, F.col("m"))).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
     near = rows.withColumn("below", below).withColumn("above", F.lead("m").over(by_size))
-    fine = _fits(F.col("below"), F.col("m")) | ((F.col("m") % 2 == 0) & _fits(F.col("m"), F.col("above")))
+    fine = _fits(F.col("below"), F.col("m"), threshold) | ((F.col("m") % 2 == 0) & _fits(F.col("m"), F.col("above"), threshold))
     return near.filter((F.col("part") >= 0) | fine).drop("below", "above")
 
 
 class Join:
+    """Links and components of sets; what finds candidates and what tells them apart is in the methods that near copies by sketches override."""
+
+    shingle, threshold, portion = SHINGLE, THRESHOLD, Portion
+    #: Numbers that a set has besides its tokens where it is held.
+    besides = 0
+    levels = None
+
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark)
@@ -324,12 +346,12 @@ class Join:
 
     def links(self, members: DataFrame, name: str) -> DataFrame:
         """Links of blocks given by rows block, part, side (0: held, 1: to compare), node, root."""
-        keyed = self.scratch.keep(members.join(self.nodes.select("node", "key"), "node"), f"{name}-keyed")
+        keyed = self.scratch.keep(members.join(self.nodes.select("node", "key", "more"), "node"), f"{name}-keyed")
         wanted = self._filter(keyed.select("key").distinct())
-        sets = self.docs.mapInArrow(_whole_sets(self.levels, wanted), "key binary, tokens binary").dropDuplicates(["key"])
-        full = sets.join(keyed, "key").select("block", "part", "side", "node", "root", "tokens")
+        sets = self.docs.mapInArrow(_whole_sets(self.levels, wanted, self.shingle), "key binary, tokens binary").dropDuplicates(["key"])
+        full = sets.join(keyed, "key").select("block", "part", "side", "node", "root", "tokens", "more")
         ordered = full.repartition(self.parts, "block", "part").sortWithinPartitions("block", "part", "side")
-        found = self.scratch.keep(ordered.mapInArrow(_compare, "a long, b long"), f"{name}-links")
+        found = self.scratch.keep(ordered.mapInArrow(_compare(self.portion), "a long, b long"), f"{name}-links")
         if wanted:
             wanted.destroy()
         self.scratch.drop(f"{name}-keyed")
@@ -342,16 +364,36 @@ class Join:
             levels[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.levels, np.uint8)
         self.levels = self.spark.sparkContext.broadcast(levels)  # SLOTS bytes
 
-    def groups(self) -> DataFrame:
-        """Rows (token, part, node, m, lead, lead_m): the members of tokens' groups and what each points to; part is -1 where the group is whole."""
+    def profile(self) -> DataFrame:
+        """Rows (doc_id, mark, key, n), one a document; the word counts are summed up on the way."""
+        docs = self.docs.withColumn("mark", _marked(F.col("text")))
+        profile = self.scratch.keep(docs.mapInArrow(_profile, "doc_id long, mark binary, key binary, n long, chunk int, counts binary"), "profile")
+        self._levels(profile)
+        return profile.filter("key is not null").select("doc_id", "mark", "key", "n")
+
+    def distinct(self, rows: DataFrame) -> DataFrame:
+        """The distinct sets: key, n, least (document id) and more (what a comparison needs besides the set)."""
+        return rows.groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("least")).withColumn("more", F.lit(None).cast("binary"))
+
+    def members(self) -> tuple[DataFrame, float]:
+        """Of each node (node, n, short, tokens), the tokens of which it shares one with each partner, and how many rows of tokens there may be."""
         found = self.docs.mapInArrow(_prefixes(self.levels), "key binary, short int, tokens array<long>").dropDuplicates(["key"])
         prefixes = self.scratch.keep(found.join(self.nodes.select("key", "node", "n"), "key").select("node", "n", "short", "tokens"), "prefixes")
-        top = prefixes.select(F.explode("tokens").alias("token")).agg(F.expr(f"approx_top_k(token, {TRACKED // 2}, {TRACKED})").alias("top"))
+        return prefixes, prefixes.agg(F.sum(F.size("tokens"))).first()[0] or 0
+
+    def groups(self) -> DataFrame:
+        """Rows (token, part, node, m, lead, lead_m): the members of tokens' groups and what each points to; part is -1 where the group is whole."""
+        prefixes, n = self.members()
+        # A sketch tells tokens of over 2 / TRACKED of its rows at least; there are as many sketches as keep that share under WHOLE rows.
+        sketches = max(1, -(-2 * int(n) // (TRACKED * WHOLE)))
+        top = prefixes.select(F.explode("tokens").alias("token")).groupBy(F.pmod(F.xxhash64("token"), F.lit(sketches)).alias("k")).agg(F.expr(f"approx_top_k(token, {TRACKED // 2}, {TRACKED})").alias("top"))
         often = top.select(F.explode("top").alias("top")).select(F.col("top.item").alias("token"), F.ceil(F.col("top.count") / PART).cast("int").alias("parts")).filter("parts > 1")
-        self.often = F.broadcast(self.scratch.keep(often, "often"))  # TRACKED / 2 short rows at most
+        often = self.scratch.keep(often, "often")
+        if sketches == 1:
+            often = F.broadcast(often)  # TRACKED / 2 short rows at most
         tokens = prefixes.select("node", "n", "short", F.posexplode("tokens").alias("pos", "token")).select("token", "node", (F.col("n") * 2 + (F.col("pos") >= F.col("short")).cast("long")).alias("m"))
-        tokens = tokens.join(self.often, "token", "left").select("token", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(-1)).alias("part"), "node", "m")
-        near = _matched(tokens)
+        tokens = tokens.join(often, "token", "left").select("token", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(-1)).alias("part"), "node", "m")
+        near = _matched(tokens, self.threshold)
         group = Window.partitionBy("token", "part")
         near = near.withColumn("lead", F.min(F.struct("node", "m")).over(group)).withColumn("last", F.max("node").over(group)).filter("part >= 0 or lead.node <> last")
         found = self.scratch.keep(near.select("token", "part", "node", "m", F.col("lead.node").alias("lead"), F.col("lead.m").alias("lead_m")), "groups")
@@ -361,17 +403,14 @@ class Join:
     def run(self) -> DataFrame:
         """Per row: doc_id, mark, n, root (null for an empty set), component_id."""
         keep, drop = self.scratch.keep, self.scratch.drop
-        docs = self.docs.withColumn("mark", _marked(F.col("text")))
-        profile = keep(docs.mapInArrow(_profile, "doc_id long, mark binary, key binary, n long, chunk int, counts binary"), "profile")
-        rows = profile.filter("key is not null").select("doc_id", "mark", "key", "n")
-        self._levels(profile)
-        self.nodes = keep(rows.filter("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+        rows = self.profile()
+        self.nodes = keep(self.distinct(rows.filter("n > 0")).withColumn("node", F.monotonically_increasing_id()), "nodes")
         groups = self.groups()
 
         # The smallest nodes of a split group's parts point to the smallest of all.
         heads = groups.filter("part >= 0 and node = lead").select("token", "node", "m")
         upper = heads.withColumn("top", F.min(F.struct("node", "m")).over(Window.partitionBy("token"))).select("node", "m", F.col("top.node").alias("lead"), F.col("top.m").alias("lead_m"))
-        pair = groups.select("node", "m", "lead", "lead_m").unionByName(upper).filter("node <> lead").filter(_fits(F.least("m", "lead_m"), F.greatest("m", "lead_m"))).groupBy("node", "lead").agg(F.count("*").alias("c"))
+        pair = groups.select("node", "m", "lead", "lead_m").unionByName(upper).filter("node <> lead").filter(_fits(F.least("m", "lead_m"), F.greatest("m", "lead_m"), self.threshold)).groupBy("node", "lead").agg(F.count("*").alias("c"))
         first = keep(pair.groupBy("node").agg(F.min(F.struct((-F.col("c")).alias("c"), "lead")).alias("best")).select(F.col("best.lead").alias("block"), "node"), "first")
         many = first.groupBy("block").agg(F.ceil(F.count("*") / F.lit(SLICE)).cast("int").alias("slices"))
         sides = first.join(many, "block").select("block", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("part"), F.lit(1).alias("side"), "node", F.col("node").alias("root"))
@@ -384,9 +423,9 @@ class Join:
         drop("groups")
         several = placed.groupBy("token").agg(F.min("root").alias("block"), F.max("root").alias("top"), F.max("part").alias("last")).filter("block <> top")
         several = several.select("token", "block", F.explode(F.sequence(F.least(F.lit(0), F.col("last")), F.col("last"))).alias("part"))
-        open_ = _matched(placed.join(several, ["token", "part"]))
+        open_ = _matched(placed.join(several, ["token", "part"]), self.threshold)
         members = keep(open_.groupBy("block", "node").agg(F.min("root").alias("root"), F.min(F.floor(F.col("m") / 2)).alias("n")), "members")
-        portions = members.groupBy("block").agg(F.ceil(F.sum(F.when(F.col("root") != F.col("block"), F.col("n"))) / F.lit(PORTION)).cast("int").alias("portions"), F.ceil(F.count("*") / F.lit(SLICE)).cast("int").alias("slices")).filter("portions > 0")
+        portions = members.groupBy("block").agg(F.ceil(F.sum(F.when(F.col("root") != F.col("block"), F.col("n") + self.besides)) / F.lit(PORTION)).cast("int").alias("portions"), F.ceil(F.count("*") / F.lit(SLICE)).cast("int").alias("slices")).filter("portions > 0")
         spread = keep(members.join(portions, "block"), "spread")
         steps = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         one_of = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
@@ -394,7 +433,8 @@ class Join:
         held = spread.filter("root <> block").select("*", one_of("portions").alias("portion"), steps("slices").alias("slice")).select("block", part, F.lit(0).alias("side"), "node", "root")
         sides = spread.select("*", one_of("slices").alias("slice"), steps("portions").alias("portion")).select("block", part, F.lit(1).alias("side"), "node", "root")
         late = self.links(held.unionByName(sides), "late")
-        self.levels.destroy()
+        if self.levels:
+            self.levels.destroy()
         final = components(links.unionByName(late), self.scratch, "all")
 
         node_root = self.nodes.join(final, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
@@ -415,7 +455,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts without words are linked with nothing and stay; rows that repeat both id and text stay once.
     """
-    label = Join(docs, id_col, text_col).run()
+    return kept_rows(docs, Join(docs, id_col, text_col).run(), id_col, text_col)
+
+
+def kept_rows(docs: DataFrame, label: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that stay, by the result of a run over them."""
     first = label.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")).alias("w")).select("w.doc_id", "w.mark")
     kept = first.unionByName(label.filter("root is null").select("doc_id", "mark").distinct()).select(F.col("doc_id").alias("kept_id__"), F.col("mark").alias("kept_mark__"))
     own = docs.withColumn("own_id__", F.col(id_col).cast("long")).withColumn("own_mark__", _marked(F.col(text_col)))

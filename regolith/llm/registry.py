@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["exact_dedup", "language_id", "decontaminate", "toxicity", "license_scan", "url_filter", "mixing", "ngram_join", "chat_format", "token_store", "hard_negatives", "alignment"]
+MODULES = ["exact_dedup", "language_id", "decontaminate", "toxicity", "license_scan", "url_filter", "mixing", "ngram_join", "chat_format", "token_store", "hard_negatives", "alignment", "near_dedup"]
 
 
 def queries() -> dict:
