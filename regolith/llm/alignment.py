@@ -33,6 +33,8 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,7 @@ from regolith.llm.store import Scratch, table
 from regolith.llm.text import buffers, hash_words, ragged, slices, streamed
 
 #: Bytes of text of a pack (or one longer text), of a block within a text, pairs of a slice, and chunks that the cache keeps.
-PACK, BLOCK, SLICE, CACHE = 1 << 20, 1 << 20, 1 << 20, 1 << 18
+PACK, BLOCK, SLICE, CACHE = 1 << 21, 1 << 21, 1 << 20, 1 << 19
 #: Pair counts that a task sums up before it gives them on.
 PAIRS = 1 << 20
 _SPACE = "▁"
@@ -141,9 +143,55 @@ def aligned(a_ends: np.ndarray, b_ends: np.ndarray, n: int) -> tuple[np.ndarray,
     return cuts, a.rank(cuts), b.rank(cuts), np.repeat(np.arange(len(a_ends)), many), ragged(first, many)
 
 
-def _ends(ids: list[list[int]], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    flat = np.array([x for own in ids for x in own], np.int64)
-    return flat, np.array([len(x) for x in ids], np.int64), np.cumsum(sizes[flat]) if len(flat) else np.empty(0, np.int64)
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    many = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(many.sum())), many
+
+
+class _Strings:
+    """Byte strings by number, in one array."""
+
+    def __init__(self, all_of: list[bytes]):
+        self.size = np.array([len(s) for s in all_of], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(all_of), np.uint8)
+
+    def joined(self, numbers: np.ndarray) -> np.ndarray:
+        return self.data[ragged(self.at[numbers], self.size[numbers])]
+
+
+class _Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, kind, *width: int):
+        self.held, self.n = np.empty((1024, *width), kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.empty((self.n + 2 * len(more), *self.held.shape[1:]), self.held.dtype)])
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+@dataclass
+class Groups:
+    """Aligned chunks one behind the other: ids of both sides, group ends in A tokens, B tokens and bytes, links as A and B numbers, and where each chunk starts in all of these."""
+
+    a: np.ndarray
+    b: np.ndarray
+    a_cut: np.ndarray
+    b_cut: np.ndarray
+    byte_cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    a_at: np.ndarray
+    b_at: np.ndarray
+    group_at: np.ndarray
+    link_at: np.ndarray
 
 
 class Aligner:
@@ -152,88 +200,115 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = load(a_path), load(b_path)
         self.by_chunk = self.a.by_chunk and self.b.by_chunk
-        self.a_size, self.b_size = (np.array([len(s) for s in x.spelling], np.int64) for x in (self.a, self.b))
+        self.sides = [(x, _Strings(x.spelling)) for x in (self.a, self.b)]
         self.base = len(self.b.spelling)
+        numbers = range(max(len(self.a.spelling), self.base))
+        self.decimals = _Strings([b"%d%c" % (k, c) for c in b",|;" for k in numbers])
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.checks, self.number = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.counts = np.empty((0, 4), np.int64)  # A tokens, B tokens, groups, links; all zero where the spelling differs
-        self.fine = np.empty(0, bool)
-        self.codes, self.code_at = np.empty(0, np.int64), np.zeros(1, np.int64)
-        self.shown, self.shown_at = np.empty(0, np.uint8), np.zeros(1, np.int64)
-
-    def groups(self, texts: list[bytes]) -> Iterator[tuple | None]:
-        """Of each chunk (its first byte is the space): ids and group ends of both sides, byte ends, link codes; None where a side does not spell it."""
-        words = [t[1:].decode("utf-8", "replace") for t in texts]
-        found = [[a, b] if a and b and b"".join([self.a.spelling[k] for k in a]) == t and b"".join([self.b.spelling[k] for k in b]) == t else None for t, a, b in zip(texts, self.a.encode(words), self.b.encode(words), strict=True)]
-        good = [k for k, x in enumerate(found) if x]
-        a_ids, a_many, a_ends = _ends([found[k][0] for k in good], self.a_size)
-        b_ids, b_many, b_ends = _ends([found[k][1] for k in good], self.b_size)
-        cuts, a_cut, b_cut, left, right = aligned(a_ends, b_ends, int(a_ends[-1]) if good else 0)
-        codes = a_ids[left] * self.base + b_ids[right]
-        byte_at = np.cumsum([0] + [len(texts[k]) for k in good])
-        a_at, b_at = np.cumsum([0, *a_many]), np.cumsum([0, *b_many])
-        group_at, link_at = np.searchsorted(cuts, byte_at, "right"), np.searchsorted(left, a_at)
-        turn = iter(range(len(good)))
-        for x in found:
-            if not x:
-                yield None
-                continue
-            k = next(turn)
-            own = slice(group_at[k], group_at[k + 1])
-            yield x[0], x[1], a_cut[own] - a_at[k], b_cut[own] - b_at[k], cuts[own] - byte_at[k], codes[link_at[k] : link_at[k + 1]]
-
-    def _learn(self, hashes: np.ndarray, checks: np.ndarray, texts: list[bytes]) -> None:
-        counts, codes, shown, fine = [], [], [], []
-        for x in self.groups(texts):
-            fine.append(x is not None)
-            if x is None:
-                counts.append((0, 0, 0, 0))
-                codes.append(np.empty(0, np.int64))
-                shown.append(b"")
-                continue
-            a, b = [str(k) for k in x[0]], [str(k) for k in x[1]]
-            i = j = 0
-            parts = []
-            for p, q in zip(x[2].tolist(), x[3].tolist(), strict=True):
-                parts.append(f"{','.join(a[i:p])}|{','.join(b[j:q])};")
-                i, j = p, q
-            counts.append((len(a), len(b), len(parts), len(x[5])))
-            codes.append(x[5])
-            shown.append("".join(parts).encode())
-        number = len(self.counts) + np.arange(len(texts))
-        all_hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(all_hashes)
-        self.hashes, self.checks, self.number = all_hashes[order], np.concatenate([self.checks, checks])[order], np.concatenate([self.number, number])[order]
-        self.counts, self.fine = np.concatenate([self.counts, np.array(counts, np.int64).reshape(-1, 4)]), np.concatenate([self.fine, np.array(fine, bool)])
-        self.code_at = np.concatenate([self.code_at, self.code_at[-1] + np.cumsum([len(c) for c in codes])]).astype(np.int64)
-        self.codes = np.concatenate([self.codes, *codes])
-        self.shown_at = np.concatenate([self.shown_at, self.shown_at[-1] + np.cumsum([len(s) for s in shown])]).astype(np.int64)
-        self.shown = np.concatenate([self.shown, np.frombuffer(b"".join(shown), np.uint8)])
+        self.number: dict[int, int] = {}
+        self._hashes, self._checks, self._uses = _Growing(np.uint64), _Growing(np.uint64), _Growing(np.int64)
+        self._counts, self._fine = _Growing(np.int64, 4), _Growing(bool)  # A tokens, B tokens, groups, links; all zero where the spelling differs
+        self._codes, self._shown, self._code_end, self._shown_end = _Growing(np.int64), _Growing(np.uint8), _Growing(np.int64), _Growing(np.int64)
+        for ends in (self._code_end, self._shown_end):
+            ends.add(np.zeros(1, np.int64))
+
+    counts, fine, codes, shown, code_at, shown_at = (property(lambda self, n=n: getattr(self, n).all) for n in ("_counts", "_fine", "_codes", "_shown", "_code_end", "_shown_end"))
+
+    def _spelled(self, side: int, flat: np.ndarray, many: np.ndarray, texts: np.ndarray, text_size: np.ndarray) -> np.ndarray:
+        """Which chunks the tokens of a side spell, byte by byte."""
+        strings = self.sides[side][1]
+        owner = np.repeat(np.arange(len(many)), many)
+        size = np.bincount(owner, strings.size[flat], len(many)).astype(np.int64)
+        fine = (size == text_size) & (many > 0)
+        at = np.cumsum(text_size) - text_size
+        some = np.flatnonzero(fine)
+        differ = strings.joined(flat[fine[owner]]) != texts[ragged(at[some], text_size[some])]
+        fine[np.repeat(some, text_size[some])[differ]] = False
+        return fine
+
+    def groups(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, Groups]:
+        """Which of the chunks b[starts:ends] both sides spell, and the groups of those."""
+        raw = memoryview(b)
+        words = [bytes(raw[i + 1 : j]).decode("utf-8", "replace") for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+        size = ends - starts
+        texts = b[ragged(starts, size)]
+        flat = [_flat(x.encode(words)) for x, _ in self.sides]
+        fine = self._spelled(0, *flat[0], texts, size) & self._spelled(1, *flat[1], texts, size)
+        ids = [f[np.repeat(fine, many)] for f, many in flat]
+        token_ends = [np.cumsum(strings.size[x]) for x, (_, strings) in zip(ids, self.sides, strict=True)]
+        total = np.concatenate([[0], np.cumsum(size[fine])])
+        cuts, a_cut, b_cut, left, right = aligned(*token_ends, int(total[-1]))
+        a_at, b_at = (np.concatenate([[0], np.cumsum(many[fine])]) for _, many in flat)
+        return fine, Groups(*ids, a_cut, b_cut, cuts, left, right, a_at, b_at, np.searchsorted(cuts, total, "right"), np.searchsorted(left, a_at))
+
+    def _written(self, g: Groups) -> tuple[np.ndarray, np.ndarray]:
+        """`a1,a2|b1;` of every group, and the bytes of each chunk."""
+        n = len(g.a) + len(g.b)
+        token, sign, numbers = np.empty(n, np.int64), np.empty(n, np.int64), len(self.decimals.size) // 3
+        before = np.concatenate([[0], g.b_cut])
+        for ids, cut, other, last in ((g.a, g.a_cut, before, 1), (g.b, g.b_cut, g.a_cut, 2)):
+            at = np.arange(len(ids))
+            group = np.searchsorted(cut, at, "right")
+            place = at + other[group]
+            token[place], sign[place] = ids, np.where(at + 1 == cut[group], last, 0)
+        which = token + sign * numbers
+        ends = np.concatenate([[0], np.cumsum(self.decimals.size[which])])
+        return self.decimals.joined(which), np.diff(ends[g.a_at + g.b_at])
+
+    def _learn(self, hashes: np.ndarray, checks: np.ndarray, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        fine, g = self.groups(b, starts, ends)
+        counts, shown_size = np.zeros((len(starts), 4), np.int64), np.zeros(len(starts), np.int64)
+        counts[fine] = np.stack([np.diff(x) for x in (g.a_at, g.b_at, g.group_at, g.link_at)], axis=1)
+        shown, shown_size[fine] = self._written(g)
+        self._hashes.add(hashes)
+        self._checks.add(checks)
+        self._uses.add(np.zeros(len(starts), np.int64))
+        self._counts.add(counts)
+        self._fine.add(fine)
+        self._codes.add(g.a[g.left] * self.base + g.b[g.right])
+        self._code_end.add(self.code_at[-1] + np.cumsum(counts[:, 3]))
+        self._shown.add(shown)
+        self._shown_end.add(self.shown_at[-1] + np.cumsum(shown_size))
+
+    def _forget(self) -> None:
+        """Keeps the half of the cache that was met most often."""
+        uses, old = self._uses.all, {n: getattr(self, n).all for n in ("_hashes", "_checks", "_counts", "_fine", "_codes", "_shown", "_code_end", "_shown_end")}
+        most = np.argsort(-uses, kind="stable")[: CACHE // 2]
+        most = np.sort(most[uses[most] > 1])
+        self.clear()
+        for n in ("_hashes", "_checks", "_counts", "_fine"):
+            getattr(self, n).add(old[n][most])
+        self._uses.add(uses[most] // 2)
+        for n in ("_codes", "_shown"):
+            at = old["_code_end" if n == "_codes" else "_shown_end"]
+            size = at[most + 1] - at[most]
+            getattr(self, n).add(old[n][ragged(at[most], size)])
+            (self._code_end if n == "_codes" else self._shown_end).add(np.cumsum(size))
+        self.number = dict(zip(self._hashes.all.tolist(), range(len(most)), strict=True))
 
     def numbers(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The numbers of chunks; unknown ones are learned.  They hold until the next call."""
         hashes, checks = hash_words(b, starts, ends)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        spot = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
-        known = self.hashes[spot] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
-        if not known.all():
-            if len(self.hashes) + int((~known).sum()) > CACHE:
-                self.clear()
-                known[:] = False
-            new = first[~known]
-            raw = memoryview(b)
-            self._learn(hashes[new], checks[new], [bytes(raw[i:j]) for i, j in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            spot = np.searchsorted(self.hashes, distinct)
-        if (self.checks[spot][which] != checks).any():  # two chunks share half a hash: they are learned one by one, under places of their own
+        known = distinct.tolist()
+        spot = np.fromiter((self.number.get(h, -1) for h in known), np.int64, len(known))
+        new = np.flatnonzero(spot < 0)
+        if len(new) and len(self.number) + len(new) > CACHE:
+            self._forget()
+            spot = np.fromiter((self.number.get(h, -1) for h in known), np.int64, len(known))
+            new = np.flatnonzero(spot < 0)
+        if len(new):
+            spot[new] = self._hashes.n + np.arange(len(new))
+            self._learn(distinct[new], checks[first[new]], b, starts[first[new]], ends[first[new]])
+            self.number.update(zip(distinct[new].tolist(), spot[new].tolist(), strict=True))
+        if (self._checks.all[spot][which] != checks).any():  # two chunks share half a hash: all are learned one by one, and forgotten after this call
             self.clear()
-            raw = memoryview(b)
-            self._learn(np.arange(len(starts), dtype=np.uint64), checks, [bytes(raw[i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)])
-            out = self.number.copy()
-            self.hashes, self.checks, self.number = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-            return out
-        return self.number[spot][which]
+            self._learn(hashes, checks, b, starts, ends)
+            return np.arange(len(starts))
+        self._uses.all[spot] += np.bincount(which, minlength=len(spot))
+        return spot[which]
 
 
 def _blocks(buf: np.ndarray, offs: np.ndarray, by_chunk: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -465,15 +540,15 @@ def groups(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
         own = aligner(a_path, b_path)
         for batch in streamed(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = next(own.groups([b" " + text.encode()])) if text else None
-                if not found:
+                raw = np.frombuffer(b" " + (text or "").encode(), np.uint8)
+                fine, g = own.groups(raw, np.zeros(1, np.int64), np.array([len(raw)])) if text else (np.zeros(1, bool), None)
+                if not fine[0]:
                     continue
-                a, b, a_cut, b_cut, cuts, _ = found
-                edges = lambda x: zip([0, *x.tolist()[:-1]], x.tolist(), strict=True)
+                n, edges = len(g.byte_cut), lambda x: zip([0, *x.tolist()[:-1]], x.tolist(), strict=True)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array([doc_id] * len(cuts), pa.int64()), "group_no": pa.array(range(len(cuts)), pa.int64()),
-                    "byte_from": pa.array([0, *cuts.tolist()[:-1]], pa.int64()), "byte_to": pa.array(cuts.tolist(), pa.int64()),
-                    "a_ids": pa.array([a[i:j] for i, j in edges(a_cut)], pa.list_(pa.int32())), "b_ids": pa.array([b[i:j] for i, j in edges(b_cut)], pa.list_(pa.int32())),
+                    "doc_id": pa.array([doc_id] * n, pa.int64()), "group_no": pa.array(range(n), pa.int64()),
+                    "byte_from": pa.array([0, *g.byte_cut.tolist()[:-1]], pa.int64()), "byte_to": pa.array(g.byte_cut.tolist(), pa.int64()),
+                    "a_ids": pa.array([g.a[i:j] for i, j in edges(g.a_cut)], pa.list_(pa.int32())), "b_ids": pa.array([g.b[i:j] for i, j in edges(g.b_cut)], pa.list_(pa.int32())),
                 })
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
