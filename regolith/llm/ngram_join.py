@@ -403,8 +403,10 @@ class Join:
     def run(self) -> DataFrame:
         """Per row: doc_id, mark, n, root (null for an empty set), component_id."""
         keep, drop = self.scratch.keep, self.scratch.drop
-        rows = self.profile()
-        self.nodes = keep(self.distinct(rows.filter("n > 0")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+        profile = self.profile()
+        self.nodes = keep(self.distinct(profile.filter("n > 0")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+        rows = keep(profile.select("doc_id", "mark", "key", "n"), "rows")
+        drop("profile")
         groups = self.groups()
 
         # The smallest nodes of a split group's parts point to the smallest of all.
