@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regolith.functions.scratch import keep
@@ -81,7 +81,7 @@ def heights_on_plane(points: DataFrame, triangles: DataFrame, size: float, depth
     return points.select("pid").join(best, "pid", "left").select("pid", F.col("b.z").alias("z"), F.col("b.fid").alias("fid"))
 
 
-def _crossed_cells(rays: DataFrame, size: float) -> DataFrame:
+def crossed_cells(rays: DataFrame, size: float) -> DataFrame:
     """Rays (rid, o*, d*, far) in the cells their segment crosses: the cells of its box, each tested by slabs."""
     out = rays
     for i, a in enumerate("xyz"):
@@ -99,24 +99,35 @@ def _crossed_cells(rays: DataFrame, size: float) -> DataFrame:
     return out.filter(F.greatest(*enter, F.lit(0.0)) <= F.least(*leave, F.col("far")))
 
 
-def hits(rays: DataFrame, triangles: DataFrame, size: float, epsilon: float) -> DataFrame:
-    """Pairs (rid, fid) of segments and triangles that meet farther than epsilon from both ends."""
+def faces_in_cells(triangles: DataFrame, size: float) -> DataFrame:
+    """Triangles (ax .. cz) in all cells that their boxes overlap: g0, g1, g2."""
     t = triangles
     for i, a in enumerate("xyz"):
         corner = [F.col(f"{n}{a}") for n in "abc"]
         t = t.withColumn(f"g{i}", F.explode(F.sequence(F.floor((F.least(*corner) - 1e-9) / size).cast("long"), F.floor((F.greatest(*corner) + 1e-9) / size).cast("long"))))
-    j = _crossed_cells(rays, size).join(t, ["g0", "g1", "g2"])
+    return t
+
+
+def struck(pairs: DataFrame, epsilon, *keep: str) -> DataFrame:
+    """Of segments (o*, d*, far) beside triangles (ax .. cz) those that meet farther than epsilon from both ends: the columns to keep."""
     a = vec("ax", "ay", "az")
     e1, e2, d = sub(vec("bx", "by", "bz"), a), sub(vec("cx", "cy", "cz"), a), vec("dx", "dy", "dz")
     p = cross(d, e2)
     det = dot(e1, p)
     s = sub(vec("ox", "oy", "oz"), a)
     q = cross(s, e1)
-    j = j.select("rid", "fid", "far", det.alias("det"), dot(s, p).alias("un"), dot(d, q).alias("vn"), dot(e2, q).alias("tn")).filter(F.abs("det") > 1e-12)
+    eps = epsilon if isinstance(epsilon, Column) else F.lit(float(epsilon))
+    j = pairs.select(*keep, F.col("far").alias("far__"), eps.alias("eps__"), det.alias("det"), dot(s, p).alias("un"), dot(d, q).alias("vn"), dot(e2, q).alias("tn")).filter(F.abs("det") > 1e-12)
     u, v, far = F.col("un") / F.col("det"), F.col("vn") / F.col("det"), F.col("tn") / F.col("det")
-    return j.filter((u >= 0) & (v >= 0) & (u + v <= 1) & (far > epsilon) & (far < F.col("far") - epsilon)).select("rid", "fid").distinct()
+    return j.filter((u >= 0) & (v >= 0) & (u + v <= 1) & (far > F.col("eps__")) & (far < F.col("far__") - F.col("eps__"))).select(*keep)
+
+
+def hits(rays: DataFrame, triangles: DataFrame, size: float, epsilon: float) -> DataFrame:
+    """Pairs (rid, fid) of segments and triangles that meet farther than epsilon from both ends."""
+    j = crossed_cells(rays, size).join(faces_in_cells(triangles, size), ["g0", "g1", "g2"])
+    return struck(j, epsilon, "rid", "fid").distinct()
 
 
 def clear_rays(rays: DataFrame, triangles: DataFrame, size: float, epsilon: float) -> DataFrame:
-    """Rays that meet no triangle: an anti-join.  An endless ray is cut where it leaves the triangles' bounds."""
+    """Rays that meet no triangle: an anti-join.  Endless rays are to be cut first (occlusion.until_out)."""
     return rays.join(hits(rays, triangles, size, epsilon).select("rid").distinct(), "rid", "left_anti")
