@@ -45,7 +45,7 @@ from regolith.llm.store import Scratch, table
 from regolith.llm.text import buffers, hash_words, ragged, slices, streamed
 
 #: Bytes of text of a pack (or one longer text), of a block within a text, pairs of a slice, and chunks that the cache keeps.
-PACK, BLOCK, SLICE, CACHE = 1 << 21, 1 << 21, 1 << 20, 1 << 19
+PACK, BLOCK, SLICE, CACHE = 1 << 21, 1 << 21, 1 << 20, 1 << 18
 #: Pair counts that a task sums up before it gives them on.
 PAIRS = 1 << 20
 _SPACE = "▁"
