@@ -115,16 +115,22 @@ def render(geometry: DataFrame, cameras: DataFrame, light: tuple[float, float, f
     return shade(z_buffer(project_faces(seen, near, width, height)), geometry, light, ambient)
 
 
-def orbit(distance: float, views: int, light_degrees: float, axis=(0.0, 0.0, 1.0), e1=(1.0, 0.0, 0.0), e2=(0.0, 1.0, 0.0), spark=None) -> DataFrame:
-    """Requests of cameras on a circle that look at the origin: request, eye, R, t, and the light's direction."""
+def filling_distance(points: DataFrame, key: str, degrees: float, fill: float = 0.85, least: float = 1.0) -> DataFrame:
+    """How far from the origin a camera with this field of view must stand for each body's points (x, y, z) to fill a share of it: key, distance."""
+    r = F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))
+    return points.groupBy(key).agg(F.greatest(r / F.sin(F.radians(F.lit(degrees / 2))) / F.lit(fill), F.lit(float(least))).alias("distance"))
+
+
+def orbits(bodies: DataFrame, views: int, light_degrees: float, axis=(0.0, 0.0, 1.0), e1=(1.0, 0.0, 0.0), e2=(0.0, 1.0, 0.0)) -> DataFrame:
+    """Requests of cameras on a circle about each body (with its distance) that look at the origin: adds request, eye, R, t, and the light's direction."""
     import math
 
     from regolith.functions.vec import unit
 
+    d = bodies.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(views - 1).cast("long"))).alias("request"))
     angle = F.radians(F.col("request") * F.lit(360.0 / views))
     c, s = F.cos(angle), F.sin(angle)
-    eye = tuple(F.lit(distance) * (c * F.lit(a) + s * F.lit(b)) for a, b in zip(e1, e2, strict=True))
-    d = spark.range(views).select(F.col("id").alias("request")).select("*", *named(eye, "ex", "ey", "ez"))
+    d = d.select("*", *named(tuple(F.col("distance") * (c * F.lit(a) + s * F.lit(b)) for a, b in zip(e1, e2, strict=True)), "ex", "ey", "ez"))
     e = vec("ex", "ey", "ez")
     forward = unit(tuple(-x for x in e), 1e-12)
     right = unit(cross(forward, tuple(F.lit(a) for a in axis)), 1e-12)
@@ -136,6 +142,11 @@ def orbit(distance: float, views: int, light_degrees: float, axis=(0.0, 0.0, 1.0
     return d.select("*", *[(-x).alias(f"t{i}") for i, x in enumerate(t)], *[x.alias(f"l{i}") for i, x in enumerate(light)])
 
 
+def orbit(distance: float, views: int, light_degrees: float, axis=(0.0, 0.0, 1.0), e1=(1.0, 0.0, 0.0), e2=(0.0, 1.0, 0.0), spark=None) -> DataFrame:
+    """The requests of one orbit."""
+    return orbits(spark.range(1).select(F.lit(float(distance)).alias("distance")), views, light_degrees, axis, e1, e2).drop("distance")
+
+
 def camera_faults(cameras: DataFrame, tolerance: float = 1e-5) -> DataFrame:
     """Why a camera cannot be rendered, else null: cam, error."""
     rows = [vec(f"r{i}0", f"r{i}1", f"r{i}2") for i in range(3)]

@@ -112,11 +112,10 @@ def active_samples(spark, sf):
     return maplet.active_samples(s, _maplets(spark).select("k", (F.col("k") % 3 != 1).alias("active"))).select("k", "r", "c")
 
 
-@query("select i::bigint as cam, case when i = 12 then null else case i % 5 when 1 then 'the rotation is not orthonormal' when 2 then 'the focal length is not positive' when 3 then 'the frame has no usable size' when 4 then 'the rotation mirrors' end end as error from range(13) r(i)")
+@query("select o_orderkey as cam, case o_orderkey % 5 when 1 then 'the rotation is not orthonormal' when 2 then 'the focal length is not positive' when 3 then 'the frame has no usable size' when 4 then 'the rotation mirrors' end as error from orders")
 def camera_faults(spark, sf):
-    """Cameras, most of them spoilt in one of four ways."""
-    way = F.when(F.col("cam") == 12, 0).otherwise(F.col("cam") % 5)
-    c = X.cameras(spark).withColumn("way", way)
+    """Cameras of all orders, most of them spoilt in one of four ways."""
+    c = X.order_cameras(spark, sf).withColumn("way", F.col("cam") % 5)
     c = c.withColumn("r00", F.when(F.col("way") == 1, F.col("r00") + 0.5).otherwise(F.col("r00"))).withColumn("f", F.when(F.col("way") == 2, -F.col("f")).otherwise(F.col("f"))).withColumn("side", F.when(F.col("way") == 3, 100000).otherwise(F.col("side")))
     c = c.withColumns({f"r2{j}": F.when(F.col("way") == 4, -F.col(f"r2{j}")).otherwise(F.col(f"r2{j}")) for j in range(3)})
     return raster.camera_faults(c)
@@ -176,9 +175,9 @@ def radiance(spark, sf):
     return X.table(spark, sf, "orders").select(k.alias("id"), (F.round(photometry.radiance(gray, None, 0.1, 2.0), 6) + F.lit(0.0)).alias("value"))
 
 
-@query("select i::bigint as k, 1.6::double as extent_u, 1.6::double as extent_v from range(8) r(i)")
+@query(f"with {X.SUPPLIER_MAPLETS} select k, round((nx - 1) * spacing, 9) as extent_u, round((ny - 1) * spacing, 9) as extent_v from sm")
 def maplet_extents(spark, sf):
-    return maplet.extents(_maplets(spark)).select("k", F.round("extent_u", 9).alias("extent_u"), F.round("extent_v", 9).alias("extent_v"))
+    return maplet.extents(X.supplier_maplets(spark, sf)).select("k", F.round("extent_u", 9).alias("extent_u"), F.round("extent_v", 9).alias("extent_v"))
 
 
 @query(f"""with {X.TRI}, n as (select k as mesh, step, area, mz, nx * cos(step * {2 * 3.141592653589793 / 8!r}::double) * 0.6::double - ny * sin(step * {2 * 3.141592653589793 / 8!r}::double) * 0.6::double + nz * 0.8::double as cos_i from geo, range(8) s(step)), w as (select *, area / (1.0::double + exp(-10.0::double * cos_i)) as w from n)

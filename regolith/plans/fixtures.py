@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SIDE = 17
@@ -127,3 +127,55 @@ def cameras(spark: SparkSession) -> DataFrame:
 
 
 CAM = f"cam({', '.join(CAMERA_COLUMNS)}) as (values " + ", ".join("(" + ", ".join(f"{x!r}::double" if isinstance(x, float) else f"{x}::{'bigint' if k == 0 else 'int'}" for k, x in enumerate(row)) + ")" for row in camera_rows()) + ")"
+
+
+def order_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A camera for each order, turned about the vertical and looking down: cam, f, pp, side, R, t, Sun direction, and the customer k."""
+    o = table(spark, sf_dir, "orders")
+    a = F.radians((F.col("o_orderkey") * 37 % 360).cast("double"))
+    eye = [F.col("o_custkey") % 101 / F.lit(50.0) - F.lit(1.0), F.col("o_orderkey") % 97 / F.lit(48.0) - F.lit(1.0), F.lit(2.0) + F.col("o_totalprice") / F.lit(170003.0)]
+    d = o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("cam"), "o_orderdate", F.cos(a).alias("ca"), F.sin(a).alias("sa"), *[x.alias(n) for x, n in zip(eye, ("x", "y", "z"), strict=True)])
+    rows = [["ca", "sa", 0.0], ["sa", "-ca", 0.0], [0.0, 0.0, -1.0]]
+    value = lambda e: -F.col(e[1:]) if isinstance(e, str) and e[0] == "-" else F.col(e) if isinstance(e, str) else F.lit(e)
+    r = [[value(e) for e in row] for row in rows]
+    t = [-(row[0] * F.col("x") + row[1] * F.col("y") + row[2] * F.col("z")) for row in r]
+    flat = F.sqrt(F.lit(0.5))
+    return d.select("k", "cam", "o_orderdate", F.lit(64.0).alias("f"), F.lit(31.5).alias("pp"), F.lit(64).alias("side"), *[r[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)], *[x.alias(f"t{i}") for i, x in enumerate(t)],
+                    (F.col("ca") * flat).alias("s0"), (F.col("sa") * flat).alias("s1"), flat.alias("s2"))
+
+
+ORDER_CAM = """oc0 as (select o_custkey as k, o_orderkey as cam, o_orderdate, cos(radians((o_orderkey * 37 % 360)::double)) as ca, sin(radians((o_orderkey * 37 % 360)::double)) as sa,
+  o_custkey % 101 / 50.0::double - 1.0::double as x, o_orderkey % 97 / 48.0::double - 1.0::double as y, 2.0::double + o_totalprice / 170003.0::double as z from orders),
+oc as materialized (select k, cam, o_orderdate, 64.0::double as f, 31.5::double as pp, 64 as side, ca as r00, sa as r01, 0.0::double as r02, sa as r10, -ca as r11, 0.0::double as r12, 0.0::double as r20, 0.0::double as r21, -1.0::double as r22,
+  -(ca * x + sa * y) as t0, -(sa * x - ca * y) as t1, z as t2, ca * sqrt(0.5::double) as s0, sa * sqrt(0.5::double) as s1, sqrt(0.5::double) as s2 from oc0)"""
+
+
+def supplier_maplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A maplet for each supplier, of one of fifteen shapes: k, ny, nx, spacing."""
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").alias("k"), (F.lit(9) + F.col("s_suppkey") % 5).cast("int").alias("ny"), (F.lit(9) + F.floor(F.col("s_suppkey") / 4) % 3).cast("int").alias("nx"), F.lit(0.1).alias("spacing"))
+
+
+SUPPLIER_MAPLETS = "sm as (select s_suppkey as k, 9 + s_suppkey % 5 as ny, 9 + (s_suppkey // 4) % 3 as nx, 0.1::double as spacing from supplier)"
+
+
+def written_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maplets of lineitem as OBJ text, all kinds of references in turn: mesh, no, line."""
+    hf = heights(spark, sf_dir).select("k", "r", "c")
+    at = F.row_number().over(Window.partitionBy("k").orderBy("r", "c"))
+    v = hf.select("k", "r", "c", at.cast("long").alias("n"), F.count("*").over(Window.partitionBy("k")).alias("all"))
+    place = F.col("r") * SIDE + F.col("c")
+    number = lambda x: F.format_string("%.1f", (F.col(x) - 8).cast("double") / F.lit(10.0))
+    points = v.select("k", (place * 2).alias("no"), F.concat(F.lit("v "), number("c"), F.lit(" "), number("r"), F.when(F.col("n") % 3 == 0, " 0.0 0.5 0.5 0.5").otherwise("  0.0 # a point")).alias("line"))
+    notes = v.select("k", (place * 2 + 1).alias("no"), F.when(F.col("n") % 2 == 0, "vn 0 0 1").otherwise("").alias("line"))
+    near = F.explode(F.array(*[F.struct((F.col("r") - i).alias("r"), (F.col("c") - j).alias("c"), F.lit(2 * i + j).alias("corner")) for i in (0, 1) for j in (0, 1)]))
+    cell = v.select("k", "n", "all", near.alias("s")).groupBy("k", "s.r", "s.c").agg(F.max("all").alias("all"), *[F.max(F.when(F.col("s.corner") == n, F.col("n"))).alias(f"n{n}") for n in range(4)])
+    cell = cell.filter("n0 is not null and n1 is not null and n2 is not null and n3 is not null")
+    ring = [F.col(f"n{n}") for n in (0, 1, 3, 2)]
+    kind = (F.col("r") + F.col("c")) % 4
+    line = (
+        F.when(kind == 0, F.format_string("f %d %d %d %d", *ring)).when(kind == 1, F.format_string("f %d/1 %d/2 %d/3 %d/4\r", *ring))
+        .when(kind == 2, F.format_string("f %d//1 %d/2/3 %d//1 %d", *ring)).otherwise(F.format_string("f %d %d %d # half", *[x - F.col("all") - 1 for x in ring[:3]]))
+    )
+    faces = cell.select("k", (F.lit(2000) + F.col("r") * SIDE + F.col("c")).alias("no"), line.alias("line"))
+    return points.unionByName(notes).unionByName(faces).withColumnRenamed("k", "mesh")

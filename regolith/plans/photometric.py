@@ -174,7 +174,7 @@ _AXES = ("v0", "v1", "v2", "s0", "s1", "s2")
 def _views_sql(most: int) -> str:
     """The rounds of the selection one after another, each as two steps: the next image of a maplet, then what that leaves."""
     size = "greatest(sqrt(e0 * e0 + e1 * e1 + e2 * e2), 1e-6::double)"
-    steps = [f"with {X.CAM}, ce as (select *, {', '.join(f'{e} as e{i}' for i, e in enumerate(EYE))} from cam), z0 as (select k, cam, {', '.join(f'e{i} / {size} as v{i}' for i in range(3))}, s0, s1, s2, 'infinity'::double as far, null::bigint as place from ce, range(8) m(k))"]
+    steps = [f"with {X.ORDER_CAM}, ce as (select *, {', '.join(f'{e} as e{i}' for i, e in enumerate(EYE))} from oc), z0 as (select k, cam, {', '.join(f'e{i} / {size} as v{i}' for i in range(3))}, s0, s1, s2, 'infinity'::double as far, null::bigint as place from ce)"]
     for n in range(most):
         steps.append(f"n{n} as (select k, cam as nc, {', '.join(f'{x} as n{x}' for x in _AXES)} from z{n} where place is null and far > {2 * (1 - 0.99996)!r}::double qualify row_number() over (partition by k order by far desc, cam desc) = 1)")
         reach = " + ".join(f"pow({x} - n{x}, 2)" for x in _AXES)
@@ -184,7 +184,7 @@ def _views_sql(most: int) -> str:
 
 @query(_views_sql(6))
 def select_views_fps(spark, sf):
-    c = maplet.camera_centers(X.cameras(spark)).crossJoin(spark.range(8).withColumnRenamed("id", "k"))
+    c = maplet.camera_centers(X.order_cameras(spark, sf))
     v = unit(vec("e0", "e1", "e2"))
     return views.select_views(c.select("k", "cam", *[x.alias(f"v{i}") for i, x in enumerate(v)], "s0", "s1", "s2"), 6)
 

@@ -12,7 +12,7 @@ from regolith.functions.scratch import keep, shared_dir
 from regolith.functions.vec import micro
 from regolith.operators import maplet, mesh, planner, raster
 from regolith.plans import fixtures as X
-from regolith.plans.surface import RENDER, _mesh
+from regolith.plans.surface import EYE, RENDER, _mesh
 from regolith.sources import obj
 from regolith.streaming import render_queue
 
@@ -32,22 +32,21 @@ def query(sql: str | None):
     return add
 
 
-OBJ_TEXT = "# two shapes\nv 0 0 0\nv 1 0 0 0.5 0.5 0.5\r\nv 1 1 0\nv 0 1 0\n\nf 1 2 3 4\nvn 0 0 1\nf 1/1 2//1 3/1/1\nv 2 0 0\nv 2 1 0\nv 1.5 2 0\nf 2 5 6 7 3 # a fan\nf -1 -2 -3\n"
+WRITTEN = f"{X.HF}, wv as (select k, r, c, row_number() over (partition by k order by r, c) - 1 as n from hf)"
 
 
-def _lines(spark):
-    text = spark.createDataFrame([("a.obj", OBJ_TEXT)], "mesh string, value string")
-    return text.select("mesh", F.posexplode(F.split("value", "\\r\\n|\\n|\\r")).alias("no", "line"))
-
-
-@query("select * from (values (0, 0, 1, 2), (1, 0, 2, 3), (2, 0, 1, 2), (3, 1, 4, 5), (4, 1, 5, 6), (5, 1, 6, 2), (6, 6, 5, 4)) t(fid, v0, v1, v2)")
+@query(f"""with {WRITTEN}, wc as (select a.k, a.r, a.c, a.n as n0, b.n as n1, d.n as n2, c.n as n3 from wv a join wv b on b.k = a.k and b.r = a.r and b.c = a.c + 1 join wv c on c.k = a.k and c.r = a.r + 1 and c.c = a.c join wv d on d.k = a.k and d.r = a.r + 1 and d.c = a.c + 1),
+wf as (select k, r, c, 0 as half, n0 as v0, n1 as v1, n2 as v2 from wc union all select k, r, c, 1, n0, n2, n3 from wc where (r + c) % 4 <> 3)
+select k as mesh, row_number() over (partition by k order by r, c, half) - 1 as fid, v0, v1, v2 from wf""")
 def obj_faces(spark, sf):
-    return obj.faces_of(_lines(spark)).select(*[F.col(c).cast("int").alias(c) for c in ("fid", "v0", "v1", "v2")])
+    """Triangles of OBJ text with fans, references of all kinds, notes and carriage returns."""
+    return obj.faces_of(X.written_mesh(spark, sf)).select("mesh", "fid", "v0", "v1", "v2")
 
 
-@query("select vid, (x * 10)::int as x, (y * 10)::int as y from (values (0, 0.0, 0.0), (1, 1.0, 0.0), (2, 1.0, 1.0), (3, 0.0, 1.0), (4, 2.0, 0.0), (5, 2.0, 1.0), (6, 1.5, 2.0)) t(vid, x, y)")
+@query(f"with {WRITTEN} select k as mesh, n as vid, c - 8 as x, r - 8 as y from wv")
 def obj_vertices(spark, sf):
-    return obj.vertices_of(_lines(spark)).select("vid", (F.col("x") * 10).cast("int").alias("x"), (F.col("y") * 10).cast("int").alias("y"))
+    v = obj.vertices_of(X.written_mesh(spark, sf))
+    return v.select("mesh", F.col("vid").cast("long").alias("vid"), *[F.round(F.col(a).cast("double") * 10).cast("long").alias(a) for a in "xy"])
 
 
 @query(f"""with {X.HFM}, used as (select distinct k, unnest([v0, v1, v2]) as vid from hfm), dense as (select k, vid, row_number() over (partition by k order by vid) as n from used)
@@ -60,41 +59,51 @@ def _positions(spark):
     return maplet.camera_centers(X.cameras(spark)).select(F.col("cam").alias("pos"), F.col("e0").alias("px"), F.col("e1").alias("py"), F.col("e2").alias("pz"))
 
 
-def _eye_sql() -> str:
-    from regolith.plans.surface import EYE
+EYES = f"{X.ORDER_CAM}, ps as (select k, cam as pos, o_orderdate, {', '.join(f'{e} as p{a}' for e, a in zip(EYE, 'xyz', strict=True))} from oc)"
+GRID = f"{EYES}, gd as (select ps.*, pos * 6 + step as cand, step * {2 * math.pi / 6!r}::double as phase from ps, range(6) s(step))"
 
-    return f"{X.CAM}, ps as (select cam as pos, {EYE[0]} as px, {EYE[1]} as py, {EYE[2]} as pz from cam)"
 
-
-GRID = f"{_eye_sql()}, gd as (select ps.*, pos * 6 + step as cand, step * {2 * math.pi / 6!r}::double as phase from ps, range(6) s(step))"
+def _places(spark, sf):
+    """A position for each order; a customer's are one scene."""
+    c = maplet.camera_centers(X.order_cameras(spark, sf))
+    return c.select("k", "o_orderdate", F.col("cam").alias("pos"), *[F.col(f"e{i}").alias(f"p{a}") for i, a in enumerate("xyz")])
 
 
 @query(f"with {GRID} select cand, pos, {S.micro('phase')} as phase from gd")
 def candidates_grid(spark, sf):
-    return planner.candidate_grid(_positions(spark), 6).select("cand", "pos", micro(F.col("phase")).alias("phase"))
+    return planner.candidate_grid(_places(spark, sf), 6).select("cand", "pos", micro(F.col("phase")).alias("phase"))
+
+
+def _told(c):
+    """Candidates with what a plan knows of them."""
+    return c.select("*", *[F.lit(x).alias(f"s{a}") for a, x in zip("xyz", SUN, strict=True)], (F.col("cand") * 37 % 50).cast("double").alias("time"), (F.col("cand") % 11 == 3).alias("selected"), (F.col("cand") % 7 != 0).alias("valid"), (F.col("cand") % 5).cast("double").alias("travel"))
 
 
 def _framed(spark):
-    c = planner.candidate_grid(_positions(spark), 6).select("*", *[F.lit(x).alias(f"s{a}") for a, x in zip("xyz", SUN, strict=True)], F.lit("one").alias("scene"), (F.col("cand") * 37 % 50).cast("double").alias("time"), (F.col("cand") % 11 == 3).alias("selected"), (F.col("cand") % 7 != 0).alias("valid"), (F.col("cand") % 5).cast("double").alias("travel"))
-    return planner.body_frame(c, SPIN, CENTER)
+    return planner.body_frame(_told(planner.candidate_grid(_positions(spark), 6)).withColumn("scene", F.lit("one")), SPIN, CENTER)
+
+
+def _framed_orders(spark, sf):
+    return planner.body_frame(_told(planner.candidate_grid(_places(spark, sf), 6)).withColumnRenamed("k", "scene"), SPIN, CENTER)
 
 
 _off = [f"(p{a} - {x!r}::double)" for a, x in zip("xyz", SPIN, strict=True)]
+TOLD = f"{GRID}, st as (select *, (cand * 37 % 50)::double as time, cand % 11 = 3 as selected, cand % 7 <> 0 as valid, (cand % 5)::double as travel from gd)"
 
 
-@query(f"with {GRID} select cand, round({SPIN[0]!r}::double + {_off[0]} * cos(phase) + {_off[1]} * sin(phase), 6) as bx, round({SPIN[1]!r}::double + {_off[1]} * cos(phase) - {_off[0]} * sin(phase), 6) as by_, round(pz, 6) as bz, round(0.6::double * cos(phase), 6) + 0.0::double as ux, round(-0.6::double * sin(phase), 6) + 0.0::double as uy from gd")
+@query(f"with {GRID} select cand, round({SPIN[0]!r}::double + {_off[0]} * cos(phase) + {_off[1]} * sin(phase), 6) + 0.0::double as bx, round({SPIN[1]!r}::double + {_off[1]} * cos(phase) - {_off[0]} * sin(phase), 6) + 0.0::double as by_, round(pz, 6) as bz, round(0.6::double * cos(phase), 6) + 0.0::double as ux, round(-0.6::double * sin(phase), 6) + 0.0::double as uy from gd")
 def body_frame(spark, sf):
-    return _framed(spark).select("cand", F.round("bx", 6).alias("bx"), F.round("by", 6).alias("by_"), F.round("bz", 6).alias("bz"), (F.round("ux", 6) + F.lit(0.0)).alias("ux"), (F.round("uy", 6) + F.lit(0.0)).alias("uy"))
+    return _framed_orders(spark, sf).select("cand", *[(F.round(x, 6) + F.lit(0.0)).alias(n) for x, n in (("bx", "bx"), ("by", "by_"), ("bz", "bz"), ("ux", "ux"), ("uy", "uy"))])
 
 
-@query(f"with {GRID}, st as (select cand, (cand * 37 % 50)::double as time, cand % 11 = 3 as selected, cand % 7 <> 0 as valid, (cand % 5)::double as travel from gd), m as (select count(*) filter (where selected) as taken, max(time) filter (where selected) as latest from st) select cand, valid and not selected and time >= latest and taken < 20 and travel <= 3 as allowed from st, m")
+@query(f"with {TOLD}, m as (select k, count(*) filter (where selected) as taken, max(time) filter (where selected) as latest from st group by k) select cand, valid and not selected and (latest is null or time >= latest) and taken < 20 and travel <= 3 as allowed from st join m using (k)")
 def action_mask(spark, sf):
-    return planner.action_mask(_framed(spark), 20, 3.0).select("cand", "allowed")
+    return planner.action_mask(_framed_orders(spark, sf), 20, 3.0).select("cand", "allowed")
 
 
-@query(f"with {GRID}, st as (select *, (cand * 37 % 50)::double as time from gd) select cand, round((pz - 1.1::double) / 2.0::double, 6) as f2, round(sin(phase), 6) + 0.0::double as f12, round(cos(phase), 6) + 0.0::double as f13, round((time - (select min(time) from st)) / ((select max(time) from st) - (select min(time) from st)), 6) as f14, (cand % 11 = 3)::int::double as f15, (cand % 5) / 2.0::double as f16 from st")
+@query(f"with {TOLD}, m as (select k, min(time) as t0, max(time) as t1 from st group by k) select cand, round((pz - 1.1::double) / 2.0::double, 6) + 0.0::double as f2, round(sin(phase), 6) + 0.0::double as f12, round(cos(phase), 6) + 0.0::double as f13, round((time - t0) / greatest(t1 - t0, 1e-12::double), 6) + 0.0::double as f14, selected::int::double as f15, travel / 2.0::double as f16 from st join m using (k)")
 def planner_features(spark, sf):
-    f = planner.candidate_features(_framed(spark), SPIN, CENTER, RADIUS)
+    f = planner.candidate_features(_framed_orders(spark, sf), SPIN, CENTER, RADIUS)
     return f.select("cand", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("f2", "f12", "f13", "f14", "f15", "f16")])
 
 

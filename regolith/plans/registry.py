@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["surface", "clouds", "photometric", "planning", "growing", "details"]
+MODULES = ["surface", "clouds", "photometric", "planning", "growing", "details", "refining"]
 
 
 def queries() -> dict:

@@ -234,9 +234,9 @@ def hf_render_frame(spark, sf):
     return f.groupBy("mesh", F.col("py").cast("long").alias("py")).agg(F.sum("gray").alias("total"))
 
 
-@query(f"with {X.CAM} select cam, {', '.join(f'{S.micro(e)} as e{i}' for i, e in enumerate(EYE))} from cam")
+@query(f"with {X.ORDER_CAM} select cam, {', '.join(f'{S.micro(e)} as e{i}' for i, e in enumerate(EYE))} from oc")
 def cam_centers(spark, sf):
-    return maplet.camera_centers(X.cameras(spark)).select("cam", *[micro(F.col(f"e{i}")).alias(f"e{i}") for i in range(3)])
+    return maplet.camera_centers(X.order_cameras(spark, sf)).select("cam", *[micro(F.col(f"e{i}")).alias(f"e{i}") for i in range(3)])
 
 
 PROJECT = f"""{X.HF}, {X.CAM}, pr as (select k, r, c, cam, f, pp, {', '.join(f"({S.dot((f'r{i}0', f'r{i}1', f'r{i}2'), ('x', 'y', 'z'))} + t{i}) as {n}" for i, n in enumerate(('cx', 'cy', 'depth')))} from hf, cam)"""
@@ -278,9 +278,9 @@ def plane_fit(spark, sf):
     return maplet.plane_fit(X.heights(spark, sf)).select("k", *[F.round(F.col(c) * 1000000).cast("long").alias(c) for c in "ab"])
 
 
-@query("select k.k, (k.k * 289)::bigint as start, 0::bigint as run from range(8) k(k)")
+@query(f"with {X.SUPPLIER_MAPLETS}, m as (select k, ny * nx as n, coalesce(ny <> lag(ny) over (order by k) or nx <> lag(nx) over (order by k), false) as turn from sm) select k, (sum(n) over (order by k) - n)::bigint as start, (sum(turn::int) over (order by k))::bigint as run from m")
 def packed_offsets(spark, sf):
-    return maplet.packed_offsets(_maplets(spark)).select("k", F.col("start").cast("long").alias("start"), F.col("run").cast("long").alias("run"))
+    return maplet.packed_offsets(X.supplier_maplets(spark, sf)).select("k", F.col("start").cast("long").alias("start"), F.col("run").cast("long").alias("run"))
 
 
 @query(f"with {X.HF}, d as (select k, r, c, ((r - 8) * (r - 8) + (c - 8) * (c - 8))::double as d from hf where (r + c) % 3 = 0) select k, r, c, d from d qualify row_number() over (partition by k order by d, r, c) = 1")
@@ -291,9 +291,15 @@ def nearest_to_center(spark, sf):
 _ORBIT = {"ex": "12.5::double * cos(a)", "ey": "12.5::double * sin(a)", "ez": "0.0::double", "t0": "0.0::double", "t1": "0.0::double", "t2": "12.5::double", "l0": "-sqrt(0.5::double) * (cos(a) + sin(a))", "l1": "sqrt(0.5::double) * (cos(a) - sin(a))", "l2": "0.0::double"}
 
 
-@query(f"with r as (select i as request, radians(i::double) as a from range(360) q(i)) select request, {', '.join(f'round({e}, 6) + 0.0::double as {c}' for c, e in _ORBIT.items())} from r")
+_FAR = "greatest(max(sqrt(x * x + y * y + z * z)) / sin(radians(15.0::double)) / 0.85::double, 1.0::double)"
+_TURNED = {c: e.replace("12.5::double", "far") for c, e in _ORBIT.items()}
+
+
+@query(f"with {X.HF}, d as (select k, {_FAR} as far from hf group by k), r as (select k, far, i as request, radians(i::double) as a from d, range(360) q(i)) select k, request, {', '.join(f'round({e}, 6) + 0.0::double as {c}' for c, e in _TURNED.items())} from r")
 def orbit_requests(spark, sf):
-    return raster.orbit(12.5, 360, 45.0, spark=spark).select("request", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in _ORBIT])
+    """A turn of cameras about each maplet, as far away as its points need to fill the view."""
+    far = raster.filling_distance(X.heights(spark, sf), "k", 30.0)
+    return raster.orbits(far, 360, 45.0).select("k", "request", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in _ORBIT])
 
 
 def flagship(spark, sf):
