@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from regolith.functions.scratch import keep
+
 
 def links(observations: DataFrame, least: int) -> DataFrame:
     """Maplets with the images that observe at least so many of their samples: k, cam, n."""
@@ -77,3 +81,34 @@ def sharpest(facts: DataFrame, points: int = 4, coverage: float = 0.25, pixels:
 def to_update(visible: DataFrame, split: DataFrame) -> DataFrame:
     """Maplets that new images see or that may split: k."""
     return visible.select("k").union(split.select("k")).distinct()
+
+
+def admitted(candidates: DataFrame, order: str, budgets: dict[str, int]) -> DataFrame:
+    """Candidates (with `order` and a size for each budget) taken in order while every budget holds; one that does not fit is passed over and the next is tried.
+
+    A round takes all up to the first that does not fit, and drops every later one that no longer fits at all.  At the
+    stop one size is too large for what is left, so there are at most as many rounds as distinct combinations of sizes.  Rounds see only what
+    still fits, a number of rows that the budgets bound.
+    """
+    left, taken = dict(budgets), []
+    todo = candidates
+    while True:
+        fits = reduce(lambda a, b: a & b, [F.col(c) <= F.lit(n) for c, n in left.items()])
+        least = todo.filter(fits).agg(*[F.min(c).alias(c) for c in left]).first()
+        if any(least[c] is None for c in left):
+            break
+        most = min((left[c] // least[c] for c in left if least[c] > 0), default=None)
+        some = todo.filter(fits).orderBy(order)
+        some = keep(some.limit(int(most) + 1) if most is not None else some)  # no more can be taken in all
+        upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        run = some.select("*", *[F.sum(c).over(upto).alias(f"{c}__") for c in left])
+        over = reduce(lambda a, b: a | b, [F.col(f"{c}__") > F.lit(n) for c, n in left.items()])
+        stop = run.filter(over).agg(F.min(order)).first()[0]
+        now = keep((run if stop is None else run.filter(F.col(order) < F.lit(stop))).select(*candidates.columns))
+        taken.append(now)
+        used = now.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in left]).first()
+        left = {c: n - used[c] for c, n in left.items()}
+        if stop is None:
+            break
+        todo = todo.filter(F.col(order) > F.lit(stop))
+    return reduce(DataFrame.unionByName, taken) if taken else candidates.limit(0)
