@@ -18,7 +18,7 @@ def _statements(lines: DataFrame, word: str) -> DataFrame:
     """Statements with exactly this keyword, without comments: mesh, no, args."""
     clean = F.trim(F.regexp_replace(F.regexp_replace("line", "#.*$", ""), "\\s+", " "))
     parts = F.split(clean, " ")
-    return lines.select("mesh", "no", parts.alias("p")).filter(F.col("p")[0] == word).select("mesh", "no", F.slice("p", 2, 1 << 20).alias("args"))
+    return lines.select("mesh", "no", parts.alias("p")).filter(F.col("p")[0] == word).select("mesh", "no", F.slice("p", F.lit(2), F.size("p")).alias("args"))
 
 
 def vertices_of(lines: DataFrame) -> DataFrame:
