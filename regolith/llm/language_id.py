@@ -9,9 +9,10 @@ marginals, and a text's language is that with the largest mean marginal.
 
 Forward-backward runs over many texts at once: the texts of a slice are sorted
 by length, and step t handles the t-th word of all texts that have one.  Whole
-texts are labelled: those of over CUT words in pieces that see HALO words of
-their neighbours on either side, which the chain has long forgotten inside the
-piece; BATCH words are worked on at a time.
+texts are labelled: those of over CUT words in pieces that run side by side,
+BATCH words at a time.  What a piece does to a message is a small matrix; these
+are found first, and their products give each piece the exact messages of all
+that comes before and after it.
 
 The model is fitted in one task of the cluster on a bounded sample: about
 TRAIN_ROWS documents of each language, texts of over TRAIN_CHARS characters
@@ -44,7 +45,7 @@ LEXICON_WORDS = 4096
 LEXICON_LEAST = 20
 BUCKETS = 1 << 15
 SEGMENT = 64
-CUT, HALO, BATCH = 4096, 128, 1 << 19
+CUT, BATCH = 4096, 1 << 19
 _U = np.uint64
 
 
@@ -104,13 +105,20 @@ class Steps:
         self.place = self.begin[step] + np.repeat(rank, lengths)  # of each word in text order
 
 
-def forward_backward(crf: Crf, scores: np.ndarray, steps: Steps) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward and backward messages in step order; their normalised product is the marginal."""
+def forward_backward(crf: Crf, scores: np.ndarray, steps: Steps, heads: np.ndarray | None = None, tails: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward and backward messages in step order; their normalised product is the marginal.
+
+    heads and tails: of each text what comes in before its first word and after its last, where it is a piece of a longer one.
+    """
     n = len(crf.languages)
     potential = np.exp(scores - scores.max(1, keepdims=True))
     move = np.exp(crf.transitions).astype(np.float32)
-    start = np.exp(crf.first).astype(np.float32)
+    start = np.exp(crf.first).astype(np.float32) if heads is None else heads[steps.order[: steps.live[0]]] if len(steps.live) else None
     alpha, beta = np.empty_like(potential), np.ones_like(potential)
+    if tails is not None:
+        for t, live in enumerate(steps.live):  # a text's last word is where it is live no more
+            after = steps.live[t + 1] if t + 1 < len(steps.live) else 0
+            beta[steps.begin[t] + after : steps.begin[t] + live] = tails[steps.order[after:live]]
     total = np.ones((n, 1), np.float32)
     for t, live in enumerate(steps.live):
         a, b = steps.begin[t], steps.begin[t] + live
@@ -127,6 +135,38 @@ def forward_backward(crf: Crf, scores: np.ndarray, steps: Steps) -> tuple[np.nda
     return alpha, beta
 
 
+def transfers(crf: Crf, scores: np.ndarray, steps: Steps) -> np.ndarray:
+    """Of each text (none empty) the matrix that takes a message to its first word into that of its last, up to a factor."""
+    n = len(crf.languages)
+    potential = np.exp(scores - scores.max(1, keepdims=True))
+    move = np.exp(crf.transitions).astype(np.float32)
+    x = np.tile(np.eye(n, dtype=np.float32), (len(steps.order), 1, 1))
+    for t, live in enumerate(steps.live):
+        a = steps.begin[t]
+        y = (x[:live] @ move if t else x[:live]) * potential[a : a + live, None, :]
+        x[:live] = y / y.sum((1, 2), keepdims=True)
+    out = np.empty_like(x)
+    out[steps.order] = x
+    return out
+
+
+def chained(crf: Crf, matrices: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Heads and tails of pieces from their matrices; text: which text each belongs to, pieces in order."""
+    n = len(crf.languages)
+    move = np.exp(crf.transitions).astype(np.float32)
+    heads, tails = np.empty((len(text), n), np.float32), np.ones((len(text), n), np.float32)
+    new = np.diff(text, prepend=-1) != 0
+    for k in range(len(text)):
+        heads[k] = np.exp(crf.first) if new[k] else h
+        h = heads[k] @ matrices[k] @ move
+        h /= h.sum()
+    for k in range(len(text) - 1, 0, -1):
+        if not new[k]:
+            v = move @ (matrices[k] @ tails[k])
+            tails[k - 1] = v / v.sum()
+    return heads, tails
+
+
 def fit(texts: pa.Array, langs: list[str], epochs: int = 6, seed: int = 11) -> Crf | None:
     """Gradient descent (AdaGrad) on the conditional log likelihood of segments of SEGMENT words; all words of all texts are used."""
     names = sorted({str(x) for x in langs})
@@ -209,30 +249,46 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit_in_a_task(bounded_sample(known, "lang", "text", rows), _fit_table)
 
 
+def _batches(size: np.ndarray):
+    """Ranges of pieces of about BATCH words together."""
+    total, at = np.cumsum(size), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - size[at] + BATCH, "right")))
+        yield at, to
+        at = to
+
+
 def label_words(crf: Crf, w: Words):
-    """Piece by piece of the texts: the texts and words of some inner parts, how many words each part has, and the words' marginals."""
+    """Batch by batch of pieces of texts: their texts and words, how many words each has, and the words' marginals."""
     first, number = distinct(w)
     parts = [crf.emissions(*crf.features(w, first[k : k + 200_000])) for k in range(0, len(first), 200_000)]
     e = np.concatenate(parts) if parts else np.zeros((0, len(crf.languages)), np.float32)
     pieces = -(-np.diff(w.offsets) // CUT)
     doc = np.repeat(np.arange(len(pieces)), pieces)
     a = w.offsets[:-1][doc] + CUT * ragged(np.zeros(len(pieces), np.int64), pieces)
-    b = np.minimum(a + CUT, w.offsets[1:][doc])
-    lo, hi = np.maximum(a - HALO, w.offsets[:-1][doc]), np.minimum(b + HALO, w.offsets[1:][doc])
-    total = np.cumsum(hi - lo)
-    at = 0
-    while at < len(doc):
-        to = max(at + 1, int(np.searchsorted(total, total[at] - (hi - lo)[at] + BATCH, "right")))
-        size, inner = (hi - lo)[at:to], (b - a)[at:to]
-        steps = Steps(size)
-        scores = np.empty((int(size.sum()), len(crf.languages)), np.float32)
-        scores[steps.place] = e[number[ragged(lo[at:to], size)]]
-        alpha, beta = forward_backward(crf, scores, steps)
+    size = np.minimum(a + CUT, w.offsets[1:][doc]) - a
+
+    def placed(which: np.ndarray):
+        steps = Steps(size[which])
+        scores = np.empty((int(size[which].sum()), len(crf.languages)), np.float32)
+        scores[steps.place] = e[number[ragged(a[which], size[which])]]
+        return steps, scores
+
+    heads, tails = np.tile(np.exp(crf.first).astype(np.float32), (len(doc), 1)), np.ones((len(doc), len(crf.languages)), np.float32)
+    long = np.flatnonzero(pieces[doc] > 1)
+    if len(long):
+        found = []
+        for i, j in _batches(size[long]):
+            steps, scores = placed(long[i:j])
+            found.append(transfers(crf, scores, steps))
+        heads[long], tails[long] = chained(crf, np.concatenate(found), doc[long])
+    for i, j in _batches(size):
+        which = np.arange(i, j)
+        steps, scores = placed(which)
+        alpha, beta = forward_backward(crf, scores, steps, heads[which], tails[which])
         alpha *= beta
         alpha /= alpha.sum(1, keepdims=True)
-        own = ragged(np.cumsum(size) - size + a[at:to] - lo[at:to], inner)
-        yield doc[at:to], ragged(a[at:to], inner), inner, alpha[steps.place[own]]
-        at = to
+        yield doc[which], ragged(a[which], size[which]), size[which], alpha[steps.place]
 
 
 def _without_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:

@@ -14,8 +14,10 @@ over a key in which spellings of one place agree: no user name, default port or
 final dot of the host, no `.` steps or doubled slashes in the path, escapes of
 letters, digits and `-._~` resolved (twice escaped ones once).
 
-Rules may be given as a table (verdict, host, path) of at most RULES rows, which
-goes to every task.  A null URL or one without `://` has an empty host and path,
+Rules may be given as a table (verdict, host, path) of any size.  They are taken
+longest first in blocks of RULES, so the first block with a fitting rule decides;
+between blocks the URLs are written down.  Slices of URLs shrink as the masks
+grow (CELLS words of state at a time).  A null URL or one without `://` has an empty host and path,
 fits no rule and is allowed.  Repeated rows give repeated results; an empty
 table an empty one; further columns are not read.
 """
@@ -23,13 +25,14 @@ table an empty one; further columns are not read.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regolith.llm.store import table
+from regolith.llm.store import Scratch, table
 from regolith.llm.text import buffers, slices
 
 # The base rules (verdict, host, path).
@@ -42,8 +45,8 @@ BASE_RULES = (
 )
 #: The method's own globs, over host + path; `*` in them crosses everything.
 BLOCK_GLOBS = ("*casino-win.*", "*cheap-pills.*", "*free-bets.*", "*spam-farm.*", "*ads-track.*", "*adult-x.*")
-#: Rows of a table of rules at most.
-RULES = 10_000
+#: Rules of a block, which goes to every task; words of state, and fits of globs, that are held at once.
+RULES, CELLS, FITS = 10_000, 1 << 20, 1 << 22
 # Tokens of a glob besides its bytes.
 _HOST_RUN, _ANY_RUN, _ANY_ONE = -1, -2, -3
 _FURTHER = list(range(0x80, 0xC0))  # bytes within a character of UTF-8
@@ -66,7 +69,7 @@ class Automaton:
         self.step = np.zeros((256, self.words), np.uint64)  # bits that a byte may move on to
         self.loop = np.zeros((256, self.words), np.uint64)  # bits that a byte may stay at
         self.start = np.zeros(self.words, np.uint64)
-        self.final: list[tuple[int, np.uint64]] = []
+        final: list[tuple[int, np.uint64]] = []
         at = 0
         for glob, size in zip(globs, sizes, strict=True):
             bit = at
@@ -81,8 +84,10 @@ class Automaton:
                     self._set(self.step, bit, _STARTS if t == _ANY_ONE else t)
                     if t == _ANY_ONE:  # stays on the further bytes of its character
                         self._set(self.loop, bit, _FURTHER)
-            self.final.append((bit // 64, np.uint64(1) << np.uint64(bit % 64)))
+            final.append((bit // 64, np.uint64(1) << np.uint64(bit % 64)))
             at += size
+        self.last = np.array([w for w, _ in final], np.int64)
+        self.bit = np.array([b for _, b in final], np.uint64)
 
     @staticmethod
     def _set(mask: np.ndarray, bit: int, rows=None) -> None:
@@ -108,11 +113,23 @@ class Automaton:
             moved = s << one
             moved[:, 1:] |= s[:, :-1] >> top
             state[:live] = (moved & self.step[c]) | (s & self.loop[c])
-        out = np.zeros((n, len(self.final)), bool)
-        for k, (word, bit) in enumerate(self.final):
-            out[order, k] = (state[:, word] & bit) != 0
+        out = np.zeros((n, len(self.last)), bool)
+        step = max(1, FITS // max(n, 1))
+        for k in range(0, len(self.last), step):
+            out[order, k : k + step] = (state[:, self.last[k : k + step]] & self.bit[k : k + step]) != 0
         return out
 
+    def first(self, buf: np.ndarray, offs: np.ndarray, together: int = 1) -> np.ndarray:
+        """Of each text the first of the globs, taken `together` at a time, that fits; -1 where none does."""
+        found = [np.empty(0, np.int64)]
+        most = max(1, min(CELLS // self.words, FITS // max(len(self.last), 1)))
+        for i, j in slices(offs, 1 << 20):
+            for k in range(i, j, most):
+                fits = self.run(buf, offs[k : min(k + most, j) + 1])
+                fits = fits.reshape(len(fits), -1, together).any(2)
+                found.append(np.where(fits.any(1), fits.argmax(1), -1) if fits.shape[1] else np.full(len(fits), -1))
+        return np.concatenate(found)
+
 
 def _glob(text: str) -> list:
     out: list = []
@@ -151,49 +168,57 @@ def place_key(host: str, path: str) -> str:
     return host + path
 
 
-def _rows(rules) -> list[tuple[str, str, str]]:
-    if not isinstance(rules, DataFrame):
-        return list(rules)
-    found = [tuple(r) for r in rules.select("verdict", "host", "path").limit(RULES + 1).collect()]
-    if len(found) > RULES:
-        raise ValueError(f"more than {RULES} rules")
-    return found
+def _ruled(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """URLs that have no rule yet get the first of these that fits."""
+    globs = [g for r in rules for g in (_glob(r[1]) + _glob(r[2]) + [_ANY_RUN], [_HOST_RUN] + _glob("." + r[1]) + _glob(r[2]) + [_ANY_RUN])]
+    names, verdicts = [base_name(r) for r in rules], [r[0] for r in rules]
+
+    def judge(batches):
+        automaton = Automaton(globs)
+        for batch in batches:
+            rule, verdict = batch.column("rule").to_pylist(), batch.column("verdict").to_pylist()
+            open_ = np.array([k for k, r in enumerate(rule) if r is None], np.int64)
+            keys = pa.array([h + p for h, p in zip(batch.column("host").take(open_).to_pylist(), batch.column("path").take(open_).to_pylist(), strict=True)], pa.string())
+            for k, m in zip(open_.tolist(), automaton.first(*buffers(keys), together=2).tolist(), strict=True):
+                if m >= 0:
+                    rule[k], verdict[k] = names[m], verdicts[m]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+
+    return urls.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string")
+
+
+def _blocks(rules):
+    """Rules longest first, RULES at a time; a table is sorted by Spark, and only a block of it is here at once."""
+    if isinstance(rules, DataFrame):
+        size = F.length("host") + F.length("path")
+        rows = (tuple(r) for r in rules.select("verdict", "host", "path").dropna().orderBy(F.desc(size), "host", "path", "verdict").toLocalIterator())
+    else:
+        rows = iter(sorted(rules, key=lambda r: (-len(base_name(r)), r[1], r[2], r[0])))
+    while block := list(islice(rows, RULES)):
+        yield block
 
 
 def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=BASE_RULES, block_globs=BLOCK_GLOBS) -> DataFrame:
     """Per row: page_id, host, path, rule, verdict, blocked_by (the method's glob, else null)."""
     host, path = canonical(F.col(url_col))
-    ranked = sorted(_rows(rules), key=lambda r: -len(base_name(r)))
-    globs = [g for r in ranked for g in (_glob(r[1]) + _glob(r[2]) + [_ANY_RUN], [_HOST_RUN] + _glob("." + r[1]) + _glob(r[2]) + [_ANY_RUN])]
-    own_globs = [_glob(g) for g in block_globs]
-    names = [base_name(r) for r in ranked]
-    verdicts = [r[0] for r in ranked]
-    own = list(block_globs)
+    scratch = Scratch(pages.sparkSession)
+    urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    for k, block in enumerate(_blocks(rules)):
+        if k:
+            urls = scratch.keep(urls, f"ruled-{k}")
+            scratch.drop(f"ruled-{k - 1}")
+        urls = _ruled(urls, block)
+    own_globs, own = [_glob(g) for g in block_globs], list(block_globs)
 
     def judge(batches):
-        ruled, blocked = Automaton(globs), Automaton(own_globs)
-
-        def fitting(automaton, keys):
-            buf, offs = buffers(keys)
-            parts = [automaton.run(buf, offs[i : j + 1]) for i, j in slices(offs, 1 << 20)]
-            return np.concatenate(parts) if parts else np.zeros((0, len(automaton.final)), bool)
-
+        blocked = Automaton(own_globs)
         for batch in batches:
-            hit = fitting(ruled, batch.column("key"))
-            base = hit.reshape(len(hit), len(names), 2).any(2)
-            keys = [place_key(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            extra = fitting(blocked, pa.array(keys, pa.string()))
-            rule, verdict, why = [], [], []
-            for b, x in zip(base, extra, strict=True):
-                k = int(b.argmax()) if b.any() else -1
-                m = int(x.argmax()) if x.any() else -1
-                rule.append(names[k] if k >= 0 else None)
-                verdict.append(verdicts[k] if k >= 0 else "block" if m >= 0 else "allow")
-                why.append(own[m] if m >= 0 else None)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(why, pa.string())], ["page_id", "host", "path", "rule", "verdict", "blocked_by"])
-
-    urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    return urls.select("page_id", "host", "path", F.concat("host", "path").alias("key")).mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string, blocked_by string")
+            keys = pa.array([place_key(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)], pa.string())
+            why = [own[m] if m >= 0 else None for m in blocked.first(*buffers(keys)).tolist()]
+            verdict = [v or ("block" if w else "allow") for v, w in zip(batch.column("verdict").to_pylist(), why, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), batch.column("rule"), pa.array(verdict, pa.string()), pa.array(why, pa.string())], ["page_id", "host", "path", "rule", "verdict", "blocked_by"])
+
+    return urls.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string, blocked_by string")
 
 
 def op6_url_filter(spark, sf_dir):

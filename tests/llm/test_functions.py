@@ -283,6 +283,22 @@ def test_forward_backward_equals_enumeration():
         at += n
 
 
+@pytest.mark.parametrize("strength", [1.0, 6.0])
+def test_pieces_of_a_text_have_the_marginals_of_the_whole(monkeypatch, strength):
+    rng = np.random.default_rng(4)
+    vocab = {"en": ["the", "with", "thing"], "de": ["der", "nicht", "schon"]}
+    crf = language_id.fit(pa.array([" ".join(rng.choice(vocab[k], 30)) for k in ("en", "de") for _ in range(20)]), ["en"] * 20 + ["de"] * 20)
+    crf.transitions = strength * np.eye(2)
+    own = [" ".join(rng.choice(vocab["en"], 40)) + " zz" * 70 + " " + " ".join(rng.choice(vocab["de"], 3)), "der", "", " ".join(rng.choice(vocab["de"], 25))]
+    marginals = lambda: {int(k): row for _, place, _, p in language_id.label_words(crf, text.words_of(*text.buffers(pa.array(own)))) for k, row in zip(place, p, strict=True)}
+    whole = marginals()
+    for cut, batch in ((7, 1 << 19), (10, 15), (1, 1)):
+        monkeypatch.setattr(language_id, "CUT", cut)
+        monkeypatch.setattr(language_id, "BATCH", batch)
+        got = marginals()
+        assert got.keys() == whole.keys() and all(np.allclose(got[k], whole[k], atol=1e-5) for k in whole)
+
+
 def test_languages_are_learned_and_switches_found():
     rng = np.random.default_rng(2)
     vocab = {"en": ["the", "with", "thing", "other", "should"], "de": ["der", "nicht", "schon", "werden", "über"]}

@@ -159,3 +159,24 @@ def test_conversations(spark):
     assert got[None]["turns_sha256"] == sha("\nx\n") and got[None]["loss_chars"] == 0
     assert got[2]["loss_sha256"] == sha("") and got[3]["turns_sha256"] == sha("a\nb\\\n" + "<|im_end|>\n" * 3 + "\n")
     assert chat_format.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_url_rules_in_blocks(spark, monkeypatch):
+    """A table of rules that is larger than a block gives what a plain search gives; columns of other names do not matter."""
+    hosts, paths = ["com", "a.com", "b.a.com", "net", "x.net", "org"], ["/", "/p/", "/p/q", "/z"]
+    rules = [("block" if (len(h) + len(p)) % 2 else "allow", h, p) for h in hosts for p in paths]
+    urls = [(i, f"http://{h}{p}{t}", "x") for i, (h, p, t) in enumerate((h, p, t) for h in ["a.com", "c.b.a.com", "xcom", "x.net", "q.org", "b.a.com"] for p in paths + ["/y"] for t in ("", "k"))] + [(999, None, "x")]
+    want = []
+    for i, u, _ in urls:
+        host, path = (u[7:].partition("/")[0], "/" + u[7:].partition("/")[2]) if u else ("", "")
+        fit = sorted((-len(h + p), h, p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p))
+        want.append((i, fit[0][1] + fit[0][2] if fit else None, fit[0][3] if fit else "allow"))
+    pages = spark.createDataFrame(urls, "page_id long, url string, rule string").withColumn("verdict", F.lit("clash")).withColumn("host", F.lit("clash"))
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    for block, cells in ((10_000, 1 << 20), (5, 3)):
+        monkeypatch.setattr(url_filter, "RULES", block)
+        monkeypatch.setattr(url_filter, "CELLS", cells)
+        for given in (rules, table):
+            got = [(r["page_id"], r["rule"], r["verdict"]) for r in url_filter.url_filter(pages, rules=given).orderBy("page_id").collect()]
+            assert got == want
+    assert {r["verdict"] for r in url_filter.url_filter(pages, rules=[], block_globs=()).collect()} == {"allow"}
