@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regolith.functions.scratch import keep
+
 
 def information(rows: DataFrame, *keys: str) -> DataFrame:
     """J^T S^-1 J of each group as entries (i, j, f) from sparse Jacobian rows (obs, i, value, sigma)."""
@@ -45,6 +49,57 @@ def view_gain(state: np.ndarray, views: list[np.ndarray], weights: np.ndarray) -
     return [float(weights @ (before - np.diag(np.linalg.inv(state + v))[: len(weights)])) for v in views]
 
 
+def factors(covariance: DataFrame, rows: DataFrame, given: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """The low-rank updates that measurements make to many covariances: scene, seq, turn, i, w; the new covariance is the old less the sum of all w w^T.
+
+    covariance: entries (scene, i, j, v) of each scene, both halves; rows: the measurements of a sequence in the order of turn
+    (scene, seq, turn, i, b, variance), entries that are 0 may be absent; given: factors (scene, i, q, w) that hold already.
+    Each turn takes what the turns before left of its direction, so no matrix is inverted and all scenes and sequences go together.
+    """
+    b = keep(rows.filter(F.col("b") != 0))
+    keys = ["scene", "seq", "turn"]
+    u = b.withColumnRenamed("i", "j").join(covariance, ["scene", "j"]).groupBy(*keys, "i").agg(F.sum(F.col("v") * F.col("b")).alias("u"))
+    if given is not None:
+        along = b.join(given, ["scene", "i"]).groupBy(*keys, "q").agg(F.sum(F.col("w") * F.col("b")).alias("s"))
+        less = along.join(given, ["scene", "q"]).groupBy(*keys, "i").agg(F.sum(-F.col("s") * F.col("w")).alias("u"))
+        u = u.unionByName(less).groupBy(*keys, "i").agg(F.sum("u").alias("u"))
+    u = keep(u)
+    last = most if most is not None else (b.agg(F.max("turn")).first()[0] if b.limit(1).count() else -1) + 1
+    done = []
+    for turn in range(last):
+        own, now = b.filter(F.col("turn") == turn), u.filter(F.col("turn") == turn)
+        size = own.join(now, [*keys, "i"]).groupBy("scene", "seq").agg((F.first("variance") + F.sum(F.col("b") * F.col("u"))).alias("size"))
+        w = keep(now.join(size, ["scene", "seq"]).select("scene", "seq", F.lit(turn).alias("turn"), "i", (F.col("u") / F.sqrt("size")).alias("w")))
+        done.append(w)
+        if turn + 1 < last:
+            f = w.select("scene", "seq", "i", "w")
+            along = b.filter(F.col("turn") > turn).join(f, ["scene", "seq", "i"]).groupBy(*keys).agg(F.sum(F.col("w") * F.col("b")).alias("s"))
+            less = along.join(f, ["scene", "seq"]).select(*keys, "i", (-F.col("s") * F.col("w")).alias("u"))
+            u = keep(u.filter(F.col("turn") > turn).unionByName(less).groupBy(*keys, "i").agg(F.sum("u").alias("u")))
+    return reduce(DataFrame.unionByName, done) if done else u.select("scene", "seq", "turn", "i", F.col("u").alias("w")).limit(0)
+
+
+def sequence_gains(covariance: DataFrame, rows: DataFrame, weights: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """Weighted drop (weights: scene, i, weight) of the heights' variances by each whole sequence: scene, seq, gain.  What measurements of a sequence have in common counts once."""
+    f = factors(covariance, rows, given).join(weights, ["scene", "i"])
+    return f.groupBy("scene", "seq").agg(F.sum(F.col("weight") * F.col("w") * F.col("w")).alias("gain"))
+
+
+def greedy_sequence(covariance: DataFrame, rows: DataFrame, weights: DataFrame, length: int) -> DataFrame:
+    """Of each scene the views (seq) that one by one add most to what those before them tell: scene, place, view, gain."""
+    left, given, chosen = rows, None, []
+    for place in range(length):
+        f = keep(factors(covariance, left, given))
+        gain = f.join(weights, ["scene", "i"]).groupBy("scene", "seq").agg(F.sum(F.col("weight") * F.col("w") * F.col("w")).alias("gain"))
+        best = keep(best_view(gain.withColumnRenamed("seq", "view")))
+        chosen.append(best.select("scene", F.lit(place).alias("place"), "view", "gain"))
+        pick = best.select("scene", F.col("view").alias("seq"))
+        new = f.join(pick, ["scene", "seq"]).select("scene", "i", (F.col("turn") + F.lit(1000 * place)).alias("q"), "w")
+        given = keep(new if given is None else given.unionByName(new))
+        left = left.join(pick, ["scene", "seq"], "left_anti")
+    return reduce(DataFrame.unionByName, chosen)
+
+
 def best_view(gains: DataFrame) -> DataFrame:
     """Of each scene the view with the largest gain (smallest id on a tie)."""
     return gains.groupBy("scene").agg(F.max_by(F.struct("view", "gain"), F.struct("gain", -F.col("view"))).alias("b")).select("scene", "b.view", "b.gain")

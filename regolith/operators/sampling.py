@@ -43,6 +43,31 @@ def stratified(faces: DataFrame, count: int, key: str = "mesh") -> DataFrame:
     return s.select(key, "sample", "fid", *[(F.col(f"a{x}") * F.col("b0") + F.col(f"b{x}") * F.col("b1") + F.col(f"c{x}") * F.col("b2")).alias(f"p{x}") for x in "xyz"])
 
 
+def quota_samples(points: DataFrame, count: int, key: str = "mesh") -> DataFrame:
+    """`count` places of each body for its points (key, stratum, id, area, sigma), shared out over strata by area: key, slot, stratum, id, weight, masked.
+
+    A stratum gets the whole part of its share, and those with the largest remainders one more (of equal ones the
+    smallest stratum), as far as it has points; within it points come in the order of their ids' digests.  Weights are areas that the points stand for, with
+    sum 1 in a body.  A point without a finite sigma is masked; places that are left over are masked and have no id.
+    """
+    strata = points.groupBy(key, "stratum").agg(F.sum("area").alias("area"), F.count("*").alias("has"))
+    own = Window.partitionBy(key)
+    s = strata.withColumn("share", F.lit(float(count)) * F.col("area") / F.sum("area").over(own)).withColumn("whole", F.floor("share"))
+    rest = F.round(F.col("share") - F.col("whole"), 9)
+    s = s.withColumn("turn", F.row_number().over(own.orderBy(rest.desc(), "stratum"))).withColumn("spare", F.lit(count) - F.sum("whole").over(own))
+    s = s.select(key, "stratum", "has", (F.col("area") / F.sum("area").over(own)).alias("part"), (F.col("whole") + (F.col("turn") <= F.col("spare")).cast("long")).alias("quota"))
+    s = s.withColumn("taken", F.least("quota", "has"))
+    s = s.withColumn("start", F.sum("taken").over(own.orderBy("stratum").rowsBetween(Window.unboundedPreceding, 0)) - F.col("taken"))
+    place = F.row_number().over(Window.partitionBy(key, "stratum").orderBy(F.md5(F.col("id").cast("string")), "id"))
+    chosen = points.select(key, "stratum", "id", "sigma").withColumn("place", place).join(s, [key, "stratum"]).filter(F.col("place") <= F.col("taken"))
+    kept = F.sum("part").over(own)  # strata without a place leave theirs to the others
+    shown = s.filter("taken > 0").select(key, "stratum", (F.col("part") / kept / F.col("taken")).alias("weight"))
+    fine = F.col("sigma").isNotNull() & ~F.isnan("sigma") & (F.col("sigma") < float("inf"))
+    got = chosen.join(shown, [key, "stratum"]).select(key, (F.col("start") + F.col("place") - 1).alias("slot"), "stratum", "id", "weight", (~F.coalesce(fine, F.lit(False))).alias("masked"))
+    slots = points.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("slot"))
+    return slots.join(got, [key, "slot"], "left").select(key, "slot", "stratum", "id", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("masked", F.lit(True)).alias("masked"))
+
+
 def random_samples(faces: DataFrame, count: int, seed: int, key: str = "mesh") -> DataFrame:
     """`count` points of each mesh by area, by chance: uniform places on the running weight and uniform points of triangles."""
     targets = faces.groupBy(key).agg(F.sum("weight").alias("total")).select(key, "total", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("tid"))

@@ -61,24 +61,24 @@ def nearest(queries: DataFrame, refs: DataFrame, size: float, rounds: int = 40)
     raise RuntimeError("the first cell is too small for these points")
 
 
-def heights_on_plane(points: DataFrame, triangles: DataFrame, size: float, depth: float, epsilon: float = 1e-6) -> DataFrame:
+def heights_on_plane(points: DataFrame, triangles: DataFrame, size: float, depth: float, epsilon: float = 1e-6, on: tuple[str, ...] = ()) -> DataFrame:
     """For points (pid, x, y) the height of the triangle (fid, ax .. cz) over them that lies closest to the plane; of equal ones the smallest fid.
 
-    Triangles go into all cells that their boxes overlap.
+    Triangles go into all cells that their boxes overlap.  on: columns that points and triangles must share, such as their mesh.
     """
     low = {a: F.floor((F.least(*[F.col(f"{n}{a}") for n in "abc"]) - epsilon) / size).cast("long") for a in "xy"}
     high = {a: F.floor((F.greatest(*[F.col(f"{n}{a}") for n in "abc"]) + epsilon) / size).cast("long") for a in "xy"}
     t = triangles.select("*", F.explode(F.sequence(low["x"], high["x"])).alias("g0")).select("*", F.explode(F.sequence(low["y"], high["y"])).alias("g1"))
-    p = points.select("pid", "x", "y", *[c.alias(f"g{i}") for i, c in enumerate(_cell(size, "x", "y"))])
-    j = p.join(t, ["g0", "g1"])
+    p = points.select(*on, "pid", "x", "y", *[c.alias(f"g{i}") for i, c in enumerate(_cell(size, "x", "y"))])
+    j = p.join(t, [*on, "g0", "g1"])
     bx, by, cx, cy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay")
     dx, dy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
     j = j.withColumn("det", bx * cy - by * cx).filter("det <> 0")
     j = j.withColumn("u", (dx * cy - dy * cx) / F.col("det")).withColumn("v", (bx * dy - by * dx) / F.col("det"))
     j = j.withColumn("z", F.col("az") + F.col("u") * (F.col("bz") - F.col("az")) + F.col("v") * (F.col("cz") - F.col("az")))
     hit = j.filter((F.col("u") >= -epsilon) & (F.col("v") >= -epsilon) & (F.col("u") + F.col("v") <= 1 + epsilon) & (F.abs("z") <= depth))
-    best = hit.groupBy("pid").agg(F.min(F.struct(F.abs("z").alias("far"), "fid", "z")).alias("b"))
-    return points.select("pid").join(best, "pid", "left").select("pid", F.col("b.z").alias("z"), F.col("b.fid").alias("fid"))
+    best = hit.groupBy(*on, "pid").agg(F.min(F.struct(F.abs("z").alias("far"), "fid", "z")).alias("b"))
+    return points.select(*on, "pid").join(best, [*on, "pid"], "left").select(*on, "pid", F.col("b.z").alias("z"), F.col("b.fid").alias("fid"))
 
 
 def crossed_cells(rays: DataFrame, size: float) -> DataFrame:
@@ -122,12 +122,12 @@ def struck(pairs: DataFrame, epsilon, *keep: str) -> DataFrame:
     return j.filter((u >= 0) & (v >= 0) & (u + v <= 1) & (far > F.col("eps__")) & (far < F.col("far__") - F.col("eps__"))).select(*keep)
 
 
-def hits(rays: DataFrame, triangles: DataFrame, size: float, epsilon: float) -> DataFrame:
-    """Pairs (rid, fid) of segments and triangles that meet farther than epsilon from both ends."""
-    j = crossed_cells(rays, size).join(faces_in_cells(triangles, size), ["g0", "g1", "g2"])
-    return struck(j, epsilon, "rid", "fid").distinct()
+def hits(rays: DataFrame, triangles: DataFrame, size: float, epsilon: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (rid, fid) of segments and triangles that meet farther than epsilon from both ends; on: columns that both must share."""
+    j = crossed_cells(rays, size).join(faces_in_cells(triangles, size), [*on, "g0", "g1", "g2"])
+    return struck(j, epsilon, *on, "rid", "fid").distinct()
 
 
-def clear_rays(rays: DataFrame, triangles: DataFrame, size: float, epsilon: float) -> DataFrame:
+def clear_rays(rays: DataFrame, triangles: DataFrame, size: float, epsilon: float, on: tuple[str, ...] = ()) -> DataFrame:
     """Rays that meet no triangle: an anti-join.  Endless rays are to be cut first (occlusion.until_out)."""
-    return rays.join(hits(rays, triangles, size, epsilon).select("rid").distinct(), "rid", "left_anti")
+    return rays.join(hits(rays, triangles, size, epsilon, on).select(*on, "rid"), [*on, "rid"], "left_anti")

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regolith.functions import sqltext as S
-from regolith.functions.scratch import keep
 from regolith.functions.vec import micro
 from regolith.operators import mesh, register, sampling, spatial
 from regolith.plans import fixtures as X
@@ -166,18 +163,10 @@ u as (select *, (dx * cy - dy * cx) / det as u, (bx * dy - by_ * dx) / det as v
 b as (select k, pid, min(row(abs(z), fid, z)) as b from h where abs(z) <= 0.4::double group by k, pid) select m.k as mesh, p.pid, {S.micro('b[3]')} as z, b[2] as fid from range(8) m(k) cross join p left join b on b.k = m.k and b.pid = p.pid""")
 def point_heights(spark, sf):
     """The points over each maplet's mesh."""
-    return _each_mesh(_faces(spark, sf), lambda k, t: _point_heights(spark, t))
-
-
-def _each_mesh(faces, f):
-    """f of each of the eight meshes' number and faces, in one table with the number as mesh."""
-    faces = keep(faces)
-    return reduce(DataFrame.unionByName, [f(k, faces.filter(F.col("mesh") == k)).select(F.lit(k).cast("long").alias("mesh"), "*") for k in range(8)])
-
-
-def _point_heights(spark, faces):
+    f = _faces(spark, sf)
     p = spark.range(300).select(F.col("id").alias("pid"), (((F.col("id") * 7) % 160) * F.lit(0.01) - F.lit(0.795)).alias("x"), (((F.col("id") * 13) % 160) * F.lit(0.01) - F.lit(0.793)).alias("y"))
-    return spatial.heights_on_plane(p, faces, 0.1, 0.4).select("pid", micro(F.col("z")).alias("z"), "fid")
+    every = p.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("mesh"))
+    return spatial.heights_on_plane(every, f, 0.1, 0.4, on=("mesh",)).select("mesh", "pid", micro(F.col("z")).alias("z"), "fid")
 
 
 RAY = f"""{X.TRI}, t as (select * from geo), o as (select k, r * 17 + c as rid, x as ox, y as oy, z + 1e-4::double as oz from hf), ray as (select *, 0.6::double as dx, 0.0::double as dy, 0.8::double as dz, 1.5::double as far from o),
@@ -189,10 +178,6 @@ k2 as (select *, e1x * px + e1y * py + e1z * pz as det from n), h as (select dis
 @query(f"with {RAY} select k as mesh, rid from ray where not exists (select 1 from h where h.k = ray.k and h.rid = ray.rid)")
 def ray_clear(spark, sf):
     """The rays from each maplet's samples that its own mesh leaves clear."""
-    s = keep(X.heights(spark, sf))
-    return _each_mesh(_faces(spark, sf), lambda k, t: _ray_clear(s.filter(F.col("k") == k), t))
-
-
-def _ray_clear(s, faces):
-    rays = s.select((F.col("r") * 17 + F.col("c")).alias("rid"), F.col("x").alias("ox"), F.col("y").alias("oy"), (F.col("z") + F.lit(1e-4)).alias("oz"), F.lit(0.6).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.8).alias("dz"), F.lit(1.5).alias("far"))
-    return spatial.clear_rays(rays, faces, 0.25, 1e-5).select("rid")
+    s = X.heights(spark, sf)
+    rays = s.select(F.col("k").alias("mesh"), (F.col("r") * 17 + F.col("c")).alias("rid"), F.col("x").alias("ox"), F.col("y").alias("oy"), (F.col("z") + F.lit(1e-4)).alias("oz"), F.lit(0.6).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.8).alias("dz"), F.lit(1.5).alias("far"))
+    return spatial.clear_rays(rays, _faces(spark, sf), 0.25, 1e-5, on=("mesh",)).select("mesh", "rid")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regolith.functions.scratch import keep
-from regolith.functions.vec import micro
 from regolith.operators import growth, information, maplet, mesh, occlusion, photometry, planner, raster, views
 from regolith.plans import fixtures as X
 from regolith.plans.photometric import OBS, observations
