@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regolith.functions.scratch import keep
+from regolith.functions.vec import add, apply, mat, named, unit, vec
+from regolith.operators.observe import local, with_slopes
 
 
 def links(observations: DataFrame, least: int) -> DataFrame:
@@ -112,3 +114,34 @@ def admitted(candidates: DataFrame, order: str, budgets: dict[str, int]) -> Data
             break
         todo = todo.filter(F.col(order) > F.lit(stop))
     return reduce(DataFrame.unionByName, taken) if taken else candidates.limit(0)
+
+
+def fusion_points(samples: DataFrame, maplets: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """Oriented points of samples whose stencil is valid, for a closed surface: k, r, c, x, y, z, nx, ny, nz, quality.
+
+    Quality falls from a maplet's middle to its rim, so that of overlapping maplets the one nearer its middle counts more, and rises with confidence.
+    active: k of the maplets that take part (all, if not given).
+    """
+    s = with_slopes(samples if active is None else samples.join(active.select("k"), "k", "left_semi"), maplets).filter("stencil").join(maplets, "k")
+    u, v = local(F.col("nx"), F.col("ny"), F.col("spacing"))
+    rim = [F.abs(F.lit(2.0) * F.col(a) / (F.col(n) - 1) - F.lit(1.0)) for a, n in (("c", "nx"), ("r", "ny"))]
+    taper = F.greatest(F.lit(1.0) - F.greatest(*rim), F.lit(0.05))
+    known = F.when(F.isnan("confidence"), 0.0).otherwise(F.coalesce("confidence", F.lit(0.0)))
+    quality = taper * (F.lit(0.25) + F.lit(0.75) * F.least(F.greatest(known, F.lit(0.0)), F.lit(1.0)))
+    s = s.select("*", *named(unit((-F.col("p"), -F.col("q"), F.lit(1.0))), "l0", "l1", "l2"))
+    point = add(vec("ox", "oy", "oz"), apply(mat("b"), (u, v, F.col("h"))))
+    normal = apply(mat("b"), vec("l0", "l1", "l2"))
+    return s.select("k", "r", "c", *named(point, "x", "y", "z"), *[x.alias(f"n{a}") for x, a in zip(normal, "xyz", strict=True)], quality.alias("quality"))
+
+
+def fused(points: DataFrame, voxel: float) -> DataFrame:
+    """Points of fusion_points() merged by voxel and by the direction of their normal, so that the two sides of a thin layer stay apart: weighted means x .. nz (unit), n, and quality over its median."""
+    box = points.agg(*[F.min(a).alias(f"lo{a}") for a in "xyz"])  # one row
+    cell = [F.floor((F.col(a) - F.col(f"lo{a}")) / F.lit(float(voxel))).cast("long").alias(f"g{i}") for i, a in enumerate("xyz")]
+    side = [F.floor((F.least(F.greatest(F.col(f"n{a}"), F.lit(-1.0)), F.lit(1.0)) + F.lit(1.0)) * F.lit(2.0)).cast("int").alias(f"h{i}") for i, a in enumerate("xyz")]
+    total = F.sum("quality")
+    mean = [(F.sum(F.col("quality") * F.col(c)) / total).alias(c) for c in ("x", "y", "z", "nx", "ny", "nz")]
+    g = points.crossJoin(F.broadcast(box)).select("*", *cell, *side).groupBy(*[f"{p}{i}" for p in "gh" for i in range(3)]).agg(F.count("*").alias("n"), *mean, F.avg("quality").alias("quality"))
+    middle = g.agg(F.percentile("quality", 0.5).alias("median"))
+    g = g.crossJoin(F.broadcast(middle)).withColumn("quality", F.col("quality") / F.col("median"))
+    return g.select(*[f"{p}{i}" for p in "gh" for i in range(3)], "n", "x", "y", "z", *[c.alias(f"n{a}") for c, a in zip(unit(vec("nx", "ny", "nz"), 1e-12), "xyz", strict=True)], "quality")
