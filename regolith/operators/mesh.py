@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regolith.functions.vec import cross, named, norm, sub, vec
+from regolith.functions.vec import cross, named, norm, sub, unit, vec
 from regolith.operators.graph import components
 
 
@@ -29,7 +29,13 @@ def face_geometry(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     t = t.select("*", *named(g, "gx", "gy", "gz")).withColumn("two", norm(vec("gx", "gy", "gz")))
     third = F.lit(3.0)
     middle = [(a[i] / third + b[i] / third + c[i] / third).alias(f"m{axis}") for i, axis in enumerate("xyz")]
-    normal = [F.when(F.col("two") > 0, F.col(f"g{axis}") / F.col("two")).otherwise(0.0).alias(f"n{axis}") for axis in "xyz"]
+    # Where the product of two tiny edges vanishes, edges are scaled by their largest component first.
+    e, d = sub(b, a), sub(c, a)
+    most = F.greatest(*[F.abs(x) for x in (*e, *d)])
+    small = (F.col("two") < 1e-100) & (most > 0)
+    up = lambda v: tuple(x / F.when(most > 0, most) for x in v)
+    t = t.select("*", *[F.when(small, x).alias(f"u{axis}") for x, axis in zip(unit(cross(up(e), up(d)), 1e-30), "xyz", strict=True)])
+    normal = [F.coalesce(F.col(f"u{axis}"), F.when(F.col("two") > 0, F.col(f"g{axis}") / F.col("two")).otherwise(0.0)).alias(f"n{axis}") for axis in "xyz"]
     return t.select("mesh", "fid", "v0", "v1", "v2", *[f"{n}{x}" for n in "abc" for x in "xyz"], *middle, *normal, (F.col("two") * F.lit(0.5)).alias("area"))
 
 
@@ -38,6 +44,15 @@ def proper_faces(geometry: DataFrame) -> DataFrame:
     return geometry.filter((F.col("area") > 0) & ~F.isnan("area") & (F.col("area") < float("inf")))
 
 
+def usable_faces(geometry: DataFrame) -> DataFrame:
+    """The proper faces; an error names the meshes that have none left."""
+    proper = proper_faces(geometry)
+    empty = geometry.select("mesh").distinct().join(proper.select("mesh").distinct(), "mesh", "left_anti").limit(5).collect()
+    if empty:
+        raise ValueError(f"no face with an area is left in {', '.join(str(r['mesh']) for r in empty)}")
+    return proper
+
+
 def violations(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Per mesh: non-finite vertices, faces with an index that no vertex has, faces with a repeated corner."""
     finite = ~(F.isnan("x") | F.isnan("y") | F.isnan("z")) & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")) & (F.abs("z") < float("inf"))
@@ -97,7 +112,7 @@ def weld(vertices: DataFrame) -> DataFrame:
 def mesh_components(faces: DataFrame) -> DataFrame:
     """Faces with the smallest vertex of their component (faces that share a vertex are connected)."""
     star = faces.select("mesh", F.explode(F.array(F.struct(F.col("v0").alias("p"), F.col("v1").alias("q")), F.struct(F.col("v0").alias("p"), F.col("v2").alias("q")))).alias("e"))
-    name = lambda c: F.concat_ws("/", "mesh", F.lpad(F.col(c).cast("string"), 12, "0"))
+    name = lambda c: F.struct("mesh", F.col(c).alias("vid"))
     roots = components(star.select("mesh", "e.p", "e.q").select(name("p").alias("a"), name("q").alias("b")))
     return faces.join(roots.withColumnRenamed("node", "n"), name("v0") == F.col("n")).drop("n")
 
