@@ -162,3 +162,17 @@ def _served(spark, sf, e, files, in_flight):
     return spark.read.parquet(f"{root}/out").select("request_id", "pixels", "gray", "error")
 
 
+
+
+@query("""with a as (select user_id, max(ts) as latest from events where event_id % 2 = 0 group by user_id)
+select event_id, user_id from events e left join a using (user_id) where event_id % 2 = 0 or latest is null or ts >= latest""")
+def stream_latest(spark, sf):
+    """All events in two micro-batches, the even ones first: what of the second does not go back before its user's latest."""
+    root = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    e = X.table(spark, sf, "events").select("event_id", "user_id", "ts")
+    schema = e.schema
+    for odd in (0, 1):  # one file after the other, so that they are read in this order
+        e.filter(F.col("event_id") % 2 == odd).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    render_queue.latest_per_key(stream, "user_id", "ts", f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out/rows").select("event_id", "user_id")

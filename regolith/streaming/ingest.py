@@ -1,26 +1,11 @@
-"""Images that arrive one by one: each micro-batch is stored, observed, linked, and the maplets it touches are refined."""
+"""What became of the maplets that new images may see (the stream itself is in regolith.streaming.model)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regolith.operators import photometry, views
-
-
-def update(observed: DataFrame, grid: DataFrame, spacing: float, least: int = 9, defer: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Links of new observations, and the refined heights of linked maplets (none when deferred).
-
-    observed: rows of photometry's observations; grid: samples with slopes.
-    """
-    links = views.links(observed, least)
-    touched = links.select("k").distinct()
-    if defer:
-        return links, grid.select("k", "r", "c", "h").limit(0)
-    rows = observed.join(F.broadcast(touched), "k", "left_semi")
-    return links, photometry.refine(rows, grid.join(F.broadcast(touched), "k", "left_semi"), spacing)
+from regolith.operators import photometry
 
 
 def report(links: DataFrame, observed: DataFrame) -> DataFrame:
@@ -29,15 +14,3 @@ def report(links: DataFrame, observed: DataFrame) -> DataFrame:
     linked = links.groupBy("k").agg(F.count("*").alias("links"))
     status = F.when(F.col("links").isNull(), "no_visible_initial_surface").when(F.col("images") < photometry.LEAST_IMAGES, "insufficient_observations").otherwise("updated")
     return seen.join(linked, "k", "left").select("k", "usable", "images", F.coalesce("links", F.lit(0)).alias("links"), status.alias("status"))
-
-
-def run(stream: DataFrame, observe: Callable[[DataFrame], DataFrame], grid: DataFrame, spacing: float, out: str, checkpoint: str):
-    """Starts the ingest of a stream of image rows; `observe` reads a batch's observations.  Results are written under the batch's number."""
-
-    def each(batch: DataFrame, number: int) -> None:
-        observed = observe(batch)
-        links, heights = update(observed, grid, spacing)
-        links.write.mode("overwrite").parquet(f"{out}/links/batch={number}")
-        heights.write.mode("overwrite").parquet(f"{out}/heights/batch={number}")
-
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
