@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,20 +66,16 @@ def quota_samples(points: DataFrame, count: int, key: str = "mesh") -> DataFrame
     return slots.join(got, [key, "slot"], "left").select(key, "slot", "stratum", "id", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("masked", F.lit(True)).alias("masked"))
 
 
+def draw(seed: int, number: int, *keys: str) -> Column:
+    """A number in [0, 1) that only the seed, its own number and the keys' values decide."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.lit(str(number)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
+
+
 def random_samples(faces: DataFrame, count: int, seed: int, key: str = "mesh") -> DataFrame:
     """`count` points of each mesh by area, by chance: uniform places on the running weight and uniform points of triangles."""
-    targets = faces.groupBy(key).agg(F.sum("weight").alias("total")).select(key, "total", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("tid"))
-
-    def draw(batches):
-        for b in batches:
-            rows = []
-            for m, tid, total in b[[key, "tid", "total"]].itertuples(index=False):
-                rng = np.random.default_rng([seed, int(m), int(tid)])
-                t, u, v = rng.random(3)
-                rows.append((m, tid, t * float(total), u, v))
-            yield pd.DataFrame(rows, columns=[key, "tid", "t", "u", "v"])
-
-    drawn = targets.select(F.col(key).cast("long").alias(key), F.col("tid").cast("long").alias("tid"), F.col("total").cast("double").alias("total")).mapInPandas(draw, f"{key} long, tid long, t double, u double, v double")
+    targets = faces.groupBy(key).agg(F.sum("weight").alias("total")).select(key, "total", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("tid"))
+    drawn = targets.select(key, "tid", (draw(seed, 0, key, "tid") * F.col("total").cast("double")).alias("t"), draw(seed, 1, key, "tid").alias("u"), draw(seed, 2, key, "tid").alias("v"))
     found = cdf_lookup(drawn, running_weight(faces.filter("weight > 0"), key=key), key).join(drawn.select(key, "tid", "u", "v"), [key, "tid"])
     over = F.col("u") + F.col("v") > 1
     u, v = F.when(over, 1 - F.col("u")).otherwise(F.col("u")), F.when(over, 1 - F.col("v")).otherwise(F.col("v"))

@@ -82,7 +82,12 @@ def sample_stratified(spark, sf):
     return sampling.stratified(_faces(spark, sf), 500).select("mesh", "sample", "fid", *[micro(F.col(f"p{x}")).alias(f"p{x}") for x in "xyz"])
 
 
-@query(None)
+_HASH = "('0x' || substr(md5('7:' || k || ':' || tid || ':{0}'), 1, 13))::bigint::double / 4503599627370496.0::double"
+
+
+@query(f"""with {CDF}, mx as (select k, max(total) as total from cdf group by k), t as (select k, tid, {_HASH.format(0)} * total::double as t, {_HASH.format(1)} as u0, {_HASH.format(2)} as v0 from mx, range(200) r(tid)),
+uv as (select *, case when u0 + v0 > 1 then 1 - u0 else u0 end as u, case when u0 + v0 > 1 then 1 - v0 else v0 end as v from t), f as (select uv.k, tid, any_value(u) as u, any_value(v) as v, min(fid) as fid from uv join cdf on cdf.k = uv.k and cdf.upto >= uv.t group by 1, 2)
+select f.k as mesh, tid as sample, f.fid, {', '.join(S.micro('a{0} + u * (b{1} - a{0}) + v * (c{0} - a{0})'.format(x, x if x != 'y' else 'y_')) + f' as p{x}' for x in 'xyz')} from f join cdf on cdf.k = f.k and cdf.fid = f.fid""")
 def sample_random(spark, sf):
     return sampling.random_samples(_faces(spark, sf), 200, 7).select("mesh", "sample", "fid", *[micro(F.col(f"p{x}")).alias(f"p{x}") for x in "xyz"])
 
