@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regolith.functions.running import in_ranges, with_previous, with_sums
 from regolith.functions.vec import add, apply, mat, named, transposed, vec
 
 STEEP_EPSILON = 1e-6
@@ -133,10 +134,12 @@ def plane_fit(samples: DataFrame) -> DataFrame:
 
 def packed_offsets(maplets: DataFrame) -> DataFrame:
     """Start of each maplet's samples in the packed order of ids, and runs of consecutive ids of equal shape."""
-    order = Window.orderBy("k")
-    size = F.col("ny") * F.col("nx")
-    m = maplets.select("k", "ny", "nx", F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"), ((F.lag("ny").over(order) != F.col("ny")) | (F.lag("nx").over(order) != F.col("nx"))).alias("changed"))
-    return m.withColumn("run", F.sum(F.coalesce(F.col("changed"), F.lit(False)).cast("int")).over(order)).drop("changed")
+    m = in_ranges(maplets.select("k", "ny", "nx"), "k")
+    shape = F.struct("ny", "nx")
+    m = with_previous(m, shape, "former", "k")
+    turn = F.coalesce((F.col("former") != shape).cast("long"), F.lit(0))
+    m = with_sums(m, {"upto": (F.col("ny") * F.col("nx")).cast("long"), "run": turn}, "k")
+    return m.select("k", "ny", "nx", (F.col("upto") - F.col("ny") * F.col("nx")).alias("start"), "run")
 
 
 def nearest_to_center(samples: DataFrame, middle_r: float, middle_c: float) -> DataFrame:
