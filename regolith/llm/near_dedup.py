@@ -100,24 +100,35 @@ def _differs(share: np.ndarray) -> np.ndarray:
     return -np.log1p(-np.clip(share, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
 
 
-def estimates(above: np.ndarray, below: np.ndarray, n: np.ndarray, m: int, steps: int = 40) -> np.ndarray:
-    """The similarity of sets of n with one of m tokens, where the likelihood of `above` registers over and `below` under the other's is greatest."""
+def _likelihood(above: np.ndarray, below: np.ndarray, n: np.ndarray, m: int):
+    """The logarithm of the likelihood of a similarity, as a function of it; it is concave."""
     u, v = n / (n + m), m / (n + m)
-    equal = REGISTERS - above - below
+    equal, tiny = REGISTERS - above - below, 1e-300
 
-    def likelihood(j):
+    def at(j):
         up, down = _differs(u - v * j), _differs(v - u * j)
-        tiny = 1e-300
         return above * np.log(np.maximum(up, tiny)) + below * np.log(np.maximum(down, tiny)) + equal * np.log(np.maximum(1 - up - down, tiny))
 
+    return at
+
+
+def estimates(above: np.ndarray, below: np.ndarray, n: np.ndarray, m: int, steps: int = 40) -> np.ndarray:
+    """The similarity of sets of n with one of m tokens, where the likelihood of `above` registers over and `below` under the other's is greatest."""
+    likelihood = _likelihood(above, below, n, m)
     low, high = np.zeros(len(n)), np.minimum(n, m) / np.maximum(n, m)
-    for _ in range(steps):  # it is concave: thirds that cannot hold the maximum go
+    for _ in range(steps):  # thirds that cannot hold the maximum go
         a, b = low + (high - low) / 3, high - (high - low) / 3
         rises = likelihood(a) < likelihood(b)
         low, high = np.where(rises, a, low), np.where(rises, high, b)
     return (low + high) / 2
 
 
+def reach(above: np.ndarray, below: np.ndarray, n: np.ndarray, m: int, floor: float) -> np.ndarray:
+    """Whether the estimates are at least `floor`: whether the likelihood, being concave, still rises there."""
+    likelihood = _likelihood(above, below, n, m)
+    return likelihood(floor + 1e-5) >= likelihood(floor)
+
+
 class SketchPortion(Portion):
     """Held sets with their sketches."""
 
@@ -132,8 +143,7 @@ class SketchPortion(Portion):
         some = np.flatnonzero(fits)
         other = np.frombuffer(own[2], np.uint16)
         held = self.registers[some]
-        guess = estimates((held > other).sum(axis=1), (held < other).sum(axis=1), self.sizes[some], len(own[0]))
-        fits[some[guess < self.floor]] = False
+        fits[some[~reach((held > other).sum(axis=1), (held < other).sum(axis=1), self.sizes[some], len(own[0]), self.floor)]] = False
         return fits
 
 

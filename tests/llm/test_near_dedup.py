@@ -93,6 +93,16 @@ def test_estimates(n, similarity):
         assert abs(np.mean(found) - np.mean(truth)) < 0.015 and np.abs(np.array(found) - truth).max() < nd.MARGIN * 0.0225
 
 
+def test_reaching_is_having_an_estimate_above():
+    draw = np.random.default_rng(7)
+    above, below = draw.integers(0, 120, 400), draw.integers(0, 120, 400)
+    n = draw.integers(90, 110, 400)
+    for floor in (0.6, 0.755):
+        guess = nd.estimates(above, below, n, 100)
+        far = np.abs(guess - floor) > 1e-4
+        assert np.array_equal(nd.reach(above, below, n, 100, floor)[far], (guess >= floor)[far]) and 20 < (guess < floor).sum() < 380
+
+
 def test_bands_hold_equal_registers():
     r = np.zeros((2, nd.REGISTERS), np.uint16)
     r[1, nd.ROWS :] = 1
