@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regolith.llm.ngram_join import Join, Portion, _digest, _marked, kept_rows, shingle_sets
+from regolith.llm.ngram_join import Join, Portion, _digest, _marked, kept_rows, rows_wanted, shingle_sets
 from regolith.llm.store import table
 from regolith.llm.text import NOT_SPACE, mix, streamed, text_slices
 
@@ -175,6 +175,12 @@ class NearCopies(Join):
     def distinct(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("least"), F.first("more").alias("more"))
 
+    def with_more(self, sets: DataFrame, wanted) -> DataFrame:
+        more = self.nodes.select("key", "more")
+        if wanted:  # sketches of the others stay where they are
+            more = more.mapInArrow(rows_wanted(wanted), "key binary, more binary")
+        return sets.join(more, "key")
+
     def members(self) -> tuple[DataFrame, float]:
         return self.nodes.select("node", "n", "more").mapInArrow(_band_rows, "node long, n long, short int, tokens array<long>"), self.nodes.count() * (REGISTERS // ROWS)
 

@@ -204,6 +204,18 @@ def _may_hold(bits: np.ndarray, key: bytes) -> bool:
     return bool(int(bits[slot >> 5]) >> (slot & 31) & 1)
 
 
+def rows_wanted(wanted):
+    """Of rows with a key those that may be wanted."""
+
+    def run(batches):
+        bits = wanted.value
+        for batch in batches:
+            slot = np.frombuffer(b"".join(k[:4] for k in batch.column("key").to_pylist()), ">u4").astype(np.int64) % (32 * len(bits))
+            yield batch.filter(pa.array(bits[slot >> 5] >> (slot & 31).astype(np.uint32) & 1 == 1))
+
+    return run
+
+
 class _Index:
     """Which sets of a portion hold a token, and with which check."""
 
@@ -346,10 +358,10 @@ class Join:
 
     def links(self, members: DataFrame, name: str) -> DataFrame:
         """Links of blocks given by rows block, part, side (0: held, 1: to compare), node, root."""
-        keyed = self.scratch.keep(members.join(self.nodes.select("node", "key", "more"), "node"), f"{name}-keyed")
+        keyed = self.scratch.keep(members.join(self.nodes.select("node", "key"), "node"), f"{name}-keyed")
         wanted = self._filter(keyed.select("key").distinct())
         sets = self.docs.mapInArrow(_whole_sets(self.levels, wanted, self.shingle), "key binary, tokens binary").dropDuplicates(["key"])
-        full = sets.join(keyed, "key").select("block", "part", "side", "node", "root", "tokens", "more")
+        full = self.with_more(sets, wanted).join(keyed, "key").select("block", "part", "side", "node", "root", "tokens", "more")
         ordered = full.repartition(self.parts, "block", "part").sortWithinPartitions("block", "part", "side")
         found = self.scratch.keep(ordered.mapInArrow(_compare(self.portion), "a long, b long"), f"{name}-links")
         if wanted:
@@ -372,8 +384,12 @@ class Join:
         return profile.filter("key is not null").select("doc_id", "mark", "key", "n")
 
     def distinct(self, rows: DataFrame) -> DataFrame:
-        """The distinct sets: key, n, least (document id) and more (what a comparison needs besides the set)."""
-        return rows.groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("least")).withColumn("more", F.lit(None).cast("binary"))
+        """The distinct sets: key, n, least (document id), and what else with_more needs."""
+        return rows.groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("least"))
+
+    def with_more(self, sets: DataFrame, wanted) -> DataFrame:
+        """Sets (key, tokens) with more: what a comparison needs besides them; wanted: the filter of their keys, or None."""
+        return sets.withColumn("more", F.lit(None).cast("binary"))
 
     def members(self) -> tuple[DataFrame, float]:
         """Of each node (node, n, short, tokens), the tokens of which it shares one with each partner, and how many rows of tokens there may be."""

@@ -118,3 +118,26 @@ def test_kept_rows(spark):
     got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in nd.near_copies(df).collect()}
     assert got == {5: (3, False), 3: (3, True), 9: (9, True), 8: (8, True), 7: (7, True)}
     assert nd.near_copies(df.limit(0)).count() == 0
+
+
+def test_sketches_of_all_sets_are_shuffled_once(spark):
+    """To fold equal sets; the comparison gets those of its own sets only."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(str(rng.randrange(10**6)) for _ in range(60))) for i in range(400)]
+    rows += [(400 + i, rows[i][1] + " end") for i in range(3)]
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def stages():
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (found.apply(i) for i in range(found.size()))}
+
+    before, bound = set(stages()), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = nd.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if not r["kept"]) == [(400, 0), (401, 1), (402, 2)]
+    wide = [b for k, b in stages().items() if k not in before and b > 403 * nd.REGISTERS]  # of two bytes a register, not compressed
+    bands = 1
+    assert len(wide) == 1 + bands
