@@ -47,8 +47,6 @@ SHARD_BYTES = 3 << 20
 CACHE_WORDS = 700_000
 #: Pairs looked at in one round while the most frequent one occurs over RARE times; then all are.
 PAIRS_A_ROUND, RARE = 32768, 200
-#: Slots of the table that tells places whose pair is rare already, and stays so.
-RARE_SLOTS = 1 << 20
 _MAGIC = b"RPTS2\0\0\0"
 #: Normalizers and the pattern that never look across white space.
 _SPACE_SAFE = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
@@ -83,38 +81,52 @@ class Encoder:
         self.size = np.empty(0, np.int32)
         self.ids = np.empty(0, np.uint32)
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, and how many each has; many words are encoded as one text and told apart by their places."""
         all_ids, sizes = [], []
-        for at in range(0, len(words), 1000):
-            own = words[at : at + 1000]
-            starts = np.cumsum([0] + [len(w) + 1 for w in own])
-            e = self.tokenizer.encode(" ".join(own), add_special_tokens=False)
+        for at in range(0, len(starts), 1000):
+            a, b = starts[at : at + 1000], ends[at : at + 1000]
+            after = np.cumsum(b - a + 1)
+            joined = buf[np.minimum(ragged(a, b - a + 1), len(buf) - 1)]
+            joined[after - 1] = 32
+            try:
+                text = joined.tobytes().decode("utf-8")
+                chars = np.concatenate([[0], np.cumsum(joined & 0xC0 != 0x80)])
+                first = chars[after - (b - a + 1)]
+            except UnicodeDecodeError:  # word by word, as each replaces what is no text
+                own = [buf[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+                text, first = " ".join(own), np.cumsum([0] + [len(w) + 1 for w in own[:-1]])
+            e = self.tokenizer.encode(text, add_special_tokens=False)
             ids = np.array(e.ids, np.uint32)
-            place = np.array([a for a, _ in e.offsets], np.int64)
+            place = np.array([x for x, _ in e.offsets], np.int64)
             all_ids.append(ids)
-            sizes.append(np.bincount(np.searchsorted(starts, place, "right") - 1, minlength=len(own)) if len(ids) else np.zeros(len(own), np.int64))
+            sizes.append(np.bincount(np.searchsorted(first, place, "right") - 1, minlength=len(a)))
         return np.concatenate(all_ids), np.concatenate(sizes)
 
     def _learn(self, buf, w, new: np.ndarray, first: np.ndarray, distinct: np.ndarray) -> None:
-        raw = memoryview(buf)
-        words = [bytes(raw[a:b]).decode("utf-8", "replace") for a, b in zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist(), strict=True)]
-        ids, sizes = self._encode(words)
+        ids, sizes = self._encode(buf, w.starts[first[new]], w.ends[first[new]])
         begin = (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)
         self.ids = np.concatenate([self.ids, ids])
-        hashes = np.concatenate([self.hashes, distinct[new]])
-        order = np.argsort(hashes)
-        self.checks = np.concatenate([self.checks, w.checks[first[new]]])[order]
-        self.begin = np.concatenate([self.begin, begin])[order]
-        self.size = np.concatenate([self.size, sizes.astype(np.int32)])[order]
-        self.hashes = hashes[order]
+        own = np.searchsorted(self.hashes, distinct[new]) + np.arange(len(new))  # both are sorted
+        old = np.ones(len(self.hashes) + len(new), bool)
+        old[own] = False
+        for name, added in (("checks", w.checks[first[new]]), ("begin", begin), ("size", sizes.astype(np.int32)), ("hashes", distinct[new])):
+            both = np.empty(len(old), added.dtype)
+            both[old], both[own] = getattr(self, name), added
+            setattr(self, name, both)
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts, each with the end id, and how many each text has."""
         if not self.by_word:
             return self.encode_whole(buf, offs)
         w = words_of(buf, offs, NOT_SPACE, cut_tail=True)
-        distinct, first, number = np.unique(w.hashes, return_index=True, return_inverse=True)
+        order = np.argsort(w.hashes)
+        ordered = w.hashes[order]
+        edge = np.ones(len(order), bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=edge[1:])
+        distinct, first = ordered[edge], order[edge]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(edge) - 1
         known = self.hashes[np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
         new = np.flatnonzero(~known)
         if len(new):
@@ -168,55 +180,72 @@ def _clash_free(pairs: np.ndarray, counts: np.ndarray, bits: int, size: int) ->
     return np.sort(np.array(taken, np.int64))
 
 
+def _sorted_places(seq: np.ndarray, here: np.ndarray, size: int, least_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of symbols below `size` that start at some places, as sorted numbers, and their places; without those that occur once, if that is too seldom."""
+    half, place = (size - 1).bit_length(), (len(seq) - 1).bit_length()
+    key = seq[here].astype(np.uint64)
+    key <<= np.uint64(half)
+    key |= seq[here + 1]
+    packed = 2 * half + place <= 64
+    if packed:  # pair and place in one number
+        both = key
+        both <<= np.uint64(place)
+        both |= here.view(np.uint64)
+        both.sort()
+        key = both >> np.uint64(place)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, both = key[order], here[order]
+    if least_count > 1:
+        again = np.zeros(len(key) + 1, bool)
+        np.equal(key[1:], key[:-1], out=again[1:-1])
+        again = again[1:] | again[:-1]
+        key, both = key[again], both[again]
+    return key, (both & np.uint64((1 << place) - 1)).astype(np.int64) if packed else both
+
+
 def re_pair(symbols: np.ndarray, last: np.ndarray, base: int, least_count: int = 2, most_rules: int | None = None, least_gain: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols below `base` compressed: symbols, which of them end a document, rules (left, right), and expansion lengths of all symbols."""
     seq, last = symbols.astype(np.uint32), last.copy()
-    rare = np.zeros(max(len(seq) - 1, 0), bool)  # places whose pair occurs too seldom
+    open_ = ~last[:-1]  # places whose pair may still occur often enough
     rules: list[np.ndarray] = []
     made, most = 0, most_rules if most_rules is not None else (1 << 31) - base
     length = np.ones(base, np.int64)
     while len(seq) > 1 and made < most:
-        kind, bits = (np.uint32, 16) if base + made <= 1 << 16 else (np.uint64, 32)
-        key = (seq[:-1].astype(kind) << kind(bits)) | seq[1:]
-        usable = ~last[:-1]
-        twin = np.flatnonzero(usable & (seq[:-1] == seq[1:]))
+        bits = 16 if base + made <= 1 << 16 else 32
+        twin = np.flatnonzero(open_ & (seq[:-1] == seq[1:]))
+        usable, open_ = open_, np.zeros(len(open_), bool)
         if len(twin):  # of a run of one symbol every second pair
             new = np.concatenate([[True], np.diff(twin) > 1])
             run = twin[new][np.cumsum(new) - 1]
-            usable[twin[(twin - run) & 1 == 1]] = False
-        usable &= ~rare
-        sorted_ = np.sort(key[usable])
-        if not len(sorted_):
+            odd = twin[(twin - run) & 1 == 1]
+            usable[odd], open_[odd] = False, True
+        here = np.flatnonzero(usable)
+        if not len(here):
             break
-        edge = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        counts = np.diff(np.append(edge, len(sorted_)))
+        keys, here = _sorted_places(seq, here, base + made, least_count)
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        counts = np.diff(np.append(edge, len(keys)))
         often = np.flatnonzero(counts >= least_count)
         if not len(often):
             break
-        pairs, counts = sorted_[edge[often]], counts[often]
-        picked = pairs[_clash_free(pairs, counts, bits, base + made)][: most - made]  # sorted, as pairs are
-        left, right = (picked >> kind(bits)).astype(np.uint32), (picked & kind((1 << bits) - 1)).astype(np.uint32)
-        starts, stops = np.zeros(base + made, bool), np.zeros(base + made, bool)
-        starts[left], stops[right] = True, True
-        at = np.flatnonzero(starts[seq[:-1]] & stops[seq[1:]] & usable)
-        spot = np.minimum(np.searchsorted(picked, key[at]), len(picked) - 1)
-        same = picked[spot] == key[at]
-        at = at[same]
-        seq[at] = (base + made + spot[same]).astype(np.uint32)
+        open_[here if len(often) == len(edge) else here[np.repeat(counts >= least_count, counts)]] = True
+        left, right = seq[here[edge[often]]], seq[here[edge[often]] + 1]
+        pairs = (left.astype(np.uint64) << np.uint64(bits)) | right
+        chosen = _clash_free(pairs.astype(np.uint32) if bits == 16 else pairs, counts[often], bits, base + made)[: most - made]  # in the order of pairs
+        left, right, picked = left[chosen], right[chosen], often[chosen]
+        at = here[ragged(edge[picked], counts[picked])]
+        spot = np.repeat(np.arange(len(picked)), counts[picked])
+        seq[at] = (base + made + spot).astype(np.uint32)
         last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         gain = len(at) / len(seq)
-        slot = lambda k: (k.astype(np.uint32) * np.uint32(0x9E3779B1) ^ (k >> kind(bits)).astype(np.uint32) * np.uint32(0x85EBCA6B)) % np.uint32(RARE_SLOTS)
-        frequent = np.zeros(RARE_SLOTS, bool)
-        frequent[slot(pairs)] = True
-        here = np.flatnonzero(usable)
-        rare[here[~frequent[slot(key[here])]]] = True
-        rare[at] = False
-        rare[at[at > 0] - 1] = False
-        seq, last, rare = seq[stay], last[stay], rare[stay[:-1]]
-        if len(rare) == len(seq):  # the last symbol was the right one of a pair
-            rare = rare[:-1]
+        for near in (at[at < len(open_)], at[at > 0] - 1):  # pairs that are new
+            open_[near] = ~last[near]
+        seq, last, open_ = seq[stay], last[stay], open_[stay[:-1]]
+        if len(open_) == len(seq):  # the last symbol was the right one of a pair
+            open_ = open_[:-1]
         rules.append(np.stack([left, right], 1))
         length = np.concatenate([length, length[left] + length[right]])
         made += len(picked)
@@ -296,9 +325,17 @@ class Shard:
         return out
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids of symbols: each symbol's room is known from the expansion lengths, and pairs are written into it level by level."""
-        symbols = symbols.astype(np.int64)
+        """Ids of symbols; for many of them each rule is expanded once, where all rules together have no more ids."""
         size = self._lengths(symbols)
+        if self.length.sum() > size.sum():
+            return self._expand(symbols, size)
+        rules = self._expand(self.base + np.arange(len(self.rules)), self.length)
+        begin = np.concatenate([np.arange(self.base), self.base + np.cumsum(self.length) - self.length])
+        return np.concatenate([self.alphabet, rules])[ragged(begin[symbols], size)]
+
+    def _expand(self, symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The same: each symbol's room is known from the expansion lengths, and pairs are written into it level by level."""
+        symbols = symbols.astype(np.int64)
         out = np.empty(int(size.sum()), np.uint32)
         at = np.cumsum(size) - size
         rules = self.rules.astype(np.int64)

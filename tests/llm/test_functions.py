@@ -331,3 +331,43 @@ def test_long_texts_are_scored_whole():
     ts = [" ".join(rng.choice(["aa", "bb", "cc"], 20)) + (" grimblo" if i % 2 else "") for i in range(300)]
     net = toxicity.fit(pa.array(ts), np.array([i % 2 for i in range(300)]))
     assert toxicity.score_texts(pa.array(["aa " * 200_000 + "grimblo"]), net)[0] >= toxicity.THRESHOLD
+
+
+def test_new_words_are_merged_into_the_cache(monkeypatch):
+    """What is learned costs its own sorting, not that of the whole cache; words of any alphabet keep their ids."""
+    own = token_store.Encoder(token_store.tokenizer_path())
+    texts = [" ".join(f"w{i}é中, x{i}" for i in range(3000)), "neu $$$ w5é中. ñandú <|endoftext|> x7"]
+    sorted_lengths, sort = [], np.argsort
+    for text in texts:
+        monkeypatch.setattr(np, "argsort", lambda a, *rest, **more: sorted_lengths.append(len(a)) or sort(a, *rest, **more))
+        sorted_lengths.clear()
+        raw = text.encode()
+        ids, sizes = own.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        monkeypatch.undo()
+        assert ids.tolist() == [*own.tokenizer.encode(text, add_special_tokens=False).ids, token_store.END_ID] and sizes.tolist() == [len(ids)]
+    assert max(sorted_lengths) < 20 and (np.diff(own.hashes.astype(object)) > 0).all()
+    raw = b"good \xff\xfe bad\xc3 " + "é中".encode()
+    ids, _ = own.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert ids.tolist()[:-1] == [x for w in raw.split() for x in own.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids]
+
+
+@pytest.mark.parametrize("least_count", [1, 2, 3])
+def test_pairs_and_places_in_one_number_or_two(least_count):
+    rng = np.random.default_rng(3)
+    seq = rng.integers(0, 30, 4000).astype(np.uint32)
+    here = np.flatnonzero(rng.random(3999) < 0.5)
+    one, two = (token_store._sorted_places(seq, here, size, least_count) for size in (30, 1 << 31))
+    assert (one[1] == two[1]).all()
+    kept = {}
+    for p in here.tolist():
+        kept.setdefault((int(seq[p]), int(seq[p + 1])), []).append(p)
+    assert one[1].tolist() == [p for k in sorted(kept) if least_count == 1 or len(kept[k]) > 1 for p in kept[k]]
+
+
+def test_rules_expand_alike_once_or_by_level():
+    rng = np.random.default_rng(4)
+    for ids in (rng.integers(0, 40, 20000), np.zeros(5000, np.int64), np.tile(rng.integers(0, 9, 64), 200)):
+        shard = token_store.Shard.read(token_store.write_shard([1, None], np.append(ids, 2).astype(np.uint32), np.array([7, len(ids) - 6])))
+        assert (shard.expand(shard.symbols) == np.append(ids, 2)).all()
+        assert (shard._expand(shard.symbols, shard._lengths(shard.symbols)) == np.append(ids, 2)).all()
+        assert (np.concatenate([shard.document(0), shard.document(1)]) == np.append(ids, 2)).all()
