@@ -45,6 +45,8 @@ from regolith.llm.text import NOT_SPACE, buffers, ragged, slices, streamed, word
 END_ID = 2
 SHARD_BYTES = 3 << 20
 CACHE_WORDS = 700_000
+#: New words that are encoded together.
+WORDS_A_TEXT = 400
 #: Pairs looked at in one round while the most frequent one occurs over RARE times; then all are.
 PAIRS_A_ROUND, RARE = 32768, 200
 _MAGIC = b"RPTS2\0\0\0"
@@ -84,8 +86,8 @@ class Encoder:
     def _encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, and how many each has; many words are encoded as one text and told apart by their places."""
         all_ids, sizes = [], []
-        for at in range(0, len(starts), 1000):
-            a, b = starts[at : at + 1000], ends[at : at + 1000]
+        for at in range(0, len(starts), WORDS_A_TEXT):
+            a, b = starts[at : at + WORDS_A_TEXT], ends[at : at + WORDS_A_TEXT]
             after = np.cumsum(b - a + 1)
             joined = buf[np.minimum(ragged(a, b - a + 1), len(buf) - 1)]
             joined[after - 1] = 32
@@ -98,9 +100,13 @@ class Encoder:
                 text, first = " ".join(own), np.cumsum([0] + [len(w) + 1 for w in own[:-1]])
             e = self.tokenizer.encode(text, add_special_tokens=False)
             ids = np.array(e.ids, np.uint32)
-            place = np.array([x for x, _ in e.offsets], np.int64)
             all_ids.append(ids)
-            sizes.append(np.bincount(np.searchsorted(first, place, "right") - 1, minlength=len(a)))
+            begin = [e.char_to_token(x) for x in first.tolist()]
+            if None in begin:  # a word whose first character no token holds
+                place = np.array([x for x, _ in e.offsets], np.int64)
+                sizes.append(np.bincount(np.searchsorted(first, place, "right") - 1, minlength=len(a)))
+            else:
+                sizes.append(np.diff(np.array([*begin, len(ids)], np.int64)))
         return np.concatenate(all_ids), np.concatenate(sizes)
 
     def _learn(self, buf, w, new: np.ndarray, first: np.ndarray, distinct: np.ndarray) -> None:
@@ -173,10 +179,14 @@ def _clash_free(pairs: np.ndarray, counts: np.ndarray, bits: int, size: int) ->
     if counts[order[0]] > RARE:
         order = order[:PAIRS_A_ROUND]
     lefts, rights, taken = bytearray(size), bytearray(size), []
-    for k, a, b in zip(order.tolist(), left[order].tolist(), right[order].tolist(), strict=True):
-        if not (rights[a] or lefts[b]):
-            lefts[a] = rights[b] = 1
-            taken.append(k)
+    is_left, is_right = np.frombuffer(lefts, np.uint8), np.frombuffer(rights, np.uint8)
+    for at in range(0, len(order), 2048):
+        some = order[at : at + 2048]
+        some = some[(is_right[left[some]] | is_left[right[some]]) == 0]  # most clash with pairs of earlier portions
+        for k, a, b in zip(some.tolist(), left[some].tolist(), right[some].tolist(), strict=True):
+            if not (rights[a] or lefts[b]):
+                lefts[a] = rights[b] = 1
+                taken.append(k)
     return np.sort(np.array(taken, np.int64))
 
 
@@ -254,16 +264,30 @@ def re_pair(symbols: np.ndarray, last: np.ndarray, base: int, least_count: int =
     return seq, last, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), length
 
 
+def _overlaps(bits: int):
+    """Of eight numbers of so many bits each, in as many bytes: which byte holds a part of which number, and how far left of the byte's end that number ends."""
+    return [(i, j, 8 * i + 8 - (j + 1) * bits) for i in range(bits) for j in range(8 * i // bits, (8 * i + 7) // bits + 1)]
+
+
 def pack(values: np.ndarray, bits: int) -> bytes:
     """Numbers of so many bits each, one after another."""
-    every = np.unpackbits(np.ascontiguousarray(values, ">u4").view(np.uint8).reshape(-1, 4), axis=1)
-    return np.packbits(every[:, 32 - bits :]).tobytes()
+    padded = np.zeros(-(-len(values) // 8) * 8, np.uint32)
+    padded[: len(values)] = values
+    eights = np.ascontiguousarray(padded.reshape(-1, 8).T)
+    out = np.zeros((bits, eights.shape[1]), np.uint8)
+    for i, j, left in _overlaps(bits):
+        out[i] |= (eights[j] << np.uint32(left) if left >= 0 else eights[j] >> np.uint32(-left)).astype(np.uint8)
+    return out.T.tobytes()[: -(-len(values) * bits // 8)]
 
 
 def unpack(raw: np.ndarray, n: int, bits: int) -> np.ndarray:
-    every = np.zeros((n, 32), np.uint8)
-    every[:, 32 - bits :] = np.unpackbits(raw, count=n * bits).reshape(n, bits)
-    return np.packbits(every, axis=1).view(">u4").ravel().astype(np.uint32)
+    padded = np.zeros(-(-n // 8) * bits, np.uint8)
+    padded[: len(raw)] = raw
+    parts = np.ascontiguousarray(padded.reshape(-1, bits).T).astype(np.uint32)
+    out = np.zeros((8, parts.shape[1]), np.uint32)
+    for i, j, left in _overlaps(bits):
+        out[j] |= parts[i] >> np.uint32(left) if left >= 0 else parts[i] << np.uint32(-left)
+    return (out & np.uint32((1 << bits) - 1)).T.reshape(-1)[:n]
 
 
 def write_shard(doc_ids: list, ids: np.ndarray, sizes: np.ndarray, **stops) -> bytes:

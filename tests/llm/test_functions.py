@@ -371,3 +371,13 @@ def test_rules_expand_alike_once_or_by_level():
         assert (shard.expand(shard.symbols) == np.append(ids, 2)).all()
         assert (shard._expand(shard.symbols, shard._lengths(shard.symbols)) == np.append(ids, 2)).all()
         assert (np.concatenate([shard.document(0), shard.document(1)]) == np.append(ids, 2)).all()
+
+
+@pytest.mark.parametrize("bits", range(1, 33))
+def test_packed_numbers_are_their_bits_in_a_row(bits):
+    for n in (0, 1, 7, 8, 9, 1001):
+        values = np.random.default_rng(bits).integers(0, 1 << bits, n).astype(np.uint32)
+        row = "".join(f"{v:0{bits}b}" for v in values.tolist())
+        raw = token_store.pack(values, bits)
+        assert raw == bytes(int(row[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(row), 8))
+        assert (token_store.unpack(np.frombuffer(raw, np.uint8), n, bits) == values).all()
