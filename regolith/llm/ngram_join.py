@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regolith.llm.graph import components
+from regolith.llm.graph import components, stars
 from regolith.llm.store import Scratch, table
 from regolith.llm.text import NOT_SPACE, Words, mix, ragged, streamed, text_slices
 
@@ -285,28 +285,28 @@ class Portion:
 
 
 def _compare(kind: type[Portion]):
-    """Links of sorted block rows: of each block and portion first the held sets, then those to be compared with them."""
+    """Links of sorted block rows, as pairs of the roots: of each block and portion first the held sets, then those to be compared with them."""
 
     def run(batches):
-        now, held, portion = None, ([], [], []), None
+        now, held, portion = None, ([], []), None
         for batch in streamed(batches):
             a, b = [], []
-            for block, part, side, node, root, data, more in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "side", "node", "root", "tokens", "more")), strict=True):
+            for block, part, side, root, data, more in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "side", "root", "tokens", "more")), strict=True):
                 if (block, part) != now:
-                    now, held, portion = (block, part), ([], [], []), None
+                    now, held, portion = (block, part), ([], []), None
                 n = len(data) // 10
                 own = (np.frombuffer(data, _U, n), np.frombuffer(data, np.uint16, n, 8 * n), more)
                 if side == 0:
-                    for x, y in zip(held, (node, root, (own[0].copy(), own[1].copy(), more)), strict=True):
+                    for x, y in zip(held, (root, (own[0].copy(), own[1].copy(), more)), strict=True):
                         x.append(y)
                     continue
                 if not held[0]:
                     continue
-                portion = portion or kind(*held)
-                found = portion.match(node, root, own)
+                portion = portion or kind(held[0], *held)
+                found = portion.match(root, root, own)
                 a += found.tolist()
-                b += [node] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                b += [root] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in stars(np.array(a, np.int64), np.array(b, np.int64))], ["a", "b"])
 
     return run
 
@@ -345,8 +345,8 @@ class Join:
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _filter(self, ends: DataFrame):
-        """Bits of the keys of some nodes, broadcast; None where they are too many for it."""
-        n = ends.count()
+        """Bits of the keys of some nodes, which may be repeated, broadcast; None where they are too many for it."""
+        n = ends.agg(F.approx_count_distinct("key")).first()[0]
         if 4 * n > FILTER_BITS:
             return None
         size = 1 << max(16, min(FILTER_BITS.bit_length() - 1, (16 * n).bit_length()))
@@ -357,11 +357,11 @@ class Join:
         return self.spark.sparkContext.broadcast(bits)  # FILTER_BITS / 8 bytes at most
 
     def links(self, members: DataFrame, name: str) -> DataFrame:
-        """Links of blocks given by rows block, part, side (0: held, 1: to compare), node, root."""
+        """Links between the roots, of blocks given by rows block, part, side (0: held, 1: to compare), node, root."""
         keyed = self.scratch.keep(members.join(self.nodes.select("node", "key"), "node"), f"{name}-keyed")
-        wanted = self._filter(keyed.select("key").distinct())
+        wanted = self._filter(keyed.select("key"))
         sets = self.docs.mapInArrow(_whole_sets(self.levels, wanted, self.shingle), "key binary, tokens binary").dropDuplicates(["key"])
-        full = self.with_more(sets, wanted).join(keyed, "key").select("block", "part", "side", "node", "root", "tokens", "more")
+        full = self.with_more(sets, wanted).join(keyed, "key").select("block", "part", "side", "root", "tokens", "more")
         ordered = full.repartition(self.parts, "block", "part").sortWithinPartitions("block", "part", "side")
         found = self.scratch.keep(ordered.mapInArrow(_compare(self.portion), "a long, b long"), f"{name}-links")
         if wanted:
@@ -402,7 +402,8 @@ class Join:
         prefixes, n = self.members()
         # A sketch tells tokens of over 2 / TRACKED of its rows at least; there are as many sketches as keep that share under WHOLE rows.
         sketches = max(1, -(-2 * int(n) // (TRACKED * WHOLE)))
-        top = prefixes.select(F.explode("tokens").alias("token")).groupBy(F.pmod(F.xxhash64("token"), F.lit(sketches)).alias("k")).agg(F.expr(f"approx_top_k(token, {TRACKED // 2}, {TRACKED})").alias("top"))
+        by = [F.pmod(F.xxhash64("token"), F.lit(sketches)).alias("k")] if sketches > 1 else []
+        top = prefixes.select(F.explode("tokens").alias("token")).groupBy(*by).agg(F.expr(f"approx_top_k(token, {TRACKED // 2}, {TRACKED})").alias("top"))
         often = top.select(F.explode("top").alias("top")).select(F.col("top.item").alias("token"), F.ceil(F.col("top.count") / PART).cast("int").alias("parts")).filter("parts > 1")
         often = self.scratch.keep(often, "often")
         if sketches == 1:
@@ -429,7 +430,7 @@ class Join:
         heads = groups.filter("part >= 0 and node = lead").select("token", "node", "m")
         upper = heads.withColumn("top", F.min(F.struct("node", "m")).over(Window.partitionBy("token"))).select("node", "m", F.col("top.node").alias("lead"), F.col("top.m").alias("lead_m"))
         pair = groups.select("node", "m", "lead", "lead_m").unionByName(upper).filter("node <> lead").filter(_fits(F.least("m", "lead_m"), F.greatest("m", "lead_m"), self.threshold)).groupBy("node", "lead").agg(F.count("*").alias("c"))
-        first = keep(pair.groupBy("node").agg(F.min(F.struct((-F.col("c")).alias("c"), "lead")).alias("best")).select(F.col("best.lead").alias("block"), "node"), "first")
+        first = pair.groupBy("node").agg(F.min(F.struct((-F.col("c")).alias("c"), "lead")).alias("best")).select(F.col("best.lead").alias("block"), "node")
         many = first.groupBy("block").agg(F.ceil(F.count("*") / F.lit(SLICE)).cast("int").alias("slices"))
         sides = first.join(many, "block").select("block", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("part"), F.lit(1).alias("side"), "node", F.col("node").alias("root"))
         held = many.select("block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"), F.lit(0).alias("side"), F.col("block").alias("node"), F.col("block").alias("root"))
@@ -453,12 +454,12 @@ class Join:
         late = self.links(held.unionByName(sides), "late")
         if self.levels:
             self.levels.destroy()
-        final = components(links.unionByName(late), self.scratch, "all")
+        later = components(late, self.scratch, "all").select(F.col("node").alias("root"), F.col("root").alias("top"))  # of roots
 
-        node_root = self.nodes.join(final, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
+        node_root = self.nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(later, "root", "left").select("key", "least", F.coalesce("top", "root").alias("root"))
         label = node_root.groupBy("root").agg(F.min("least").alias("component_id"))
         of_key = keep(node_root.join(label, "root").select("key", "root", "component_id"), "labels")
-        for name in ("placed", "members", "spread", "first", "first-links", "late-links", "nodes", "often"):
+        for name in ("placed", "members", "spread", "first-links", "late-links", "nodes", "often"):
             drop(name)
         return rows.join(of_key, "key", "left").select("doc_id", "mark", "n", "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
