@@ -82,6 +82,19 @@ class Encoder:
         self.begin = np.empty(0, np.int32)
         self.size = np.empty(0, np.int32)
         self.ids = np.empty(0, np.uint32)
+        self.again = np.empty(0, bool)  # words that were met in a later run than the one they came from
+
+    def _make_room(self, more: int) -> bool:
+        """Leaves out words that were not met again; all, where these are too few. Whether some are left."""
+        stay = np.flatnonzero(self.again)
+        if 2 * len(stay) > CACHE_WORDS or len(stay) + more > CACHE_WORDS:
+            self.clear()
+            return False
+        self.ids = self.ids[ragged(self.begin[stay], self.size[stay])]
+        self.hashes, self.checks, self.size = self.hashes[stay], self.checks[stay], self.size[stay]
+        self.begin = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.again = np.zeros(len(stay), bool)
+        return True
 
     def _encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, and how many each has; many words are encoded as one text and told apart by their places."""
@@ -116,7 +129,7 @@ class Encoder:
         own = np.searchsorted(self.hashes, distinct[new]) + np.arange(len(new))  # both are sorted
         old = np.ones(len(self.hashes) + len(new), bool)
         old[own] = False
-        for name, added in (("checks", w.checks[first[new]]), ("begin", begin), ("size", sizes.astype(np.int32)), ("hashes", distinct[new])):
+        for name, added in (("checks", w.checks[first[new]]), ("begin", begin), ("size", sizes.astype(np.int32)), ("again", np.zeros(len(new), bool)), ("hashes", distinct[new])):
             both = np.empty(len(old), added.dtype)
             both[old], both[own] = getattr(self, name), added
             setattr(self, name, both)
@@ -133,11 +146,14 @@ class Encoder:
         distinct, first = ordered[edge], order[edge]
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(edge) - 1
-        known = self.hashes[np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
+        known = np.zeros(len(distinct), bool)
+        if len(self.hashes):
+            spot = np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)
+            known = self.hashes[spot] == distinct
+            self.again[spot[known]] = True
         new = np.flatnonzero(~known)
         if len(new):
-            if len(self.hashes) + len(new) > CACHE_WORDS:
-                self.clear()
+            if len(self.hashes) + len(new) > CACHE_WORDS and not self._make_room(len(new)):
                 new = np.arange(len(distinct))
             self._learn(buf, w, new, first, distinct)
         spot = np.searchsorted(self.hashes, distinct)
