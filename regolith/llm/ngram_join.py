@@ -27,7 +27,7 @@ passages hardly ever stand in a prefix.
 
 Every pair of a link shares a prefix token, and such a pair is either compared
 in a block or already known to be connected, so no link between components is
-lost.  No pair is ever a row: a block gives links until its members are
+lost.  Links are pairs of components, and each task hands on stars of them.  No pair is ever a row: a block gives links until its members are
 connected, so at most one a member, and large blocks are dealt over several
 tasks.  Tokens are 59-bit hashes, and each carries another 16 bits of its
 words' hashes (32 in a set's digest), which have to agree as well before a
