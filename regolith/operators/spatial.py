@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regolith.functions.scratch import keep
@@ -35,30 +38,139 @@ def radius_pairs(queries: DataFrame, refs: DataFrame, radius: float) -> DataFram
     return _candidates(queries, refs, radius).filter(F.col("d2") <= F.lit(radius * radius))
 
 
-def nearest_within(queries: DataFrame, refs: DataFrame, bound: float) -> DataFrame:
+#: Others that a reference has in its cell, on average, at most; references, and coarse cells, that a query meets all of; bits by
+#: which a level's cells are coarser than the next one's; references that the cell size is told by; and what rounding may do to a cell's side.
+FILL, FEW, BITS, TELLING, SLACK = 2.0, 256, 2, 50_000, 1e-6
+_PLACE = ["x", "y", "z"]
+_CELL = ["g0", "g1", "g2"]
+
+
+@dataclass
+class Places:
+    """References put in order for searches: places with their smallest id and their cells (g0 .. g2), all of them as one row where they are few,
+    what lies in touching cells, the cells' size, the lower corner, and the coarsest level of cells."""
+
+    places: DataFrame
+    every: DataFrame | None = None
+    around: DataFrame | None = None
+    size: float = 1.0
+    low: tuple[float, ...] = (0.0, 0.0, 0.0)
+    top: int = 0
+
+    def cells_of(self, df: DataFrame) -> DataFrame:
+        return df.select("*", *[F.floor((F.col(a) - F.lit(o)) / F.lit(self.size)).cast("long").alias(g) for a, o, g in zip(_PLACE, self.low, _CELL, strict=True)])
+
+
+def placed(refs: DataFrame, largest: float | None = None, again: bool = True) -> Places:
+    """References (rid, x, y, z) in order for one search, or for many (again).  Those of one place count once, with their smallest id.
+
+    Cells are so small that they hold a few references; largest: their size at most.
+    """
+    write = keep if again else lambda df: df
+    places = keep(refs.dropna(subset=_PLACE).groupBy(*_PLACE).agg(F.min("rid").alias("rid")))
+    box = places.agg(F.count("*").alias("n"), *[f(a).alias(f"{n}{a}") for a in _PLACE for f, n in ((F.min, "l"), (F.max, "h"))]).first()
+    if box["n"] <= FEW:
+        return Places(places, every=write(places.agg(F.collect_list(F.struct("rid", *_PLACE)).alias("near"))))
+    side, low = max(box[f"h{a}"] - box[f"l{a}"] for a in _PLACE), tuple(box[f"l{a}"] for a in _PLACE)
+    size = _cell_size(places, box["n"], side, low)
+    if largest is not None:
+        size = min(size, max(float(largest), side / 2**24))
+    index = Places(places, size=size, low=low)
+    r = index.cells_of(places)
+    levels = range(int(math.log2(side / size)) // BITS + 2)
+    many = r.agg(*[F.approx_count_distinct(F.struct(*[F.shiftright(g, BITS * n) for g in _CELL])).alias(f"n{n}") for n in levels]).first()
+    around = r
+    for g in _CELL:
+        around = around.withColumn(g, F.explode(F.array(*[F.col(g) + d for d in (-1, 0, 1)])))
+    around = around.groupBy(*_CELL).agg(F.collect_list(F.struct("rid", *_PLACE)).alias("near"))
+    return Places(r, None, write(around), size, low, next(n for n in levels if many[f"n{n}"] <= FEW or n == levels[-1]))
+
+
+def nearest_within(queries: DataFrame, refs: DataFrame | Places, bound: float) -> DataFrame:
     """The nearest reference closer than the bound (smallest id on a tie): qid, rid, d2; null where there is none."""
-    best = _candidates(queries, refs, bound).filter(F.col("d2") < F.lit(bound * bound)).groupBy("qid").agg(F.min(F.struct("d2", "rid")).alias("b"))
-    return queries.select("qid").join(best, "qid", "left").select("qid", F.col("b.rid").alias("rid"), F.col("b.d2").alias("d2"))
+    near = F.col("d2") < F.lit(bound * bound)
+    found = _nearest(queries, refs if isinstance(refs, Places) else placed(refs, again=False), bound)
+    return found.select("qid", F.when(near, F.col("rid")).alias("rid"), F.when(near, F.col("d2")).alias("d2"))
 
 
-def nearest(queries: DataFrame, refs: DataFrame, size: float, rounds: int = 40) -> DataFrame:
+def nearest(queries: DataFrame, refs: DataFrame | Places, size: float | None = None) -> DataFrame:
     """The nearest reference of every query (smallest id on a tie): qid, rid, d2.
 
-    A match closer than the cell size is final, as all nearer points lie in touching cells.  The other queries go
-    into the next round with cells twice as large.
+    size: the largest cell to look around in at first; the references' density may ask for a smaller one.
+    """
+    return _nearest(queries, refs if isinstance(refs, Places) else placed(refs, size, again=False))
+
+
+def _nearest(queries: DataFrame, refs: Places, bound: float | None = None) -> DataFrame:
+    """The nearest reference of every query, or of those that have one within the bound: qid, rid, d2; the others have what was met, or null.
+
+    A match closer than a cell's side among the references of touching cells is final, as all nearer ones lie there.  The
+    other queries go down from coarse cells to these, and leave out each cell that is farther than a reference met so far.
+    """
+    q = queries.select("qid", *_PLACE)
+    if refs.every is not None:
+        return q.crossJoin(F.broadcast(refs.every)).select("qid", _best("near").alias("b")).select("qid", "b.rid", "b.d2")
+    met = keep(refs.cells_of(q).join(refs.around, _CELL, "left").select("qid", *_PLACE, _best("near").alias("b")).select("qid", *_PLACE, "b.rid", "b.d2"))
+    if bound is not None and bound * (1 + SLACK) <= refs.size:
+        return met.select("qid", "rid", "d2")
+    final = F.coalesce(F.col("d2") <= F.lit(refs.size * refs.size * (1 - SLACK)), F.lit(False))
+    found, left = met.filter(final).select("qid", "rid", "d2"), met.filter(~final)
+    return found.unionByName(_descended(left, refs, bound)) if left.limit(1).count() else found
+
+
+def _best(near: str) -> Column:
+    """The nearest of an array of references (rid, x, y, z) as a struct d2, rid."""
+    def one(r):
+        d = sub(vec(*_PLACE), tuple(r[a] for a in _PLACE))
+        return F.struct(dot(d, d).alias("d2"), r["rid"].alias("rid"))
+
+    return F.array_min(F.transform(near, one))
+
+
+def _cell_size(places: DataFrame, n: int, side: float, low: tuple[float, ...]) -> float:
+    """The largest of a row of sizes at which a place shares its cell with FILL others at most, on average.
+
+    It tells how long a search takes, never what it finds; of many places some tell it.
     """
-    found, left = None, queries.select("qid", "x", "y", "z")
-    if refs.limit(1).count() == 0:
-        return queries.select("qid", F.lit(None).cast("long").alias("rid"), F.lit(None).cast("double").alias("d2"))
-    for _ in range(rounds):
-        best = _candidates(left, refs, size).groupBy("qid").agg(F.min(F.struct("d2", "rid")).alias("b"))
-        best = keep(best.select("qid", F.col("b.rid").alias("rid"), F.col("b.d2").alias("d2")).filter(F.col("d2") <= F.lit(size * size)))
-        found = best if found is None else found.unionByName(best)
-        left = keep(left.join(best, "qid", "left_anti"))
-        if left.limit(1).count() == 0:
-            return found
-        size *= 2
-    raise RuntimeError("the first cell is too small for these points")
+    of = -(-n // TELLING)
+    some = places if of == 1 else places.filter(F.pmod(F.xxhash64(*_PLACE), F.lit(of)) == 0)
+    sizes = [side / 2 ** (k / 2) for k in range(2, 49)]
+    each = some.select(*_PLACE, F.posexplode(F.array(*[F.lit(s) for s in sizes])).alias("k", "size"))
+    cells = each.groupBy("k", *[F.floor((F.col(a) - F.lit(o)) / F.col("size")).alias(g) for a, o, g in zip(_PLACE, low, _CELL, strict=True)]).count()
+    full = cells.groupBy("k").agg((F.sum(F.col("count") * (F.col("count") - 1)) / F.sum("count") * F.lit(of)).alias("others"))
+    return sizes[full.filter(F.col("others") <= FILL).agg(F.coalesce(F.min("k"), F.lit(len(sizes) - 1))).first()[0]]
+
+
+def _descended(left: DataFrame, index: Places, bound: float | None) -> DataFrame:
+    """The nearest reference (within the bound) of queries (qid, x, y, z, and d2 of a reference met), from coarse cells down to those of the references: qid, rid, d2."""
+    refs = index.places
+
+    def cells(level: int) -> DataFrame:
+        """Cells of a level: their bounds, and a reference in each."""
+        keys = [F.shiftright(g, BITS * level).alias(g) for g in _CELL]
+        ends = [f(a).alias(f"{n}{a}") for a in _PLACE for f, n in ((F.min, "l"), (F.max, "h"))]
+        return refs.groupBy(*keys).agg(*ends, *[F.min_by(a, "rid").alias(f"p{a}") for a in _PLACE])
+
+    def scored(c):
+        gap = tuple(F.greatest(c[f"l{a}"] - F.col(a), F.col(a) - c[f"h{a}"], F.lit(0.0)) for a in _PLACE)
+        d = sub(vec(*_PLACE), tuple(c[f"p{a}"] for a in _PLACE))
+        return F.struct(dot(gap, gap).alias("least"), dot(d, d).alias("met"), *[c[g].alias(g) for g in _CELL])
+
+    inside = F.struct(*_CELL, *[f"{n}{a}" for a in _PLACE for n in "lhp"])
+    limit = F.lit(float("inf") if bound is None else bound * bound)
+    q = left.select("qid", *_PLACE, F.least(F.coalesce("d2", limit), limit).alias("limit"))
+    q = q.crossJoin(F.broadcast(cells(index.top).agg(F.collect_list(inside).alias("kids"))))  # FEW cells at most, or so
+    for level in range(index.top, -1, -1):
+        q = q.select("qid", *_PLACE, "limit", F.transform("kids", scored).alias("kids"))
+        q = q.withColumn("limit", F.least("limit", F.min(F.array_min(F.transform("kids", lambda c: c["met"]))).over(Window.partitionBy("qid"))))
+        q = q.select("qid", *_PLACE, "limit", F.explode(F.filter("kids", lambda c: c["least"] <= F.col("limit"))).alias("c")).select("qid", *_PLACE, "limit", *[f"c.{g}" for g in _CELL])
+        if level:
+            below = cells(level - 1).groupBy(*[F.shiftright(g, BITS).alias(f"up_{g}") for g in _CELL]).agg(F.collect_list(inside).alias("kids"))
+            q = q.join(below, [q[g] == below[f"up_{g}"] for g in _CELL]).select("qid", *_PLACE, "limit", "kids")
+    own = refs.groupBy(*_CELL).agg(F.collect_list(F.struct("rid", *_PLACE)).alias("near"))
+    got = q.join(own, _CELL).select("qid", _best("near").alias("b"))
+    none = left.select("qid", F.lit(None).cast(got.schema["b"].dataType).alias("b"))  # a query without one keeps its row
+    return got.unionByName(none).groupBy("qid").agg(F.min("b").alias("b")).select("qid", "b.rid", "b.d2")
 
 
 def heights_on_plane(points: DataFrame, triangles: DataFrame, size: float, depth: float, epsilon: float = 1e-6, on: tuple[str, ...] = ()) -> DataFrame:
