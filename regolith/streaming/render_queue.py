@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regolith.functions.scratch import keep
+
 REQUEST = "request_id string, cam long, lx double, ly double, lz double, ts timestamp"
 
 
@@ -26,27 +28,39 @@ def checked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("error", bad)
 
 
+def shown(buffer: DataFrame, geometry: DataFrame) -> DataFrame:
+    """How many pixels each camera sees of each face: cam, nx, ny, nz, n."""
+    return buffer.join(geometry.select("mesh", "fid", "nx", "ny", "nz"), ["mesh", "fid"]).groupBy("cam", "mesh", "fid", "nx", "ny", "nz").agg(F.count("*").alias("n")).drop("mesh", "fid")
+
+
 def answer(rows: DataFrame, buffer: DataFrame, geometry: DataFrame, ambient: float = 0.15) -> DataFrame:
     """One result a request: pixels seen, sum of gray values, error.
 
     buffer: the visible faces of each camera (cam, mesh, px, py, fid).  It depends on the camera alone, so it is
     computed once and serves every light.
     """
+    return answer_shown(rows, shown(buffer, geometry), ambient)
+
+
+def answer_shown(rows: DataFrame, faces: DataFrame, ambient: float = 0.15) -> DataFrame:
+    """As answer(), from the faces that cameras show; each light of a camera is summed up once, however many requests it has."""
     size = F.sqrt(F.col("lx") * F.col("lx") + F.col("ly") * F.col("ly") + F.col("lz") * F.col("lz"))
-    good = checked(rows)
-    lit = good.filter(F.col("error").isNull()).select("request_id", "cam", *[(-F.col(f"l{a}") / size).alias(f"t{a}") for a in "xyz"])
-    faces = buffer.join(geometry.select("mesh", "fid", "nx", "ny", "nz"), ["mesh", "fid"]).groupBy("cam", "mesh", "fid", "nx", "ny", "nz").agg(F.count("*").alias("n"))
+    towards = [F.when(F.col("error").isNull(), -F.col(f"l{a}") / size).alias(f"t{a}") for a in "xyz"]
+    light = ["cam", "tx", "ty", "tz"]
+    good = checked(rows).select("request_id", "cam", "error", *towards)
+    lights = good.filter(F.col("error").isNull()).select(*light).distinct()
     lambert = F.least(F.greatest(F.col("nx") * F.col("tx") + F.col("ny") * F.col("ty") + F.col("nz") * F.col("tz"), F.lit(0.0)), F.lit(1.0))
     gray = F.floor((F.lit(ambient) + F.lit(1 - ambient) * lambert) * F.lit(255.0))
-    sums = lit.join(faces, "cam").groupBy("request_id").agg(F.sum("n").alias("pixels"), F.sum(F.col("n") * gray).alias("gray"))
-    return good.select("request_id", "error").join(sums, "request_id", "left").select("request_id", F.coalesce("pixels", F.lit(0)).alias("pixels"), F.coalesce("gray", F.lit(0)).cast("long").alias("gray"), "error")
+    sums = lights.join(faces, "cam").groupBy(*light).agg(F.sum("n").alias("pixels"), F.sum(F.col("n") * gray).alias("gray"))
+    return good.join(sums, light, "left").select("request_id", F.coalesce("pixels", F.lit(0)).alias("pixels"), F.coalesce("gray", F.lit(0)).cast("long").alias("gray"), "error")
 
 
 def serve(stream: DataFrame, buffer: DataFrame, geometry: DataFrame, out: str, checkpoint: str, drain: bool = True):
     """Starts the queue: each micro-batch is answered and written under its number, so that a repeated batch replaces itself."""
+    faces = keep(shown(buffer, geometry))  # not counted anew for each batch
 
     def each(batch: DataFrame, number: int) -> None:
-        answer(batch, buffer, geometry).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        answer_shown(batch, faces).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if drain else writer).start()
