@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regolith.functions.vec import add, apply, dot, mat, sub, transposed, vec
-from regolith.operators.growth import intersect_field
+from regolith.operators.growth import intersect_fields
 from regolith.operators.observe import local
 
+#: Neighbours, by their number, whose grids are searched in one call.
+TOGETHER = 16
 _FRAME = ["ny", "nx", "spacing", "ox", "oy", "oz", *[f"b{i}{j}" for i in range(3) for j in range(3)]]
 
 
@@ -68,7 +70,7 @@ def ray_anchors(edges: DataFrame, samples: DataFrame, maplets: DataFrame, explic
     """What neighbours say of a maplet's heights: for each valid sample whose normal line meets a neighbour's surface the height of that place along
     the line: k, r, c, other, weight, height.  Samples with an explicit correspondence (k, r, c, other) are left out.
 
-    A line follows the maplet's own normal, not the neighbour's, so the place is found by search, one neighbour's bounded grid at a time.
+    A line follows the maplet's own normal, not the neighbour's, so the place is found by search, in a few neighbours' bounded grids at a time.
     """
     rays = across(both_ways(edges), samples, maplets)
     if explicit is not None:
@@ -76,17 +78,18 @@ def ray_anchors(edges: DataFrame, samples: DataFrame, maplets: DataFrame, explic
     rays = rays.select("k", "other", "r", "c", *[f"{n}{i}" for n in "bn" for i in range(3)])
     fields = grids(samples).join(maplets.select("k", "ny", "nx", "spacing"), "k").withColumnRenamed("k", "other")
 
-    def meet(lines: pd.DataFrame, field: pd.DataFrame) -> pd.DataFrame:
+    def meet(lines: pd.DataFrame, fields: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"k": [], "r": [], "c": [], "other": [], "height": []})]
-        if len(field):
-            f = field.iloc[0]
-            grid = np.array([np.nan if x is None else x for x in f["grid"]], float).reshape(int(f["ny"]), int(f["nx"]))
-            for _, some in lines.groupby("k"):
-                t, ok = intersect_field(np.nan_to_num(grid), ~np.isnan(grid), float(f["spacing"]), some[["b0", "b1", "b2"]].to_numpy(float), some[["n0", "n1", "n2"]].iloc[0].to_numpy(float))
-                out.append(some[["k", "r", "c", "other"]].assign(height=t)[ok])
+        for (ny, nx), some in fields.groupby(["ny", "nx"]):
+            grid = np.array([[np.nan if x is None else x for x in g] for g in some["grid"]], float).reshape(len(some), int(ny), int(nx))
+            own = lines[lines["other"].isin(some["other"])]
+            of = pd.Index(some["other"]).get_indexer(own["other"])
+            t, ok = intersect_fields(np.nan_to_num(grid), ~np.isnan(grid), some["spacing"].to_numpy(float), of, own[["b0", "b1", "b2"]].to_numpy(float), own[["n0", "n1", "n2"]].to_numpy(float))
+            out.append(own[["k", "r", "c", "other"]].assign(height=t)[ok])
         return pd.concat(out).astype({"k": "int64", "r": "int64", "c": "int64", "other": "int64", "height": "float64"})
 
-    met = rays.groupBy("other").cogroup(fields.groupBy("other")).applyInPandas(meet, "k long, r long, c long, other long, height double")
+    some = F.floor(F.col("other") / TOGETHER)
+    met = rays.groupBy(some.alias("some")).cogroup(fields.groupBy(some.alias("some"))).applyInPandas(meet, "k long, r long, c long, other long, height double")
     return met.select("k", "r", "c", "other", F.lit(float(weight)).alias("weight"), "height")
 
 

@@ -93,3 +93,44 @@ def test_command_line(spark, tmp_path):
     cli.orbit(spark, path, str(tmp_path / "frames"), 2, size=16)
     frames = list((tmp_path / "frames").rglob("*.txt"))
     assert len(frames) == 2 and all(f.read_text().startswith("P2\n16 16\n") for f in frames)
+
+
+def test_rays_meet_many_fields_in_one_call_as_in_one_each():
+    draw = np.random.default_rng(2)
+    m, n = 7, 300
+    grids, valid = draw.normal(0, 0.05, (m, 6, 8)), draw.random((m, 6, 8)) > 0.1
+    valid[3] = False
+    spacings, of = draw.uniform(0.1, 0.3, m), draw.integers(0, m, n)
+    starts = np.c_[draw.uniform(-1, 1, (n, 2)), draw.normal(0, 0.1, n)]
+    directions = np.c_[draw.normal(0, 0.3, (n, 2)), draw.choice([1.0, -1.0, 0.0], n, p=[0.7, 0.2, 0.1])]
+    t, ok = growth.intersect_fields(grids, valid, spacings, of, starts, directions)
+    for i in range(n):
+        at, met = _first_meeting(grids[of[i]], valid[of[i]], spacings[of[i]], starts[i], directions[i])
+        assert ok[i] == met and t[i] == at
+    assert 40 < ok.sum() < 200
+
+
+def _first_meeting(grid, valid, spacing, start, direction, steps=48):
+    if not valid.any() or direction[2] == 0:
+        return 0.0, False
+
+    def gap(t):
+        p = start + t * direction
+        u, v = p[0] / spacing + (grid.shape[1] - 1) / 2, p[1] / spacing + (grid.shape[0] - 1) / 2
+        h, fine = growth.bilinear_array(grid, valid, np.array([u]), np.array([v]))
+        return p[2] - h[0], fine[0]
+
+    a, b = (grid[valid].min() - spacing - start[2]) / direction[2], (grid[valid].max() + spacing - start[2]) / direction[2]
+    first, last = min(a, b), max(a, b)
+    at = [first] + [first + (last - first) * k / steps for k in range(1, steps + 1)]
+    for low, high in zip(at, at[1:]):
+        (g0, f0), (g1, f1) = gap(low), gap(high)
+        if f0 and f1 and np.sign(g0) != np.sign(g1):
+            for _ in range(40):
+                middle = (low + high) / 2
+                low, high = (middle, high) if np.sign(gap(middle)[0]) == np.sign(g0) else (low, middle)
+            t = (low + high) / 2
+            g, fine = gap(t)
+            good = fine and abs(g) <= 1e-4 * spacing and gap(t + 1e-4 * spacing)[0] > g
+            return (t, True) if good else (0.0, False)
+    return 0.0, False
