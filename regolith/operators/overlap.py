@@ -32,15 +32,15 @@ def across(directions: DataFrame, samples: DataFrame, maplets: DataFrame) -> Dat
     own = maplets.select("k", *_FRAME)
     theirs = maplets.select(F.col("k").alias("other"), *[F.col(c).alias(f"o_{c}") for c in _FRAME if c not in ("ny", "nx", "spacing")])
     j = directions.join(own, "k").join(theirs, "other")
-    # The own frame in the other's: axes and origin; one small row a direction.
+    # A sample's place in the body's frame comes first, as whoever reads it off a maplet has it: far from the origin it is
+    # rounded there, and a difference of origins taken before would not be rounded alike.
     turn = transposed(mat("o_b"))
-    axes = [apply(turn, (F.col(f"b0{c}"), F.col(f"b1{c}"), F.col(f"b2{c}"))) for c in range(3)]
-    start = apply(turn, sub(vec("ox", "oy", "oz"), vec("o_ox", "o_oy", "o_oz")))
-    j = j.select("k", "other", "ny", "nx", "spacing", *[axes[c][i].alias(f"t{i}{c}") for i in range(3) for c in range(3)], *[x.alias(f"s{i}") for i, x in enumerate(start)])
+    normal = apply(turn, vec("b02", "b12", "b22"))
     d = samples.filter("valid").select("k", "r", "c", "h").join(j, "k")
     u, v = local(F.col("nx"), F.col("ny"), F.col("spacing"))
-    base = add(apply(mat("t"), (u, v, F.lit(0.0))), vec("s0", "s1", "s2"))
-    d = d.select("k", "other", "r", "c", "h", *[x.alias(f"b{i}") for i, x in enumerate(base)], *[F.col(f"t{i}2").alias(f"n{i}") for i in range(3)])
+    place = add(vec("ox", "oy", "oz"), apply(mat("b"), (u, v, F.lit(0.0))))
+    base = apply(turn, sub(place, vec("o_ox", "o_oy", "o_oz")))
+    d = d.select("k", "other", "r", "c", "h", *[x.alias(f"b{i}") for i, x in enumerate(base)], *[x.alias(f"n{i}") for i, x in enumerate(normal)])
     return d.select("*", *[(F.col(f"b{i}") + F.col("h") * F.col(f"n{i}")).alias(a) for i, a in enumerate("xyz")])
 
 

@@ -81,3 +81,14 @@ def test_explicit_correspondences(spark, tables):
     got = {(r["k"], r["r"], r["c"]): r["height"] for r in overlap.explicit_anchors(spark.createDataFrame(pairs, "k long, r long, c long, other long, orow long, ocol long, weight double"), s, m).collect()}
     want = {(k, r, c): float((point(o, p, q, h[o, p, q]) - FRAMES[k][1]) @ FRAMES[k][0][:, 2]) for k, r, c, o, p, q, _ in pairs if (k, r, c) in h and (o, p, q) in h}
     assert got == pytest.approx(want) and want
+
+
+def test_far_from_the_origin_samples_are_rounded_as_places_in_the_body(spark):
+    names = "k long, ny int, nx int, ox double, oy double, oz double, " + ", ".join(f"b{i}{j} double" for i in range(3) for j in range(3)) + ", spacing double"
+    one = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
+    o = {k: ((10**12 + k) * 0.4371713, (10**12 + k) * 0.0329177) for k in (0, 1)}
+    m = spark.createDataFrame([(k, 9, 9, *o[k], 0.0, *one, 0.1) for k in o], names)
+    s = spark.createDataFrame([(k, r, c, 0.01 * r, True) for k in o for r in range(9) for c in range(9)], "k long, r long, c long, h double, valid boolean")
+    got = {(x["k"], x["r"], x["c"]): (x["x"], x["y"]) for x in overlap.across(spark.createDataFrame([(0, 1), (1, 0)], "k long, other long"), s, m).collect()}
+    want = {(k, r, c): (o[k][0] + (c - 4) * 0.1 - o[1 - k][0], o[k][1] + (r - 4) * 0.1 - o[1 - k][1]) for k in o for r in range(9) for c in range(9)}
+    assert got == want
